@@ -24,6 +24,10 @@ def _windows(w: Column, size: int) -> Column:
     ).otherwise(F.array().cast("array<bigint>"))
 
 
+def _placed(size: int):
+    return lambda h, i: F.struct(i.alias("at"), F.lit(size).alias("len"), h.alias("h"))
+
+
 def benchmark_windows(benchmark: DataFrame, n: int = WINDOW, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """Distinct windows as (b_hash, b_len, b_words, b_items); b_items are the items, as strings, that hold the window.
 
@@ -46,7 +50,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, id_col: str = "
     k1, k2 = row_key(docs, id_col, text_col)
     scan = docs.select(k1.alias("k1"), k2.alias("k2"), words(docs[text_col]).alias("w"))
     if len(sizes) > 1:
-        parts = [F.transform(_windows(F.col("w"), s), lambda h, i, s=s: F.struct(i.alias("at"), F.lit(s).alias("len"), h.alias("h"))) for s in sizes]
+        parts = [F.transform(_windows(F.col("w"), s), _placed(s)) for s in sizes]
         found = scan.select("k1", "k2", "w", F.explode(F.concat(*parts)).alias("x")).select("k1", "k2", "w", "x.at", "x.len", "x.h")
     else:
         size = sizes[0] if sizes else n
@@ -95,6 +99,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "documents"
     joined = keyed.join(found, [a, b], "left")
     pieces = F.regexp_extract_all(F.col(text_col), F.lit(r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), F.lit(0))
     tail = F.regexp_extract(F.col(text_col), r"([\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*)\z", 1)
-    kept = F.filter(pieces, lambda _, i: ~F.array_contains(_covered(F.col(spans)), i))
+    (held,) = fresh(joined, "pieces")
+    joined = joined.withColumn(held, pieces)
+    at = F.array_except(F.sequence(F.lit(0), F.size(held) - 1), _covered(F.col(spans)))  # rows with spans have pieces
+    kept = F.transform(at, lambda i: F.get(F.col(held), i))
     cut = F.when(F.col(spans).isNull(), F.col(text_col)).otherwise(F.concat(F.array_join(kept, ""), tail))
     return joined.select(*[cut.alias(c) if c == text_col else F.col(c) for c in docs.columns])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, urlfilter
+from . import decontaminate, langid, licenses, media, mixing, ngram_join, secrets_scan, token_codes, urlfilter
 from .common import table
 
 
@@ -13,6 +13,34 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = media.features(media.store(table(spark, sf_dir, "documents")))
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_frames", "duration_ns")
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op4_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_codes.read_codes(token_codes.write_codes(table(spark, sf_dir, "documents"), tokenizer_path()))
+
+
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets_scan.secrets(table(spark, sf_dir, "documents"))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.fit(docs))
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.licenses(table(spark, sf_dir, "documents"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -21,7 +49,12 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages"), urlfilter.rule_table(spark, urlfilter.RULES))
 
 
-QUERIES = {"op1_decontaminate": op1_decontaminate, "op8_mixing": op8_mixing, "op9_url_filter": op9_url_filter}
+def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
+_ALL = (op1_decontaminate, op3_mpeg_audio, op4_token_codes, op5_secret_scan, op6_language_id, op7_license_scan, op8_mixing, op9_url_filter, op10_ngram_jaccard)
+QUERIES = {f.__name__: f for f in _ALL}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = "regexp_extract_all(" + _LOWER.format("coalesce(text, '')") + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
