@@ -4,10 +4,11 @@
 2. Document frequencies of all shingles are counted in blocks of hash ranges; the frequent ones give a common order,
    rare first.
 3. A pair at or above the threshold t must share a column among the first n - ceil(t*n) + 1 of each row in that order.
-   These columns are multiplied in blocks; a column with several items links its smallest item to those whose size is
-   within the bound, and connected items form a cluster. No pair is lost: pairs never leave their cluster.
-4. Clusters are multiplied in tiles of bounded size: overlaps are accumulated over shared columns, pairs under the
-   size-derived bound 100*overlap >= 75*union are discarded, and the rest are links.
+   These columns are multiplied in blocks.  Overlaps of pairs that meet only in columns of few items are accumulated,
+   and pairs below the size-derived bound on them are discarded.  In a column of many items, the smallest stands for
+   all whose sizes are within the bound: they go to its group, so no pair is lost and no column becomes its square.
+4. Groups are multiplied in tiles of bounded size: overlaps of whole rows are accumulated over shared columns, pairs
+   with 100*overlap < 75*union are discarded, and the rest are links.
 5. Links connect items; a document's component is the smallest id among its items' documents.
 """
 
@@ -18,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,8 +31,12 @@ WORDS, PERCENT = 5, 75
 #: At most so many frequent shingles are broadcast for the order (about 2 MB); any choice gives the same result.
 FREQUENT = 1 << 18
 LEAST_FREQUENCY = 8
-#: Items in a tile of a cluster.
+#: Columns of at most so many items are multiplied pair by pair, others by their smallest item.
+FEW = 3
+#: Items in a tile of a group.
 TILE = 1024
+#: Bits of the filter that keeps texts outside all groups from being shuffled (4 MB, whatever the input).
+FILTER_BITS = 1 << 25
 _FLUSH = 3_000_000
 
 _P = 0x9E3779B97F4A7C15
@@ -54,7 +60,11 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def shingles(text: str | None, size: int = WORDS) -> np.ndarray:
     """Sorted distinct 64-bit hashes of a text's shingles; with fewer words the whole sequence is one; none without words."""
-    found = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: only A-Z change, only ASCII space splits
+    return shingle_bytes((text or "").encode("utf-8", "surrogatepass"), size)
+
+
+def shingle_bytes(text: bytes, size: int = WORDS) -> np.ndarray:
+    found = text.lower().split()  # of bytes: only A-Z change, only ASCII space splits
     if not found:
         return np.zeros(0, np.uint64)
     k = min(size, len(found))
@@ -156,16 +166,8 @@ def prefix(hashes: np.ndarray, order: tuple[np.ndarray, np.ndarray], percent: in
     return hashes[:keep]
 
 
-def _size_code(n: np.ndarray) -> np.ndarray:
-    return np.floor(np.log(np.maximum(n, 1)) * 200).astype(np.uint16)
-
-
-#: Codes of two sizes a <= b with a >= 0.75*b differ by at most this.
-_SIZE_GAP = int(np.ceil(np.log(100 / PERCENT) * 200)) + 1
-
-
 def _columns(order, blocks: int):
-    """A row for each block and flush: items, size codes, columns an item, and the columns' hashes (5 bytes)."""
+    """A row for each block and flush: items, sizes, columns an item, and the columns' hashes (5 bytes)."""
     schema = pa.schema([("block", pa.int32()), ("cells", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,14 +182,14 @@ def _columns(order, blocks: int):
             block = ((h >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)
             by = np.lexsort((owner, block))
             h, owner, block = h[by], owner[by], block[by]
-            ids, code = np.frombuffer(b"".join(i[:8] for i in items), np.int64), _size_code(np.array(sizes))
+            ids, many = np.frombuffer(b"".join(i[:8] for i in items), np.int64), np.array(sizes, np.uint32)
             cuts = np.searchsorted(block, np.arange(blocks + 1))
             out = []
             for b in np.flatnonzero(np.diff(cuts)):
                 part = slice(cuts[b], cuts[b + 1])
                 own, n = np.unique(owner[part], return_counts=True)
                 tail = h[part].view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
-                out.append((int(b), len(own).to_bytes(4, "little") + ids[own].tobytes() + code[own].tobytes() + n.astype(np.uint32).tobytes() + tail))
+                out.append((int(b), len(own).to_bytes(4, "little") + ids[own].tobytes() + many[own].tobytes() + n.astype(np.uint32).tobytes() + tail))
             return pa.RecordBatch.from_arrays([pa.array([b for b, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())], schema=schema)
 
         size = 0
@@ -212,32 +214,59 @@ def _columns(order, blocks: int):
     return run
 
 
+_EDGES = "u long, v long, nu long, nv long, c long, many boolean"
+
+
 def _product(table: pa.Table) -> pa.Table:
-    """Edges (u, v) from each column's smallest item to the others within the size bound, of one block."""
-    ids, codes, hashes = [], [], []
+    """Pairs (u, v) of one block, u the smaller: c shared columns of FEW items at most, or ``many``: u stands for a column."""
+    ids, sizes, hashes = [], [], []
     for x in table.column("cells"):
         raw = x.as_py()
         n = int.from_bytes(raw[:4], "little")
-        item, code, many = np.frombuffer(raw, np.int64, n, 4), np.frombuffer(raw, np.uint16, n, 4 + 8 * n), np.frombuffer(raw, np.uint32, n, 4 + 10 * n)
-        tail = np.frombuffer(raw, np.uint8, offset=4 + 14 * n).reshape(-1, 5)
+        item, size, cols = np.frombuffer(raw, np.int64, n, 4), np.frombuffer(raw, np.uint32, n, 4 + 8 * n), np.frombuffer(raw, np.uint32, n, 4 + 12 * n)
+        tail = np.frombuffer(raw, np.uint8, offset=4 + 16 * n).reshape(-1, 5)
         h = np.zeros((len(tail), 8), np.uint8)
         h[:, :5] = tail
-        ids.append(np.repeat(item, many))
-        codes.append(np.repeat(code, many))
+        ids.append(np.repeat(item, cols))
+        sizes.append(np.repeat(size, cols))
         hashes.append(h.view(np.uint64).ravel())
-    item, code, h = np.concatenate(ids), np.concatenate(codes).astype(np.int64), np.concatenate(hashes)
+    item, size, h = np.concatenate(ids), np.concatenate(sizes).astype(np.int64), np.concatenate(hashes)
     by = np.argsort(h, kind="stable")
-    item, code, h = item[by], code[by], h[by]
+    item, size, h = item[by], size[by], h[by]
     same = h[1:] == h[:-1]
-    many = np.concatenate([same, [False]]) | np.concatenate([[False], same])
-    item, code, h = item[many], code[many], h[many]
-    by = np.lexsort((item, code, h))
-    item, code, h = item[by], code[by], h[by]
-    first = np.ones(len(h), bool)
-    first[1:] = (h[1:] != h[:-1]) | (code[1:] - code[:-1] > _SIZE_GAP)
-    lead = item[np.flatnonzero(first)[np.cumsum(first) - 1]] if len(h) else item
-    pairs = np.unique(np.stack([lead, item], axis=1)[lead != item], axis=0)
-    return pa.table({"u": pairs[:, 0], "v": pairs[:, 1]})
+    shared = np.concatenate([same, [False]]) | np.concatenate([[False], same])
+    item, size, h = item[shared], size[shared], h[shared]
+    by = np.lexsort((item, size, h))
+    item, size, h = item[by], size[by], h[by]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (item[1:] != item[:-1]) | (size[1:] != size[:-1])
+    item, size, h = item[new], size[new], h[new]
+    first = np.ones(len(h), bool)  # a column ends where the next size is out of bounds
+    first[1:] = (h[1:] != h[:-1]) | (100 * size[:-1] < PERCENT * size[1:])
+    at = np.flatnonzero(first)
+    width = np.diff(np.append(at, len(h)))
+    lead, wide = np.repeat(at, width), np.repeat(width, width)
+    every = np.arange(len(h))
+    star = (wide > FEW) & (every != lead)
+    left, right, many = [lead[star]], [every[star]], [np.ones(star.sum(), bool)]
+    for gap in range(1, FEW):
+        ok = every[: max(0, len(h) - gap)]
+        ok = ok[(lead[ok] == lead[ok + gap]) & (wide[ok] <= FEW)]
+        left, right, many = [*left, ok], [*right, ok + gap], [*many, np.zeros(len(ok), bool)]
+    a, b, big = np.concatenate(left), np.concatenate(right), np.concatenate(many)
+    pairs, c = np.unique(np.stack([item[a], item[b], size[a], size[b], big], axis=1), axis=0, return_counts=True)
+    return pa.table({"u": pairs[:, 0], "v": pairs[:, 1], "nu": pairs[:, 2], "nv": pairs[:, 3], "c": c.astype(np.int64), "many": pairs[:, 4].astype(bool)})
+
+
+def candidates(products: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(u, v) of pairs that may link: those of wide columns, and those whose overlap within the prefixes is large enough.
+
+    Of a linked pair's overlap o >= t/(1+t) * (nu + nv), the first o - ceil(t * max) + 1 columns lie in both prefixes.
+    """
+    pairs = products.groupBy("u", "v", "nu", "nv").agg(F.sum(F.when(~F.col("many"), F.col("c")).otherwise(0)).alias("c"), F.max("many").alias("many"))
+    overlap = F.ceil(F.lit(percent) * (F.col("nu") + F.col("nv")) / (100 + percent))
+    least = overlap - F.ceil(F.lit(percent) * F.greatest("nu", "nv") / 100) + 1
+    return pairs.where(F.col("many") | (F.col("c") >= least)).select("u", "v")
 
 
 def links_within(sets: list[np.ndarray], left: int | None = None, percent: int = PERCENT) -> list[tuple[int, int]]:
@@ -291,6 +320,7 @@ def links_within(sets: list[np.ndarray], left: int | None = None, percent: int =
 def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links (u, v: items) of tiles that arrive sorted by (root, i, j, side)."""
     key, items, sets, left = None, [], [], 0
+    unpack = zstandard.ZstdDecompressor().decompress
 
     def close() -> pa.RecordBatch | None:
         pairs = links_within(sets, None if key[1] == key[2] else left) if len(sets) > 1 and (key[1] == key[2] or 0 < left < len(sets)) else []
@@ -304,7 +334,7 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if key is not None and (out := close()) is not None:
                     yield out
                 key, items, sets, left = (root, i, j), [], [], 0
-            s = shingles(text)
+            s = shingle_bytes(unpack(text))
             if item_of(s) == item and (not items or items[-1] != item):
                 items.append(item)
                 sets.append(s)
@@ -331,16 +361,16 @@ def _solve(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Data
     wide = max(blocks, total // 8_000_000)
     sent = spark.sparkContext.broadcast(order)
     cells = rows.select("text").mapInArrow(_columns(sent, wide), "block int, cells binary")
-    edges = written(cells.groupBy("block").applyInArrow(_product, "u long, v long"))
-    cluster = components(edges.distinct())
-    cluster = cluster.union(cluster.select(F.col("root").alias("u"), "root").distinct())
-    sizes = cluster.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("t"))
-    cluster = cluster.join(sizes, "root").select(F.col("u").alias("short"), "root", "t")
-    # an item's first 8 bytes name it in clusters; where two items share them, both join the cluster and are compared
+    pairs = candidates(written(cells.groupBy("block").applyInArrow(_product, _EDGES)))
+    group = pairs.union(pairs.select("u", F.col("u").alias("v"))).distinct()
+    sizes = group.groupBy("u").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("t"))
+    group = group.join(sizes, "u").select(F.col("v").alias("short"), F.col("u").alias("root"), "t")
+    # an item's first 8 bytes name it in groups; where two items share them, both are in the group and are compared
     items = own.where("n > 0").groupBy("item").agg(F.min("doc_id").alias("low"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rk")).alias("first"))
     named = items.select("item", "first.rk").mapInArrow(_short_names, "item binary, rk long, short long")
-    members = written(named.join(cluster, "short").select("item", "rk", "root", "t"))
-    tiles = members.join(rows.select("rk", "text"), "rk").withColumn("k", F.pmod(F.xxhash64("item"), F.col("t")).cast("int"))
+    members = written(named.join(group, "short").select("item", "rk", "root", "t"))
+    texts = rows.select("rk", "text").mapInArrow(_members_only(spark.sparkContext.broadcast(member_filter(members))), "rk long, text binary")
+    tiles = members.join(texts, "rk").withColumn("k", F.pmod(F.xxhash64("item"), F.col("t")).cast("int"))
     tiles = tiles.select("root", "item", "text", "k", F.explode(F.sequence(F.lit(0), F.col("t") - 1)).alias("other"))
     tiles = tiles.select("root", F.least("k", "other").alias("i"), F.greatest("k", "other").alias("j"), (F.col("k") > F.col("other")).cast("int").alias("side"), "item", "text")
     tiles = tiles.repartition(blocks, "root", "i", "j").sortWithinPartitions("root", "i", "j", "side", "item")
@@ -351,6 +381,29 @@ def _solve(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Data
     return own, found.join(least, "root").select("item", "component_id", F.col("keep.rk").alias("keep"))
 
 
+def member_filter(members: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
+    """A bitmap of the members' keys; its size is fixed, so with very many members it lets more texts through."""
+    words = members.groupBy(F.expr(f"shiftright(pmod(rk, {bits}), 6)").alias("w")).agg(F.expr(f"bit_or(shiftleft(1L, cast(pmod(rk, {bits}) & 63 as int)))").alias("b")).toArrow()
+    out = np.zeros(bits // 64, np.int64)
+    out[words.column("w").to_numpy()] = words.column("b").to_numpy()
+    return out.view(np.uint64)
+
+
+def _members_only(sent):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            rk = batch.column("rk").to_numpy()
+            bit = np.mod(rk, FILTER_BITS)
+            at = np.flatnonzero(sent.value[bit >> 6] >> (bit & 63).astype(np.uint64) & np.uint64(1))
+            for k in range(0, len(at), 256):
+                part = at[k : k + 256]
+                texts = [pack((x or "").encode("utf-8", "surrogatepass")) for x in batch.column("text").take(pa.array(part)).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(rk[part]), pa.array(texts, pa.binary())], names=["rk", "text"])
+
+    return run
+
+
 def _short_names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         item = batch.column(0)
