@@ -16,6 +16,7 @@ document starts, then the levels' bytes.
 from __future__ import annotations
 
 import functools
+import itertools
 import re
 import struct
 import zlib
@@ -34,8 +35,8 @@ MAGIC, VERSION, RANK = b"LDAC", 1, 512
 END_ID = 0
 #: A segment is closed at this many ids (a longer document is a segment of its own).
 SEGMENT_IDS = 1 << 20
-#: Entries of a worker's table of encoded pieces (about 80 MB); the table starts anew when full.
-PIECES = 400_000
+#: Entries of a worker's table of encoded pieces (about 200 MB); the table starts anew when full.
+PIECES = 1_000_000
 #: Pieces encoded in one string: long strings are slow to align.
 JOINED = 64
 _SHIFTS = struct.Struct("<IQQQQ")
@@ -71,48 +72,40 @@ class Encoder:
     def _whole(self, text: str) -> bytes:
         return np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
 
-    def _learn(self, missing: list[str]) -> None:
-        """Encode new pieces, a few joined in one text, and cut the ids at the pieces' byte lengths.
+    def _learn(self, missing: set[str]) -> None:
+        """Encode new pieces (each after a space), a few joined in one text, and cut the ids at the pieces' byte lengths.
 
-        Letters and a mark after them are different pre-tokens, so " word," is looked up as " word" and ",".
+        Letters and a mark after them are different pre-tokens, so "word," is looked up as "word" and ",".
         """
-        marked = [p for p in missing if p[-1] in self.marks and p[1:-1].isalpha()]
-        whole = set(missing).difference(marked).union(p[:-1] for p in marked)
-        whole = [p for p in whole if p not in self.pieces]
+        marks, table = self.marks, self.pieces
+        marked = [p for p in missing if p[-1] in marks and p[:-1].isalpha()]
+        whole = list(missing.difference(marked).union([p[:-1] for p in marked]).difference(table))
         parts = [whole[k : k + JOINED] for k in range(0, len(whole), JOINED)]
-        for part, done in zip(parts, self.tok.encode_batch_fast(["".join(p) for p in parts], add_special_tokens=False)):
+        for part, done in zip(parts, self.tok.encode_batch_fast([" " + " ".join(p) for p in parts], add_special_tokens=False)):
             ids = np.array(done.ids, "<u4")
-            cuts = np.searchsorted(np.cumsum(self.n_bytes[ids]), np.cumsum([len(p.encode()) for p in part])) + 1
+            cuts = np.searchsorted(np.cumsum(self.n_bytes[ids]), np.cumsum([len(p.encode()) + 1 for p in part])) + 1
             raw, at = ids.tobytes(), 0
-            for p, cut in zip(part, cuts.tolist()):
-                self.pieces[p] = raw[4 * at : 4 * cut]
+            for p, cut in zip(part, (4 * cuts).tolist()):
+                table[p] = raw[at:cut]
                 at = cut
         for p in marked:
-            self.pieces[p] = self.pieces[p[:-1]] + self.marks[p[-1]]
+            table[p] = table[p[:-1]] + marks[p[-1]]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        split: list[list[str] | None] = []
-        missing: set[str] = set()
-        for text in texts:
-            if self.odd.search(text):
-                split.append(None)
-                continue
-            pieces = text.split(" ")
-            split.append(pieces)
-            missing.update(pieces[1:])
+        split = [None if self.odd.search(t) else t.split(" ") for t in texts]
+        firsts = [p[0] if p else t for t, p in zip(texts, split)]  # an odd text is its own first piece
+        heads = [np.array(x.ids, "<u4").tobytes() for x in self.tok.encode_batch_fast(firsts, add_special_tokens=False)]
+        seen: set[str] = set()
+        for pieces in split:
+            if pieces:
+                pieces[0] = pieces[-1]
+                seen.update(pieces)
         if len(self.pieces) > PIECES:
             self.pieces.clear()
-        self._learn([p for p in map(" ".__add__, missing) if p not in self.pieces])
+        self._learn({p for p in seen.difference(self.pieces) if p})
         get = self.pieces.__getitem__
-        out = []
-        for text, pieces in zip(texts, split):
-            if pieces is None:
-                out.append(self._whole(text))
-            else:
-                first = self._whole(pieces[0]) if pieces[0] else b""
-                out.append(first + b"".join(map(get, map(" ".__add__, pieces[1:]))))
-        return out
+        return [head + b"".join(map(get, itertools.islice(pieces, 1, None))) if pieces and len(pieces) > 1 else head for head, pieces in zip(heads, split)]
 
 
 def level_widths(ids: np.ndarray, most: int = 4) -> list[int]:
