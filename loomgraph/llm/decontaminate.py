@@ -100,7 +100,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "documents"
     pieces = F.regexp_extract_all(F.col(text_col), F.lit(r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), F.lit(0))
     tail = F.regexp_extract(F.col(text_col), r"([\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*)\z", 1)
     (held,) = fresh(joined, "pieces")
-    joined = joined.withColumn(held, pieces)
+    joined = joined.withColumn(held, F.when(F.col(spans).isNotNull(), pieces))
     at = F.array_except(F.sequence(F.lit(0), F.size(held) - 1), _covered(F.col(spans)))  # rows with spans have pieces
     kept = F.transform(at, lambda i: F.get(F.col(held), i))
     cut = F.when(F.col(spans).isNull(), F.col(text_col)).otherwise(F.concat(F.array_join(kept, ""), tail))

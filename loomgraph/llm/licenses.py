@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, row_key, words
+from .common import row_key, words
 
 GRAM = 3
 #: Share of a template's words that a span must cover, diagonals apart that still merge, and length against the template.
@@ -83,7 +83,7 @@ def licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         F.collect_set(F.when(F.col("base"), F.col("label"))).alias("b"), F.collect_set("label").alias("l"), F.max("cover").alias("score"))
     none = F.array().cast("array<string>")
     names = lambda c: F.array_join(F.array_sort(F.coalesce(F.col(c), none)), ",")
-    n_words = F.coalesce(F.regexp_count(docs[text_col], F.lit(WORD.replace(r"\x3A-\x60", r"\x3A-\x40\x5B-\x60"))), F.lit(0)).cast("long")
+    n_words = F.size(words(docs[text_col])).cast("long")
     base = docs.select(docs[id_col], k1.alias("k1"), k2.alias("k2"), n_words.alias("n_words"))
     out = base.join(found, ["k1", "k2"], "left")
     return out.select(id_col, "n_words", F.coalesce("n_base", F.lit(0)).alias("n_base"), "first_word", "last_word", names("b").alias("base_labels"), names("l").alias("labels"), F.coalesce("score", F.lit(0.0)).alias("score"))

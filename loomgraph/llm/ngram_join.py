@@ -23,9 +23,9 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.components import components
 from ..session import ship
 from .common import fresh, tasks, written
-from .components import components
 
 WORDS, PERCENT = 5, 75
 #: At most so many frequent shingles are broadcast for the order (about 2 MB); any choice gives the same result.
