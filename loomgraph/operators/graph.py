@@ -139,7 +139,7 @@ def betweenness(nodes: DataFrame, edges: DataFrame, most_sources: int = 800, sam
                         share[v] += paths[v] / paths[w] * (1 + share[w])
                     if w != s:
                         total[w] += share[w]
-        yield pd.DataFrame({"id": list(total), "b": list(total.values())})
+        yield pd.DataFrame({"id": pd.Series(list(total), dtype=object), "b": pd.Series(list(total.values()), dtype=float)})
 
     parts = sources.repartition(16).mapInPandas(run, "id string, b double").groupBy("id").agg(F.sum("b").alias("b"))
     norm = scale / max(1, (n - 1) * (n - 2))
@@ -184,7 +184,7 @@ def _cut_nodes(pdf: pd.DataFrame) -> pd.DataFrame:
                         cut.add(up)
         if children > 1:
             cut.add(root)
-    return pd.DataFrame({"id": sorted(cut)})
+    return pd.DataFrame({"id": pd.Series(sorted(cut), dtype=object)})
 
 
 def articulation_points(nodes: DataFrame, edges: DataFrame) -> DataFrame:
