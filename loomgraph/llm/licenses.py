@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import row_key, words
+from .common import row_key, words, written
 
 GRAM = 3
 #: Share of a template's words that a span must cover, diagonals apart that still merge, and length against the template.
@@ -61,6 +61,7 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     votes = grams.join(side, (F.col("h") == F.col("t_hash")) & (F.slice(F.col("w"), F.col("at") + 1, F.lit(GRAM)) == F.col("t_words")))
     votes = votes.select("k1", "k2", "t_id", "t_label", "t_base", "t_size", "t_at", "at", (F.col("at") - F.col("t_at")).alias("diagonal")).distinct()
     lines = votes.groupBy("k1", "k2", "t_id", "t_label", "t_base", "t_size", "diagonal").agg(F.collect_set("t_at").alias("hits"), F.min("at").alias("at"), (F.max("at") + GRAM).alias("end"))
+    lines = written(lines)  # both uses below would scan all texts
     whole = lines.where("t_base").where(F.size("hits") == F.col("t_size") - (GRAM - 1)).select("k1", "k2", F.col("t_label").alias("label"), F.lit(True).alias("base"), "at", F.col("t_size").alias("words"), F.lit(1.0).alias("cover"))
     by = W.partitionBy("k1", "k2", "t_id").orderBy("diagonal")
     apart = (F.col("diagonal") - F.lag("diagonal").over(by) > NEAR).cast("int")
