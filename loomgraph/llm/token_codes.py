@@ -35,8 +35,8 @@ MAGIC, VERSION, RANK = b"LDAC", 1, 512
 END_ID = 0
 #: A segment is closed at this many ids (a longer document is a segment of its own).
 SEGMENT_IDS = 1 << 20
-#: Entries of a worker's table of encoded pieces (about 200 MB); the table starts anew when full.
-PIECES = 1_000_000
+#: Entries of a worker's table of encoded pieces (about 80 MB); the table starts anew when full.
+PIECES = 400_000
 #: Pieces encoded in one string: long strings are slow to align.
 JOINED = 64
 _SHIFTS = struct.Struct("<IQQQQ")
