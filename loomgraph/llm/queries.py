@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from . import decontaminate, langid, licenses, media, mixing, ngram_join, secrets_scan, token_codes, urlfilter
+from . import decontaminate, langid, licenses, media, mixing, ngram_join, secrets_scan, token_codes, token_counts, urlfilter
 from .common import table
 
 
@@ -28,6 +27,10 @@ def op4_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_codes.read_codes(token_codes.write_codes(table(spark, sf_dir, "documents"), tokenizer_path()))
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.suffix_sums(token_counts.histogram(table(spark, sf_dir, "documents"), tokenizer_path()))
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets_scan.secrets(table(spark, sf_dir, "documents"))
 
@@ -53,7 +56,7 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
 
 
-_ALL = (op1_decontaminate, op3_mpeg_audio, op4_token_codes, op5_secret_scan, op6_language_id, op7_license_scan, op8_mixing, op9_url_filter, op10_ngram_jaccard)
+_ALL = (op1_decontaminate, op2_token_counts, op3_mpeg_audio, op4_token_codes, op5_secret_scan, op6_language_id, op7_license_scan, op8_mixing, op9_url_filter, op10_ngram_jaccard)
 QUERIES = {f.__name__: f for f in _ALL}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
