@@ -20,7 +20,7 @@ GRAM = 3
 #: Share of a template's words that a span must cover, diagonals apart that still merge, and length against the template.
 LEAST_COVER, NEAR, LONGEST = 0.7, 3, 1.5
 # Base phrases and labels.
-PHRASES = [("mit", "the mit license"), ("apache-2", "apache license version 2"), ("cc-by-nc", "cc by nc")]
+PHRASES = [("mit", "under the mit license"), ("apache-2", "apache license version 2"), ("cc-by-nc", "cc by nc")]
 # Opening sentences and notices of public licenses.
 TEMPLATES = [
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
