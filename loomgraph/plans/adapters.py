@@ -40,11 +40,9 @@ def commerce_nodes(spark: SparkSession, d: str) -> DataFrame:
     return both.join(F.broadcast(place), F.col("k") == F.col("n_nationkey")).select("id", "name", "kind", "bal", F.col("r_name").alias("module"), F.concat_ws("/", "r_name", "n_name").alias("file"))
 
 
-def commerce_edges(spark: SparkSession, d: str, thin: bool = True) -> DataFrame:
-    """Distinct customer -> supplier; thin: first lines of early orders."""
+def commerce_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Distinct customer -> supplier over all orders and lines."""
     o, li = load(spark, d, "orders"), load(spark, d, "lineitem")
-    if thin:
-        o, li = o.where("o_orderdate < timestamp '1996-01-01'"), li.where("l_linenumber = 1")
     return li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(F.concat(F.lit("c"), "o_custkey").alias("src"), F.concat(F.lit("s"), "l_suppkey").alias("dst")).distinct()
 
 
