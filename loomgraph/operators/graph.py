@@ -86,15 +86,23 @@ def shortest_path(edges: DataFrame, source: str, target: str, most: int = 30) ->
     return frontier.limit(0).select(F.lit(0).alias("hops"), "path")
 
 
-def cycles(edges: DataFrame, longest: int = 8) -> DataFrame:
-    """(length, path) of simple directed cycles up to ``longest``; each starts at its smallest node, so appears once."""
+def cycles(edges: DataFrame, longest: int = 8, enough: int | None = None) -> DataFrame:
+    """(length, path) of simple directed cycles up to ``longest``; each starts at its smallest node, so appears once.
+
+    With ``enough``, no length is begun once that many shorter cycles are found, so the first ``enough`` by length are whole.
+    """
     links = written(edges.select("src", "dst").distinct())
     path = links.where("src < dst").select(F.col("src").alias("first"), F.col("dst").alias("last"), F.array("src", "dst").alias("nodes"))
-    found = None
+    found, n = None, 0
     for length in range(2, longest + 1):
         step = path.join(links, path["last"] == links["src"])
         closed = step.where(F.col("dst") == F.col("first")).select(F.lit(length).alias("length"), F.concat_ws(">", "nodes").alias("path"))
+        if enough is not None:
+            closed = written(closed)
+            n += closed.count()
         found = closed if found is None else found.union(closed)
+        if enough is not None and n >= enough:
+            break
         if length < longest:
             more = step.where((F.col("dst") > F.col("first")) & ~F.array_contains("nodes", F.col("dst")))
             path = written(more.select("first", F.col("dst").alias("last"), F.concat("nodes", F.array("dst")).alias("nodes")))

@@ -27,11 +27,6 @@ def event_edges(spark: SparkSession, d: str) -> DataFrame:
     return step.where("dst is not null and src <> dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("w"))
 
 
-def event_edges_top2(spark: SparkSession, d: str) -> DataFrame:
-    by = W.partitionBy("src").orderBy(F.desc("w"), "dst")
-    return event_edges(spark, d).withColumn("r", F.row_number().over(by)).where("r <= 2").drop("r")
-
-
 def commerce_nodes(spark: SparkSession, d: str) -> DataFrame:
     """Suppliers and customers as symbols; nation is their file, region their module."""
     place = load(spark, d, "nation").join(F.broadcast(load(spark, d, "region")), F.col("n_regionkey") == F.col("r_regionkey"))  # 25 and 5 rows

@@ -68,7 +68,7 @@ def composite_god_nodes(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def betweenness(spark: SparkSession, d: str) -> DataFrame:
-    return G.betweenness(A.event_nodes(spark, d), A.event_edges_top2(spark, d))
+    return G.betweenness(A.event_nodes(spark, d), A.event_edges(spark, d))
 
 
 @query()
@@ -78,7 +78,7 @@ def articulation_points(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def communities(spark: SparkSession, d: str) -> DataFrame:
-    return G.communities(A.event_nodes(spark, d), A.event_edges_top2(spark, d))
+    return G.communities(A.event_nodes(spark, d), A.event_edges(spark, d))
 
 
 TOP = with_("ev", "enodes", "eedges", "top2", recursive=True)
@@ -86,12 +86,12 @@ TOP = with_("ev", "enodes", "eedges", "top2", recursive=True)
 
 @query(TOP + ", p(first, last, nodes) AS (SELECT src, dst, [src, dst] FROM top2 WHERE src < dst UNION ALL SELECT first, dst, list_append(nodes, dst) FROM p JOIN top2 ON src = last WHERE len(nodes) < 8 AND dst > first AND NOT list_contains(nodes, dst)) SELECT len(nodes)::INT AS length, array_to_string(nodes, '>') AS path FROM p JOIN top2 ON src = last AND dst = first ORDER BY length, path LIMIT 25")
 def simple_cycles_bounded(spark: SparkSession, d: str) -> DataFrame:
-    return G.cycles(A.event_edges_top2(spark, d)).orderBy("length", "path").limit(25)
+    return G.cycles(A.event_edges(spark, d), enough=25).orderBy("length", "path").limit(25)
 
 
 @query(TOP + ", c(id, r) AS (SELECT id, id FROM enodes UNION SELECT t.dst, c.r FROM c JOIN (SELECT src, dst FROM top2 UNION SELECT dst, src FROM top2) t ON t.src = c.id) SELECT id, min(r) AS component FROM c GROUP BY id")
 def connected_components(spark: SparkSession, d: str) -> DataFrame:
-    return G.connected(A.event_nodes(spark, d), A.event_edges_top2(spark, d))
+    return G.connected(A.event_nodes(spark, d), A.event_edges(spark, d))
 
 
 _FIRST = "(SELECT min(id) FROM enodes)"
@@ -103,18 +103,18 @@ def _seed(nodes: DataFrame) -> DataFrame:
 
 @query(TOP + f", c(id) AS (SELECT {_FIRST} UNION SELECT dst FROM c JOIN top2 ON src = id) SELECT id FROM c")
 def downstream_closure(spark: SparkSession, d: str) -> DataFrame:
-    return G.closure(A.event_edges_top2(spark, d), _seed(A.event_nodes(spark, d)))
+    return G.closure(A.event_edges(spark, d), _seed(A.event_nodes(spark, d)))
 
 
 @query(TOP + f", c(id) AS (SELECT {_FIRST} UNION SELECT src FROM c JOIN top2 ON dst = id) SELECT id FROM c")
 def upstream_closure(spark: SparkSession, d: str) -> DataFrame:
-    back = A.event_edges_top2(spark, d).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    back = A.event_edges(spark, d).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     return G.closure(back, _seed(A.event_nodes(spark, d)))
 
 
 @query(TOP + f", c(id) AS (SELECT {_FIRST} UNION SELECT dst FROM c JOIN top2 ON src = id) SELECT count(*) - 1 AS reach, CASE WHEN count(*) - 1 > 30 THEN 'critical' WHEN count(*) - 1 > 10 THEN 'high' WHEN count(*) - 1 > 3 THEN 'medium' ELSE 'low' END AS risk FROM c")
 def impact_risk(spark: SparkSession, d: str) -> DataFrame:
-    reach = G.closure(A.event_edges_top2(spark, d), _seed(A.event_nodes(spark, d))).agg((F.count(F.lit(1)) - 1).alias("reach"))
+    reach = G.closure(A.event_edges(spark, d), _seed(A.event_nodes(spark, d))).agg((F.count(F.lit(1)) - 1).alias("reach"))
     return reach.select("reach", T.risk(F.col("reach"), F.lit(False)).alias("risk"))
 
 
@@ -136,25 +136,25 @@ def _seeds(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_bfs_sql(3) + " SELECT id, hop, parent FROM s3")
 def seeds_and_bfs_subgraph(spark: SparkSession, d: str) -> DataFrame:
-    return G.bfs(A.event_edges_top2(spark, d), _seeds(spark, d), 3)
+    return G.bfs(A.event_edges(spark, d), _seeds(spark, d), 3)
 
 
 @query(_bfs_sql(2) + " SELECT src, dst, w FROM top2 WHERE src IN (SELECT id FROM s2) AND dst IN (SELECT id FROM s2)")
 def induced_subgraph(spark: SparkSession, d: str) -> DataFrame:
-    edges = A.event_edges_top2(spark, d)
+    edges = A.event_edges(spark, d)
     return G.induced(edges, G.bfs(edges, _seeds(spark, d), 2)).select("src", "dst", "w")
 
 
 @query(_bfs_sql(2) + " SELECT row_number() OVER (ORDER BY hop, s2.id) AS step, s2.id, hop, parent, CASE WHEN parent IS NULL THEN 'ENTRY' WHEN split_part(s2.id, ':', 1) IN ('purchase', 'signup') THEN 'USES_DB' ELSE 'CALLS' END AS label FROM s2 ORDER BY hop, s2.id LIMIT 20")
 def execution_steps(spark: SparkSession, d: str) -> DataFrame:
-    found = G.bfs(A.event_edges_top2(spark, d), _seeds(spark, d), 2).orderBy("hop", "id").limit(20)
+    found = G.bfs(A.event_edges(spark, d), _seeds(spark, d), 2).orderBy("hop", "id").limit(20)
     label = F.when(F.col("parent").isNull(), "ENTRY").when(F.split("id", ":")[0].isin("purchase", "signup"), "USES_DB").otherwise("CALLS")
     return found.select(F.row_number().over(W.orderBy("hop", "id")).cast("long").alias("step"), "id", "hop", "parent", label.alias("label"))
 
 
 @query(_bfs_sql(3) + ", r AS (SELECT a.id, coalesce(d.id, c.id, b.id, a.id) AS root, a.hop AS depth FROM s3 a LEFT JOIN s3 b ON a.parent = b.id LEFT JOIN s3 c ON b.parent = c.id LEFT JOIN s3 d ON c.parent = d.id) SELECT id, root, depth FROM r")
 def branch_roots(spark: SparkSession, d: str) -> DataFrame:
-    return G.roots(G.bfs(A.event_edges_top2(spark, d), _seeds(spark, d), 3))
+    return G.roots(G.bfs(A.event_edges(spark, d), _seeds(spark, d), 3))
 
 
 @query(EV + " SELECT dst AS id, 'caller' AS side FROM eedges WHERE src = (SELECT min(id) FROM enodes) UNION ALL SELECT src, 'callee' FROM eedges WHERE dst = (SELECT min(id) FROM enodes)")

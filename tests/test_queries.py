@@ -62,6 +62,24 @@ def test_whole_commerce_graph(spark, sf, duck, name):
     same_rows(catalog.QUERIES[name](spark, sf), duck.sql(sql))
 
 
+@pytest.mark.parametrize("name", "branch_roots connected_components downstream_closure execution_steps impact_risk induced_subgraph seeds_and_bfs_subgraph simple_cycles_bounded upstream_closure".split())
+def test_whole_event_graph(spark, sf, duck, name):
+    """The registered SQL keeps two edges of each node in its CTE top2; here that CTE holds them all."""
+    sql = catalog.SQL[name].replace(A.CTE["top2"], "top2 AS (SELECT src, dst, w FROM eedges)")
+    assert "r <= 2" not in sql
+    same_rows(catalog.QUERIES[name](spark, sf), duck.sql(sql))
+
+
+def test_betweenness_and_communities_see_all_edges(spark, sf, monkeypatch):
+    seen = []
+    monkeypatch.setattr(G, "betweenness", lambda nodes, edges: seen.append(edges))
+    monkeypatch.setattr(G, "communities", lambda nodes, edges: seen.append(edges))
+    for name in ("betweenness", "communities"):
+        catalog.QUERIES[name](spark, sf)
+    want = {tuple(r) for r in A.event_edges(spark, sf).collect()}
+    assert len(want) == 983 and all({tuple(r) for r in e.collect()} == want for e in seen) and len(seen) == 2
+
+
 def test_commerce_edges_and_cut_nodes(spark, sf, duck):
     want = set(duck.sql(THIN).fetchall())
     assert len(want) == 1444 and {tuple(r) for r in A.commerce_edges(spark, sf).collect()} == want
