@@ -5,6 +5,7 @@ Loops write each round to the shared folder, so plans stay short and a lost exec
 
 from __future__ import annotations
 
+import itertools
 from collections import defaultdict, deque
 
 import pandas as pd
@@ -70,11 +71,11 @@ def connected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("id").join(found.withColumnRenamed("u", "id"), "id", "left").select("id", F.coalesce("root", "id").alias("component"))
 
 
-def shortest_path(edges: DataFrame, source: str, target: str, most: int = 30) -> DataFrame:
+def shortest_path(edges: DataFrame, source: str, target: str) -> DataFrame:
     """(hops, path) of the shortest directed path, the smallest of equals; empty where there is none."""
     spark = edges.sparkSession
     frontier = seen = spark.createDataFrame([(source, source)], "id string, path string")
-    for hop in range(most + 1):
+    for hop in itertools.count():
         hit = frontier.where(F.col("id") == target)
         if not hit.isEmpty():
             return hit.select(F.lit(hop).alias("hops"), "path")

@@ -120,7 +120,7 @@ def impact_risk(spark: SparkSession, d: str) -> DataFrame:
 
 @query(with_("ev", "enodes", "eedges", recursive=True) + ", p(id, hops, path) AS (SELECT 'click:1', 0, 'click:1' UNION ALL SELECT dst, hops + 1, path || '>' || dst FROM p JOIN eedges ON src = id WHERE hops < 3 AND id <> 'view:2' AND NOT list_contains(string_split(path, '>'), dst)) SELECT hops, path FROM p WHERE id = 'view:2' ORDER BY hops, path LIMIT 1")
 def shortest_path(spark: SparkSession, d: str) -> DataFrame:
-    return G.shortest_path(A.event_edges(spark, d), "click:1", "view:2", 3)
+    return G.shortest_path(A.event_edges(spark, d), "click:1", "view:2")
 
 
 def _bfs_sql(hops: int) -> str:

@@ -80,6 +80,15 @@ def test_betweenness_and_communities_see_all_edges(spark, sf, monkeypatch):
     assert len(want) == 983 and all({tuple(r) for r in e.collect()} == want for e in seen) and len(seen) == 2
 
 
+def test_shortest_path_without_limit(spark, sf, monkeypatch):
+    links = spark.createDataFrame([(f"n{i:02}", f"n{i + 1:02}") for i in range(33)], "src string, dst string")
+    assert tuple(G.shortest_path(links, "n00", "n33").first()) == (33, ">".join(f"n{i:02}" for i in range(34)))
+    assert G.shortest_path(links, "n33", "n00").count() == 0
+    chain = spark.createDataFrame([("click:1", "a"), ("a", "b"), ("b", "c"), ("c", "view:2")], "src string, dst string")
+    monkeypatch.setattr(A, "event_edges", lambda *_: chain)
+    assert tuple(catalog.QUERIES["shortest_path"](spark, sf).first()) == (4, "click:1>a>b>c>view:2")
+
+
 def test_commerce_edges_and_cut_nodes(spark, sf, duck):
     want = set(duck.sql(THIN).fetchall())
     assert len(want) == 1444 and {tuple(r) for r in A.commerce_edges(spark, sf).collect()} == want
