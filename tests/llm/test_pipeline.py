@@ -1,3 +1,6 @@
+import base64
+import random
+
 import corpus_pipeline
 from loomgraph.llm import common, decontaminate, langid, ngram_join, token_codes
 
@@ -25,6 +28,30 @@ def test_stages(spark, sf):
     assert len(last) == docs.count()
 
 
+def test_language_rejects_lettered_text(spark):
+    docs = common.table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text", "lang")
+    model = langid.fit(docs)
+    rng = random.Random(3)
+    noise = [base64.b64encode(rng.randbytes(300)).decode(), "".join(rng.choice("abcdefghijklmnopqrstuvwxyz  ") for _ in range(400)), "Это предложение написано на языке, которого нет в таблице."]
+    junk = spark.createDataFrame([(-1 - k, t, "en") for k, t in enumerate(noise)], docs.schema)
+    kept = {r["doc_id"] for r in langid.keep_identified(docs.union(junk), model).collect()}
+    lettered = {r["doc_id"] for r in docs.collect() if r["text"] and any(c.isalpha() for c in r["text"])}
+    assert kept == lettered
+    scores = {r["doc_id"]: r["score"] for r in langid.identify(junk, model).collect()}
+    assert len(scores) == 3 and all(0 <= s < langid.LEAST_SCORE for s in scores.values())
+
+
+def test_language_without_labels_keeps_all(spark):
+    docs = spark.createDataFrame([(1, "a clean text", None), (2, "another one", None)], "doc_id long, text string, lang string")
+    assert langid.keep_identified(docs, langid.fit(docs)).count() == 2
+
+
+def test_lost_duel_counts():
+    names = [("lang", x) for x in "abc"]
+    margin = {(names[0], names[1]): [2.0], (names[0], names[2]): [-0.5], (names[1], names[2]): [1.0]}  # each wins once
+    assert langid.Model._duel(names, margin, 0) == ("a", -0.5)
+
+
 def test_run_and_empty(spark, sf):
     got = corpus_pipeline.run(spark, sf)
     assert got.count() > 0 and got.columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
