@@ -46,6 +46,15 @@ def test_language_without_labels_keeps_all(spark):
     assert langid.keep_identified(docs, langid.fit(docs)).count() == 2
 
 
+def test_language_beyond_the_64th(spark):
+    rows = [(100 * k + j, " ".join([chr(0x4E00 + 40 * k + j % 3) + chr(0x4E20 + 40 * k)] * 8), f"x{k:02}") for k in range(66) for j in range(6 if k < 65 else 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs, per_language=4)
+    assert sum(model.by_family.values(), []) == [f"x{k:02}" for k in range(66)]
+    got = [r["lang_pred"] for r in langid.identify(docs.where("lang = 'x65'"), model).collect()]
+    assert got == ["x65"] * 5
+
+
 def test_lost_duel_counts():
     names = [("lang", x) for x in "abc"]
     margin = {(names[0], names[1]): [2.0], (names[0], names[2]): [-0.5], (names[1], names[2]): [1.0]}  # each wins once
