@@ -2,7 +2,7 @@
 
 A candidate is a run of key characters.  A window slides over it; counts of its
 characters change by one in and one out, and the entropy follows from a table of
-c*log2(c).  The class of the candidate (hex digits, or mixed letters and digits)
+c*log2(c).  The class of the candidate (hex digits, letters alone, or mixed)
 sets alphabet and threshold; windows over it merge into a span.  Allow-listed
 candidates (identifiers, numbers, plain words, repeated units) give no span.
 """
@@ -28,15 +28,16 @@ KINDS = ("assign", "access", "hex", "entropy")
 
 WINDOW = 20
 #: Bits a character that a window of a class must reach.
-THRESHOLDS = {"hex": 3.0, "mixed": 3.6}
+THRESHOLDS = {"hex": 3.0, "letters": 3.6, "mixed": 3.6}
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-#: Candidates that are no secrets: one case of letters with separators, numbers, UUIDs, a unit repeated, paths.
+#: Candidates that are no secrets: one case of letters with separators, numbers, UUIDs, a unit repeated, paths, CamelCase.
 ALLOW = [
     re.compile(r"(?:[A-Z]?[a-z]+|[A-Z]+)(?:[-_/+=]+(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+))*[-_/+=]*\Z"),
     re.compile(r"[0-9+/_=-]+\Z"),
     re.compile(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}\Z"),
     re.compile(r"(.{1,4})\1+.{0,3}\Z"),
-    re.compile(r"/?[A-Za-z]+(?:/[A-Za-z]+)*[0-9]{0,4}/?\Z"),
+    re.compile(r"(?![A-Za-z]+\Z)/?[A-Za-z]+(?:/[A-Za-z]+)*[0-9]{0,4}/?\Z"),
+    re.compile(r"(?:[a-z]{2,}|[A-Z]{2,5}(?=[A-Z][a-z]))?(?:[A-Z][a-z]{2,}|[A-Z]{2,5}(?=[A-Z][a-z]|\Z))+\Z"),
 ]
 _CLOG = [0.0, *(c * math.log2(c) for c in range(1, WINDOW + 1))]
 
@@ -45,7 +46,7 @@ def entropy_spans(candidate: str, window: int = WINDOW) -> list[tuple[int, int]]
     """Merged [start, end) of the windows whose entropy reaches the class's threshold."""
     if len(candidate) < window or any(a.match(candidate) for a in ALLOW):
         return []
-    kind = "hex" if re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", candidate) else "mixed"
+    kind = "hex" if re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", candidate) else "letters" if candidate.isalpha() else "mixed"
     least = window * (math.log2(window) - THRESHOLDS[kind])  # sum of c*log2(c) must not exceed this
     counts: dict[str, int] = {}
     total, out = 0.0, []
@@ -76,8 +77,7 @@ def scan(text: str) -> list[tuple[str, int, int]]:
         out += [("access", m.start(), m.end()) for m in ACCESS.finditer(text) if len(m[0]) >= 18]
     out += [("hex", m.start(), m.end()) for m in HEX.finditer(text)]
     for m in CANDIDATE.finditer(text):
-        if not m[0].isalpha():
-            out += [("entropy", m.start() + a, m.start() + b) for a, b in entropy_spans(m[0])]
+        out += [("entropy", m.start() + a, m.start() + b) for a, b in entropy_spans(m[0])]
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 

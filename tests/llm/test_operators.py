@@ -200,6 +200,13 @@ def test_entropy_windows():
     assert secrets_scan.scan("password: token: ABCDEFGHIJKLMN") == []
 
 
+def test_secrets_of_letters_alone():
+    key = "qZrTbKxWvNpLsHdMfGcJ"
+    assert secrets_scan.scan(f"see {key} here") == [("entropy", 4, 24)]
+    for name in ("getUserNameFromRequestBody", "AbstractSingletonProxyFactoryBean", "parseHTTPResponseHeaderFields", "x" * 30, "internationalizationofwords", "CONSTANTNAMEOFTHEPROGRAM"):
+        assert secrets_scan.scan(f"see {name} here") == []
+
+
 # --- 6: language
 
 
