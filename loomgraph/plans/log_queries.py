@@ -99,7 +99,7 @@ def last_three_turns(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT conv_id, string_agg(role || ': ' || left(text, 40), ' | ' ORDER BY turn) AS context FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations) WHERE r <= 2 GROUP BY conv_id")
 def prior_context_string(spark: SparkSession, d: str) -> DataFrame:
     two = G.top_per(A.load(spark, d, "conversations"), 2, ["conv_id"], F.desc("turn"))
-    parts = F.array_sort(F.collect_list(F.struct("turn", F.concat(F.col("role"), F.lit(": "), F.substring("text", 1, 40)).alias("s"))))
+    parts = F.array_sort(F.collect_list(F.struct("turn", F.concat(F.col("role"), F.lit(": "), F.when(F.col("role") == "assistant", F.substring("text", 1, 200)).otherwise(F.col("text"))).alias("s"))))
     return two.groupBy("conv_id").agg(F.array_join(F.transform(parts, lambda x: x["s"]), " | ").alias("context"))
 
 

@@ -89,6 +89,12 @@ def test_shortest_path_without_limit(spark, sf, monkeypatch):
     assert tuple(catalog.QUERIES["shortest_path"](spark, sf).first()) == (4, "click:1>a>b>c>view:2")
 
 
+def test_prior_context_limits(spark, sf, monkeypatch):
+    turns = spark.createDataFrame([("v", 0, "user", "old"), ("v", 1, "user", "q" * 300), ("v", 2, "assistant", "a" * 300)], "conv_id string, turn int, role string, text string")
+    monkeypatch.setattr(A, "load", lambda *_: turns)
+    assert catalog.QUERIES["prior_context_string"](spark, sf).first()["context"] == "user: " + "q" * 300 + " | assistant: " + "a" * 200
+
+
 def test_commerce_edges_and_cut_nodes(spark, sf, duck):
     want = set(duck.sql(THIN).fetchall())
     assert len(want) == 1444 and {tuple(r) for r in A.commerce_edges(spark, sf).collect()} == want
