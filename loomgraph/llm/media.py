@@ -110,8 +110,8 @@ def _text(raw: bytes) -> str:
     return raw[1:].decode(coding, "replace").rstrip("\0")
 
 
-def _tags(raw: bytes, out: Media) -> tuple[int, int]:
-    """Read ID3v2 at the start and ID3v1 at the end; returns where audio begins and ends."""
+def _tags(raw: bytes, out: Media, last: bool) -> tuple[int, int]:
+    """Read ID3v2 at the start and, if ``last``, ID3v1 at the end; returns where audio begins and ends."""
     begin, end = 0, len(raw)
     if raw[:3] == b"ID3" and len(raw) >= 10:
         begin = min(end, 10 + _syncsafe(raw[6:10]))
@@ -124,7 +124,7 @@ def _tags(raw: bytes, out: Media) -> tuple[int, int]:
                 key, _, value = _text(raw[at : at + size]).partition("\0") if name in ("TXXX", "TXX") else (name, "", _text(raw[at : at + size]))
                 out.tags[key] = value
             at += size
-    if end - begin >= 128 and raw[-128:-125] == b"TAG":
+    if last and end - begin >= 128 and raw[-128:-125] == b"TAG":
         end -= 128
         for name, a, b in (("title", 3, 33), ("artist", 33, 63), ("album", 63, 93), ("year", 93, 97)):
             if value := raw[end + a : end + b].rstrip(b"\0 ").decode("latin-1"):
@@ -150,9 +150,19 @@ def _table(raw: bytes, at: int, h: Header) -> dict[str, object]:
 
 
 def parse(raw: bytes) -> Media:
+    """Read a stream; the last 128 bytes are an ID3v1 tag if they look like one and no frame covers their beginning."""
+    if raw[-128:-125] == b"TAG":
+        out = _parse(raw, False)
+        p = out.offsets[-1] if out.offsets else 0
+        if out.offsets and p < len(raw) - 128 < p + header(raw[p : p + 4]).length:
+            return out
+    return _parse(raw, True)
+
+
+def _parse(raw: bytes, last: bool) -> Media:
     """Read a stream. Bytes that are no frame are skipped to the next header whose checksum and successor agree."""
     out = Media()
-    at, end = _tags(raw, out)
+    at, end = _tags(raw, out, last)
     kind: Header | None = None
 
     def frame(p: int) -> tuple[Header, bool] | None:

@@ -124,6 +124,15 @@ def test_media_damage():
     assert v.table == {"kind": "VBRI", "frames": 2, "bytes": 1000, "steps": [417]} and v.kbps == {128, 160} and v.samples == 2304 and v.hertz == 44100 and v.tags == {"title": "name"}
 
 
+def test_media_payload_like_a_tag():
+    data = b"a" * 505 + b"TAG" + b"b" * 60
+    raw = media.encode(data)
+    assert raw[-128:-125] == b"TAG" and media.payload(raw, media.parse(raw)) == media.padded(data)
+    tagged = media.encode(b"a" * 600) + b"TAG" + b"title".ljust(125, b"\0")
+    got = media.parse(tagged)
+    assert got.tags["title"] == "title" and media.payload(tagged, got) == media.padded(b"a" * 600)
+
+
 # --- 4: token codes
 
 
