@@ -16,14 +16,14 @@ document starts, then the levels' bytes.
 from __future__ import annotations
 
 import functools
-import itertools
-import re
+import json
 import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,10 +35,10 @@ MAGIC, VERSION, RANK = b"LDAC", 1, 512
 END_ID = 0
 #: A segment is closed at this many ids (a longer document is a segment of its own).
 SEGMENT_IDS = 1 << 20
-#: Entries of a worker's table of encoded pieces (about 80 MB); the table starts anew when full.
-PIECES = 400_000
-#: Pieces encoded in one string: long strings are slow to align.
-JOINED = 64
+#: Entries of a worker's table of encoded pieces (about 40 bytes each); the table starts anew when full.
+PIECES = 600_000
+#: Pieces encoded in one string, and bytes of text that are cut at a time (a longer text is a part of its own).
+JOINED, SLICE = 512, 4 << 20
 _SHIFTS = struct.Struct("<IQQQQ")
 
 
@@ -48,71 +48,176 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def _bytes(*chars: str | int) -> np.ndarray:
+    out = np.zeros(256, bool)
+    out[[c if isinstance(c, int) else ord(c) for c in chars]] = True
+    return out
+
+
+_SEEN = _bytes(*range(0x21, 0x7F))  # ASCII that can be seen
+_ALPHA = _bytes(*range(65, 91), *range(97, 123))
+_MARK = _SEEN & ~_ALPHA & ~_bytes(*range(48, 58), "'")  # an apostrophe may begin a contraction
+#: First bytes of characters of which none is white space (others may be; they are never cut at).
+_BEGINS = _SEEN | _bytes(*range(0xC3, 0xE0), *range(0xE4, 0xF5))
+
+
 class Encoder:
-    """Ids of whole texts, equal to ``Tokenizer.encode(text, add_special_tokens=False)``.
+    """Ids of whole texts, equal to ``Tokenizer.encode(text, add_special_tokens=False)``, for columns at a time.
 
-    A byte-level tokenizer's pre-tokens never cross a space that stands before a non-space, so each such piece is
-    encoded once and its ids are looked up afterwards.  Texts with other spacing, or with a special token's string, are
-    encoded as they stand.
+    A byte-level tokenizer's pre-tokens never reach over three kinds of places: before a space that something to see
+    follows, between a letter and a mark, and around a line end between two characters that can be seen. Texts are cut
+    there, equal pieces are found by a dictionary of the column, and each distinct piece is encoded once; a table keeps
+    the ids of earlier columns' pieces. Texts that hold a special token's string, and all texts of a tokenizer of another
+    kind, are encoded as they stand.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        vocab = self.tok.get_vocab(with_added_tokens=True)
-        self.n_bytes = np.zeros(max(vocab.values()) + 1, np.int64)
-        for token, i in vocab.items():
-            self.n_bytes[i] = len(token)
+        spec = json.loads(self.tok.to_str())
+        pre, line = spec["pre_tokenizer"] or {}, self._whole(["\n"])[0]
+        byte_level = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
+        self.cuttable = bool(byte_level and spec["normalizer"] is None and len(line) == 1)
+        self.line = line[0] if len(line) else 0
         self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.odd = re.compile("|".join([r" \s", r" \Z", *map(re.escape, self.added)]))
-        self.pieces: dict[str, bytes] = {}
-        self.marks = {m: self._whole(m) for m in ".,;:!?"}
-
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
-
-    def _learn(self, missing: set[str]) -> None:
-        """Encode new pieces (each after a space), a few joined in one text, and cut the ids at the pieces' byte lengths.
-
-        Letters and a mark after them are different pre-tokens, so "word," is looked up as "word" and ",".
-        """
-        marks, table = self.marks, self.pieces
-        marked = [p for p in missing if p[-1] in marks and p[:-1].isalpha()]
-        whole = list(missing.difference(marked).union([p[:-1] for p in marked]).difference(table))
-        parts = [whole[k : k + JOINED] for k in range(0, len(whole), JOINED)]
-        for part, done in zip(parts, self.tok.encode_batch_fast([" " + " ".join(p) for p in parts], add_special_tokens=False)):
-            ids = np.array(done.ids, "<u4")
-            cuts = np.searchsorted(np.cumsum(self.n_bytes[ids]), np.cumsum([len(p.encode()) + 1 for p in part])) + 1
-            raw, at = ids.tobytes(), 0
-            for p, cut in zip(part, (4 * cuts).tolist()):
-                table[p] = raw[at:cut]
-                at = cut
-        for p in marked:
-            table[p] = table[p[:-1]] + marks[p[-1]]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        split = [None if self.odd.search(t) else t.split(" ") for t in texts]
-        firsts = [p[0] if p else t for t, p in zip(texts, split)]  # an odd text is its own first piece
-        heads = [np.array(x.ids, "<u4").tobytes() for x in self.tok.encode_batch_fast(firsts, add_special_tokens=False)]
-        seen: set[str] = set()
-        for pieces in split:
-            if pieces:
-                pieces[0] = pieces[-1]
-                seen.update(pieces)
-        if len(self.pieces) > PIECES:
-            self.pieces.clear()
-        self._learn({p for p in seen.difference(self.pieces) if p})
-        get = self.pieces.__getitem__
-        return [head + b"".join(map(get, itertools.islice(pieces, 1, None))) if pieces and len(pieces) > 1 else head for head, pieces in zip(heads, split)]
+        self._reset()
+
+    def _reset(self) -> None:
+        self.known = pa.array([], pa.string())
+        self.flat, self.at = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def _whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, np.uint32) for x in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _encoded(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids and count of ids of distinct pieces: those without white space inside in joined lines, others alone."""
+        joins = pc.match_substring_regex(pieces, r"^ ?[^\s\p{Z}\p{C}]+$").to_numpy(zero_copy_only=False)
+        names, sizes = pieces.to_pylist(), np.zeros(len(pieces), np.int64)
+        lines, rest = np.flatnonzero(joins), np.flatnonzero(~joins).tolist()
+        parts: dict[int, np.ndarray] = {}  # by the first piece's place
+        groups = [lines[k : k + JOINED] for k in range(0, len(lines), JOINED)]
+        for group, ids in zip(groups, self._whole(["\n".join([names[i] for i in g]) + "\n" for g in groups])):
+            ends = np.flatnonzero(ids == self.line)
+            if len(ends) != len(group):
+                rest += group.tolist()
+                continue
+            sizes[group] = np.diff(ends, prepend=-1) - 1
+            parts[int(group[0])] = ids[ids != self.line]
+        order = list(parts)
+        for i, ids in zip(rest, self._whole([names[i] for i in rest])):
+            sizes[i], parts[i] = len(ids), ids
+        ids = np.concatenate([*parts.values(), np.zeros(0, np.uint32)])
+        placed = np.concatenate([*[lines[k : k + JOINED] for k in np.searchsorted(lines, order).tolist()], np.array(rest, np.int64)]).astype(np.int64)
+        starts = np.zeros(len(pieces), np.int64)
+        starts[placed] = np.cumsum(sizes[placed]) - sizes[placed]
+        return ids[_ranges(starts, sizes)], sizes
+
+    def _places(self, distinct: pa.Array) -> np.ndarray:
+        """Places of these pieces in the table, which learns the new ones; it starts anew when it is full."""
+        if len(self.known) > PIECES:
+            self._reset()
+        at = pc.index_in(distinct, value_set=self.known)
+        new = distinct.filter(pc.is_null(at))
+        if len(new):
+            ids, sizes = self._encoded(new)
+            at = at.to_numpy(zero_copy_only=False)
+            at[np.isnan(at)] = np.arange(len(self.known), len(self.known) + len(new))
+            self.known = pa.concat_arrays([self.known, new])
+            self.flat = np.concatenate([self.flat, ids])
+            self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(sizes)])
+            return at.astype(np.int64)
+        return at.to_numpy().astype(np.int64)
+
+    def _cut(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The pieces' places in the table, text after text, and the count of pieces before each text and after all."""
+        size = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+        ends = np.frombuffer(texts.buffers()[1], size, len(texts) + 1, texts.offset * np.dtype(size).itemsize)
+        whole = texts.buffers()[2]
+        data = np.frombuffer(whole, np.uint8)[ends[0] : ends[-1]] if whole is not None else np.zeros(0, np.uint8)
+        ends = (ends - ends[0]).astype(np.int64)
+        if not len(data):
+            return np.zeros(0, np.int64), np.zeros(len(texts) + 1, np.int64)
+        letter = _ALPHA[data]  # ASCII, and what follows the byte C3 but for two marks
+        letter[1:] |= (data[:-1] == 0xC3) & (data[1:] != 0x97) & (data[1:] != 0xB7)
+        begins, seen = _BEGINS[data], letter | _SEEN[data]
+        cut = np.zeros(len(data), bool)
+        cut[:-1] = (data[:-1] == 32) & begins[1:]
+        cut[ends[1:][np.diff(ends) > 0] - 1] = False  # what follows is the next text's
+        cut[1:] |= letter[:-1] & _MARK[data[1:]]
+        line = np.flatnonzero(data == 10)
+        line = line[(line > 0) & (line < len(data) - 1)]
+        line = line[seen[line - 1] & begins[line + 1]]
+        cut[line] = cut[line + 1] = True
+        first = ends[:-1][np.diff(ends) > 0]
+        cut[first] = True
+        at = np.flatnonzero(cut)
+        pieces = pa.Array.from_buffers(pa.string(), len(at), [None, pa.py_buffer(np.append(at, len(data)).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
+        coded = pieces.dictionary_encode()
+        return self._places(coded.dictionary)[coded.indices.to_numpy()], np.append(np.searchsorted(at, ends[:-1]), len(at))
+
+    def _sliced(self, texts: pa.Array) -> Iterator[tuple[pa.Array, bool]]:
+        """The column in parts of about SLICE bytes, and whether a part's texts may be cut."""
+        texts = pc.fill_null(texts, "")
+        odd = np.full(len(texts), not self.cuttable)
+        for name in self.added:
+            odd |= pc.match_substring(texts, name).to_numpy(zero_copy_only=False)
+        size = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+        a = 0
+        while a < len(texts):
+            if odd[a]:
+                yield texts.slice(a, 1), False
+                a += 1
+                continue
+            far = int(np.searchsorted(size, (size[a - 1] if a else 0) + SLICE, "right"))
+            later = np.flatnonzero(odd[a : max(far, a + 1)])
+            b = a + int(later[0]) if len(later) else max(far, a + 1)
+            yield texts.slice(a, b - a), True
+            a = b
+
+    def encode(self, texts: pa.Array, end: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Flat ids and each text's count of ids, of consecutive parts of the column; ``end`` is added to each text."""
+        for part, whole in self._sliced(texts):
+            tail = [] if end is None else [end]
+            if not whole:
+                ids = np.append(self._whole(part.to_pylist())[0], np.array(tail, np.uint32)).astype(np.uint32)
+                yield ids, np.array([len(ids)])
+                continue
+            at, first = self._cut(part)
+            start, size = self.at[at], self.at[at + 1] - self.at[at]
+            flat = self.flat
+            if tail:  # one more piece at each text's end
+                flat = np.append(flat, np.uint32(end))
+                start, size = np.insert(start, first[1:], len(flat) - 1), np.insert(size, first[1:], 1)
+                first = first + np.arange(len(first))
+            before = np.concatenate([[0], np.cumsum(size)])
+            yield flat[_ranges(start, size)], np.diff(before[first])
+
+    def lengths(self, texts: pa.Array) -> np.ndarray:
+        """Each text's count of ids."""
+        out = [np.zeros(0, np.int64)]
+        for part, whole in self._sliced(texts):
+            if whole:
+                at, first = self._cut(part)
+                before = np.concatenate([[0], np.cumsum(self.at[at + 1] - self.at[at])])
+                out.append(np.diff(before[first]))
+            else:
+                out.append(np.array([len(self._whole(part.to_pylist())[0])]))
+        return np.concatenate(out)
+
+
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of every start, as many as its size, one after another."""
+    total = np.cumsum(sizes)
+    n = int(total[-1]) if len(total) else 0
+    return np.repeat(starts - (total - sizes), sizes) + np.arange(n)
 
 
 def level_widths(ids: np.ndarray, most: int = 4) -> list[int]:
     """The level widths that take the fewest bits for these ids, by dynamic programming over bit lengths."""
     bits = np.frexp(ids.astype(np.float64))[1]
     top = max(1, int(bits.max()) if len(bits) else 1)
-    over = [int((bits > b).sum()) for b in range(top + 1)]
+    over = (len(ids) - np.cumsum(np.bincount(bits, minlength=top + 1))).tolist()  # ids of more than b bits
     over[0] = len(ids)
     best: dict[tuple[int, int], tuple[float, list[int]]] = {}
 
@@ -138,22 +243,24 @@ def _rank_directory(bitmap: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(ones)[:-1]]).astype("<u8") if len(ones) else np.zeros(0, "<u8")
 
 
-def pack(doc_ids: list[int], ids_of: list[bytes]) -> bytes:
-    """One segment of these documents' ids."""
-    ids = np.frombuffer(b"".join(ids_of), "<u4")
-    starts = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids_of])[:-1]]).astype("<u8") if ids_of else np.zeros(0, "<u8")
+def pack(doc_ids: list[int], ids: np.ndarray, sizes: np.ndarray) -> bytes:
+    """One segment of these documents' ids, one document's after another's."""
+    starts = (np.cumsum(sizes) - sizes).astype("<u8")
     widths = level_widths(ids)
     fixed = 24 + _SHIFTS.size * len(widths)
     body, at, table, rest = [], fixed + 16 * len(doc_ids), [], ids
     for k, width in enumerate(widths):
-        planes = b"".join(np.packbits(((rest >> j) & 1).astype(np.uint8), bitorder="little").tobytes() for j in range(width))
+        kind = np.uint8 if width <= 8 else np.uint16 if width <= 16 else np.uint32
+        chunk = (rest & np.uint32((1 << width) - 1)).astype(kind)
+        planes = b"".join(np.packbits(chunk & kind(1 << j) != 0, bitorder="little").tobytes() for j in range(width))
         bitmap = directory = b""
         n = len(rest)
         if k < len(widths) - 1:
-            more = (rest >> width) > 0
+            above = rest >> np.uint32(width)
+            more = above > 0
             packed = np.packbits(more, bitorder="little")
             bitmap, directory = packed.tobytes(), _rank_directory(packed).tobytes()
-            rest = rest[more] >> width
+            rest = above[more]
         table.append(_SHIFTS.pack(width, n, at, at + len(planes), at + len(planes) + len(bitmap)))
         body += [planes, bitmap, directory]
         at += len(planes) + len(bitmap) + len(directory)
@@ -201,16 +308,16 @@ class Segment:
         where, shift = None, 0
         for k, (width, n, planes, bitmap, _) in enumerate(self.levels):
             step = (n + 7) // 8
-            chunk = np.zeros(n, "<u4")
+            kind = np.uint8 if width <= 8 else np.uint16 if width <= 16 else np.uint32
+            chunk = np.zeros(n, kind)
             for j in range(width):
-                chunk |= np.unpackbits(np.frombuffer(self.raw, np.uint8, step, planes + j * step), count=n, bitorder="little").astype("<u4") << j
+                chunk |= np.unpackbits(np.frombuffer(self.raw, np.uint8, step, planes + j * step), count=n, bitorder="little").astype(kind) << kind(j)
             if where is None:
-                out |= chunk
-                where = np.arange(n)
+                out = chunk.astype("<u4")
             else:
-                out[where] |= chunk << shift
+                out[where] |= chunk.astype("<u4") << np.uint32(shift)
             if k < len(self.levels) - 1:
-                where = where[np.unpackbits(np.frombuffer(self.raw, np.uint8, step, bitmap), count=n, bitorder="little").astype(bool)]
+                where = (np.arange(n) if where is None else where)[np.unpackbits(np.frombuffer(self.raw, np.uint8, step, bitmap), count=n, bitorder="little").astype(bool)]
             shift += width
         return out
 
@@ -226,28 +333,33 @@ def _writer(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part = encoder(path), TaskContext.get().partitionId()
         docs: list[int | None] = []
-        kept: list[bytes] = []
+        kept: list[np.ndarray] = []
+        sizes: list[np.ndarray] = []
         held = start = seq = 0
-        end = struct.pack("<I", END_ID)
 
         def close() -> pa.RecordBatch:
             nulls = np.packbits([d is None for d in docs], bitorder="little").tobytes()
-            raw = pack([d or 0 for d in docs], kept)
+            raw = pack([d or 0 for d in docs], np.concatenate(kept), np.concatenate(sizes))
             return pa.RecordBatch.from_pylist([{"part": part, "seq": seq, "start": start, "n_ids": held, "n_docs": len(docs), "null_ids": nulls, "segment": raw}], schema=_SEGMENT)
 
         for batch in batches:
-            for k in range(0, batch.num_rows, 128):
-                ids, texts = (c.to_pylist() for c in batch.slice(k, 128).columns)
-                for doc_id, raw in zip(ids, enc.encode([t or "" for t in texts])):
-                    raw += end
-                    if docs and held + len(raw) // 4 > SEGMENT_IDS:
+            names, row = batch.column(0).to_pylist(), 0
+            for ids, n in enc.encode(batch.column(1), END_ID):
+                ends, a, at = np.cumsum(n), 0, 0
+                while a < len(n):  # as many documents as the open segment takes
+                    b = int(np.searchsorted(ends, at + SEGMENT_IDS - held, "right"))
+                    if b <= a and docs:
                         yield close()
                         start, seq, held = start + held, seq + 1, 0
-                        docs.clear()
-                        kept.clear()
-                    docs.append(doc_id)
-                    kept.append(raw)
-                    held += len(raw) // 4
+                        docs, kept, sizes = [], [], []
+                        continue
+                    b = max(b, a + 1)
+                    docs += names[row + a : row + b]
+                    kept.append(ids[at : ends[b - 1]])
+                    sizes.append(n[a:b])
+                    held += int(ends[b - 1]) - at
+                    a, at = b, int(ends[b - 1])
+                row += len(n)
         if docs:
             yield close()
 
