@@ -2,11 +2,13 @@
 
 import hashlib
 import itertools
+import random
 import re
 import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from loomgraph.llm import common, decontaminate, langid, licenses, media, mixing, ngram_join, queries, secrets_scan, token_codes, urlfilter
@@ -88,6 +90,18 @@ def test_contamination(spark, odd, none):
     assert cut[1] is None and cut[8] == "" and cut[7] == "Über MIT" and cut[12] == "!!! ???" and cut[6].split() == [f"w{i}" for i in [*range(5), *range(30, 60)]] + ["tail"]
 
 
+def test_contamination_beyond_the_broadcast(spark, odd, docs, sf, monkeypatch):
+    """Without any broadcast the rows are the same, and no text goes through the exchange of windows."""
+    bench = spark.createDataFrame([(1, " ".join(f"W{i}," for i in range(5, 30))), (2, "the MIT license"), (None, "one two"), (5, "tail")], "item_id long, text string")
+    for df, b in ((odd, bench), (docs, common.table(spark, sf, "benchmark"))):
+        want = sorted(map(str, rows(decontaminate.contamination(df, b))))
+        monkeypatch.setattr(decontaminate, "small", lambda df: None)
+        assert sorted(map(str, rows(decontaminate.contamination(df, b)))) == want
+        plan = decontaminate.hits(df, b)._jdf.queryExecution().optimizedPlan().toString()
+        assert "LeftSemi" in plan and "array" not in [t for _, t in decontaminate._candidates(df.selectExpr("1L k1", "1 k2", "split(text, ' ') w"), decontaminate.benchmark_windows(b), ("k1", "k2")).dtypes]
+        monkeypatch.undo()
+
+
 # --- 3: media
 
 
@@ -152,16 +166,48 @@ def test_token_codes(spark, odd, none, docs):
     assert token_codes.read_codes(token_codes.write_codes(none, path)).count() == 0
 
 
-def test_encoder_spacing():
-    enc = token_codes.encoder(queries.tokenizer_path())
-    for text in ["a  b", " x", "x ", "\n \nfoo bar", "it's 'tis  'll a 's x", " ", "", "a <|endoftext|> b", "x\ty \tz", "a b\n c", "日本 語 12 3a, b.", "é. è, ñ! x? y; ª² z"]:
-        assert enc.encode([text])[0] == np.array(enc.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+ODD_TEXTS = ["a  b", " x", "x ", "foo  ", "bar", "\n \nfoo bar", "it's 'tis  'll a 's x", " ", "", None, "a <|endoftext|> b", "x\ty \tz", "a b\n c", "日本 語 12 3a, b.", "é. è, ñ! x? y; ª² z", "a\n\nb", "a\n\n", "\nb", "a\n", "é\né", "×, ÷. a\u00a0b \u3000 x \x85 y \x1c z", "e\u0301. x"]
+
+
+def encoded(enc, texts, end=None):
+    out = []
+    for ids, n in enc.encode(pa.array(texts, pa.string()), end):
+        out += [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])]
+    return out
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_encoder(name):
+    """Columns of odd and random texts; a tokenizer of another kind gets whole texts."""
+    import public_tokenizers
+
+    enc = token_codes.Encoder(str(public_tokenizers.path(name)))
+    assert enc.cuttable == name.startswith("byte")
+    rng, chars = random.Random(5), list(" \n  ab.,'é×日\t3-\u00a0s\u0301")
+    columns = [ODD_TEXTS, [], *[["".join(rng.choice(chars) for _ in range(rng.randrange(30))) for _ in range(40)] for _ in range(30)]]
+    for texts in columns:
+        want = [enc.tok.encode(t or "", add_special_tokens=False).ids for t in texts]
+        assert encoded(enc, texts) == want and encoded(enc, texts, 0) == [[*w, 0] for w in want]
+        assert enc.lengths(pa.array(texts, pa.string())).tolist() == [len(w) for w in want]
+
+
+def test_encoder_parts_and_full_table(monkeypatch):
+    enc = token_codes.Encoder(queries.tokenizer_path())
+    monkeypatch.setattr(token_codes, "SLICE", 20)
+    monkeypatch.setattr(token_codes, "PIECES", 5)
+    monkeypatch.setattr(token_codes, "JOINED", 3)
+    texts = ODD_TEXTS * 3 + ["a long text of several words, which is over one part"]
+    want = [enc.tok.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert encoded(enc, texts) == want
+    at = pa.array(texts).slice(4, 20)
+    assert enc.lengths(at).tolist() == [len(w) for w in want[4:24]]
 
 
 def test_segment_random_access():
     rng = np.random.default_rng(1)
     for ids in (rng.integers(0, 50_000, 5000), np.zeros(3, int), np.array([70_000, 0, 1]), rng.geometric(0.01, 3000), np.zeros(0, int)):
-        seg = token_codes.Segment(token_codes.pack([1, 2], [ids[:2].astype("<u4").tobytes(), ids[2:].astype("<u4").tobytes()]))
+        seg = token_codes.Segment(token_codes.pack([1, 2], ids.astype("<u4"), np.array([len(ids[:2]), len(ids[2:])])))
+        assert [len(seg.document(k)) for k in range(2)] == [len(ids[:2]), len(ids[2:])]
         assert seg.ids().tolist() == ids.tolist() == [seg[i] for i in range(len(ids))]
     with pytest.raises(IndexError):
         seg[0]
