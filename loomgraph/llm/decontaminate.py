@@ -1,9 +1,12 @@
 """Benchmark decontamination, DataFrame functions only.
 
-Every window of ``n`` consecutive benchmark words becomes one hash in a small
-table; the windows of each training text are hashed the same way, looked up in
-that table by a broadcast join inside the scan's own stage, and each hit is
-verified word by word before it counts.
+Every window of ``n`` consecutive benchmark words becomes one hash in a broadcast
+set. A training text's words are exploded in the scan's own stage, so all of this
+is generated code: a word and the next are looked up in the set of the windows'
+leading pairs, and where they are in it, the hash of the window that begins there
+is looked up in the set of windows; each hit is verified word by word before it
+counts. Beyond a bound of windows nothing is broadcast: hashes alone are joined
+in a shuffle, spread over salts, and texts that have one are verified afterwards.
 """
 
 from __future__ import annotations
@@ -14,18 +17,8 @@ from pyspark.sql import functions as F
 from .common import fresh, row_key, small, words
 
 WINDOW = 10
-
-
-def _windows(w: Column, size: int) -> Column:
-    """Hash of every ``size``-word window, in order; no windows where there are fewer words."""
-    return F.when(
-        F.size(w) >= size,
-        F.transform(F.sequence(F.lit(1), F.size(w) - (size - 1)), lambda i: F.xxhash64(F.slice(w, i, size))),
-    ).otherwise(F.array().cast("array<bigint>"))
-
-
-def _placed(size: int):
-    return lambda h, i: F.struct(i.alias("at"), F.lit(size).alias("len"), h.alias("h"))
+#: Common windows of a long benchmark are spread over so many tasks.
+SALTS = 16
 
 
 def benchmark_windows(benchmark: DataFrame, n: int = WINDOW, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
@@ -40,25 +33,48 @@ def benchmark_windows(benchmark: DataFrame, n: int = WINDOW, id_col: str = "item
     return at.groupBy("b_len", "b_words").agg(F.collect_set("b_item").alias("b_items")).select(F.xxhash64("b_words").alias("b_hash"), "b_len", "b_words", "b_items")
 
 
+def _candidates(scan: DataFrame, bench: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+    """(*keep, at, len, h): places of ``scan`` (k1, k2, w) where a window may begin, with the hash of the window there.
+
+    A window of one word is led by that word alone. Where the pairs are too many to broadcast all places are candidates.
+    A place may come twice.
+    """
+    sizes = sorted(r[0] for r in bench.select("b_len").distinct().collect())  # at most n values
+    first, second = F.get("b_words", F.lit(0)), F.get("b_words", F.lit(1))
+    side = small(bench.select(F.when(F.col("b_len") > 1, F.xxhash64(first, second)).otherwise(F.xxhash64(first)).alias("p")).distinct())
+    out = scan.select("k1", "k2", "w", F.posexplode("w").alias("at", "x"))
+    if side is not None:
+        lead = F.xxhash64("x", F.get("w", F.col("at") + 1))
+        lead = F.explode(F.array(lead, F.xxhash64("x"))) if 1 in sizes else lead
+        out = out.withColumn("p", lead).join(side, "p", "left_semi")
+    lengths = F.lit(sizes[0]) if len(sizes) == 1 else F.explode(F.array(*map(F.lit, sizes)).cast("array<int>"))
+    out = out.withColumn("len", lengths).where(F.col("at") + F.col("len") <= F.size("w"))
+    return out.select(*keep, "at", "len", F.xxhash64(F.slice("w", F.col("at") + 1, F.col("len"))).alias("h"))
+
+
 def hits(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Contaminated rows only: (k1, k2, spans array<struct<at,len>>, items array<string>) by the row's key.
 
     ``at`` counts words from 0.  Equal rows (same id and text) share one key and one result.
     """
     bench = benchmark_windows(benchmark, n)
-    sizes = sorted(r[0] for r in bench.select("b_len").distinct().collect())  # at most n values
     k1, k2 = row_key(docs, id_col, text_col)
     scan = docs.select(k1.alias("k1"), k2.alias("k2"), words(docs[text_col]).alias("w"))
-    if len(sizes) > 1:
-        parts = [F.transform(_windows(F.col("w"), s), _placed(s)) for s in sizes]
-        found = scan.select("k1", "k2", "w", F.explode(F.concat(*parts)).alias("x")).select("k1", "k2", "w", "x.at", "x.len", "x.h")
-    else:
-        size = sizes[0] if sizes else n
-        found = scan.select("k1", "k2", "w", F.posexplode(_windows(F.col("w"), size)).alias("at", "h")).withColumn("len", F.lit(size))
+    same = (F.col("h") == F.col("b_hash")) & (F.col("len") == F.col("b_len"))
+    verified = F.slice(F.col("w"), F.col("at") + 1, F.col("len")) == F.col("b_words")
     side = small(bench)
-    side = bench if side is None else side
-    same = (F.col("h") == F.col("b_hash")) & (F.col("len") == F.col("b_len")) & (F.slice(F.col("w"), F.col("at") + 1, F.col("len")) == F.col("b_words"))
-    found = found.join(side, same).select("k1", "k2", F.struct("at", "len").alias("span"), "b_items")
+    if side is not None:
+        found = _candidates(scan, bench, ("k1", "k2", "w")).join(side, same & verified)
+    else:  # no text goes through the exchange of windows: hashes decide first, then texts that have one are joined back
+        salt = F.pmod(F.xxhash64("k1", "at"), F.lit(SALTS)).cast("int")
+        marked = _candidates(scan, bench, ("k1", "k2")).withColumn("salt", salt)
+        listed = bench.select("b_hash", "b_len").distinct().withColumn("b_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        marked = marked.join(listed, same & (F.col("salt") == F.col("b_salt")), "left_semi").drop("salt").distinct()
+        exact = scan.join(marked, ["k1", "k2"]).withColumn("g", F.slice("w", F.col("at") + 1, F.col("len"))).drop("w")
+        spread = exact.withColumn("salt", salt)
+        listed = bench.withColumn("b_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        found = spread.join(listed, same & (F.col("salt") == F.col("b_salt")) & (F.col("g") == F.col("b_words")))
+    found = found.select("k1", "k2", F.struct("at", "len").alias("span"), "b_items")
     return found.groupBy("k1", "k2").agg(F.collect_set("span").alias("spans"), F.array_distinct(F.flatten(F.collect_set("b_items"))).alias("items"))
 
 
