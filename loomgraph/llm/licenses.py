@@ -10,7 +10,7 @@ diagonal.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -40,23 +40,21 @@ TEMPLATES = [
 ]
 
 
-def _grams(w: Column) -> Column:
-    return F.when(F.size(w) >= GRAM, F.transform(F.sequence(F.lit(1), F.size(w) - (GRAM - 1)), lambda i: F.xxhash64(F.slice(w, i, GRAM)))).otherwise(F.array().cast("array<bigint>"))
-
-
 def template_grams(spark: SparkSession) -> DataFrame:
     """(t_id, t_label, t_base, t_size, t_at, t_words, t_hash): a few hundred rows, fixed."""
     rows = [(k, label, k < len(PHRASES), text) for k, (label, text) in enumerate(PHRASES + TEMPLATES)]
     t = spark.createDataFrame(rows, "t_id int, t_label string, t_base boolean, text string").withColumn("w", words(F.col("text")))
-    t = t.select("t_id", "t_label", "t_base", F.size("w").alias("t_size"), "w", F.posexplode(_grams(F.col("w"))).alias("t_at", "t_hash"))
-    return t.select("t_id", "t_label", "t_base", "t_size", "t_at", F.slice("w", F.col("t_at") + 1, GRAM).alias("t_words"), "t_hash")
+    t = t.select("t_id", "t_label", "t_base", F.size("w").alias("t_size"), "w", F.posexplode("w").alias("t_at", "x")).where(F.col("t_at") + GRAM <= F.col("t_size"))
+    t_words = F.slice("w", F.col("t_at") + 1, GRAM)
+    return t.select("t_id", "t_label", "t_base", "t_size", "t_at", t_words.alias("t_words"), F.xxhash64(*[F.get("w", F.col("t_at") + i) for i in range(GRAM)]).alias("t_hash"))
 
 
 def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(k1, k2, label, base, at, words, cover) of every verified span, by the row's key; ``at`` counts words from 0."""
     k1, k2 = row_key(docs, id_col, text_col)
     scan = docs.select(k1.alias("k1"), k2.alias("k2"), words(docs[text_col]).alias("w"))
-    grams = scan.select("k1", "k2", "w", F.posexplode(_grams(F.col("w"))).alias("at", "h"))
+    grams = scan.select("k1", "k2", "w", F.posexplode("w").alias("at", "x")).where(F.col("at") + GRAM <= F.size("w"))
+    grams = grams.select("k1", "k2", "w", "at", F.xxhash64("x", *[F.get("w", F.col("at") + i) for i in range(1, GRAM)]).alias("h"))
     side = F.broadcast(template_grams(docs.sparkSession))
     votes = grams.join(side, (F.col("h") == F.col("t_hash")) & (F.slice(F.col("w"), F.col("at") + 1, F.lit(GRAM)) == F.col("t_words")))
     votes = votes.select("k1", "k2", "t_id", "t_label", "t_base", "t_size", "t_at", "at", (F.col("at") - F.col("t_at")).alias("diagonal")).distinct()
