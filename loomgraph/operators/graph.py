@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..session import ship
 from ..storage import written
 from .components import components
@@ -45,8 +46,8 @@ def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 10, damping: floa
 
 def bfs(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
     """(id, hop, parent) of nodes within ``hops`` of ``seeds`` (id); the smallest parent of the previous hop discovers."""
-    seen = seeds.select("id", F.lit(0).alias("hop"), F.lit(None).cast("string").alias("parent")).distinct()
-    frontier = seen
+    edges = written(edges.select("src", "dst"))  # each hop would derive them anew
+    seen = frontier = written(seeds.select("id", F.lit(0).alias("hop"), F.lit(None).cast("string").alias("parent")).distinct())
     for hop in range(1, hops + 1):
         step = edges.join(frontier.select(F.col("id").alias("src")), "src").groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("parent"))
         frontier = written(step.join(seen.select("id"), "id", "left_anti").select("id", F.lit(hop).alias("hop"), "parent"))
@@ -56,6 +57,7 @@ def bfs(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
 
 def closure(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """(id) of all that ``seeds`` reach, themselves included; a semi-naive loop."""
+    edges = written(edges.select("src", "dst"))
     seen = frontier = written(seeds.select("id").distinct())
     while True:
         step = edges.join(frontier.withColumnRenamed("id", "src"), "src").select(F.col("dst").alias("id")).distinct()
@@ -73,7 +75,7 @@ def connected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def shortest_path(edges: DataFrame, source: str, target: str) -> DataFrame:
     """(hops, path) of the shortest directed path, the smallest of equals; empty where there is none."""
-    spark = edges.sparkSession
+    spark, edges = edges.sparkSession, written(edges.select("src", "dst"))
     frontier = seen = spark.createDataFrame([(source, source)], "id string, path string")
     for hop in itertools.count():
         hit = frontier.where(F.col("id") == target)
@@ -233,10 +235,58 @@ def _greedy(most: int):
 
 
 def communities(nodes: DataFrame, edges: DataFrame, most: int = 800) -> DataFrame:
-    """(id, community) by greedy modularity in each component of 5 to ``most`` nodes; other components stay whole."""
+    """(id, community) by greedy modularity in each component of 5 to ``most`` nodes; up to four nodes are one community.
+
+    In a larger component the nodes of one folder (of ``file``, if there is such a column) are one; a component's smallest
+    id, or folder, names a community. No group handed to Python has more than ``most`` nodes.
+    """
     ship(nodes.sparkSession)
-    found = _by_component(nodes, edges).groupBy("component").applyInPandas(_greedy(most), "id string, community string")
-    return nodes.select("id").join(found, "id", "left").select("id", F.coalesce("community", "id").alias("community"))
+    part = written(connected(nodes, edges))
+    size = part.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+    sized = part.join(size, "component")
+    fit = sized.where(F.col("n") <= most).select("id", "component")
+    both = edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).where("a <> b").distinct()
+    found = both.join(fit, F.col("a") == F.col("id")).select("component", "a", "b").groupBy("component").applyInPandas(_greedy(most), "id string, community string")
+    folder = T.directory(F.col("file")) if "file" in nodes.columns else F.lit("")
+    wide = sized.where(F.col("n") > most).join(nodes.select("id", folder.alias("f")), "id").select("id", F.concat_ws("|", "component", "f").alias("community"))
+    return nodes.select("id").join(found.union(wide), "id", "left").select("id", F.coalesce("community", "id").alias("community"))
+
+
+def impact(nodes: DataFrame, edges: DataFrame, seed: str, most: int = 30, most_modules: int = 10) -> DataFrame:
+    """One row: id, reach (nodes downstream but itself), callers, callees (ids, ``most`` of each), caller_count, modules.
+
+    ``nodes`` has id and module; ``modules`` are those of the node and all downstream, ``most_modules`` of them.
+    """
+    start = nodes.where(F.col("id") == seed).select("id")
+    down = closure(edges, start).join(nodes.select("id", "module"), "id")
+    size = down.groupBy("module").agg(F.count(F.lit(1)).alias("n"))
+    total = size.agg((F.sum("n") - 1).alias("reach"))
+    first = size.orderBy("module").limit(most_modules).agg(F.array_sort(F.collect_list("module")).alias("modules"))
+
+    def side(mine: str, other: str, name: str) -> DataFrame:
+        near = edges.where(F.col(mine) == seed).select(F.col(other).alias("x")).distinct().orderBy("x").limit(most)
+        return near.agg(F.array_sort(F.collect_list("x")).alias(name))
+
+    count = edges.where(F.col("dst") == seed).agg(F.count(F.lit(1)).alias("caller_count"))
+    out = total
+    for part in (first, side("dst", "src", "callers"), side("src", "dst", "callees"), count):
+        out = out.join(F.broadcast(part))  # one row each
+    return out.select(F.lit(seed).alias("id"), "reach", "callers", "callees", "caller_count", "modules")
+
+
+def verified_flows(calls: DataFrame, imports: DataFrame | None = None, most: int = 10) -> DataFrame:
+    """(src, dst, n, pairs, reason) of file pairs with direct calls and, with ``imports`` (sf, tf), an import.
+
+    ``calls``: src, dst, sf, tf. The first ``most`` calls of a pair, in order, are its ``pairs``; no list is longer.
+    """
+    n = calls.groupBy("sf", "tf").agg(F.count(F.lit(1)).alias("n"))
+    pair = calls.select("sf", "tf", F.concat_ws(">", "src", "dst").alias("p"))
+    first = top_per(pair, most, ["sf", "tf"], "p").groupBy("sf", "tf").agg(F.array_sort(F.collect_list("p")).alias("pairs"))
+    out = n.join(first, ["sf", "tf"])
+    if imports is not None:
+        out = out.join(imports.select("sf", "tf").distinct(), ["sf", "tf"], "left_semi")
+    reason = F.concat(F.lit("Valid: "), F.col("n"), F.lit(" direct calls" + (" with import" if imports is not None else "")))
+    return out.select(F.col("sf").alias("src"), F.col("tf").alias("dst"), "n", "pairs", reason.alias("reason"))
 
 
 def induced(edges: DataFrame, ids: DataFrame) -> DataFrame:

@@ -20,6 +20,13 @@ def event_nodes(spark: SparkSession, d: str) -> DataFrame:
     return events(spark, d).select(F.col("node").alias("id"), F.col("node").alias("name"), F.col("event_type").alias("kind")).distinct()
 
 
+def event_symbols(spark: SparkSession, d: str) -> DataFrame:
+    """Event nodes with the fields that a question is matched against; the summary and intent follow the event type."""
+    kind = F.col("kind")
+    summary = F.when(kind == "purchase", "buys an order").when(kind == "error", "raises an exception").when(kind == "signup", "registers an account").when(kind == "view", "shows a page").otherwise("presses a button")
+    return event_nodes(spark, d).select("id", "name", F.lit("function").alias("kind"), summary.alias("summary"), kind.alias("file"), F.when(kind == "error", "error_handling").otherwise("unknown").alias("intent"))
+
+
 def event_edges(spark: SparkSession, d: str) -> DataFrame:
     """Consecutive events of a user, counted; no self-loops."""
     by = W.partitionBy("user_id").orderBy("ts", "event_id")
@@ -28,11 +35,21 @@ def event_edges(spark: SparkSession, d: str) -> DataFrame:
 
 
 def commerce_nodes(spark: SparkSession, d: str) -> DataFrame:
-    """Suppliers and customers as symbols; nation is their file, region their module."""
+    """Suppliers (classes) and customers (functions) as symbols; nation is their file, region their module.
+
+    Semantic kind and decorators follow the market segment, complexity and criticality the balance.
+    """
     place = load(spark, d, "nation").join(F.broadcast(load(spark, d, "region")), F.col("n_regionkey") == F.col("r_regionkey"))  # 25 and 5 rows
-    both = load(spark, d, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("id"), F.col("s_name").alias("name"), F.col("s_nationkey").alias("k"), F.lit("type").alias("kind"), F.col("s_acctbal").alias("bal"))
-    both = both.union(load(spark, d, "customer").select(F.concat(F.lit("c"), "c_custkey"), "c_name", "c_nationkey", F.lit("function"), "c_acctbal"))
-    return both.join(F.broadcast(place), F.col("k") == F.col("n_nationkey")).select("id", "name", "kind", "bal", F.col("r_name").alias("module"), F.concat_ws("/", "r_name", "n_name").alias("file"))
+    both = load(spark, d, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("id"), F.col("s_name").alias("name"), F.col("s_nationkey").alias("k"), F.lit("type").alias("kind"), F.lit("class").alias("type"), F.col("s_acctbal").alias("bal"), F.lit("").alias("segment"))
+    both = both.union(load(spark, d, "customer").select(F.concat(F.lit("c"), "c_custkey"), "c_name", "c_nationkey", F.lit("function"), F.lit("function"), "c_acctbal", "c_mktsegment"))
+    bal, seg = F.col("bal"), F.col("segment")
+    return both.join(F.broadcast(place), F.col("k") == F.col("n_nationkey")).select(
+        "id", "name", "kind", "type", "bal", F.col("r_name").alias("module"), F.concat_ws("/", "r_name", "n_name").alias("file"),
+        F.when(seg == "", "Supplies parts").otherwise(F.concat(F.lower("segment"), F.lit(" account"))).alias("summary"),
+        F.when(seg == "MACHINERY", "EXPOSES_API").when(seg == "BUILDING", "CONSUMES_EVENT").otherwise("CALLS").alias("semantic_kind"), F.when(seg == "FURNITURE", "cached").otherwise("").alias("decorators"),
+        F.when(bal < 0, "low").when(bal < 3000, "medium").when(bal < 7000, "high").otherwise("very_high").alias("complexity"),
+        F.when(bal < 2000, "low").when(bal < 6000, "medium").when(bal < 9000, "high").otherwise("critical").alias("criticality"),
+    )
 
 
 def commerce_edges(spark: SparkSession, d: str) -> DataFrame:
@@ -41,6 +58,14 @@ def commerce_edges(spark: SparkSession, d: str) -> DataFrame:
     return li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(F.concat(F.lit("c"), "o_custkey").alias("src"), F.concat(F.lit("s"), "l_suppkey").alias("dst")).distinct()
 
 
+def commerce_imports(spark: SparkSession, d: str) -> DataFrame:
+    """Distinct file -> file dependencies: those of urgent orders' customers on their suppliers."""
+    o, li, n = load(spark, d, "orders").where("o_orderpriority = '1-URGENT'"), load(spark, d, "lineitem"), commerce_nodes(spark, d)
+    pairs = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(F.concat(F.lit("c"), "o_custkey").alias("src"), F.concat(F.lit("s"), "l_suppkey").alias("dst")).distinct()
+    ends = pairs.join(n.select(F.col("id").alias("src"), F.col("file").alias("sf")), "src").join(n.select(F.col("id").alias("dst"), F.col("file").alias("tf")), "dst")
+    return ends.where("sf <> tf").select("sf", "tf").distinct()
+
+
 def doc_lines(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text"))
 
@@ -53,11 +78,10 @@ def page_links(spark: SparkSession, d: str) -> DataFrame:
 CTE = {
     "ev": "ev AS (SELECT *, event_type || ':' || json_extract_string(props, '$.k') AS node FROM events)",
     "enodes": "enodes AS (SELECT DISTINCT node AS id, node AS name, event_type AS kind FROM ev)",
+    "esym": "esym AS (SELECT id, name, kind AS file, CASE kind WHEN 'purchase' THEN 'buys an order' WHEN 'error' THEN 'raises an exception' WHEN 'signup' THEN 'registers an account' WHEN 'view' THEN 'shows a page' ELSE 'presses a button' END AS summary, CASE kind WHEN 'error' THEN 'error_handling' ELSE 'unknown' END AS intent FROM enodes)",
     "eedges": "eedges AS (SELECT src, dst, count(*) AS w FROM (SELECT node AS src, lead(node) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS dst FROM ev) WHERE dst IS NOT NULL AND src <> dst GROUP BY src, dst)",
-    "top2": "top2 AS (SELECT src, dst, w FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY w DESC, dst) AS r FROM eedges) WHERE r <= 2)",
-    "cnodes": "cnodes AS (SELECT id, name, kind, bal, r_name AS module, r_name || '/' || n_name AS file FROM (SELECT 's' || s_suppkey AS id, s_name AS name, s_nationkey AS k, 'type' AS kind, s_acctbal AS bal FROM supplier UNION ALL SELECT 'c' || c_custkey, c_name, c_nationkey, 'function', c_acctbal FROM customer) JOIN nation ON k = n_nationkey JOIN region ON n_regionkey = r_regionkey)",
-    "thin": "thin AS (SELECT DISTINCT 'c' || o_custkey AS src, 's' || l_suppkey AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber = 1 AND o_orderdate < TIMESTAMP '1996-01-01')",
-    "full": "\"full\" AS (SELECT DISTINCT 'c' || o_custkey AS src, 's' || l_suppkey AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey)",
+    "cnodes": "cnodes AS (SELECT id, name, kind, type, bal, r_name AS module, r_name || '/' || n_name AS file, CASE WHEN seg = '' THEN 'Supplies parts' ELSE lower(seg) || ' account' END AS summary, CASE seg WHEN 'MACHINERY' THEN 'EXPOSES_API' WHEN 'BUILDING' THEN 'CONSUMES_EVENT' ELSE 'CALLS' END AS semantic_kind, CASE seg WHEN 'FURNITURE' THEN 'cached' ELSE '' END AS decorators, CASE WHEN bal < 0 THEN 'low' WHEN bal < 3000 THEN 'medium' WHEN bal < 7000 THEN 'high' ELSE 'very_high' END AS complexity, CASE WHEN bal < 2000 THEN 'low' WHEN bal < 6000 THEN 'medium' WHEN bal < 9000 THEN 'high' ELSE 'critical' END AS criticality FROM (SELECT 's' || s_suppkey AS id, s_name AS name, s_nationkey AS k, 'type' AS kind, 'class' AS type, s_acctbal AS bal, '' AS seg FROM supplier UNION ALL SELECT 'c' || c_custkey, c_name, c_nationkey, 'function', 'function', c_acctbal, c_mktsegment FROM customer) JOIN nation ON k = n_nationkey JOIN region ON n_regionkey = r_regionkey)",
+    "cedges": "cedges AS (SELECT DISTINCT 'c' || o_custkey AS src, 's' || l_suppkey AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey)",
     "lines": "lines AS (SELECT doc_id, unnest(range(len(parts)))::INT AS line, unnest(parts) AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents))",
     "links": "links AS (SELECT page_id, unnest(range(len(h)))::INT AS pos, unnest(h) AS href FROM (SELECT page_id, regexp_extract_all(html, 'href=\"([^\"]*)\"', 1) AS h FROM pages))",
 }

@@ -7,7 +7,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions import vocabulary as V
+from ..operators import analytics as N
 from ..operators import graph as G
+from ..operators import retrieval as R
+from ..storage import written
 from . import adapters as A
 from .adapters import with_
 
@@ -59,37 +63,86 @@ def pagerank_fixed_iter(spark: SparkSession, d: str) -> DataFrame:
     return G.pagerank(A.event_nodes(spark, d), A.event_edges(spark, d)).select("id", F.round("rank", 6).alias("rank"))
 
 
-@query(_rank_sql(10) + _DEG + " SELECT id, round(100 * rank + 0.5 * in_degree + 0.25 * out_degree, 3) AS score, in_degree, out_degree FROM r10 JOIN deg USING (id) ORDER BY 100 * rank + 0.5 * in_degree + 0.25 * out_degree DESC, id LIMIT 20")
-def composite_god_nodes(spark: SparkSession, d: str) -> DataFrame:
-    nodes, edges = A.event_nodes(spark, d), A.event_edges(spark, d)
-    both = G.pagerank(nodes, edges).join(G.degrees(nodes, edges), "id").withColumn("s", 100 * F.col("rank") + 0.5 * F.col("in_degree") + 0.25 * F.col("out_degree"))
-    return both.orderBy(F.desc("s"), "id").limit(20).select("id", F.round("s", 3).alias("score"), "in_degree", "out_degree")
+LEVELS = 24
 
 
-@query()
+def _between_sql(levels: int = LEVELS) -> str:
+    """Betweenness by levels: shortest paths of all pairs by hop, then dependencies backwards; deeper graphs need more levels."""
+    out = ", b0 AS (SELECT id AS s, id AS t, 1.0::DOUBLE AS c FROM enodes), v0 AS (SELECT s, t FROM b0)"
+    for k in range(1, levels + 1):
+        out += f", b{k} AS MATERIALIZED (SELECT b.s, e.dst AS t, sum(b.c) AS c FROM b{k - 1} b JOIN eedges e ON e.src = b.t WHERE NOT EXISTS (FROM v{k - 1} v WHERE v.s = b.s AND v.t = e.dst) GROUP BY ALL), v{k} AS MATERIALIZED (SELECT s, t FROM v{k - 1} UNION ALL SELECT s, t FROM b{k})"
+    out += f", x{levels} AS (SELECT s, t, c, 0.0::DOUBLE AS x FROM b{levels})"
+    for k in range(levels - 1, 0, -1):
+        out += f", x{k} AS MATERIALIZED (SELECT b.s, b.t, b.c, coalesce(sum(b.c / w.c * (1 + w.x)), 0)::DOUBLE AS x FROM b{k} b LEFT JOIN eedges e ON e.src = b.t LEFT JOIN x{k + 1} w ON w.s = b.s AND w.t = e.dst GROUP BY b.s, b.t, b.c)"
+    every = " UNION ALL ".join(f"SELECT t, x FROM x{k}" for k in range(1, levels + 1))
+    return out + f", between AS (SELECT id, coalesce(sum(x), 0) / greatest(1, (n - 1) * (n - 2)) AS betweenness FROM enodes LEFT JOIN ({every}) ON t = id, (SELECT count(*) AS n FROM enodes) GROUP BY id, n)"
+
+
+@query(EV + _between_sql() + " SELECT id, round(betweenness, 6) AS betweenness FROM between")
 def betweenness(spark: SparkSession, d: str) -> DataFrame:
-    return G.betweenness(A.event_nodes(spark, d), A.event_edges(spark, d))
+    return G.betweenness(A.event_nodes(spark, d), A.event_edges(spark, d)).select("id", F.round("betweenness", 6).alias("betweenness"))
+
+
+def _metrics(spark: SparkSession, d: str) -> DataFrame:
+    nodes, edges = A.event_nodes(spark, d), written(A.event_edges(spark, d))
+    return N.node_metrics(nodes.withColumnRenamed("kind", "file"), edges, G.pagerank(nodes, edges), G.betweenness(nodes, edges))
+
+
+_METRICS = _rank_sql(10) + _DEG + _between_sql() + ", m AS (SELECT id, kind AS file, name, rank, in_degree, out_degree, betweenness FROM r10 JOIN deg USING (id) JOIN between USING (id) JOIN enodes USING (id))"
+
+
+@query(_METRICS + ", g AS (SELECT *, round(100 * rank + 0.5 * in_degree + 0.25 * out_degree + 50 * betweenness, 9) AS s FROM m) SELECT id, round(s, 3) AS score, round(rank, 5) AS pagerank, in_degree, out_degree, round(betweenness, 5) AS betweenness FROM g ORDER BY s DESC, id LIMIT 20")
+def composite_god_nodes(spark: SparkSession, d: str) -> DataFrame:
+    return N.god_nodes(_metrics(spark, d))
+
+
+@query(_METRICS + " SELECT id, name, file, round(rank, 5) AS rank, in_degree, out_degree, round(betweenness, 5) AS betweenness FROM m")
+def node_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """Metrics of every node of the call graph."""
+    return _metrics(spark, d).select("id", "name", "file", F.round("rank", 5).alias("rank"), "in_degree", "out_degree", F.round("betweenness", 5).alias("betweenness"))
+
+
+@query(_rank_sql(10) + _DEG + " SELECT id, round(rank / max(rank) OVER (), 6) AS rank_ratio, round((in_degree + out_degree) / max(in_degree + out_degree) OVER (), 6) AS fan_ratio FROM r10 JOIN deg USING (id)")
+def heat_ratios(spark: SparkSession, d: str) -> DataFrame:
+    """Values against the whole graph's largest."""
+    nodes, edges = A.event_nodes(spark, d), written(A.event_edges(spark, d))
+    found = N.heat(G.pagerank(nodes, edges).join(G.degrees(nodes, edges), "id"))
+    return found.select("id", F.round("rank_ratio", 6).alias("rank_ratio"), F.round("fan_ratio", 6).alias("fan_ratio"))
 
 
 @query()
 def articulation_points(spark: SparkSession, d: str) -> DataFrame:
-    return G.articulation_points(A.commerce_nodes(spark, d), A.commerce_edges(spark, d))
+    """The fifteen cut nodes of highest degree."""
+    return N.bridges(A.commerce_nodes(spark, d), written(A.commerce_edges(spark, d)))
 
 
 @query()
 def communities(spark: SparkSession, d: str) -> DataFrame:
-    return G.communities(A.event_nodes(spark, d), A.event_edges(spark, d))
+    nodes = A.event_nodes(spark, d)
+    return G.communities(nodes.select("id", F.col("kind").alias("file")), A.event_edges(spark, d))
 
 
-TOP = with_("ev", "enodes", "eedges", "top2", recursive=True)
+TOP = with_("ev", "enodes", "eedges", recursive=True)
 
 
-@query(TOP + ", p(first, last, nodes) AS (SELECT src, dst, [src, dst] FROM top2 WHERE src < dst UNION ALL SELECT first, dst, list_append(nodes, dst) FROM p JOIN top2 ON src = last WHERE len(nodes) < 8 AND dst > first AND NOT list_contains(nodes, dst)) SELECT len(nodes)::INT AS length, array_to_string(nodes, '>') AS path FROM p JOIN top2 ON src = last AND dst = first ORDER BY length, path LIMIT 25")
+def _cycles_sql(longest: int = 8, enough: int = 25) -> str:
+    """Cycles by length; a length is begun only while fewer than ``enough`` shorter ones are found."""
+    out, found = EV + ", p2 AS MATERIALIZED (SELECT src AS first, dst AS last, [src, dst] AS nodes FROM eedges WHERE src < dst)", []
+    for k in range(2, longest + 1):
+        out += f", c{k} AS MATERIALIZED (SELECT {k} AS length, array_to_string(nodes, '>') AS path FROM p{k} JOIN eedges ON src = last AND dst = first)"
+        found.append(f"SELECT * FROM c{k}")
+        if k < longest:
+            few = f"(SELECT count(*) FROM ({' UNION ALL '.join(found)})) < {enough}"
+            out += f", g{k} AS MATERIALIZED (SELECT * FROM p{k} WHERE {few}), p{k + 1} AS MATERIALIZED (SELECT first, dst AS last, list_append(nodes, dst) AS nodes FROM g{k} JOIN eedges ON src = last WHERE dst > first AND NOT list_contains(nodes, dst))"
+    return out + f" SELECT length::INT AS length, path FROM ({' UNION ALL '.join(found)}) ORDER BY length, path LIMIT {enough}"
+
+
+@query(_cycles_sql())
 def simple_cycles_bounded(spark: SparkSession, d: str) -> DataFrame:
     return G.cycles(A.event_edges(spark, d), enough=25).orderBy("length", "path").limit(25)
 
 
-@query(TOP + ", c(id, r) AS (SELECT id, id FROM enodes UNION SELECT t.dst, c.r FROM c JOIN (SELECT src, dst FROM top2 UNION SELECT dst, src FROM top2) t ON t.src = c.id) SELECT id, min(r) AS component FROM c GROUP BY id")
+@query(TOP + ", c(id, r) AS (SELECT id, id FROM enodes UNION SELECT t.dst, c.r FROM c JOIN (SELECT src, dst FROM eedges UNION SELECT dst, src FROM eedges) t ON t.src = c.id) SELECT id, min(r) AS component FROM c GROUP BY id")
 def connected_components(spark: SparkSession, d: str) -> DataFrame:
     return G.connected(A.event_nodes(spark, d), A.event_edges(spark, d))
 
@@ -101,47 +154,92 @@ def _seed(nodes: DataFrame) -> DataFrame:
     return nodes.agg(F.min("id").alias("id"))
 
 
-@query(TOP + f", c(id) AS (SELECT {_FIRST} UNION SELECT dst FROM c JOIN top2 ON src = id) SELECT id FROM c")
+@query(TOP + f", c(id) AS (SELECT {_FIRST} UNION SELECT dst FROM c JOIN eedges ON src = id) SELECT id FROM c")
 def downstream_closure(spark: SparkSession, d: str) -> DataFrame:
     return G.closure(A.event_edges(spark, d), _seed(A.event_nodes(spark, d)))
 
 
-@query(TOP + f", c(id) AS (SELECT {_FIRST} UNION SELECT src FROM c JOIN top2 ON dst = id) SELECT id FROM c")
+@query(TOP + f", c(id) AS (SELECT {_FIRST} UNION SELECT src FROM c JOIN eedges ON dst = id) SELECT id FROM c")
 def upstream_closure(spark: SparkSession, d: str) -> DataFrame:
     back = A.event_edges(spark, d).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     return G.closure(back, _seed(A.event_nodes(spark, d)))
 
 
-@query(TOP + f", c(id) AS (SELECT {_FIRST} UNION SELECT dst FROM c JOIN top2 ON src = id) SELECT count(*) - 1 AS reach, CASE WHEN count(*) - 1 > 30 THEN 'critical' WHEN count(*) - 1 > 10 THEN 'high' WHEN count(*) - 1 > 3 THEN 'medium' ELSE 'low' END AS risk FROM c")
+_LIST = "(SELECT string_agg({0}, ',' ORDER BY {0}) FROM (SELECT DISTINCT {0} FROM eedges WHERE {1} = " + _FIRST + " ORDER BY {0} LIMIT 30))"
+
+
+@query(TOP + f", c(id) AS (SELECT {_FIRST} UNION SELECT dst FROM c JOIN eedges ON src = id), d AS (SELECT count(*) - 1 AS reach FROM c) SELECT {_FIRST} AS id, reach, CASE WHEN reach > 30 THEN 'critical' WHEN reach > 10 THEN 'high' ELSE 'medium' END AS risk, {_LIST.format('src', 'dst')} AS callers, {_LIST.format('dst', 'src')} AS callees, (SELECT count(*) FROM eedges WHERE dst = {_FIRST}) AS caller_count, (SELECT string_agg(kind, ',' ORDER BY kind) FROM (SELECT DISTINCT kind FROM c JOIN enodes USING (id) ORDER BY kind LIMIT 10)) AS modules FROM d")
 def impact_risk(spark: SparkSession, d: str) -> DataFrame:
-    reach = G.closure(A.event_edges(spark, d), _seed(A.event_nodes(spark, d))).agg((F.count(F.lit(1)) - 1).alias("reach"))
-    return reach.select("reach", T.risk(F.col("reach"), F.lit(False)).alias("risk"))
+    """Impact of changing one node: risk, direct callers and callees, and the modules (event types) downstream."""
+    nodes, edges = A.event_nodes(spark, d), written(A.event_edges(spark, d))
+    seed = _seed(nodes).first()["id"]
+    found = G.impact(nodes.withColumnRenamed("kind", "module"), edges, seed)
+    return found.select("id", "reach", T.risk(F.col("reach")).alias("risk"), *[F.array_join(c, ",").alias(c) for c in ("callers", "callees")], "caller_count", F.array_join("modules", ",").alias("modules"))
+
+
+def _path_sql(hops: int = 30) -> str:
+    out = EV + ", s0 AS (SELECT min(id) AS id, 0 AS hops, min(id) AS path FROM enodes)"
+    for k in range(1, hops + 1):
+        out += f", s{k} AS MATERIALIZED (SELECT * FROM s{k - 1} UNION ALL SELECT dst, {k}, min(path || '>' || dst) FROM eedges JOIN s{k - 1} ON src = id WHERE hops = {k - 1} AND dst NOT IN (SELECT id FROM s{k - 1}) GROUP BY dst)"
+    return out + f" SELECT hops, path FROM s{hops} WHERE id = (SELECT max(id) FROM enodes)"
 
 
-@query(with_("ev", "enodes", "eedges", recursive=True) + ", p(id, hops, path) AS (SELECT 'click:1', 0, 'click:1' UNION ALL SELECT dst, hops + 1, path || '>' || dst FROM p JOIN eedges ON src = id WHERE hops < 3 AND id <> 'view:2' AND NOT list_contains(string_split(path, '>'), dst)) SELECT hops, path FROM p WHERE id = 'view:2' ORDER BY hops, path LIMIT 1")
+@query(_path_sql())
 def shortest_path(spark: SparkSession, d: str) -> DataFrame:
-    return G.shortest_path(A.event_edges(spark, d), "click:1", "view:2")
+    ends = A.event_nodes(spark, d).agg(F.min("id").alias("a"), F.max("id").alias("b")).first()
+    return G.shortest_path(A.event_edges(spark, d), ends["a"], ends["b"])
+
+
+#: The registered question of the retrieval queries over the event graph.
+ASKED = "Which errors stop a payment at step 17?"
+
+
+def _seed_sql(question: str = ASKED) -> str:
+    """Shortlist, rerank and seeds of one question, over esym."""
+    tok = "list_distinct([lower(x) FOR x IN regexp_extract_all(coalesce({0}, ''), '[A-Za-z][a-z0-9]*|[0-9]+') IF length(x) > 1])"
+    asked = ", ".join(f"('{w}')" for w in R.question_words(question))
+    fields = " UNION ALL ".join(f"SELECT id, unnest({tok.format(c)}) AS t, {w}::DOUBLE AS w, {c != 'intent'} AS doc FROM esym" for c, w in R.FIELDS.items())
+    again = " + ".join(f"1.5 * contains(lower(name), '{w}')::INT + contains(lower(left(summary, 80)), '{w}')::INT" for w in R.rerank_words(question))
+    return (
+        with_("ev", "enodes", "esym", "eedges") + f", q(t) AS (VALUES {asked}), hit AS (SELECT f.* FROM ({fields}) f SEMI JOIN q ON q.t = f.t), df AS (SELECT t, count(DISTINCT id) AS df FROM hit WHERE doc GROUP BY t)"
+        ", idf AS (SELECT t, ln(((SELECT count(*) FROM esym) + 1.0) / (df + 1)) + 1 AS idf FROM df), sc AS (SELECT id, sum(w * coalesce(idf, 1)) AS score FROM hit LEFT JOIN idf USING (t) GROUP BY id)"
+        f", top AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY score DESC, id DESC) AS pos FROM (SELECT id, name, summary, round(coalesce(score, 0), 9) AS score, {again} AS again FROM esym LEFT JOIN sc USING (id) ORDER BY score DESC, id DESC LIMIT 30))"
+        ", named AS (SELECT name, row_number() OVER (ORDER BY again DESC, name DESC) AS rank FROM (SELECT name, max(again) AS again FROM top GROUP BY name HAVING max(again) > 0 ORDER BY again DESC, name DESC LIMIT 10))"
+        ", seed AS MATERIALIZED (SELECT id, row_number() OVER (ORDER BY rank, pos) AS pos FROM (SELECT id, pos, coalesce(rank, CASE WHEN pos <= 5 AND score > 0 THEN 1048576 END) AS rank FROM top LEFT JOIN named USING (name)) WHERE rank IS NOT NULL)"
+    )
 
 
 def _bfs_sql(hops: int) -> str:
-    out = with_("ev", "enodes", "eedges", "top2") + ", seed AS (SELECT id FROM enodes WHERE kind = 'purchase' ORDER BY id LIMIT 5), s0 AS (SELECT id, 0 AS hop, NULL::VARCHAR AS parent FROM seed)"
+    out = _seed_sql() + ", s0 AS (SELECT id, 0 AS hop, NULL::VARCHAR AS parent FROM seed)"
     for k in range(1, hops + 1):
-        out += f", s{k} AS MATERIALIZED (SELECT * FROM s{k - 1} UNION ALL SELECT dst, {k}, min(src) FROM top2 JOIN s{k - 1} ON src = id WHERE hop = {k - 1} AND dst NOT IN (SELECT id FROM s{k - 1}) GROUP BY dst)"
+        out += f", s{k} AS MATERIALIZED (SELECT * FROM s{k - 1} UNION ALL SELECT dst, {k}, min(src) FROM eedges JOIN s{k - 1} ON src = id WHERE hop = {k - 1} AND dst NOT IN (SELECT id FROM s{k - 1}) GROUP BY dst)"
     return out
 
 
 def _seeds(spark: SparkSession, d: str) -> DataFrame:
-    return A.event_nodes(spark, d).where("kind = 'purchase'").orderBy("id").limit(5).select("id")
+    return R.seeds(A.event_symbols(spark, d), ASKED).select("id")
+
+
+@query(_seed_sql() + " SELECT id, pos FROM seed")
+def question_seeds(spark: SparkSession, d: str) -> DataFrame:
+    """Seeds of a question: synonyms, TF-IDF, shortlist of 30, rerank, and the best five."""
+    return R.seeds(A.event_symbols(spark, d), ASKED)
+
+
+@query(_seed_sql() + " SELECT id, pos, round(score, 6) AS score FROM top")
+def question_shortlist(spark: SparkSession, d: str) -> DataFrame:
+    return R.shortlist(A.event_symbols(spark, d), ASKED).select("id", F.col("pos").cast("long").alias("pos"), F.round("score", 6).alias("score"))
 
 
 @query(_bfs_sql(3) + " SELECT id, hop, parent FROM s3")
 def seeds_and_bfs_subgraph(spark: SparkSession, d: str) -> DataFrame:
-    return G.bfs(A.event_edges(spark, d), _seeds(spark, d), 3)
+    """A question to a subgraph: its seeds, and what they reach within three hops with the node that found it."""
+    return R.retrieve(A.event_symbols(spark, d), A.event_edges(spark, d), ASKED, 3)
 
 
-@query(_bfs_sql(2) + " SELECT src, dst, w FROM top2 WHERE src IN (SELECT id FROM s2) AND dst IN (SELECT id FROM s2)")
+@query(_bfs_sql(2) + " SELECT src, dst, w FROM eedges WHERE src IN (SELECT id FROM s2) AND dst IN (SELECT id FROM s2)")
 def induced_subgraph(spark: SparkSession, d: str) -> DataFrame:
-    edges = A.event_edges(spark, d)
+    edges = written(A.event_edges(spark, d))
     return G.induced(edges, G.bfs(edges, _seeds(spark, d), 2)).select("src", "dst", "w")
 
 
@@ -157,16 +255,17 @@ def branch_roots(spark: SparkSession, d: str) -> DataFrame:
     return G.roots(G.bfs(A.event_edges(spark, d), _seeds(spark, d), 3))
 
 
-@query(EV + " SELECT dst AS id, 'caller' AS side FROM eedges WHERE src = (SELECT min(id) FROM enodes) UNION ALL SELECT src, 'callee' FROM eedges WHERE dst = (SELECT min(id) FROM enodes)")
+@query(EV + " SELECT dst AS id, 'callee' AS side FROM eedges WHERE src = (SELECT min(id) FROM enodes) UNION ALL SELECT src, 'caller' FROM eedges WHERE dst = (SELECT min(id) FROM enodes)")
 def neighbors(spark: SparkSession, d: str) -> DataFrame:
+    """One hop both ways: the targets of a node's calls are its callees, the sources of calls to it its callers."""
     e, s = A.event_edges(spark, d), _seed(A.event_nodes(spark, d))
-    return e.join(s, e["src"] == s["id"]).select(F.col("dst").alias("id"), F.lit("caller").alias("side")).union(e.join(s, e["dst"] == s["id"]).select("src", F.lit("callee")))
+    return e.join(s, e["src"] == s["id"]).select(F.col("dst").alias("id"), F.lit("callee").alias("side")).union(e.join(s, e["dst"] == s["id"]).select("src", F.lit("caller")))
 
 
 # --- commerce hierarchy: module = region, file = region/nation, symbol = customer or supplier
 
-CO = with_("cnodes", "thin")
-_ENDS = " FROM thin JOIN cnodes a ON a.id = src JOIN cnodes b ON b.id = dst"
+CO = with_("cnodes", "cedges")
+_ENDS = " FROM cedges JOIN cnodes a ON a.id = src JOIN cnodes b ON b.id = dst"
 
 
 def _ends(spark: SparkSession, d: str) -> DataFrame:
@@ -186,13 +285,22 @@ def cross_dir_coupling(spark: SparkSession, d: str) -> DataFrame:
     return pairs.where("n <= 2").orderBy("n", "sf", "tf").limit(15).select(F.col("sf").alias("src"), F.col("tf").alias("dst"), "n", "example")
 
 
-@query(CO + ", f AS (SELECT a.file AS src, b.file AS dst, count(*) AS n" + _ENDS + " WHERE a.file <> b.file GROUP BY ALL), imports AS (SELECT DISTINCT dst AS src, src AS dst FROM f) SELECT f.src, f.dst, n FROM f SEMI JOIN imports i ON i.src = f.src AND i.dst = f.dst")
+_IMPORTS = ", imports AS (SELECT DISTINCT a.file AS sf, b.file AS tf FROM (SELECT DISTINCT 'c' || o_custkey AS src, 's' || l_suppkey AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderpriority = '1-URGENT') JOIN cnodes a ON a.id = src JOIN cnodes b ON b.id = dst WHERE a.file <> b.file)"
+
+
+@query(CO + _IMPORTS + " SELECT sf, count(*) AS n_imports, min(tf) AS first FROM imports GROUP BY sf")
+def file_imports(spark: SparkSession, d: str) -> DataFrame:
+    """Imports of each file."""
+    return A.commerce_imports(spark, d).groupBy("sf").agg(F.count(F.lit(1)).alias("n_imports"), F.min("tf").alias("first"))
+
+
+@query(CO + _IMPORTS + ", f AS (SELECT a.file AS src, b.file AS dst, count(*) AS n, array_to_string(list_slice(list_sort(list(src || '>' || dst)), 1, 10), ',') AS pairs" + _ENDS + " WHERE a.file <> b.file GROUP BY a.file, b.file) SELECT f.*, 'Valid: ' || n || ' direct calls with import' AS reason FROM f SEMI JOIN imports i ON i.sf = f.src AND i.tf = f.dst")
 def verified_flow_edges(spark: SparkSession, d: str) -> DataFrame:
-    f = _ends(spark, d).where("sf <> tf").groupBy(F.col("sf").alias("src"), F.col("tf").alias("dst")).agg(F.count(F.lit(1)).alias("n"))
-    return f.join(f.select(F.col("dst").alias("src"), F.col("src").alias("dst")), ["src", "dst"], "left_semi")
+    """File pairs with direct calls and an import: count, reason and the first ten calls."""
+    return G.verified_flows(_ends(spark, d).where("sf <> tf"), A.commerce_imports(spark, d)).select("src", "dst", "n", F.array_join("pairs", ",").alias("pairs"), "reason")
 
 
-_CDEG = ", i AS (SELECT dst AS id, count(*) AS c FROM thin GROUP BY dst), o AS (SELECT src AS id, count(*) AS c FROM thin GROUP BY src), cd AS (SELECT n.*, coalesce(i.c, 0) AS fan_in, coalesce(o.c, 0) AS fan_out FROM cnodes n LEFT JOIN i ON i.id = n.id LEFT JOIN o ON o.id = n.id)"
+_CDEG = ", i AS (SELECT dst AS id, count(*) AS c FROM cedges GROUP BY dst), o AS (SELECT src AS id, count(*) AS c FROM cedges GROUP BY src), cd AS (SELECT n.*, coalesce(i.c, 0) AS fan_in, coalesce(o.c, 0) AS fan_out FROM cnodes n LEFT JOIN i ON i.id = n.id LEFT JOIN o ON o.id = n.id)"
 
 
 def _cdeg(spark: SparkSession, d: str) -> DataFrame:
@@ -201,22 +309,35 @@ def _cdeg(spark: SparkSession, d: str) -> DataFrame:
     return n.join(g, "id").withColumnRenamed("in_degree", "fan_in").withColumnRenamed("out_degree", "fan_out")
 
 
-@query(CO + _CDEG + " SELECT file, sum(fan_in)::BIGINT AS fan_in, sum(fan_out)::BIGINT AS fan_out, arg_max(lvl, rk) AS worst FROM (SELECT *, CASE WHEN bal > 8000 THEN 3 WHEN bal > 4000 THEN 2 ELSE 1 END AS rk, CASE WHEN bal > 8000 THEN 'high' WHEN bal > 4000 THEN 'medium' ELSE 'low' END AS lvl FROM cd) GROUP BY file")
+def _scale(column: str, names) -> str:
+    return "CASE " + column + "".join(f" WHEN '{x}' THEN {k}" for k, x in enumerate(names)) + " END"
+
+
+@query(CO + _CDEG + f" SELECT file, sum(fan_in)::BIGINT AS fan_in, sum(fan_out)::BIGINT AS fan_out, arg_max(complexity, {_scale('complexity', V.COMPLEXITY)}) AS complexity, arg_max(criticality, {_scale('criticality', V.CRITICALITY)}) AS criticality FROM cd GROUP BY file")
 def file_rollup_worst_of(spark: SparkSession, d: str) -> DataFrame:
-    level = F.when(F.col("bal") > 8000, F.struct(F.lit(3).alias("r"), F.lit("high").alias("l"))).when(F.col("bal") > 4000, F.struct(F.lit(2).alias("r"), F.lit("medium").alias("l"))).otherwise(F.struct(F.lit(1).alias("r"), F.lit("low").alias("l")))
-    return _cdeg(spark, d).groupBy("file").agg(F.sum("fan_in").alias("fan_in"), F.sum("fan_out").alias("fan_out"), F.max(level)["l"].alias("worst"))
+    """Sums of degrees of each file and its worst complexity and criticality."""
+    metrics = _cdeg(spark, d).select("file", F.lit(0.0).alias("rank"), F.col("fan_in").alias("in_degree"), F.col("fan_out").alias("out_degree"), "complexity", "criticality")
+    return N.file_rollup(metrics).drop("pagerank")
+
+
+@query(_rank_sql(10) + ", e AS (SELECT kind AS file, sum(rank) AS r FROM r10 JOIN enodes USING (id) GROUP BY kind) SELECT file, round(r, 5) AS pagerank FROM e")
+def file_pagerank(spark: SparkSession, d: str) -> DataFrame:
+    nodes, edges = A.event_nodes(spark, d), written(A.event_edges(spark, d))
+    full = N.node_metrics(nodes.withColumnRenamed("kind", "file").withColumn("complexity", F.lit("low")).withColumn("criticality", F.lit("low")), edges, G.pagerank(nodes, edges), nodes.select("id", F.lit(0.0).alias("betweenness")))
+    return N.file_rollup(full).select("file", "pagerank")
+
+
+_ENTRY = ", ".join(f"'{x}'" for x in V.ENTRY_NAMES)
 
 
-@query(CO + _CDEG + " SELECT id, name, file FROM cd WHERE kind = 'function' AND fan_in = 0 AND fan_out = 0 AND lower(name) NOT LIKE 'test%' ORDER BY id LIMIT 50")
+@query(CO + _CDEG + f" SELECT id, name, file FROM cd WHERE kind <> 'type' AND type <> 'class' AND fan_in = 0 AND lower(name) NOT IN ({_ENTRY}) AND NOT starts_with(name, 'test') AND NOT contains(lower(file), 'test') AND semantic_kind NOT IN ('EXPOSES_API', 'CONSUMES_EVENT') AND decorators = '' ORDER BY id LIMIT 50")
 def dead_nodes(spark: SparkSession, d: str) -> DataFrame:
-    return _cdeg(spark, d).where("kind = 'function' and fan_in = 0 and fan_out = 0 and not startswith(lower(name), 'test')").orderBy("id").limit(50).select("id", "name", "file")
+    return N.dead_code(A.commerce_nodes(spark, d), A.commerce_edges(spark, d))
 
 
-@query(CO + _CDEG + ", r AS (SELECT id, fan_in + fan_out AS degree, (fan_out >= 2)::INT + (fan_in >= 10)::INT + (bal > 5000)::INT AS reasons FROM cd) SELECT id, degree, reasons FROM r WHERE reasons >= 2 ORDER BY degree DESC, id LIMIT 20")
+@query(CO + _CDEG + ", r AS (SELECT *, list_filter([CASE WHEN fan_out >= 10 THEN 'large dependency fan-out (' || fan_out || ')' END, CASE WHEN fan_in >= 15 THEN 'heavily depended upon (' || fan_in || ' callers)' END, CASE WHEN complexity IN ('high', 'very_high') THEN complexity || ' complexity' END], lambda x: x IS NOT NULL) AS reasons FROM cd) SELECT id, name, file, fan_in, fan_out, array_to_string(reasons, '; ') AS reasons FROM r WHERE len(reasons) >= 2 ORDER BY fan_in + fan_out DESC, id LIMIT 20")
 def high_risk_nodes(spark: SparkSession, d: str) -> DataFrame:
-    reasons = F.size(F.array_compact(F.array(F.when(F.col("fan_out") >= 2, F.lit("fan-out")), F.when(F.col("fan_in") >= 10, F.lit("fan-in")), F.when(F.col("bal") > 5000, F.lit("complexity")))))
-    r = _cdeg(spark, d).select("id", (F.col("fan_in") + F.col("fan_out")).alias("degree"), reasons.alias("reasons"))
-    return r.where("reasons >= 2").orderBy(F.desc("degree"), "id").limit(20)
+    return N.high_risk(A.commerce_nodes(spark, d), A.commerce_edges(spark, d))
 
 
 @query(CO + " SELECT module AS id, '' AS parent, 1 AS depth, count(*) AS n FROM cnodes GROUP BY module")
@@ -229,7 +350,7 @@ def depth2_view(spark: SparkSession, d: str) -> DataFrame:
     return A.commerce_nodes(spark, d).groupBy("module", "file").agg(F.count(F.lit(1)).alias("n")).select(F.concat(F.lit("file::"), "file").alias("id"), F.col("module").alias("parent"), F.lit(2).alias("depth"), "n")
 
 
-@query(CO + " SELECT 'file::' || file AS src, id AS dst, 'CONTAINS' AS type FROM cnodes UNION ALL SELECT src, dst, 'CALLS' FROM thin WHERE src IN (SELECT id FROM cnodes) AND dst IN (SELECT id FROM cnodes)")
+@query(CO + " SELECT 'file::' || file AS src, id AS dst, 'CONTAINS' AS type FROM cnodes UNION ALL SELECT src, dst, 'CALLS' FROM cedges WHERE src IN (SELECT id FROM cnodes) AND dst IN (SELECT id FROM cnodes)")
 def depth3_view(spark: SparkSession, d: str) -> DataFrame:
     n = A.commerce_nodes(spark, d)
     inside = n.select(F.concat(F.lit("file::"), "file").alias("src"), F.col("id").alias("dst"), F.lit("CONTAINS").alias("type"))
@@ -242,7 +363,7 @@ def expand_children_capped(spark: SparkSession, d: str) -> DataFrame:
     return G.top_per(c, 40, ["file"], F.desc("degree"), "id")
 
 
-@query(CO + _CDEG + ", t AS (SELECT id FROM cd ORDER BY fan_in + fan_out DESC, id LIMIT 600) SELECT src, dst, (SELECT count(*) FROM cd) AS total FROM thin WHERE src IN (SELECT id FROM t) AND dst IN (SELECT id FROM t)")
+@query(CO + _CDEG + ", t AS (SELECT id FROM cd ORDER BY fan_in + fan_out DESC, id LIMIT 600) SELECT src, dst, (SELECT count(*) FROM cd) AS total FROM cedges WHERE src IN (SELECT id FROM t) AND dst IN (SELECT id FROM t)")
 def view_budget_600(spark: SparkSession, d: str) -> DataFrame:
     c = _cdeg(spark, d)
     keep = c.orderBy(F.desc(F.col("fan_in") + F.col("fan_out")), "id").limit(600).select("id")

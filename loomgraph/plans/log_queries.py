@@ -7,7 +7,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions import vocabulary as V
 from ..operators import graph as G
+from ..operators import learning as L
 from ..operators import resolve as R
 from ..operators import stateful as S
 from ..sources import extract as X
@@ -36,6 +38,15 @@ def hot_nodes(spark: SparkSession, d: str) -> DataFrame:
     return A.events(spark, d).groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("user_id").alias("users")).orderBy(F.desc("n"), "node").limit(10)
 
 
+_SESSION = EV + ", r AS (SELECT user_id, ts::DATE AS day, event_type, row_number() OVER (PARTITION BY user_id, ts::DATE ORDER BY ts, event_id) AS k FROM ev), s AS (SELECT user_id, day, string_agg(event_type, '>' ORDER BY k) AS path, count(*) AS n FROM r WHERE k <= 5 GROUP BY ALL HAVING count(*) >= 2)"
+
+
+@query(_SESSION + " SELECT path, count(*) AS n FROM s GROUP BY path HAVING count(*) >= 3")
+def common_paths(spark: SparkSession, d: str) -> DataFrame:
+    """Signatures of queries (a user's day: the first five of at least two nodes) that occur three times or more."""
+    return L.common_paths(L.first_nodes(A.events(spark, d), ["user_id", F.to_date("ts").alias("day")], "event_type", ["ts", "event_id"], 5), 3)
+
+
 @query("WITH s AS (SELECT event_type AS a, lead(event_type) OVER w AS b, lead(event_type, 2) OVER w AS c FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) SELECT a || '>' || b || '>' || c AS path, count(*) AS n FROM s WHERE c IS NOT NULL GROUP BY 1 HAVING count(*) >= 3")
 def common_paths(spark: SparkSession, d: str) -> DataFrame:
     w = W.partitionBy("user_id").orderBy("ts", "event_id")
@@ -43,13 +54,14 @@ def common_paths(spark: SparkSession, d: str) -> DataFrame:
     return s.groupBy(F.concat_ws(">", "a", "b", "c").alias("path")).agg(F.count(F.lit(1)).alias("n")).where("n >= 3")
 
 
-@query("SELECT count(*) AS total, round(100.0 * sum((event_type = 'purchase')::INT) / count(*), 3)::DOUBLE AS helpful, count(DISTINCT user_id) AS users, round(avg(CASE WHEN value > 0 THEN value END), 6) AS latency FROM events")
+@query(EV + " SELECT count(*) AS total_queries, sum((event_type = 'purchase')::INT)::BIGINT AS helpful_queries, round(100.0 * sum((event_type = 'purchase')::INT) / count(*), 2)::DOUBLE AS helpful_rate, count(DISTINCT node) AS unique_nodes, round(avg(CASE WHEN value > 0 THEN value END), 2) AS avg_response_time_ms, (SELECT string_agg(node || ':' || n, ',' ORDER BY n DESC, node) FROM (SELECT node, count(*) AS n FROM ev GROUP BY node ORDER BY n DESC, node LIMIT 10)) AS top_terms FROM ev")
 def query_analytics(spark: SparkSession, d: str) -> DataFrame:
-    e = A.load(spark, d, "events")
-    return e.agg(F.count(F.lit(1)).alias("total"), F.round(100.0 * F.sum((F.col("event_type") == "purchase").cast("int")) / F.count(F.lit(1)), 3).alias("helpful"), F.countDistinct("user_id").alias("users"), F.round(F.avg(F.when(F.col("value") > 0, F.col("value"))), 6).alias("latency"))
+    """Totals, helpful rate, distinct nodes, mean latency over calls that took any time, and the ten most queried terms."""
+    e = A.events(spark, d).select(F.col("node").alias("term"), "node", (F.col("event_type") == "purchase").alias("helpful"), F.col("value").alias("ms"))
+    return L.analytics(e)
 
 
-_TERMS = "terms AS (SELECT conv_id, turn, unnest([x FOR x IN string_split(trim(regexp_replace(regexp_replace(lower(text), '[^\\p{L}\\p{N}_\\s]', ' ', 'g'), '\\s+', ' ', 'g')), ' ') IF length(x) > 2 AND x NOT IN (" + ", ".join(f"'{w}'" for w in T.STOP) + ")]) AS term FROM conversations WHERE role = 'user')"
+_TERMS = "terms AS (SELECT conv_id, turn, unnest([x FOR x IN string_split(trim(regexp_replace(regexp_replace(lower(text), '[^\\p{L}\\p{N}_\\s]', ' ', 'g'), '\\s+', ' ', 'g')), ' ') IF length(x) > 2 AND x NOT IN (" + ", ".join(f"'{w}'" for w in V.STOP) + ")]) AS term FROM conversations WHERE role = 'user')"
 
 
 def _terms(spark: SparkSession, d: str) -> DataFrame:
@@ -75,15 +87,20 @@ def term_suggest(spark: SparkSession, d: str) -> DataFrame:
     return t.join(sure.select("term"), "term", "left_semi").groupBy("conv_id").agg(F.countDistinct("term").alias("n"), F.min("term").alias("first"))
 
 
-@query("WITH RECURSIVE e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k, CASE event_type WHEN 'purchase' THEN 0.1 ELSE -0.1 END::DOUBLE AS d FROM events WHERE event_type IN ('purchase', 'error')), f AS (SELECT user_id, k, greatest(0, least(1, d)) AS s FROM e WHERE k = 1 UNION ALL SELECT e.user_id, e.k, greatest(0, least(1, s + d)) FROM f JOIN e ON e.user_id = f.user_id AND e.k = f.k + 1) SELECT user_id, round(arg_max(s, k), 6) AS score FROM f GROUP BY user_id")
+@query("WITH RECURSIVE e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k, CASE event_type WHEN 'purchase' THEN 0.1 WHEN 'signup' THEN 0.2 ELSE -0.1 END::DOUBLE AS d FROM events WHERE event_type IN ('purchase', 'signup', 'error')), f AS (SELECT user_id, k, greatest(0, least(1, d)) AS s FROM e WHERE k = 1 UNION ALL SELECT e.user_id, e.k, greatest(0, least(1, s + d)) FROM f JOIN e ON e.user_id = f.user_id AND e.k = f.k + 1) SELECT user_id, round(arg_max(s, k), 6) AS score FROM f GROUP BY user_id")
 def relevance_clamped_fold(spark: SparkSession, d: str) -> DataFrame:
-    delta = F.when(F.col("event_type") == "purchase", 0.1).when(F.col("event_type") == "error", -0.1)
+    """Helpful +0.1, a correction (signup) +0.2, unhelpful -0.1, clamped after each."""
+    delta = F.when(F.col("event_type") == "purchase", 0.1).when(F.col("event_type") == "signup", 0.2).when(F.col("event_type") == "error", -0.1)
     return S.clamped_fold(A.load(spark, d, "events"), "user_id", ["ts", "event_id"], delta).select("user_id", F.round("score", 6).alias("score"))
 
 
-@query("SELECT user_id, CASE WHEN count(*) > 60 AND avg(value) > 40 THEN 'high' ELSE 'medium' END AS level FROM events GROUP BY user_id")
+@query(EV + ", u AS (SELECT user_id, count(*) AS n, least(1, avg(value) / 50) AS relevance, CASE user_id % 4 WHEN 0 THEN 'low' WHEN 1 THEN 'medium' WHEN 2 THEN 'high' ELSE 'critical' END AS level FROM ev GROUP BY user_id) SELECT user_id, level, CASE WHEN n > 10 AND relevance > 0.7 THEN CASE level WHEN 'low' THEN 'medium' WHEN 'medium' THEN 'high' ELSE 'critical' END ELSE level END AS raised FROM u")
 def importance_bump(spark: SparkSession, d: str) -> DataFrame:
-    return A.load(spark, d, "events").groupBy("user_id").agg(F.when((F.count(F.lit(1)) > 60) & (F.avg("value") > 40), "high").otherwise("medium").alias("level"))
+    """Criticality one level up after over ten accesses at a relevance over 0.7."""
+    u = A.load(spark, d, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.least(F.lit(1.0), F.avg("value") / 50).alias("relevance"))
+    levels = F.array(*map(F.lit, V.CRITICALITY))
+    u = u.withColumn("level", F.get(levels, (F.col("user_id") % 4).cast("int")))
+    return u.select("user_id", "level", T.raised(F.col("level"), F.col("n"), F.col("relevance")).alias("raised"))
 
 
 @query("SELECT event_id, CASE WHEN value >= 4 THEN 'helpful' WHEN value <= 2 THEN 'unhelpful' ELSE 'neutral' END AS rating FROM events")
@@ -96,7 +113,7 @@ def last_three_turns(spark: SparkSession, d: str) -> DataFrame:
     return G.top_per(A.load(spark, d, "conversations").select("conv_id", "turn", "role"), 3, ["conv_id"], F.desc("turn"))
 
 
-@query("SELECT conv_id, string_agg(role || ': ' || left(text, 40), ' | ' ORDER BY turn) AS context FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations) WHERE r <= 2 GROUP BY conv_id")
+@query("SELECT conv_id, string_agg(role || ': ' || CASE role WHEN 'assistant' THEN left(text, 200) ELSE text END, ' | ' ORDER BY turn) AS context FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations) WHERE r <= 2 GROUP BY conv_id")
 def prior_context_string(spark: SparkSession, d: str) -> DataFrame:
     two = G.top_per(A.load(spark, d, "conversations"), 2, ["conv_id"], F.desc("turn"))
     parts = F.array_sort(F.collect_list(F.struct("turn", F.concat(F.col("role"), F.lit(": "), F.when(F.col("role") == "assistant", F.substring("text", 1, 200)).otherwise(F.col("text"))).alias("s"))))

@@ -7,7 +7,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions import vocabulary as V
 from ..operators import graph as G
+from ..operators import retrieval as R
 from . import adapters as A
 from .adapters import with_
 
@@ -52,37 +54,45 @@ def idf_table(spark: SparkSession, d: str) -> DataFrame:
     return idf(spark, d).select("t", "df", F.round("idf", 6).alias("idf"))
 
 
-_SYN = "(VALUES " + ", ".join(f"('{k}', '{w}')" for k, v in T.SYNONYMS.items() for w in v) + ") s(key, syn)"
+_SYN = "(VALUES " + ", ".join(f"('{k}', '{w}')" for k, v in V.SYNONYMS.items() for w in v) + ") s(key, syn)"
+_WORDS = f"w AS (SELECT DISTINCT event_type AS token FROM events UNION SELECT unnest({_TOK.format('p_name || chr(32) || p_type')}) FROM part UNION SELECT unnest(['errors', 'loading', 'authenticating', 'files', 'models']))"
 
 
-@query(f"SELECT DISTINCT event_type AS token, syn FROM events JOIN {_SYN} ON event_type = key OR (length(event_type) >= 5 AND (starts_with(key, event_type) OR starts_with(event_type, key)))")
+@query(f"WITH {_WORDS}, h AS (SELECT token, key, syn, token = key AS same, length(token) >= 5 AND (starts_with(key, token) OR starts_with(token, key)) AS near FROM w, {_SYN}) SELECT DISTINCT token, syn FROM h WHERE same OR near UNION SELECT DISTINCT token, key FROM h WHERE near")
 def synonym_expand(spark: SparkSession, d: str) -> DataFrame:
-    table = spark.createDataFrame([(k, w) for k, v in T.SYNONYMS.items() for w in v], "key string, syn string")
-    t = A.load(spark, d, "events").select(F.col("event_type").alias("token")).distinct()
-    on = (F.col("token") == F.col("key")) | ((F.length("token") >= 5) & (F.col("key").startswith(F.col("token")) | F.col("token").startswith(F.col("key"))))
-    return t.join(F.broadcast(table), on).select("token", "syn").distinct()  # a fixed table
+    """Synonyms of every token; one of five characters or more also gets those of keys it begins or that begin it."""
+    table = spark.createDataFrame([(k, w) for k, v in V.SYNONYMS.items() for w in v], "key string, syn string")
+    t = A.load(spark, d, "events").select(F.col("event_type").alias("token")).union(A.load(spark, d, "part").select(F.explode(T.tokens(F.concat_ws(" ", "p_name", "p_type"))))).distinct()
+    t = t.union(spark.createDataFrame([(x,) for x in ("errors", "loading", "authenticating", "files", "models")], "token string")).distinct()
+    near = (F.length("token") >= 5) & (F.col("key").startswith(F.col("token")) | F.col("token").startswith(F.col("key")))
+    hit = t.join(F.broadcast(table), (F.col("token") == F.col("key")) | near)  # a fixed table
+    return hit.select("token", "syn").union(hit.where(near).select("token", "key")).distinct()
 
 
-_Q = f"q AS (SELECT DISTINCT unnest({_TOK.format(repr(QUESTION))}) AS t)"
+def _field_sql(table: str, fields: dict[str, float], key: str) -> str:
+    """Scores of one question over the fields of a table."""
+    asked = ", ".join(f"('{w}')" for w in R.question_words(QUESTION))
+    each = " UNION ALL ".join(f"SELECT {key} AS id, unnest(list_distinct({_TOK.format(c)})) AS t, {w}::DOUBLE AS w FROM {table}" for c, w in fields.items())
+    return f"q(t) AS (VALUES {asked}), hit AS (SELECT f.* FROM ({each}) f SEMI JOIN q ON q.t = f.t), df AS (SELECT t, count(DISTINCT id) AS df FROM hit GROUP BY t), idf AS (SELECT t, ln(((SELECT count(*) FROM {table}) + 1.0) / (df + 1)) + 1 AS idf FROM df), sc AS (SELECT id, sum(w * idf) AS score FROM hit JOIN idf USING (t) GROUP BY id)"
 
 
-def _question(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(QUESTION,)], "s string").select(F.explode(F.array_distinct(T.tokens(F.col("s")))).alias("t"))
+def _documents(spark: SparkSession, d: str) -> DataFrame:
+    return A.load(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("name"), F.col("text").alias("summary"), F.col("lang").alias("file"), F.lit("").alias("intent"))
 
 
-@query(f"WITH {_IDF}, {_Q}, s AS (SELECT doc_id, sum(w * idf) AS score FROM (SELECT doc_id, t, 1.5 AS w FROM tok UNION ALL SELECT doc_id, lower(source), 3.0 FROM documents) x JOIN q USING (t) JOIN idf USING (t) GROUP BY doc_id) SELECT doc_id, round(score, 6) AS score FROM s ORDER BY s.score DESC, doc_id DESC LIMIT 30")
+@query("WITH " + _field_sql("documents", {"source": 3.0, "text": 1.5, "lang": 0.5}, "doc_id") + " SELECT doc_id, round(s, 6) AS score FROM (SELECT doc_id, round(coalesce(score, 0), 9) AS s FROM documents LEFT JOIN sc ON id = doc_id) ORDER BY s DESC, doc_id DESC LIMIT 30")
 def relevance_topk(spark: SparkSession, d: str) -> DataFrame:
-    field = doc_tokens(spark, d).withColumn("w", F.lit(1.5)).union(A.load(spark, d, "documents").select("doc_id", F.lower("source"), F.lit(3.0)))
-    q = F.broadcast(_question(spark))  # one question's words
-    s = field.join(q, "t").join(idf(spark, d).join(q, "t", "left_semi"), "t").groupBy("doc_id").agg(F.sum(F.col("w") * F.col("idf")).alias("s"))
-    return s.orderBy(F.desc(F.round("s", 9)), F.desc("doc_id")).limit(30).select("doc_id", F.round("s", 6).alias("score"))
+    return R.shortlist(_documents(spark, d), QUESTION).select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
-@query(f"WITH {_Q}, s AS (SELECT doc_id, sum(1.5 * contains(lower(source), t)::INT + contains(lower(text), t)::INT)::DOUBLE AS score FROM documents, q WHERE length(t) > 2 GROUP BY doc_id) SELECT doc_id, score FROM s WHERE score > 0 ORDER BY score DESC, doc_id DESC LIMIT 10")
+_AGAIN = " + ".join(f"1.5 * contains(lower(source), '{w}')::INT + contains(lower(left(text, 80)), '{w}')::INT" for w in R.rerank_words(QUESTION))
+
+
+@query(f"SELECT doc_id, score FROM (SELECT doc_id, source, ({_AGAIN})::DOUBLE AS score FROM documents) WHERE score > 0 ORDER BY score DESC, source DESC, doc_id DESC LIMIT 10")
 def rerank_keyword(spark: SparkSession, d: str) -> DataFrame:
-    ts = [r["t"] for r in _question(spark).where("length(t) > 2").collect()]  # one question's words
-    score = sum((1.5 * F.contains(F.lower("source"), F.lit(t)).cast("int") + F.contains(F.lower("text"), F.lit(t)).cast("int") for t in ts), F.lit(0.0))
-    return A.load(spark, d, "documents").select("doc_id", score.alias("score")).where("score > 0").orderBy(F.desc("score"), F.desc("doc_id")).limit(10)
+    """Candidates by words of the question within their name and the first 80 characters of their summary."""
+    score = R.keyword_score(F.col("source"), F.substring("text", 1, 80), R.rerank_words(QUESTION))
+    return A.load(spark, d, "documents").select("doc_id", "source", score.alias("score")).where("score > 0").orderBy(F.desc("score"), F.desc("source"), F.desc("doc_id")).limit(10).select("doc_id", "score")
 
 
 @query("SELECT lang, count(*) AS n FROM documents GROUP BY lang")
@@ -99,12 +109,22 @@ def _paths(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT page_id, CASE lower(regexp_extract({_PATH}, '(\\.[A-Za-z0-9]+)$', 1)) WHEN '.html' THEN 'html' ELSE 'unknown' END AS language FROM pages")
 def language_detect(spark: SparkSession, d: str) -> DataFrame:
-    return _paths(spark, d).select("page_id", T.language_by_suffix(F.col("path")).alias("language"))
+    return _paths(spark, d).select("page_id", T.language_by_suffix(F.col("path"), {".html": "html"}).alias("language"))
+
+
+#: Paths with test and document names made of page paths.
+_NAMED = f"(SELECT page_id, CASE page_id % 12 WHEN 0 THEN 'tests/' WHEN 1 THEN 'docs/' WHEN 2 THEN 'adr/' WHEN 3 THEN 'rfcs/' WHEN 4 THEN 'wiki/' WHEN 5 THEN 'handbook/' ELSE '' END || {_PATH} || CASE page_id % 7 WHEN 0 THEN '/README.md' WHEN 1 THEN '/history.md' WHEN 2 THEN '/adr-12.md' WHEN 3 THEN '/test_a.py' WHEN 4 THEN '/b_test.py' WHEN 5 THEN '/Contributing.rst' ELSE '' END AS p FROM pages)"
+
 
+def _named(spark: SparkSession, d: str) -> DataFrame:
+    pick = lambda n, names: F.coalesce(F.get(F.array(*map(F.lit, names)), (F.col("page_id") % n).cast("int")), F.lit(""))
+    return _paths(spark, d).select("page_id", F.concat(pick(12, ("tests/", "docs/", "adr/", "rfcs/", "wiki/", "handbook/")), "path", pick(7, ("/README.md", "/history.md", "/adr-12.md", "/test_a.py", "/b_test.py", "/Contributing.rst"))).alias("path"))
 
-@query(f"SELECT page_id, regexp_matches(lower({_PATH}), '(^|/)(tests?|spec|__tests__)/') OR regexp_matches(lower({_PATH}), '(^|/)test_[^/]*$') OR regexp_matches(lower({_PATH}), '_test\\.[a-z]+$') AS is_test FROM pages")
+
+@query(f"SELECT page_id, starts_with(b, 'test_') OR ends_with(b, '_test.py') OR regexp_matches(p, '(^|/)(tests|test|spec|__tests__)/') AS is_test, regexp_matches(p, '(^|/)(tests?|__tests__|spec)(/|$)|(^|/)test_|_test\\.') AS in_test_flow FROM (SELECT *, regexp_extract(p, '([^/]*)$', 1) AS b FROM {_NAMED})")
 def is_test_path(spark: SparkSession, d: str) -> DataFrame:
-    return _paths(spark, d).select("page_id", T.is_test_path(F.col("path")).alias("is_test"))
+    """Both rules for test paths: that of entries and that of flows."""
+    return _named(spark, d).select("page_id", T.is_test_path(F.col("path")).alias("is_test"), T.is_test_flow(F.col("path")).alias("in_test_flow"))
 
 
 @query(f"SELECT page_id, CASE WHEN len(p) > 2 THEN p[1] || '/' || p[2] ELSE p[1] END AS top FROM (SELECT page_id, string_split({_PATH}, '/') AS p FROM pages)")
@@ -112,9 +132,9 @@ def top_directory(spark: SparkSession, d: str) -> DataFrame:
     return _paths(spark, d).select("page_id", T.top_directory(F.col("path")).alias("top"))
 
 
-@query(f"SELECT page_id, CASE WHEN starts_with(b, 'readme') THEN 'readme' WHEN starts_with(b, 'changelog') OR starts_with(b, 'history') THEN 'changelog' WHEN regexp_matches(p, '(^|/)adrs?/') OR starts_with(b, 'adr-') THEN 'adr' WHEN starts_with(b, 'contributing') THEN 'contributing' WHEN contains(p, 'rfc') THEN 'rfc' WHEN regexp_matches(p, 'design|architecture') THEN 'design' WHEN regexp_matches(p, '(^|/)docs?/') THEN 'guide' ELSE 'other' END AS kind FROM (SELECT page_id, lower({_PATH}) AS p, regexp_extract(lower({_PATH}), '([^/]*)$', 1) AS b FROM pages)")
+@query(f"SELECT page_id, CASE WHEN starts_with(b, 'readme') THEN 'readme' WHEN starts_with(b, 'changelog') OR starts_with(b, 'history') THEN 'changelog' WHEN starts_with(b, 'contributing') THEN 'contributing' WHEN regexp_matches(p, '(^|/)(adrs?|architecture[-_]?decisions?|decisions)(/|$)|(^|/)adr[-_]?[0-9]+') THEN 'adr' WHEN regexp_matches(p, '(^|/)rfcs?(/|$)|(^|/)rfc[-_]?[0-9]+') THEN 'rfc' WHEN regexp_matches(p, '(^|/)(wiki|wikis)(/|$)') THEN 'wiki' WHEN regexp_matches(p, '(^|/)(docs?|documentation|guides?|handbook)(/|$)') THEN 'guide' ELSE 'doc' END AS kind FROM (SELECT page_id, lower(p) AS p, regexp_extract(lower(p), '([^/]*)$', 1) AS b FROM {_NAMED})")
 def classify_doc_type(spark: SparkSession, d: str) -> DataFrame:
-    return _paths(spark, d).select("page_id", T.doc_type(F.col("path")).alias("kind"))
+    return _named(spark, d).select("page_id", T.doc_type(F.col("path")).alias("kind"))
 
 
 @query("SELECT page_id, CASE WHEN NOT starts_with(url, 'https://') THEN 'scheme' WHEN contains(host, '@') THEN 'credentials' WHEN regexp_extract(host, '([^.]+\\.[^.]+)$', 1) NOT IN ('example.com', 'example.net', 'example.org') THEN 'host' WHEN contains(url, '..') THEN 'traversal' END AS error FROM (SELECT *, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host FROM pages)")
@@ -122,10 +142,14 @@ def url_validate(spark: SparkSession, d: str) -> DataFrame:
     return A.load(spark, d, "pages").select("page_id", T.url_error(F.col("url")).alias("error"))
 
 
-@query(f"SELECT page_id, CASE WHEN regexp_matches({_PATH}, '^en/') THEN 'api' WHEN regexp_matches({_PATH}, '^de/') THEN 'data' WHEN regexp_matches({_PATH}, '^fr/') THEN 'view' ELSE 'logic' END AS role FROM pages")
+def _cases(column: str, rules, default: str) -> str:
+    return "CASE " + " ".join(f"WHEN regexp_matches({column}, '{pattern}') THEN '{label}'" for label, pattern in rules) + f" ELSE {default} END"
+
+
+@query(f"SELECT page_id, {_cases('p', V.ROLES, 'NULL')} AS role FROM (SELECT page_id, lower(CASE page_id % 5 WHEN 0 THEN 'external::module::' WHEN 1 THEN 'models/' WHEN 2 THEN 'api/' WHEN 3 THEN 'shared/' ELSE '' END || p) AS p FROM {_NAMED})")
 def role_from_path(spark: SparkSession, d: str) -> DataFrame:
-    p = F.col("path")
-    return _paths(spark, d).select("page_id", F.when(p.startswith("en/"), "api").when(p.startswith("de/"), "data").when(p.startswith("fr/"), "view").otherwise("logic").alias("role"))
+    pick = F.coalesce(F.get(F.array(*map(F.lit, ("external::module::", "models/", "api/", "shared/"))), (F.col("page_id") % 5).cast("int")), F.lit(""))
+    return _named(spark, d).select("page_id", T.role(F.concat(pick, "path")).alias("role"))
 
 
 _LINES = with_("lines")
@@ -180,22 +204,50 @@ def token_symbol_links(spark: SparkSession, d: str) -> DataFrame:
     return items.join(top, "t").select("item_id", "doc_id").distinct()
 
 
-@query("SELECT doc_id, CASE WHEN n > 100 THEN 'very_high' WHEN n > 50 THEN 'high' WHEN n > 20 THEN 'medium' ELSE 'low' END AS complexity, CASE WHEN regexp_matches(t, 'valid|check|verify') THEN 'validation' WHEN regexp_matches(t, 'save|store|write|insert') THEN 'persistence' WHEN regexp_matches(t, 'get|fetch|load|read|find') THEN 'retrieval' WHEN regexp_matches(t, 'convert|parse|format|trans') THEN 'transformation' WHEN regexp_matches(t, 'run|main|process|handle') THEN 'orchestration' ELSE 'unknown' END AS intent FROM (SELECT doc_id, len(string_split(text, chr(10))) AS n, lower(text) AS t FROM documents)")
+def _any(column: str, words) -> str:
+    return "(" + " OR ".join("contains({}, '{}')".format(column, w.replace("'", "''")) for w in (words.split() if isinstance(words, str) else words)) + ")"
+
+
+_INTENT = "CASE " + " ".join(f"WHEN {_any('n', words)} THEN '{label}'" for label, words in V.INTENTS) + " ELSE 'unknown' END"
+_EFFECTS = "[" + ", ".join(f"CASE WHEN {_any('c', words)} THEN '{label}' END" for label, words in V.SIDE_EFFECTS) + "]"
+#: A name and a body of code made of each document.
+_CODE = "(SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'load_' WHEN 1 THEN 'checkMain' WHEN 2 THEN 'on_helper_' WHEN 3 THEN 'render.' WHEN 4 THEN 'test_get' ELSE '' END || regexp_extract(text, '^([A-Za-z]*)', 1) AS name, CASE doc_id % 4 WHEN 0 THEN 'async def f(): yield db.query(1)' || chr(10) WHEN 1 THEN 'bus.emit(x)' || chr(10) WHEN 2 THEN '@on def g(): print(2)' || chr(10) ELSE '' END || text AS code FROM documents)"
+
+
+def _code(spark: SparkSession, d: str) -> DataFrame:
+    pick = lambda n, names: F.coalesce(F.get(F.array(*map(F.lit, names)), (F.col("doc_id") % n).cast("int")), F.lit(""))
+    name = F.concat(pick(6, ("load_", "checkMain", "on_helper_", "render.", "test_get")), F.regexp_extract("text", "^([A-Za-z]*)", 1))
+    code = F.concat(pick(4, ("async def f(): yield db.query(1)\n", "bus.emit(x)\n", "@on def g(): print(2)\n")), "text")
+    return A.load(spark, d, "documents").select("doc_id", name.alias("name"), code.alias("code"))
+
+
+@query(f"SELECT doc_id, {_INTENT} AS intent, CASE WHEN k < 20 THEN 'low' WHEN k < 50 THEN 'medium' WHEN k < 100 THEN 'high' ELSE 'very_high' END AS complexity, CASE WHEN {_any('n', V.CRITICAL_WORDS)} THEN 'high' WHEN {_any('n', V.MINOR_WORDS)} THEN 'low' ELSE 'medium' END AS criticality, coalesce(nullif(array_to_string({_EFFECTS}, ','), ''), 'none') AS side_effects, coalesce(array_to_string([CASE WHEN contains(code, 'yield ') THEN 'generator' END, CASE WHEN contains(code, 'async ') OR contains(code, 'await ') THEN 'async' END, CASE WHEN contains(code, '@') AND contains(code, 'def ') THEN 'decorator' END], ','), '') AS patterns, 0.4::DOUBLE AS confidence FROM (SELECT doc_id, lower(name) AS n, code, lower(code) AS c, len(string_split(code, chr(10))) AS k FROM {_CODE})")
 def heuristic_semantics(spark: SparkSession, d: str) -> DataFrame:
-    return A.load(spark, d, "documents").select("doc_id", T.complexity(F.size(F.split("text", "\n"))).alias("complexity"), T.intent(F.col("text")).alias("intent"))
+    """Semantics of a function from its name and code alone."""
+    code = F.col("code")
+    return _code(spark, d).select(
+        "doc_id", T.intent(F.col("name")).alias("intent"), T.complexity(F.size(F.split(code, "\n"))).alias("complexity"), T.criticality(F.col("name")).alias("criticality"),
+        F.array_join(T.side_effects(code), ",").alias("side_effects"), F.array_join(T.code_patterns(code), ",").alias("patterns"), F.lit(0.4).alias("confidence"),
+    )
 
 
-@query("SELECT doc_id, CASE WHEN contains(text, 'token =') THEN 'API' WHEN contains(text, 'License') THEN 'DB' WHEN contains(text, '@') THEN 'EMITS' ELSE 'CALLS' END AS kind FROM documents")
+_BEGINS = " OR ".join(f"starts_with(n, '{p}')" for p in V.CONSUMER_STARTS) + " OR " + " OR ".join(f"ends_with(n, '{p}')" for p in V.CONSUMER_ENDS)
+
+
+@query(f"SELECT doc_id, CASE WHEN {_any('dec', V.API_DECORATORS)} OR {_any('(chr(32) || dec)', [' ' + p for p in V.API_PREFIXES])} THEN 'EXPOSES_API' WHEN {_any('c', V.DB_CODE)} THEN 'USES_DB' WHEN {_any('c', V.EMIT_CODE)} THEN 'EMITS_EVENT' WHEN {_any('dec', V.CONSUMER_DECORATORS)} OR {_BEGINS} THEN 'CONSUMES_EVENT' ELSE 'CALLS' END AS kind FROM (SELECT doc_id, lower(name) AS n, lower(code) AS c, CASE doc_id % 13 WHEN 0 THEN 'app.route' WHEN 1 THEN 'bp.x' WHEN 2 THEN 'celery' ELSE '' END AS dec FROM {_CODE})")
 def semantic_kind_case(spark: SparkSession, d: str) -> DataFrame:
-    has = lambda s: F.contains("text", F.lit(s))
-    return A.load(spark, d, "documents").select("doc_id", F.when(has("token ="), "API").when(has("License"), "DB").when(has("@"), "EMITS").otherwise("CALLS").alias("kind"))
+    """API by decorators, database and events by code, consumers by decorators and names."""
+    dec = F.coalesce(F.get(F.array(*map(F.lit, ("app.route", "bp.x", "celery"))), (F.col("doc_id") % 13).cast("int")), F.lit(""))
+    return _code(spark, d).select("doc_id", T.semantic_kind(F.col("name"), F.col("code"), dec).alias("kind"))
+
+
+_VERB = "CASE first " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in V.VERBS.items()) + " ELSE first || CASE WHEN ends_with(first, 's') THEN '' ELSE 's' END END"
 
 
-@query()
+@query(f"WITH p AS (SELECT doc_id, name, list_filter(string_split(regexp_replace(regexp_replace(regexp_replace(name, '^(test_|_)', ''), '([a-z])([A-Z])', '\\1 \\2', 'g'), '[_.\\s]', ' ', 'g'), ' '), lambda x: x <> '') AS parts FROM {_CODE}), f AS (SELECT doc_id, name, parts, upper(parts[1][1]) || lower(parts[1][2:]) AS first FROM p) SELECT doc_id, CASE WHEN len(parts) = 0 THEN 'Function ' || name || '.' ELSE left({_VERB} || ' ' || coalesce(nullif(lower(array_to_string(parts[2:], ' ')), ''), 'function') || '.', 120) END AS line FROM f")
 def one_liner(spark: SparkSession, d: str) -> DataFrame:
-    """A phrase from a name: parts at case changes and marks, a verb for a known prefix."""
-    parts = F.split(F.col("p_name"), r"[_.\s]+|(?<=[a-z])(?=[A-Z])")
-    return A.load(spark, d, "part").select("p_partkey", F.substring(F.concat(F.lit("Handles "), F.lower(F.array_join(parts, " "))), 1, 120).alias("line"))
+    """A sentence from a name: parts at case changes and marks, a verb for a known first part."""
+    return _code(spark, d).select("doc_id", T.one_liner(F.col("name"), F.lit("function")).alias("line"))
 
 
 _SRC = "(VALUES ('a', 'int f(int x) {' || chr(10) || '  if (x) { g(x); }' || chr(10) || '}' || chr(10) || 'void h() { f(1); }'), ('b', 'class A {' || chr(10) || ' run() { return this.go(); }' || chr(10) || '}')) s(path, code)"

@@ -44,35 +44,17 @@ def test_against_sql(spark, sf, duck, name):
 
 
 THIN = "SELECT DISTINCT 'c' || o_custkey AS src, 's' || l_suppkey AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey"
-COMMERCE = "cross_dir_coupling dead_nodes depth3_view description_backfill entry_file_score expand_children_capped file_rollup_worst_of high_risk_nodes mermaid_export module_details module_flow_edges verified_flow_edges view_budget_600 visual_encodings".split()
 
 
-def same_rows(got, want):
-    cols = sorted(got.columns)
-    at = [want.columns.index(c) for c in cols]
-    a = sorted(str([norm(r[c]) for c in cols]) for r in got.collect())
-    assert a == sorted(str([norm(r[i]) for i in at]) for r in want.fetchall())
-
-
-@pytest.mark.parametrize("name", COMMERCE)
-def test_whole_commerce_graph(spark, sf, duck, name):
-    """The registered SQL cuts the edges in its CTE thin; here that CTE holds them all."""
-    sql = catalog.SQL[name].replace(A.CTE["thin"], f"thin AS ({THIN})")
-    assert "l_linenumber" not in sql
-    same_rows(catalog.QUERIES[name](spark, sf), duck.sql(sql))
-
-
-@pytest.mark.parametrize("name", "branch_roots connected_components downstream_closure execution_steps impact_risk induced_subgraph seeds_and_bfs_subgraph simple_cycles_bounded upstream_closure".split())
-def test_whole_event_graph(spark, sf, duck, name):
-    """The registered SQL keeps two edges of each node in its CTE top2; here that CTE holds them all."""
-    sql = catalog.SQL[name].replace(A.CTE["top2"], "top2 AS (SELECT src, dst, w FROM eedges)")
-    assert "r <= 2" not in sql
-    same_rows(catalog.QUERIES[name](spark, sf), duck.sql(sql))
+def test_sql_sees_all_edges(duck):
+    """The SQL's edge tables hold every pair."""
+    assert duck.sql(A.with_("ev", "eedges") + " SELECT count(*), sum(w) FROM eedges").fetchone() == (983, 984)
+    assert set(duck.sql(A.with_("cedges") + " SELECT src, dst FROM cedges").fetchall()) == set(duck.sql(THIN).fetchall())
 
 
 def test_betweenness_and_communities_see_all_edges(spark, sf, monkeypatch):
     seen = []
-    monkeypatch.setattr(G, "betweenness", lambda nodes, edges: seen.append(edges))
+    monkeypatch.setattr(G, "betweenness", lambda nodes, edges: seen.append(edges) or nodes.selectExpr("id", "0.0 betweenness"))
     monkeypatch.setattr(G, "communities", lambda nodes, edges: seen.append(edges))
     for name in ("betweenness", "communities"):
         catalog.QUERIES[name](spark, sf)
@@ -84,9 +66,10 @@ def test_shortest_path_without_limit(spark, sf, monkeypatch):
     links = spark.createDataFrame([(f"n{i:02}", f"n{i + 1:02}") for i in range(33)], "src string, dst string")
     assert tuple(G.shortest_path(links, "n00", "n33").first()) == (33, ">".join(f"n{i:02}" for i in range(34)))
     assert G.shortest_path(links, "n33", "n00").count() == 0
-    chain = spark.createDataFrame([("click:1", "a"), ("a", "b"), ("b", "c"), ("c", "view:2")], "src string, dst string")
+    chain = spark.createDataFrame([("click:1", "m"), ("m", "n"), ("n", "o"), ("o", "view:2")], "src string, dst string")
     monkeypatch.setattr(A, "event_edges", lambda *_: chain)
-    assert tuple(catalog.QUERIES["shortest_path"](spark, sf).first()) == (4, "click:1>a>b>c>view:2")
+    monkeypatch.setattr(A, "event_nodes", lambda *_: chain.selectExpr("src id").union(chain.selectExpr("dst id")))
+    assert tuple(catalog.QUERIES["shortest_path"](spark, sf).first()) == (4, "click:1>m>n>o>view:2")
 
 
 def test_prior_context_limits(spark, sf, monkeypatch):
@@ -115,7 +98,9 @@ def test_commerce_edges_and_cut_nodes(spark, sf, duck):
 
     whole = parts(None)
     cut = {v for v in near if parts(v) > whole}
-    assert {r[0] for r in catalog.QUERIES["articulation_points"](spark, sf).collect()} == cut
+    assert {r[0] for r in G.articulation_points(A.commerce_nodes(spark, sf), A.commerce_edges(spark, sf)).collect()} == cut
+    top = sorted(cut, key=lambda v: (-len(near[v]), v))[:15]
+    assert [r["id"] for r in catalog.QUERIES["articulation_points"](spark, sf).collect()] == top
 
 
 EDGES = [("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "e"), ("e", "f"), ("f", "d"), ("g", "h"), ("a", "c"), ("x", "x2")]
