@@ -340,23 +340,6 @@ def high_risk_nodes(spark: SparkSession, d: str) -> DataFrame:
     return N.high_risk(A.commerce_nodes(spark, d), A.commerce_edges(spark, d))
 
 
-@query(CO + " SELECT module AS id, '' AS parent, 1 AS depth, count(*) AS n FROM cnodes GROUP BY module")
-def depth1_view(spark: SparkSession, d: str) -> DataFrame:
-    return A.commerce_nodes(spark, d).groupBy(F.col("module").alias("id")).agg(F.lit("").alias("parent"), F.lit(1).alias("depth"), F.count(F.lit(1)).alias("n"))
-
-
-@query(CO + " SELECT 'file::' || file AS id, module AS parent, 2 AS depth, count(*) AS n FROM cnodes GROUP BY module, file")
-def depth2_view(spark: SparkSession, d: str) -> DataFrame:
-    return A.commerce_nodes(spark, d).groupBy("module", "file").agg(F.count(F.lit(1)).alias("n")).select(F.concat(F.lit("file::"), "file").alias("id"), F.col("module").alias("parent"), F.lit(2).alias("depth"), "n")
-
-
-@query(CO + " SELECT 'file::' || file AS src, id AS dst, 'CONTAINS' AS type FROM cnodes UNION ALL SELECT src, dst, 'CALLS' FROM cedges WHERE src IN (SELECT id FROM cnodes) AND dst IN (SELECT id FROM cnodes)")
-def depth3_view(spark: SparkSession, d: str) -> DataFrame:
-    n = A.commerce_nodes(spark, d)
-    inside = n.select(F.concat(F.lit("file::"), "file").alias("src"), F.col("id").alias("dst"), F.lit("CONTAINS").alias("type"))
-    return inside.union(G.induced(A.commerce_edges(spark, d), n).select("src", "dst", F.lit("CALLS")))
-
-
 @query(CO + _CDEG + " SELECT file, id, fan_in + fan_out AS degree FROM (SELECT *, row_number() OVER (PARTITION BY file ORDER BY fan_in + fan_out DESC, id) AS r FROM cd) WHERE r <= 40")
 def expand_children_capped(spark: SparkSession, d: str) -> DataFrame:
     c = _cdeg(spark, d).select("file", "id", (F.col("fan_in") + F.col("fan_out")).alias("degree"))
@@ -384,14 +367,6 @@ def layout_grid(spark: SparkSession, d: str) -> DataFrame:
     return r.select("file", "id", (F.col("k") % F.col("cols")).alias("x"), F.floor(F.col("k") / F.col("cols")).alias("y"))
 
 
-@query(CO + _CDEG + ", s AS (SELECT file, sum((kind = 'function')::INT * 5 + least(fan_out, 6) * 0.5 + (fan_in = 0)::INT * 2)::DOUBLE AS score FROM cd GROUP BY file), m AS (SELECT max(score) AS m FROM s) SELECT file, round(score, 3) AS score FROM s, m WHERE m < 60 OR score >= 60 ORDER BY s.score DESC, file LIMIT 4")
-def entry_file_score(spark: SparkSession, d: str) -> DataFrame:
-    one = (F.col("kind") == "function").cast("int") * 5 + F.least(F.col("fan_out"), F.lit(6)) * 0.5 + (F.col("fan_in") == 0).cast("int") * 2
-    s = _cdeg(spark, d).groupBy("file").agg(F.sum(one).alias("score"))
-    s = s.crossJoin(s.agg(F.max("score").alias("m")))  # one row
-    return s.where("m < 60 or score >= 60").orderBy(F.desc("score"), "file").limit(4).select("file", F.round("score", 3).alias("score"))
-
-
 @query(CO + " SELECT 'n' || row_number() OVER (ORDER BY a.module, b.module) AS line, regexp_replace(a.module, '[^A-Za-z0-9_]', '_', 'g') || ' --> ' || regexp_replace(b.module, '[^A-Za-z0-9_]', '_', 'g') AS mermaid" + _ENDS + " WHERE a.module <> b.module GROUP BY a.module, b.module")
 def mermaid_export(spark: SparkSession, d: str) -> DataFrame:
     e = _ends(spark, d).where("sm <> tm").select("sm", "tm").distinct()

@@ -155,11 +155,6 @@ def role_from_path(spark: SparkSession, d: str) -> DataFrame:
 _LINES = with_("lines")
 
 
-@query(_LINES + " SELECT doc_id, line, length(regexp_extract(text, '^(#+)', 1))::INT AS level FROM lines WHERE regexp_matches(text, '#')")
-def doc_sections(spark: SparkSession, d: str) -> DataFrame:
-    return A.doc_lines(spark, d).where(F.contains("text", F.lit("#"))).select("doc_id", "line", F.length(F.regexp_extract("text", "^(#+)", 1)).alias("level"))
-
-
 @query(_LINES + ", s AS (SELECT *, regexp_matches(text, 'License|Copyright|token') AS mark FROM lines) SELECT doc_id, line, last_value(CASE WHEN mark THEN line END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line ROWS UNBOUNDED PRECEDING)::INT AS section FROM s")
 def section_asof(spark: SparkSession, d: str) -> DataFrame:
     by = W.partitionBy("doc_id").orderBy("line").rowsBetween(W.unboundedPreceding, 0)
