@@ -295,6 +295,44 @@ def induced(edges: DataFrame, ids: DataFrame) -> DataFrame:
     return edges.join(keep.withColumnRenamed("id", "src"), "src", "left_semi").join(keep.withColumnRenamed("id", "dst"), "dst", "left_semi")
 
 
+def merge_view(nodes: DataFrame, more: DataFrame) -> DataFrame:
+    """A view's nodes and those of ``more`` whose id it lacks; what it has stays as it is."""
+    return nodes.unionByName(more.dropDuplicates(["id"]).join(nodes.select("id"), "id", "left_anti").select(*nodes.columns))
+
+
+def descendants(links: DataFrame, node: str) -> DataFrame:
+    """(id) of all below a node in a parent table (id, parent), itself not among them."""
+    edges = links.where("parent is not null").select(F.col("parent").alias("src"), F.col("id").alias("dst"))
+    start = links.sparkSession.createDataFrame([(node,)], "id string")
+    return closure(edges, start).where(F.col("id") != node)
+
+
+def remove_subtree(nodes: DataFrame, edges: DataFrame, node: str, keep: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Nodes (id, parent) and edges (src, dst) without what is below a node, and without itself unless ``keep``."""
+    gone = descendants(nodes.select("id", "parent"), node)
+    gone = written(gone if keep else gone.union(nodes.where(F.col("id") == node).select("id")))
+    left = nodes.join(gone, "id", "left_anti")
+    return left, edges.join(gone.toDF("src"), "src", "left_anti").join(gone.toDF("dst"), "dst", "left_anti").select(*edges.columns)
+
+
+def deep_expand(edges: DataFrame, node: str, hops: int = 3, most: int = 60) -> DataFrame:
+    """(id, hop, parent): up to ``most`` new nodes within ``hops`` of a node, nearest first, then by parent and id."""
+    start = edges.sparkSession.createDataFrame([(node,)], "id string")
+    found = bfs(edges, start, hops).where("hop > 0")
+    return found.orderBy("hop", "parent", "id").limit(most)
+
+
+def hover(edges: DataFrame, node: str) -> DataFrame:
+    """(id) of a node and all it shares an edge with."""
+    near = edges.where((F.col("src") == node) | (F.col("dst") == node))
+    return near.select(F.explode(F.array("src", "dst")).alias("id")).union(edges.sparkSession.createDataFrame([(node,)], "id string")).distinct()
+
+
+def affected_modules(members: DataFrame, changed: DataFrame) -> DataFrame:
+    """(module) of modules with a file (module, file) among the changed ones (file)."""
+    return members.join(changed.select("file").distinct(), "file", "left_semi").select("module").distinct()
+
+
 def roots(links: DataFrame) -> DataFrame:
     """(id, root, depth) by pointer jumping over a parent table (id, parent, null at roots); a cycle stops at 32 jumps."""
     state = links.select("id", F.coalesce("parent", "id").alias("root"), F.col("parent").isNotNull().cast("int").alias("depth"))

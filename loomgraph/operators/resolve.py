@@ -6,32 +6,107 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 
-def _unique(nodes: DataFrame, *keys: str, alias: str) -> DataFrame:
-    """Keys that exactly one node has, with its id: a join on them cannot multiply rows."""
-    return nodes.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.first("id").alias(alias)).where("_n = 1").drop("_n")
 
+def _unique(rows: DataFrame, *keys: str, alias: str) -> DataFrame:
+    """Keys that exactly one id has, with it: a join on them cannot multiply rows."""
+    return rows.groupBy(*keys).agg(F.countDistinct("id").alias("_n"), F.min("id").alias(alias)).where("_n = 1").drop("_n")
 
-def resolve_calls(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(id, target_id, confidence, line): own class, receiver's class, same file, then unique in the repository; others go.
 
-    ``edges``: id, target, receiver, line; ``nodes``: id, name, kind, path.
+def _with(df: DataFrame, *names: str) -> DataFrame:
+    """``df`` with missing columns as nulls."""
+    return df.select("*", *[F.lit(None).cast("string").alias(n) for n in names if n not in df.columns])
+
+
+def resolve_calls(edges: DataFrame, nodes: DataFrame, attrs: DataFrame | None = None, imports: DataFrame | None = None) -> DataFrame:
+    """(id, target_id, confidence, line): each symbolic call's one target; calls without one, and self-calls, go.
+
+    Tiers: 1 ``self.f`` in the enclosing class (0.95); 2 ``self.x.f`` by the recorded type of x (0.90); 3 a receiver that
+    is a class (0.85); 4 a receiver that is an imported module's name, by the one file of that stem with such a function
+    (0.90); 5 a bare name in the same file (0.80, other languages 0.65); 6 the one function of that name anywhere (0.65
+    and 0.50 bare, 0.55 with a receiver). Classes of one name (their inheritance) resolve by ``resolve_bases``.
+
+    ``edges``: id, target, receiver, line and, if there, owner (dotted), path and adapter (else Python). ``nodes``: id,
+    name, kind, path and, if there, type. ``attrs``: path, owner, name, target; ``imports``: path, name, target.
     """
-    e = edges.withColumn("_path", F.split("id", "::")[0]).withColumn("_class", F.regexp_extract("id", r"^(.*)\.[^.:]+$", 1))
-    own = nodes.select(F.col("id").alias("t1")).distinct()
-    method = _unique(nodes.withColumn("_suffix", F.regexp_extract("id", r"::(.*)$", 1)), "_suffix", alias="t3")
-    local = nodes.where("kind = 'function'").groupBy(F.col("path").alias("_path"), F.col("name").alias("target")).agg(F.max("id").alias("t5"))
-    everywhere = _unique(nodes.where("kind = 'function'"), "name", alias="t6").withColumnRenamed("name", "target")
-    none = F.coalesce(F.col("receiver"), F.lit("")) == ""
-    e = e.withColumn("_k1", F.when(F.col("receiver") == "self", F.concat_ws(".", "_class", "target"))).join(own, F.col("_k1") == F.col("t1"), "left")
-    e = e.withColumn("_suffix", F.when(~none, F.concat_ws(".", "receiver", "target"))).join(method, "_suffix", "left")
+    e, n = _with(edges, "owner", "path", "adapter"), _with(nodes, "type")
+    python = F.coalesce("adapter", F.lit("python_ast")) == "python_ast"
+    e = e.withColumn("_path", F.coalesce("path", F.split("id", "::")[0])).withColumn("_python", python).withColumn("receiver", F.when(F.col("receiver") != "", F.col("receiver")))
+    e = e.withColumn("_owner", F.coalesce("owner", F.regexp_extract("id", r"::(.*)\.[^.:]+$", 1)))
+    function = F.coalesce(F.col("type") == "function", (F.col("kind") == "function"))
+    own = n.select(F.col("id").alias("t1")).distinct()
+    suffix = F.regexp_extract("id", r"([^.:]+\.[^.:]+)$", 1)
+    method = _unique(n.withColumn("_suffix", suffix).where("_suffix <> ''"), "_suffix", alias="m")
+    local = n.where(function).groupBy(F.col("path").alias("_path"), F.col("name").alias("target")).agg(F.max("id").alias("t5"))
+    everywhere = _unique(n.where(function), "name", alias="t6").withColumnRenamed("name", "target")
+    bare, on_self = F.col("receiver").isNull(), F.col("receiver") == "self"
+    plain = F.col("_python") & ~bare & ~F.col("receiver").contains(".") & ~F.col("receiver").isin("self", "cls")
+
+    e = e.withColumn("_k", F.when(F.col("_python") & on_self & (F.col("_owner") != ""), F.concat(F.col("_path"), F.lit("::"), "_owner", F.lit("."), "target"))).join(own, F.col("_k") == F.col("t1"), "left")
+    if attrs is not None:
+        kinds = attrs.groupBy(F.col("path").alias("_path"), F.col("owner").alias("_owner"), F.col("name").alias("_attr")).agg(F.max_by("target", "line").alias("_type"))
+        e = e.withColumn("_attr", F.when(F.col("_python"), F.regexp_extract("receiver", r"^self\.(.+)$", 1))).join(kinds, ["_path", "_owner", "_attr"], "left")
+        e = e.withColumn("_s", F.when(F.col("_type").isNotNull(), F.concat_ws(".", "_type", "target"))).join(method.toDF("_s", "t2"), "_s", "left").drop("_s")
+    else:
+        e = e.withColumn("t2", F.lit(None).cast("string"))
+    e = e.withColumn("_s", F.when(plain, F.concat_ws(".", "receiver", "target"))).join(method.toDF("_s", "t3"), "_s", "left").drop("_s")
+    if imports is not None:
+        stems = _unique(n.where(function).withColumn("_stem", F.regexp_extract("path", r"([^/]*?)(?:\.[^./]*)?$", 1)), "_stem", "name", alias="t4").withColumnRenamed("name", "target")
+        alias = imports.groupBy(F.col("path").alias("_path"), F.col("name").alias("_alias")).agg(F.max_by("target", "line").alias("_full"))
+        e = e.withColumn("_alias", F.when(plain, F.col("receiver"))).join(alias, ["_path", "_alias"], "left")
+        e = e.withColumn("_stem", F.regexp_extract("_full", r"([^.]*)$", 1)).join(stems, ["_stem", "target"], "left")
+    else:
+        e = e.withColumn("t4", F.lit(None).cast("string"))
     e = e.join(local, ["_path", "target"], "left").join(everywhere, "target", "left")
-    tier = lambda c, ok, p: F.when(ok & F.col(c).isNotNull(), F.struct(F.col(c).alias("t"), F.lit(p).alias("p")))
-    best = F.coalesce(tier("t1", F.lit(True), 0.95), tier("t3", F.lit(True), 0.85), tier("t5", none, 0.80), tier("t6", none, 0.65), tier("t6", ~none, 0.55))
+    tier = lambda c, ok, p: F.when(ok & F.col(c).isNotNull(), F.struct(F.col(c).alias("t"), p.alias("p")))
+    yes, by = F.lit(True), lambda a, b: F.when(F.col("_python"), a).otherwise(b)
+    best = F.coalesce(tier("t1", yes, F.lit(0.95)), tier("t2", yes, F.lit(0.90)), tier("t3", yes, F.lit(0.85)), tier("t4", yes, F.lit(0.90)), tier("t5", bare, by(0.80, 0.65)), tier("t6", bare, by(0.65, 0.50)), tier("t6", ~bare, F.lit(0.55)))
     found = e.select("id", best.alias("b"), "line").where("b is not null and b.t <> id")
     return found.select("id", F.col("b.t").alias("target_id"), F.col("b.p").alias("confidence"), "line")
 
 
+def resolve_bases(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(id, target_id): each base class by the one class of that name."""
+    one = _unique(nodes.where("kind = 'type'"), "name", alias="target_id")
+    return edges.where("relation = 'EXTENDS'").select("id", F.regexp_extract("target", r"([^.:]+)$", 1).alias("name")).join(one, "name").where("id <> target_id").select("id", "target_id")
+
+
+def external_modules(imports: DataFrame) -> DataFrame:
+    """(id, name): a node for each imported module."""
+    return imports.select(F.concat(F.lit("external::module::"), "target").alias("id"), F.col("target").alias("name")).distinct()
+
+
+def extra_edges(edges: DataFrame, found: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``edges`` (src, dst) and those of another analysis that have both ends, aren't loops and are new."""
+    known = nodes.select("id")
+    more = found.where("src <> dst").join(known.toDF("src"), "src", "left_semi").join(known.toDF("dst"), "dst", "left_semi").join(edges.select("src", "dst"), ["src", "dst"], "left_anti")
+    return edges.select("src", "dst").union(more.select("src", "dst").distinct())
+
+
+def graph_of(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes and resolved edges (src, dst, relationship, confidence) of extracted rows: ids made unique, first edge of each kind."""
+    files = rows.where("row = 'node'")
+    nodes = disambiguate(files, "id", "line")
+    symbolic = rows.where("row = 'edge' and relation = 'INVOKES'").select("id", "target", "receiver", "owner", "path", "adapter", "line")
+    attrs, imports = rows.where("row = 'attr'"), rows.where("row = 'import'")
+    calls = resolve_calls(symbolic, nodes, attrs.select("path", "owner", "name", "target", "line"), imports.select("path", "name", "target", "line"))
+    calls = calls.select(F.col("id").alias("src"), F.col("target_id").alias("dst"), F.lit("INVOKES").alias("relationship"), "confidence", "line")
+    inside = rows.where("row = 'edge' and relation = 'CONTAINS'").select("id", "target", "relation", F.lit(1.0), "line")
+    bases = resolve_bases(rows.where("row = 'edge'"), nodes).select("id", "target_id", F.lit("EXTENDS"), F.lit(0.65), F.lit(0))
+    outside = imports.select("id", F.concat(F.lit("external::module::"), "target"), "relation", F.lit(1.0), "line")
+    every = first_per(calls.union(inside).union(bases).union(outside), ["src", "dst", "relationship"], "line")
+    return nodes, every.drop("line")
+
+
+def file_imports(rows: DataFrame) -> DataFrame:
+    """(sf, tf): files that import another file of the repository, by the module's path."""
+    stem = lambda c: F.regexp_replace(F.regexp_replace(F.col(c), r"\.[^./]*$", ""), "/", ".")
+    files = rows.where("row = 'node' and kind = 'file'").select(F.col("path").alias("tf"), stem("path").alias("m"))
+    asked = rows.where("row = 'import'").select(F.col("path").alias("sf"), F.explode(F.array("target", F.regexp_replace("target", r"\.[^.]*$", ""))).alias("m")).distinct()
+    return asked.join(files, "m").where("sf <> tf").select("sf", "tf").distinct()
+
+
 def first_per(df: DataFrame, keys: list[str], *order) -> DataFrame:
     """The first row of each key."""
     return df.withColumn("_r", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where("_r = 1").drop("_r")
@@ -46,3 +121,25 @@ def disambiguate(df: DataFrame, id_col: str, line_col: str) -> DataFrame:
 def merge(old: DataFrame, new: DataFrame, changed: DataFrame, key: str) -> DataFrame:
     """Rows of ``old`` outside the changed keys, and all of ``new``."""
     return old.join(changed.select(key).distinct(), key, "left_anti").unionByName(new)
+
+
+def merge_graph(nodes: DataFrame, edges: DataFrame, new_nodes: DataFrame, new_edges: DataFrame, changed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A graph after files (path) changed: nodes of other files and the new ones; edges whose ends are both kept, and the new ones."""
+    kept = nodes.join(changed.select("path").distinct(), "path", "left_anti")
+    ids = kept.select("id")
+    old = edges.join(ids.toDF("src"), "src", "left_semi").join(ids.toDF("dst"), "dst", "left_semi")
+    return kept.unionByName(new_nodes), old.select(*edges.columns).unionByName(new_edges).distinct()
+
+
+def semantic_edges(found: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(src, dst, type, confidence, inferred_by) of edges inferred to names; of equal names the last node counts, never itself.
+
+    ``found``: src, target_name, type, confidence. Over 0.5 a model inferred it, else heuristics.
+    """
+    last = nodes.groupBy(F.col("name").alias("target_name")).agg(F.max("id").alias("dst"))
+    out = found.join(last, "target_name").where("src <> dst")
+    return out.select("src", "dst", "type", "confidence", F.when(F.col("confidence") > 0.5, "bob").otherwise("heuristic").alias("inferred_by"))
+
+
+def impact_kind(nodes: DataFrame) -> DataFrame:
+    return nodes.withColumn("semantic_kind", T.semantic_kind(F.col("name"), F.col("code"), F.col("decorators")))

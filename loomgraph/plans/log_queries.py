@@ -12,7 +12,6 @@ from ..operators import graph as G
 from ..operators import learning as L
 from ..operators import resolve as R
 from ..operators import stateful as S
-from ..sources import extract as X
 from . import adapters as A
 from .adapters import with_
 
@@ -230,24 +229,3 @@ def incremental_merge(spark: SparkSession, d: str) -> DataFrame:
     changed = A.load(spark, d, "customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("o_custkey"))
     new = o.join(changed, "o_custkey", "left_semi").withColumn("o_totalprice", F.col("o_totalprice") * 2)
     return R.merge(o, new, changed, "o_custkey").select("o_orderkey", "o_totalprice")
-
-
-FIXTURE = [
-    ("pkg/a.py", "from pkg.b import helper\nclass Base: pass\n@deco\nclass Service(Base):\n    def handle(self, x: int) -> str:\n        return self.step(x)\n    def step(self, x):\n        return helper(x)\ndef run():\n    m = __import__('json')\n    return Service().handle(1)\n"),
-    ("pkg/b.py", "def helper(x):\n    return x\ndef unused():\n    return helper(2)\n"),
-    ("web/app.js", "import { start } from './util'\nclass Controller extends BaseController {\n  handle(x) {\n    return start(x)\n  }\n}\nfunction start(x) {\n  return compute(x)\n}\n"),
-    ("src/main.c", "#include \"calc.h\"\nint compute(int x) {\n  return x;\n}\nint main(void) {\n  return compute(1);\n}\n"),
-]
-
-
-@query()
-def code_symbols_fixture(spark: SparkSession, d: str) -> DataFrame:
-    return X.extract(spark.createDataFrame(FIXTURE, "path string, text string"))
-
-
-@query()
-def code_calls_resolved(spark: SparkSession, d: str) -> DataFrame:
-    rows = X.extract(spark.createDataFrame(FIXTURE, "path string, text string"))
-    nodes = rows.where("row = 'node'").select("id", "name", "kind", "path")
-    edges = rows.where("row = 'edge' and relation = 'INVOKES'").select("id", "target", "receiver", "line")
-    return R.first_per(R.resolve_calls(edges, nodes), ["id", "target_id"], "line")

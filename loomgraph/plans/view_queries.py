@@ -70,13 +70,6 @@ def visual_encodings(spark: SparkSession, d: str) -> DataFrame:
     return _cdeg(spark, d).select("id", border.alias("border"), F.round(F.sqrt(into + out) * 34, 3).alias("size"), role.alias("role"))
 
 
-@query(CO + _CDEG + " SELECT id, CASE WHEN fan_in + fan_out = 0 THEN 'Unconnected ' || kind || ' in ' || file ELSE upper(kind[1]) || kind[2:] || ' in ' || file || ', ' || fan_in || ' callers, ' || fan_out || ' callees' END AS description FROM cd")
-def description_backfill(spark: SparkSession, d: str) -> DataFrame:
-    """A text with counts for nodes that have none of their own."""
-    long = F.concat(F.initcap("kind"), F.lit(" in "), "file", F.lit(", "), "fan_in", F.lit(" callers, "), "fan_out", F.lit(" callees"))
-    return _cdeg(spark, d).select("id", F.when(F.col("fan_in") + F.col("fan_out") == 0, F.concat(F.lit("Unconnected "), "kind", F.lit(" in "), "file")).otherwise(long).alias("description"))
-
-
 _TOP = ", o AS (SELECT src AS id, count(*) AS n FROM eedges GROUP BY src), t AS (SELECT id, row_number() OVER (ORDER BY n DESC, id) AS pos FROM (FROM o ORDER BY n DESC, id LIMIT 5))"
 
 
