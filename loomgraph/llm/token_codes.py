@@ -36,9 +36,9 @@ END_ID = 0
 #: A segment is closed at this many ids (a longer document is a segment of its own).
 SEGMENT_IDS = 1 << 20
 #: Entries of a worker's table of encoded pieces (about 40 bytes each); the table starts anew when full.
-PIECES = 600_000
+PIECES = 500_000
 #: Pieces encoded in one string, and bytes of text that are cut at a time (a longer text is a part of its own).
-JOINED, SLICE = 512, 4 << 20
+JOINED, SLICE = 512, 2 << 20
 _SHIFTS = struct.Struct("<IQQQQ")
 
 
@@ -85,10 +85,12 @@ class Encoder:
 
     def _reset(self) -> None:
         self.known = pa.array([], pa.string())
-        self.flat, self.at = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        self.flat, self.at = np.zeros(0, np.uint32), np.zeros(1, np.int32)
 
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(x.ids, np.uint32) for x in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        """Ids of each text; few at a time, since what the tokenizer returns is a hundred bytes an id."""
+        parts = (texts[k : k + 32] for k in range(0, len(texts), 32))
+        return [np.array(x.ids, np.uint32) for part in parts for x in self.tok.encode_batch_fast(part, add_special_tokens=False)]
 
     def _encoded(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids and count of ids of distinct pieces: those without white space inside in joined lines, others alone."""
@@ -121,13 +123,14 @@ class Encoder:
         new = distinct.filter(pc.is_null(at))
         if len(new):
             ids, sizes = self._encoded(new)
-            at = at.to_numpy(zero_copy_only=False)
-            at[np.isnan(at)] = np.arange(len(self.known), len(self.known) + len(new))
+            fresh = pc.is_null(at).to_numpy(zero_copy_only=False)
+            at = pc.fill_null(at, 0).to_numpy(zero_copy_only=False).copy()
+            at[fresh] = np.arange(len(self.known), len(self.known) + len(new))
             self.known = pa.concat_arrays([self.known, new])
             self.flat = np.concatenate([self.flat, ids])
-            self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(sizes)])
-            return at.astype(np.int64)
-        return at.to_numpy().astype(np.int64)
+            self.at = np.concatenate([self.at, (self.at[-1] + np.cumsum(sizes)).astype(np.int32)])
+            return at
+        return at.to_numpy()
 
     def _cut(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The pieces' places in the table, text after text, and the count of pieces before each text and after all."""
@@ -137,7 +140,7 @@ class Encoder:
         data = np.frombuffer(whole, np.uint8)[ends[0] : ends[-1]] if whole is not None else np.zeros(0, np.uint8)
         ends = (ends - ends[0]).astype(np.int64)
         if not len(data):
-            return np.zeros(0, np.int64), np.zeros(len(texts) + 1, np.int64)
+            return np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64)
         letter = _ALPHA[data]  # ASCII, and what follows the byte C3 but for two marks
         letter[1:] |= (data[:-1] == 0xC3) & (data[1:] != 0x97) & (data[1:] != 0xB7)
         begins, seen = _BEGINS[data], letter | _SEEN[data]
@@ -165,6 +168,7 @@ class Encoder:
         size = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
         a = 0
         while a < len(texts):
+            pa.default_memory_pool().release_unused()
             if odd[a]:
                 yield texts.slice(a, 1), False
                 a += 1
@@ -210,7 +214,7 @@ def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """start, start + 1, ... of every start, as many as its size, one after another."""
     total = np.cumsum(sizes)
     n = int(total[-1]) if len(total) else 0
-    return np.repeat(starts - (total - sizes), sizes) + np.arange(n)
+    return np.repeat((starts - (total - sizes)).astype(np.int32), sizes) + np.arange(n, dtype=np.int32)  # within a table or a part
 
 
 def level_widths(ids: np.ndarray, most: int = 4) -> list[int]:
