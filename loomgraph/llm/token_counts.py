@@ -18,8 +18,9 @@ from ..session import ship
 from .common import written
 from .token_codes import encoder
 
-#: Lengths in a bucket of the two-level suffix sums.
-BUCKET = 1024
+#: Lengths in a bucket, and buckets in a bucket of the next level; four levels of suffix sums. A text has under 2**31
+#: bytes and so ids, which leaves at most 2**7 sums for the driver.
+BUCKET, LEVELS = 64, 4
 
 
 def _lengths(path: str):
@@ -41,20 +42,31 @@ def histogram(docs: DataFrame, tokenizer: str, text_col: str = "text") -> DataFr
 def suffix_sums(hist: DataFrame) -> DataFrame:
     """For each length that occurs: docs_at_least, tokens_at_least, truncated_total (every document cut there), share_up_to.
 
-    Sums run within buckets of lengths and over the buckets' sums, so no task sorts all lengths.
+    Sums run within buckets of lengths, within buckets of those, and over the last level's few sums, so no task sorts all
+    lengths. An empty histogram gives no rows.
     """
-    rows = hist.withColumn("b", F.floor(F.col("n_tokens") / BUCKET)).withColumn("t", F.col("n_tokens") * F.col("n_docs"))
-    after = W.orderBy(F.desc("b")).rowsBetween(W.unboundedPreceding, -1)
-    sums = rows.groupBy("b").agg(F.sum("n_docs").alias("bd"), F.sum("t").alias("bt"))
-    sums = sums.select("b", F.coalesce(F.sum("bd").over(after), F.lit(0)).alias("bd"), F.coalesce(F.sum("bt").over(after), F.lit(0)).alias("bt"))
-    within = W.partitionBy("b").orderBy(F.desc("n_tokens"))
-    rows = rows.withColumn("d", F.sum("n_docs").over(within)).withColumn("s", F.sum("t").over(within)).join(sums, "b")
-    total = hist.agg(F.sum("n_docs").alias("docs"), F.sum(F.col("n_tokens") * F.col("n_docs")).alias("tokens"))
-    rows = rows.crossJoin(F.broadcast(total))  # one row
-    at_least, tokens = F.col("d") + F.col("bd"), F.col("s") + F.col("bt")
-    return rows.select(
-        "n_tokens", "n_docs", at_least.alias("docs_at_least"), tokens.alias("tokens_at_least"),
-        (F.col("tokens") - tokens + F.col("n_tokens") * at_least).alias("truncated_total"), ((F.col("docs") - at_least + F.col("n_docs")) / F.col("docs")).alias("share_up_to"),
+    level = hist.select(F.col("n_tokens").alias("b0"), F.col("n_docs").alias("d"), (F.col("n_tokens") * F.col("n_docs")).alias("t"))
+    levels = []
+    for k in range(LEVELS):
+        up = F.floor(F.col(f"b{k}") / BUCKET).alias(f"b{k + 1}")
+        level = level.select(f"b{k}", "d", "t", up)
+        levels.append(level)
+        level = level.groupBy(f"b{k + 1}").agg(F.sum("d").alias("d"), F.sum("t").alias("t"))
+    top = sorted((tuple(r) for r in level.collect()), reverse=True)  # at most 2**31 / BUCKET**LEVELS rows
+    docs, tokens, rest = sum(r[1] for r in top), sum(r[2] for r in top), []
+    d = t = 0
+    for b, n, m in top:
+        rest.append((b, d, t))
+        d, t = d + n, t + m
+    after = hist.sparkSession.createDataFrame(rest, f"b{LEVELS} long, da long, ta long")  # sums over longer lengths
+    for k in range(LEVELS - 1, -1, -1):
+        longer = W.partitionBy(f"b{k + 1}").orderBy(F.desc(f"b{k}")).rowsBetween(W.unboundedPreceding, -1)
+        within = levels[k].select(f"b{k}", f"b{k + 1}", "d", "t", *[F.coalesce(F.sum(c).over(longer), F.lit(0)).alias(c + "w") for c in "dt"])
+        after = within.join(F.broadcast(after) if k == LEVELS - 1 else after, f"b{k + 1}").select(f"b{k}", *["d", "t"] * (k == 0), (F.col("da") + F.col("dw")).alias("da"), (F.col("ta") + F.col("tw")).alias("ta"))
+    at_least, held, length = F.col("d") + F.col("da"), F.col("t") + F.col("ta"), F.col("b0")
+    return after.select(
+        length.alias("n_tokens"), F.col("d").alias("n_docs"), at_least.alias("docs_at_least"), held.alias("tokens_at_least"),
+        (F.lit(tokens) - held + length * at_least).alias("truncated_total"), ((F.lit(docs) - F.col("da")) / F.lit(max(docs, 1))).alias("share_up_to"),
     )
 
 

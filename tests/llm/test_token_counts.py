@@ -6,7 +6,7 @@ from loomgraph.llm import common, queries, token_counts
 
 
 def test_suffix_sums(spark, sf, monkeypatch):
-    monkeypatch.setattr(token_counts, "BUCKET", 50)
+    monkeypatch.setattr(token_counts, "BUCKET", 7)
     path = queries.tokenizer_path()
     tok = Tokenizer.from_file(path)
     docs = common.table(spark, sf, "documents").select("text").union(spark.createDataFrame([(None,), ("",), ("a b",), ("a b",)], "text string"))
