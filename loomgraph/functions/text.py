@@ -105,10 +105,11 @@ def doc_type(path: Column) -> Column:
 
 
 def url_error(url: Column, hosts: tuple[str, ...] = ("example.com", "example.net", "example.org")) -> Column:
-    """null for a url that may be fetched, else why not: scheme, credentials, host, traversal."""
+    """null for a url that may be fetched, else why not: scheme, credentials, host (or no subdomain of one), traversal, path."""
     host = F.regexp_extract(url, r"^[a-z]+://([^/?#]*)", 1)
     bare = F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1)
-    return F.when(~url.startswith("https://"), "scheme").when(host.contains("@"), "credentials").when(~bare.isin(*hosts), "host").when(url.contains(".."), "traversal")
+    path = F.regexp_extract(url, r"^[a-z]+://[^/?#]*([^?#]*)", 1)
+    return F.when(~url.startswith("https://"), "scheme").when(host.contains("@"), "credentials").when(~bare.isin(*hosts), "host").when(path.contains(".."), "traversal").when(path.isin("", "/"), "path")
 
 
 def risk(reach: Column, criticality: Column | None = None, kind: Column | None = None) -> Column:
@@ -229,5 +230,27 @@ def role(path: Column) -> Column:
     return first_like(F.lower(path), V.ROLES, None)
 
 
+def domain(words: Column) -> Column:
+    """The domain of which most keywords are in a text, the first of equals; ``general`` without any."""
+    scored = [F.struct(sum((F.when(words.contains(k), 1).otherwise(0) for k in keys.split()), F.lit(0)).alias("n"), F.lit(-i).alias("i"), F.lit(name).alias("d")) for i, (name, keys) in enumerate(V.DOMAINS)]
+    best = F.greatest(*scored)
+    return F.when(best["n"] > 0, best["d"]).otherwise("general")
+
+
+def step_kind(intent: Column, kind: Column) -> Column:
+    """What an execution step is: stored or fetched data count as database use, whatever its kind says."""
+    return F.when(intent.isin("persistence", "retrieval"), "USES_DB").otherwise(kind)
+
+
+def border(complexity: Column) -> Column:
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in V.BORDERS.items() for x in pair]), complexity), F.lit(1.0))
+
+
+def glow(ratio: Column) -> tuple[Column, Column]:
+    """Blur and opacity of a central node's glow; null under 0.18."""
+    seen = ratio >= 0.18
+    return F.when(seen, F.round(5 + ratio * 16, 0)), F.when(seen, F.round(0.2 + ratio * 0.4, 2))
+
+
 def mermaid_id(s: Column) -> Column:
     return F.regexp_replace(s, "[^A-Za-z0-9_]", "_")

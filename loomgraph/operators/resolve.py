@@ -6,8 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import text as T
-
 
 def _unique(rows: DataFrame, *keys: str, alias: str) -> DataFrame:
     """Keys that exactly one id has, with it: a join on them cannot multiply rows."""
@@ -72,6 +70,24 @@ def resolve_bases(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.where("relation = 'EXTENDS'").select("id", F.regexp_extract("target", r"([^.:]+)$", 1).alias("name")).join(one, "name").where("id <> target_id").select("id", "target_id")
 
 
+def by_name(asked: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(q, id, tier) of asked names (q): 0 exact, 1 without case, 2 as a prefix; the first node of the best tier.
+
+    Nodes (id, name) are reduced to one a name first. Each tier asks only for what the one before left, and prefixes are
+    joined by their own length, so no names are paired without a key.
+    """
+    one = nodes.groupBy("name").agg(F.min("id").alias("id"))
+    exact = asked.join(one.withColumnRenamed("name", "q"), "q").select("q", "id", F.lit(0).alias("tier"))
+    rest = asked.join(exact.select("q"), "q", "left_anti")
+    low = one.groupBy(F.lower("name").alias("k")).agg(F.min("id").alias("id"))
+    loose = rest.withColumn("k", F.lower("q")).join(low, "k").select("q", "id", F.lit(1).alias("tier"))
+    rest = rest.join(loose.select("q"), "q", "left_anti").where("q <> ''")
+    sizes = rest.select(F.length("q").alias("n")).distinct()
+    heads = low.join(F.broadcast(sizes), F.length("k") >= F.col("n")).select(F.expr("substring(k, 1, n)").alias("k"), "id").groupBy("k").agg(F.min("id").alias("id"))  # a few lengths
+    head = rest.withColumn("k", F.lower("q")).join(heads, "k").select("q", "id", F.lit(2).alias("tier"))
+    return exact.union(loose).union(head)
+
+
 def external_modules(imports: DataFrame) -> DataFrame:
     """(id, name): a node for each imported module."""
     return imports.select(F.concat(F.lit("external::module::"), "target").alias("id"), F.col("target").alias("name")).distinct()
@@ -139,7 +155,3 @@ def semantic_edges(found: DataFrame, nodes: DataFrame) -> DataFrame:
     last = nodes.groupBy(F.col("name").alias("target_name")).agg(F.max("id").alias("dst"))
     out = found.join(last, "target_name").where("src <> dst")
     return out.select("src", "dst", "type", "confidence", F.when(F.col("confidence") > 0.5, "bob").otherwise("heuristic").alias("inferred_by"))
-
-
-def impact_kind(nodes: DataFrame) -> DataFrame:
-    return nodes.withColumn("semantic_kind", T.semantic_kind(F.col("name"), F.col("code"), F.col("decorators")))

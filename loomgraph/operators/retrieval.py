@@ -95,3 +95,19 @@ def suggestions(query_terms: DataFrame, learned: DataFrame, k: int = 10) -> Data
     hit = query_terms.join(learned.where("confidence > 0.1").select("term", "names"), "term")
     rows = hit.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("pos", "names"))).alias("s"))
     return rows.select("query", F.slice(F.array_distinct(F.flatten(F.transform("s", lambda x: x["names"]))), 1, k).alias("names"))
+
+
+def explanation(found: DataFrame, question: str, k: int = 5) -> DataFrame:
+    """(explanation): the first ``k`` nodes of a subgraph (id, hop) as one line; a fixed text where there are none."""
+    first = found.orderBy("hop", "id").limit(k).agg(F.array_sort(F.collect_list(F.struct("hop", "id"))).alias("s"))
+    path = F.array_join(F.transform("s", lambda x: x["id"]), " → ")
+    none = F.lit("(stub) No relevant functions found in the graph.")
+    return first.select(F.when(F.size("s") == 0, none).otherwise(F.concat(F.lit(f"(stub) According to the graph, the execution path for '{question}' is: "), path)).alias("explanation"))
+
+
+def evidence(found: DataFrame, nodes: DataFrame, k: int = 15) -> DataFrame:
+    """(pos, line): the first ``k`` nodes of a subgraph (id, hop, parent), how each was reached, and its summary."""
+    first = found.orderBy("hop", "id").limit(k)
+    first = first.withColumn("pos", F.row_number().over(W.orderBy("hop", "id"))).join(nodes.select("id", "summary"), "id")  # k rows
+    how = F.when(F.col("parent").isNull(), " is an entry").otherwise(F.concat(F.lit(" is called by "), "parent"))
+    return first.select("pos", F.concat("id", how, F.lit(": "), "summary").alias("line"))

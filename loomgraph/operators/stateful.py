@@ -1,10 +1,14 @@
 """Order-dependent folds over keyed logs: clamped scores, greedy limits, breaker states, request reuse.
 
-Each folds one key's rows in order in a pandas group; keys are spread over the cluster.
+Rows are dealt by key, sorted within partitions and folded as they stream by, so a task holds one key's state and never
+its rows. A key's own rows are a sequence by their meaning: one task folds them, in memory that doesn't grow with them.
 """
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Callable, Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,40 +18,72 @@ from ..session import ship
 
 def clamped_fold(df: DataFrame, key: str, order: list[str], delta: Column) -> DataFrame:
     """(key, score): deltas added in order, clamped to [0, 1] after each."""
-    rows = df.select(key, F.struct(*order, delta.alias("_d")).alias("_e")).where(F.col("_e._d").isNotNull())
-    fold = F.aggregate(F.array_sort(F.collect_list("_e")), F.lit(0.0), lambda acc, e: F.greatest(F.lit(0.0), F.least(F.lit(1.0), acc + e["_d"])))
-    return rows.groupBy(key).agg(fold.alias("score"))
+    def start():
+        score = 0.0
+
+        def step(d: float) -> float:
+            nonlocal score
+            score = max(0.0, min(1.0, score + d))
+            return score
+
+        return step
+
+    rows = df.select(key, *order, delta.alias("_d")).where("_d is not null")
+    seen = _fold(rows.withColumn("_time", F.col(order[0]).cast("timestamp")), [key], "_time", order[-1], "score", "double", lambda: _last(start()), [F.col("_d")])
+    n = F.struct(*[F.col(c) for c in order])
+    return rows.select(key, *order).join(seen, [key, order[-1]]).groupBy(key).agg(F.max_by("score", n).alias("score"))
+
+
+def _last(step: Callable) -> Callable:
+    """A step that leaves the time out."""
+    return lambda _t, d: step(d)
+
+
+def _fold(df: DataFrame, key: list[str], time: str, tie: str, out: str, kind: str, start: Callable, extra: list[Column] | None = None) -> DataFrame:
+    """(*key, tie, out): ``start()`` gives a key's step, which is called with time and ``extra`` of each row in order."""
+    ship(df.sparkSession)
+    rows = df.select(*key, tie, F.col(time).cast("timestamp").cast("double").alias("_t"), *(extra or []))
+    kinds, names = dict(rows.dtypes), rows.columns[len(key) + 1 :]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, step = None, None
+        for batch in batches:
+            got = []
+            for who, *args in zip(zip(*(batch[c] for c in key)), *(batch[c] for c in names)):
+                if step is None or who != now:
+                    now, step = who, start()
+                got.append(step(*args))
+            yield batch[[*key, tie]].assign(**{out: got})
+
+    dealt = rows.repartition(*key).sortWithinPartitions(*key, "_t", tie)
+    return dealt.mapInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in [*key, tie]) + f", {out} {kind}")
 
 
 def greedy_limit(df: DataFrame, key: str, time: str, tie: str, limit: int, seconds: float) -> DataFrame:
     """(key, tie, allowed): at most ``limit`` allowed rows within any trailing window; rejected rows don't count."""
-    ship(df.sparkSession)
+    def start():
+        kept: deque[float] = deque()
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([time, tie])
-        kept: list[float] = []
-        out = []
-        for t in pdf[time].astype("int64") / 1e9 if pdf[time].dtype != "float64" else pdf[time]:
+        def step(t: float) -> bool:
             while kept and kept[0] <= t - seconds:
-                kept.pop(0)
-            out.append(len(kept) < limit)
-            if out[-1]:
-                kept.append(t)
-        return pd.DataFrame({key: pdf[key].values, tie: pdf[tie].values, "allowed": out})
+                kept.popleft()
+            if len(kept) >= limit:
+                return False
+            kept.append(t)
+            return True
 
-    rows = df.select(key, tie, F.col(time).cast("timestamp").cast("double").alias(time))
-    kinds = dict(rows.dtypes)
-    return rows.groupBy(key).applyInPandas(run, f"{key} {kinds[key]}, {tie} {kinds[tie]}, allowed boolean")
+        return step
+
+    return _fold(df, [key], time, tie, "allowed", "boolean", start)
 
 
 def breaker(df: DataFrame, key: str, time: str, tie: str, failed: Column, failures: int = 5, rest: float = 60.0, successes: int = 3) -> DataFrame:
-    """(key, tie, state) after each call of a circuit breaker: closed, open, half_open."""
-    ship(df.sparkSession)
+    """(key, tie, state) after each call of a circuit breaker: closed, open, half_open. A success takes a failure back."""
+    def start():
+        state, bad, good, since = "closed", 0, 0, 0.0
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([time, tie])
-        state, bad, good, since, out = "closed", 0, 0, 0.0, []
-        for t, fail in zip(pdf[time], pdf["_f"]):
+        def step(t: float, fail: bool) -> str:
+            nonlocal state, bad, good, since
             if state == "open" and t - since >= rest:
                 state, good = "half_open", 0
             if state != "open":
@@ -59,27 +95,25 @@ def breaker(df: DataFrame, key: str, time: str, tie: str, failed: Column, failur
                     bad, good = max(0, bad - 1), good + 1
                     if state == "half_open" and good >= successes:
                         state, bad = "closed", 0
-            out.append(state)
-        return pd.DataFrame({key: pdf[key].values, tie: pdf[tie].values, "state": out})
+            return state
 
-    rows = df.select(key, tie, F.col(time).cast("timestamp").cast("double").alias(time), failed.alias("_f"))
-    kinds = dict(rows.dtypes)
-    return rows.groupBy(key).applyInPandas(run, f"{key} {kinds[key]}, {tie} {kinds[tie]}, state string")
+        return step
+
+    return _fold(df, [key], time, tie, "state", "string", start, [failed.alias("_f")])
 
 
 def reuse(df: DataFrame, key: list[str], time: str, tie: str, seconds: float = 300.0) -> DataFrame:
     """(*key, tie, reused): a row within ``seconds`` of the last executed one of its key reuses its result."""
-    ship(df.sparkSession)
+    def start():
+        last: float | None = None
+
+        def step(t: float) -> bool:
+            nonlocal last
+            if last is not None and t - last <= seconds:
+                return True
+            last = t
+            return False
+
+        return step
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([time, tie])
-        last, out = None, []
-        for t in pdf[time]:
-            out.append(last is not None and t - last <= seconds)
-            if not out[-1]:
-                last = t
-        return pdf[[*key, tie]].assign(reused=out)
-
-    rows = df.select(*key, tie, F.col(time).cast("timestamp").cast("double").alias(time))
-    kinds = dict(rows.dtypes)
-    return rows.groupBy(*key).applyInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in [*key, tie]) + ", reused boolean")
+    return _fold(df, key, time, tie, "reused", "boolean", start)

@@ -24,7 +24,7 @@ def event_symbols(spark: SparkSession, d: str) -> DataFrame:
     """Event nodes with the fields that a question is matched against; the summary and intent follow the event type."""
     kind = F.col("kind")
     summary = F.when(kind == "purchase", "buys an order").when(kind == "error", "raises an exception").when(kind == "signup", "registers an account").when(kind == "view", "shows a page").otherwise("presses a button")
-    return event_nodes(spark, d).select("id", "name", F.lit("function").alias("kind"), summary.alias("summary"), kind.alias("file"), F.when(kind == "error", "error_handling").otherwise("unknown").alias("intent"))
+    return event_nodes(spark, d).select("id", "name", F.lit("function").alias("kind"), summary.alias("summary"), kind.alias("file"), F.when(kind == "error", "error_handling").when(kind == "purchase", "persistence").when(kind == "view", "retrieval").otherwise("unknown").alias("intent"))
 
 
 def event_edges(spark: SparkSession, d: str) -> DataFrame:
@@ -78,7 +78,7 @@ def page_links(spark: SparkSession, d: str) -> DataFrame:
 CTE = {
     "ev": "ev AS (SELECT *, event_type || ':' || json_extract_string(props, '$.k') AS node FROM events)",
     "enodes": "enodes AS (SELECT DISTINCT node AS id, node AS name, event_type AS kind FROM ev)",
-    "esym": "esym AS (SELECT id, name, kind AS file, CASE kind WHEN 'purchase' THEN 'buys an order' WHEN 'error' THEN 'raises an exception' WHEN 'signup' THEN 'registers an account' WHEN 'view' THEN 'shows a page' ELSE 'presses a button' END AS summary, CASE kind WHEN 'error' THEN 'error_handling' ELSE 'unknown' END AS intent FROM enodes)",
+    "esym": "esym AS (SELECT id, name, kind AS file, CASE kind WHEN 'purchase' THEN 'buys an order' WHEN 'error' THEN 'raises an exception' WHEN 'signup' THEN 'registers an account' WHEN 'view' THEN 'shows a page' ELSE 'presses a button' END AS summary, CASE kind WHEN 'error' THEN 'error_handling' WHEN 'purchase' THEN 'persistence' WHEN 'view' THEN 'retrieval' ELSE 'unknown' END AS intent FROM enodes)",
     "eedges": "eedges AS (SELECT src, dst, count(*) AS w FROM (SELECT node AS src, lead(node) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS dst FROM ev) WHERE dst IS NOT NULL AND src <> dst GROUP BY src, dst)",
     "cnodes": "cnodes AS (SELECT id, name, kind, type, bal, r_name AS module, r_name || '/' || n_name AS file, CASE WHEN seg = '' THEN 'Supplies parts' ELSE lower(seg) || ' account' END AS summary, CASE seg WHEN 'MACHINERY' THEN 'EXPOSES_API' WHEN 'BUILDING' THEN 'CONSUMES_EVENT' ELSE 'CALLS' END AS semantic_kind, CASE seg WHEN 'FURNITURE' THEN 'cached' ELSE '' END AS decorators, CASE WHEN bal < 0 THEN 'low' WHEN bal < 3000 THEN 'medium' WHEN bal < 7000 THEN 'high' ELSE 'very_high' END AS complexity, CASE WHEN bal < 2000 THEN 'low' WHEN bal < 6000 THEN 'medium' WHEN bal < 9000 THEN 'high' ELSE 'critical' END AS criticality FROM (SELECT 's' || s_suppkey AS id, s_name AS name, s_nationkey AS k, 'type' AS kind, 'class' AS type, s_acctbal AS bal, '' AS seg FROM supplier UNION ALL SELECT 'c' || c_custkey, c_name, c_nationkey, 'function', 'function', c_acctbal, c_mktsegment FROM customer) JOIN nation ON k = n_nationkey JOIN region ON n_regionkey = r_regionkey)",
     "cedges": "cedges AS (SELECT DISTINCT 'c' || o_custkey AS src, 's' || l_suppkey AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey)",

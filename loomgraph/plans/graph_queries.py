@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import vocabulary as V
 from ..operators import analytics as N
+from ..operators import export as X
 from ..operators import graph as G
 from ..operators import retrieval as R
 from ..storage import written
@@ -110,10 +111,13 @@ def heat_ratios(spark: SparkSession, d: str) -> DataFrame:
     return found.select("id", F.round("rank_ratio", 6).alias("rank_ratio"), F.round("fan_ratio", 6).alias("fan_ratio"))
 
 
-@query()
+_CUT = ", und AS MATERIALIZED (SELECT DISTINCT src AS a, dst AS b FROM (SELECT src, dst FROM eedges UNION ALL SELECT dst, src FROM eedges)), rc(v, id) AS (SELECT a, min(b) FROM und GROUP BY a UNION SELECT v, b FROM rc JOIN und ON a = id WHERE b <> v), cut AS (SELECT DISTINCT a AS id FROM und WHERE NOT EXISTS (FROM rc WHERE v = a AND rc.id = b))"
+
+
+@query(with_("ev", "enodes", "eedges", recursive=True) + _CUT + ", dg AS (SELECT id, (SELECT count(*) FROM eedges WHERE src = id OR dst = id) AS degree FROM cut) SELECT id, degree FROM dg ORDER BY degree DESC, id LIMIT 15")
 def articulation_points(spark: SparkSession, d: str) -> DataFrame:
-    """The fifteen cut nodes of highest degree."""
-    return N.bridges(A.commerce_nodes(spark, d), written(A.commerce_edges(spark, d)))
+    """The fifteen nodes of highest degree whose loss splits the graph."""
+    return N.bridges(A.event_nodes(spark, d), written(A.event_edges(spark, d)))
 
 
 @query()
@@ -243,11 +247,13 @@ def induced_subgraph(spark: SparkSession, d: str) -> DataFrame:
     return G.induced(edges, G.bfs(edges, _seeds(spark, d), 2)).select("src", "dst", "w")
 
 
-@query(_bfs_sql(2) + " SELECT row_number() OVER (ORDER BY hop, s2.id) AS step, s2.id, hop, parent, CASE WHEN parent IS NULL THEN 'ENTRY' WHEN split_part(s2.id, ':', 1) IN ('purchase', 'signup') THEN 'USES_DB' ELSE 'CALLS' END AS label FROM s2 ORDER BY hop, s2.id LIMIT 20")
+@query(_bfs_sql(2) + " SELECT row_number() OVER (ORDER BY hop, s2.id) AS step, s2.id, hop, parent, CASE WHEN parent IS NULL THEN 'ENTRY' ELSE 'CALLS' END AS edge, CASE WHEN intent IN ('persistence', 'retrieval') THEN 'USES_DB' ELSE 'CALLS' END AS kind FROM s2 JOIN esym ON esym.id = s2.id ORDER BY hop, s2.id LIMIT 20")
 def execution_steps(spark: SparkSession, d: str) -> DataFrame:
-    found = G.bfs(A.event_edges(spark, d), _seeds(spark, d), 2).orderBy("hop", "id").limit(20)
-    label = F.when(F.col("parent").isNull(), "ENTRY").when(F.split("id", ":")[0].isin("purchase", "signup"), "USES_DB").otherwise("CALLS")
-    return found.select(F.row_number().over(W.orderBy("hop", "id")).cast("long").alias("step"), "id", "hop", "parent", label.alias("label"))
+    """The first twenty nodes of a question's subgraph, with the edge from their discoverer and their kind."""
+    nodes = A.event_symbols(spark, d)
+    found = R.retrieve(nodes, A.event_edges(spark, d), ASKED, 2).orderBy("hop", "id").limit(20).join(nodes.select("id", "intent"), "id")
+    edge = F.when(F.col("parent").isNull(), "ENTRY").otherwise("CALLS")
+    return found.select(F.row_number().over(W.orderBy("hop", "id")).cast("long").alias("step"), "id", "hop", "parent", edge.alias("edge"), T.step_kind(F.col("intent"), F.lit("CALLS")).alias("kind"))
 
 
 @query(_bfs_sql(3) + ", r AS (SELECT a.id, coalesce(d.id, c.id, b.id, a.id) AS root, a.hop AS depth FROM s3 a LEFT JOIN s3 b ON a.parent = b.id LEFT JOIN s3 c ON b.parent = c.id LEFT JOIN s3 d ON c.parent = d.id) SELECT id, root, depth FROM r")
@@ -373,20 +379,80 @@ def mermaid_export(spark: SparkSession, d: str) -> DataFrame:
     return e.select(F.concat(F.lit("n"), F.row_number().over(W.orderBy("sm", "tm"))).alias("line"), F.concat(T.mermaid_id(F.col("sm")), F.lit(" --> "), T.mermaid_id(F.col("tm"))).alias("mermaid"))
 
 
-@query()
+@query(CO + _CDEG + ", k AS (SELECT id, name, kind, file FROM cd ORDER BY fan_in + fan_out DESC, id LIMIT 80), e AS (SELECT src, dst FROM cedges WHERE src IN (SELECT id FROM k) AND dst IN (SELECT id FROM k) ORDER BY src, dst LIMIT 500) SELECT 'node' AS part, id AS key, to_json({'id': id, 'name': name, 'kind': kind, 'file': file})::VARCHAR AS json FROM k UNION ALL SELECT 'edge', src || '>' || dst, to_json({'src': src, 'dst': dst})::VARCHAR FROM e")
 def json_export(spark: SparkSession, d: str) -> DataFrame:
-    n = A.commerce_nodes(spark, d).select(F.lit("node").alias("part"), F.to_json(F.struct("id", "name", "kind", "file")).alias("json"))
-    return n.union(A.commerce_edges(spark, d).orderBy("src", "dst").limit(500).select(F.lit("edge"), F.to_json(F.struct("src", "dst"))))
+    """The eighty nodes of highest degree and up to five hundred edges among them, as JSON."""
+    n, e = X.top_nodes(_cdeg(spark, d), A.commerce_edges(spark, d))
+    return X.json_rows(n.select("id", "name", "kind", "file"), e)
+
+
+@query(CO + _CDEG + ", k AS (SELECT *, row_number() OVER (ORDER BY fan_in + fan_out DESC, id) AS r FROM (SELECT * FROM cd ORDER BY fan_in + fan_out DESC, id LIMIT 80)), e AS (SELECT a.r AS s, b.r AS t FROM cedges JOIN k a ON a.id = src JOIN k b ON b.id = dst ORDER BY src, dst LIMIT 200) SELECT 'n' || r || '[\"' || name || '\"]:::' || lower(semantic_kind) AS line FROM k UNION ALL SELECT 'n' || s || ' --> n' || t FROM e")
+def mermaid_functions(spark: SparkSession, d: str) -> DataFrame:
+    """A Mermaid chart of functions with a class for each kind."""
+    n, e = X.top_nodes(_cdeg(spark, d), A.commerce_edges(spark, d), edges_most=200)
+    return X.mermaid_rows(n, e)
+
+
+_G = ", g AS (SELECT *, round(100 * rank + 0.5 * in_degree + 0.25 * out_degree + 50 * betweenness, 9) AS s FROM m)"
+
+
+def _question_sql() -> str:
+    ctes, _, last = _cycles_sql()[len(EV) :].rpartition(" SELECT length::INT")
+    about = "'What does `' || id || '` do and what depends on it?'"
+    return (
+        _METRICS + _G + ctes + f", cyc AS (SELECT length::INT{last}), q AS (SELECT row_number() OVER (ORDER BY s DESC, id) AS pos, {about} AS question FROM (FROM g ORDER BY s DESC, id LIMIT 3)"
+        " UNION ALL SELECT * FROM (VALUES (4, 'Which functions expose API endpoints?'), (5, 'How are requests validated?')) UNION ALL (SELECT 6, 'Why do `' || string_split(path, '>')[1] || '` and `' || string_split(path, '>')[-1] || '` depend on each other?' FROM cyc ORDER BY length, path LIMIT 1) UNION ALL SELECT 7, 'Where is data persisted?')"
+        " SELECT row_number() OVER (ORDER BY pos)::INT AS pos, question FROM q"
+    )
+
+
+def _report_parts(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    nodes, edges = A.event_nodes(spark, d), written(A.event_edges(spark, d))
+    metrics = written(N.node_metrics(nodes.withColumnRenamed("kind", "file"), edges, G.pagerank(nodes, edges), G.betweenness(nodes, edges)))
+    return {"god_nodes": N.god_nodes(metrics), "cycles": G.cycles(edges, enough=25).orderBy("length", "path").limit(25), "bridges": N.bridges(nodes, edges)}
+
+
+@query(_question_sql())
+def suggested_questions(spark: SparkSession, d: str) -> DataFrame:
+    """Questions that the graph itself suggests."""
+    parts = _report_parts(spark, d)
+    return X.questions(parts["god_nodes"], "web_api", parts["cycles"])
 
 
-@query()
 def architecture_report(spark: SparkSession, d: str) -> DataFrame:
-    """Markdown lines of the report: central nodes, bridges, risks, unused nodes, weak couplings."""
-    god = composite_god_nodes(spark, d).limit(15).select(F.lit("Central").alias("section"), F.concat_ws(" ", "id", "score").alias("line"))
-    dead = dead_nodes(spark, d).limit(15).select(F.lit("Unused"), F.concat_ws(" in ", "name", "file"))
-    risky = high_risk_nodes(spark, d).limit(10).select(F.lit("Risk"), F.concat_ws(" degree ", "id", "degree"))
-    weak = cross_dir_coupling(spark, d).select(F.lit("Coupling"), F.concat_ws(" -> ", "src", "dst"))
-    return god.union(dead).union(risky).union(weak).select("section", F.concat(F.lit("- "), "line").alias("line"))
+    """The Markdown report: central nodes, bridges, risks, cycles, unused nodes, couplings, documents, notes, questions."""
+    from . import knowledge_queries as KQ
+
+    parts = _report_parts(spark, d)
+    parts |= {"high_risk": high_risk_nodes(spark, d), "dead_code": dead_nodes(spark, d), "couplings": cross_dir_coupling(spark, d), "notes": KQ.developer_notes(spark, d)}
+    parts["documents"] = KQ.document_index(spark, d).join(KQ.doc_reference_counts(spark, d), "path", "left")
+    return X.report(parts, "web_api")
+
+
+def report_sql() -> str:
+    """Each section is a top list of the query of its name."""
+    from . import knowledge_queries as KQ
+
+    sql = SQL | KQ.SQL
+    many = lambda n, noun: f"{n} || CASE {n} WHEN 1 THEN ' {noun}' ELSE ' {noun}s' END"
+    docs = f"SELECT d.*, coalesce(n_references, 0) AS n FROM ({sql['document_index']}) d LEFT JOIN ({sql['doc_reference_counts']}) r USING (path)"
+    asked = sql["suggested_questions"].replace("UNION ALL SELECT 7, 'Where", f"UNION ALL (SELECT 7, 'What is the workaround in `' || file || '` about?' FROM ({sql['developer_notes']}) WHERE marker IN ('HACK', 'FIXME') ORDER BY file, line LIMIT 1) UNION ALL SELECT 8, 'Where")
+    shown = ", ".join(f"'{m}'" for m in V.SHOWN_MARKERS)
+    plan = [
+        ("Most Important Functions", 15, sql["composite_god_nodes"], "score DESC, id", "'| `' || id || '` | ' || in_degree || ' | ' || out_degree || ' | ' || pagerank || ' |'"),
+        ("Architectural Bottlenecks", 8, sql["articulation_points"], "degree DESC, id", "'- `' || id || '` — degree ' || degree"),
+        ("High-Risk Components", 10, sql["high_risk_nodes"], "fan_in + fan_out DESC, id", "'- `' || name || '` (' || file || ') — ' || reasons"),
+        ("Circular Dependencies", 10, sql["simple_cycles_bounded"], "length, path", "'- `' || replace(path, '>', '` → `') || '` → `' || split_part(path, '>', 1) || '`'"),
+        ("Dead Code Candidates", 15, sql["dead_nodes"], "id", "'- `' || name || '` (' || file || ')'"),
+        ("Surprising Couplings", 10, sql["cross_dir_coupling"], "n, src, dst", f"'- `' || src || '` → `' || dst || '` (' || {many('n', 'edge')} || ', e.g. ' || example || ')'"),
+        ("Documentation Map", 15, docs, "n DESC, path", f"'- ' || title || ' (' || path || ', ' || type || ') — ' || {many('n', 'code reference')}"),
+        ("Developer Rationale", 12, f"SELECT * FROM ({sql['developer_notes']}) WHERE marker IN ({shown})", "file, line", "'- ' || marker || coalesce(' (in ' || node || ')', '') || ' — ' || text || ' ' || file || ':' || line"),
+        ("Suggested Questions", 8, asked, "pos", "'- ' || question"),
+    ]
+    return " UNION ALL ".join(f"SELECT '{title}' AS section, row_number() OVER (ORDER BY {order})::INT AS pos, {line} AS line FROM (SELECT * FROM ({q}) ORDER BY {order} LIMIT {most})" for title, most, q, order, line in plan)
+
+
+QUERIES["architecture_report"] = architecture_report
 
 
 @query(CO + ", t AS (SELECT name, row_number() OVER (ORDER BY CASE WHEN lower(name) = 'customer#000000001' THEN 0 WHEN lower(name) LIKE 'customer#000000001%' THEN 1 ELSE 2 END, id) AS pos FROM cnodes WHERE lower(name) LIKE '%customer#00000000%') SELECT name, pos FROM t WHERE pos <= 10")

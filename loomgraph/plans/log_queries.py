@@ -11,6 +11,7 @@ from ..functions import vocabulary as V
 from ..operators import graph as G
 from ..operators import learning as L
 from ..operators import resolve as R
+from ..operators import retrieval as R2
 from ..operators import stateful as S
 from . import adapters as A
 from .adapters import with_
@@ -79,11 +80,35 @@ def term_seed_df_filter(spark: SparkSession, d: str) -> DataFrame:
     return df.crossJoin(F.broadcast(n)).where("df <= greatest(1, 0.2 * n)").select("term", "df")  # one row
 
 
-@query(f"WITH {_TERMS}, f AS (SELECT term, least(1.0, count(*) / 10.0) AS c FROM terms GROUP BY term), s AS (SELECT DISTINCT t.conv_id, t.term FROM terms t JOIN f ON f.term = t.term WHERE c > 0.1) SELECT conv_id, count(*) AS n, min(term) AS first FROM s GROUP BY conv_id")
+_MAP = f"{_TERMS}, cnt AS (SELECT term, count(*) AS frequency FROM terms GROUP BY term), nm AS (SELECT DISTINCT conv_id AS query, turn AS pos, lower(split_part(text, ' ', 1)) AS name FROM conversations WHERE role = 'assistant' AND turn <= 5), pr AS (SELECT term, name, count(*) AS c FROM (SELECT DISTINCT conv_id, term FROM terms) t JOIN nm ON nm.query = t.conv_id GROUP BY ALL), tm AS (SELECT cnt.term, frequency, least(1.0, frequency / 10.0)::DOUBLE AS confidence, names FROM cnt LEFT JOIN (SELECT term, list_sort(list(DISTINCT name)) AS names FROM (SELECT *, row_number() OVER (PARTITION BY term ORDER BY c DESC, name) AS r FROM pr) WHERE r <= 20 GROUP BY term) USING (term))"
+
+
+def _learned(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    c = A.load(spark, d, "conversations")
+    queries = c.where("role = 'user'").select(F.col("conv_id").alias("query"), "text")
+    names = c.where("role = 'assistant' and turn <= 5").select(F.col("conv_id").alias("query"), F.lit(1).alias("pos"), F.lower(F.split("text", " ")[0]).alias("name"))
+    return queries, L.term_map(queries, names)
+
+
+@query(f"WITH {_MAP} SELECT term, frequency, confidence, coalesce(array_to_string(names, '|'), '') AS names FROM tm")
+def term_map(spark: SparkSession, d: str) -> DataFrame:
+    """Terms of queries with frequency, confidence and the names found for them."""
+    return _learned(spark, d)[1].withColumn("names", F.array_join("names", "|"))
+
+
+@query(f"WITH {_MAP}, u AS (SELECT conv_id, term, min(turn * 100000 + pos) AS pos FROM (SELECT conv_id, turn, unnest(ts) AS term, unnest(range(len(ts))) AS pos FROM (SELECT conv_id, turn, list(term) AS ts FROM terms GROUP BY ALL)) GROUP BY ALL), x AS (SELECT conv_id, pos, n, i FROM (SELECT conv_id, pos, unnest(names) AS n, unnest(range(len(names))) AS i FROM u JOIN tm USING (term) WHERE confidence > 0.1)), y AS (SELECT conv_id, n, min(pos * 100 + i) AS p FROM x GROUP BY ALL) SELECT conv_id, array_to_string(list_slice(list(n ORDER BY p), 1, 10), '|') AS names FROM y GROUP BY conv_id")
 def term_suggest(spark: SparkSession, d: str) -> DataFrame:
-    t = _terms(spark, d)
-    sure = t.groupBy("term").agg(F.count(F.lit(1)).alias("n")).where(F.least(F.lit(1.0), F.col("n") / 10.0) > 0.1)
-    return t.join(sure.select("term"), "term", "left_semi").groupBy("conv_id").agg(F.countDistinct("term").alias("n"), F.min("term").alias("first"))
+    """Ten names for each conversation's queries, from the terms whose confidence is over 0.1, in the terms' order."""
+    _, learned = _learned(spark, d)
+    asked = A.load(spark, d, "conversations").where("role = 'user'").select(F.col("conv_id").alias("query"), "turn", F.posexplode(T.terms(F.col("text"))).alias("k", "term"))
+    first = asked.groupBy("query", "term").agg(F.min(F.col("turn") * 100000 + F.col("k")).alias("pos"))
+    return R2.suggestions(first, learned).select(F.col("query").alias("conv_id"), F.array_join("names", "|").alias("names"))
+
+
+@query("WITH p AS (SELECT p_partkey, unnest(list_distinct([x FOR x IN string_split(p_name || ' ' || lower(p_type), ' ') IF length(x) > 2 AND x NOT IN (" + ", ".join(f"'{w}'" for w in V.STOP) + ")])) AS term FROM part) SELECT term, count(*) AS df, 4 AS frequency, 0.4::DOUBLE AS confidence FROM p GROUP BY term HAVING count(*) <= greatest(1, floor(0.2 * (SELECT count(*) FROM part)))")
+def seeded_terms(spark: SparkSession, d: str) -> DataFrame:
+    """Discriminative terms of names, before any query."""
+    return L.seed_terms(A.load(spark, d, "part"), "p_partkey", F.concat_ws("_", F.replace("p_name", F.lit(" "), F.lit("-")), "p_type"))
 
 
 @query("WITH RECURSIVE e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k, CASE event_type WHEN 'purchase' THEN 0.1 WHEN 'signup' THEN 0.2 ELSE -0.1 END::DOUBLE AS d FROM events WHERE event_type IN ('purchase', 'signup', 'error')), f AS (SELECT user_id, k, greatest(0, least(1, d)) AS s FROM e WHERE k = 1 UNION ALL SELECT e.user_id, e.k, greatest(0, least(1, s + d)) FROM f JOIN e ON e.user_id = f.user_id AND e.k = f.k + 1) SELECT user_id, round(arg_max(s, k), 6) AS score FROM f GROUP BY user_id")
@@ -125,22 +150,39 @@ def trailing_rate_window(spark: SparkSession, d: str) -> DataFrame:
     return A.load(spark, d, "events").select("event_id", F.count(F.lit(1)).over(by).alias("n"))
 
 
-@query()
+def _greedy_sql(key: str, limit: int, seconds: int) -> str:
+    """The kept times of each key, event after event."""
+    return (
+        f"WITH RECURSIVE e AS (SELECT {key}, event_id, epoch_us(ts) / 1000000.0::DOUBLE AS t, row_number() OVER (PARTITION BY {key} ORDER BY ts, event_id) AS k FROM events), "
+        f"f AS (SELECT {key}, event_id, k, [t] AS kept, true AS allowed FROM e WHERE k = 1 UNION ALL SELECT e.{key}, e.event_id, e.k, CASE WHEN len(list_filter(kept, lambda x: x > t - {seconds})) < {limit} THEN list_append(list_filter(kept, lambda x: x > t - {seconds}), t) ELSE list_filter(kept, lambda x: x > t - {seconds}) END, len(list_filter(kept, lambda x: x > t - {seconds})) < {limit} FROM f JOIN e ON e.{key} = f.{key} AND e.k = f.k + 1) "
+        f"SELECT {key}, event_id, allowed FROM f"
+    )
+
+
+@query(_greedy_sql("user_id", 6, 3600))
 def rate_limit_greedy(spark: SparkSession, d: str) -> DataFrame:
     return S.greedy_limit(A.load(spark, d, "events"), "user_id", "ts", "event_id", 6, 3600.0)
 
 
-@query()
+@query(_greedy_sql("event_type", 300, 86400))
 def daily_budget_greedy(spark: SparkSession, d: str) -> DataFrame:
     return S.greedy_limit(A.load(spark, d, "events"), "event_type", "ts", "event_id", 300, 86400.0)
 
 
-@query()
+_BREAK = """WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) / 1000000.0::DOUBLE AS t, event_type = 'error' AS fail, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+f AS (SELECT user_id, event_id, 1::BIGINT AS k, 'closed' AS state, fail::INT AS bad, 0 AS good, 0.0::DOUBLE AS since FROM e WHERE k = 1 UNION ALL
+SELECT user_id, event_id, k, CASE WHEN now = 'open' THEN 'open' WHEN fail AND (now = 'half_open' OR bad + 1 >= 5) THEN 'open' WHEN NOT fail AND now = 'half_open' AND good + 1 >= 3 THEN 'closed' ELSE now END,
+CASE WHEN now = 'open' THEN bad WHEN fail THEN bad + 1 WHEN now = 'half_open' AND good + 1 >= 3 THEN 0 ELSE greatest(0, bad - 1) END, CASE WHEN now = 'open' OR fail THEN good ELSE good + 1 END, CASE WHEN now <> 'open' AND fail AND (now = 'half_open' OR bad + 1 >= 5) THEN t ELSE since END
+FROM (SELECT e.*, bad, since, CASE WHEN state = 'open' AND t - since >= 60 THEN 'half_open' ELSE state END AS now, CASE WHEN state = 'open' AND t - since >= 60 THEN 0 ELSE good END AS good FROM f JOIN e ON e.user_id = f.user_id AND e.k = f.k + 1))
+SELECT user_id, event_id, state FROM f"""
+
+
+@query(_BREAK)
 def circuit_state(spark: SparkSession, d: str) -> DataFrame:
     return S.breaker(A.load(spark, d, "events"), "user_id", "ts", "event_id", F.col("event_type") == "error")
 
 
-@query()
+@query("WITH RECURSIVE e AS (SELECT user_id, event_type, event_id, epoch_us(ts) / 1000000.0::DOUBLE AS t, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS k FROM events), f AS (SELECT user_id, event_type, event_id, k, t AS last, false AS reused FROM e WHERE k = 1 UNION ALL SELECT e.user_id, e.event_type, e.event_id, e.k, CASE WHEN t - last <= 3600 THEN last ELSE t END, t - last <= 3600 FROM f JOIN e ON e.user_id = f.user_id AND e.event_type = f.event_type AND e.k = f.k + 1) SELECT user_id, event_type, event_id, reused FROM f")
 def request_dedup_ttl(spark: SparkSession, d: str) -> DataFrame:
     return S.reuse(A.load(spark, d, "events"), ["user_id", "event_type"], "ts", "event_id", 3600.0)
 
@@ -187,13 +229,13 @@ def manifest_diff_changed(spark: SparkSession, d: str) -> DataFrame:
 # --- resolution
 
 
-@query("WITH ask AS (SELECT DISTINCT upper(p_name) AS q FROM part UNION SELECT DISTINCT p_name FROM part), c AS (SELECT q, p_partkey, CASE WHEN q = p_name THEN 0 ELSE 1 END AS tier FROM ask JOIN part ON lower(q) = lower(p_name)) SELECT q, arg_min(p_partkey, (tier, p_partkey)) AS p_partkey, min(tier)::INT AS tier FROM c GROUP BY q")
+@query("WITH n AS (SELECT p_name, min(p_partkey) AS p_partkey FROM part GROUP BY p_name), ask AS (SELECT upper(p_name) AS q FROM n UNION SELECT p_name FROM n UNION SELECT left(p_name, 3) FROM n UNION SELECT 'nowhere'), c AS (SELECT q, p_partkey, CASE WHEN q = p_name THEN 0 WHEN lower(q) = lower(p_name) THEN 1 ELSE 2 END AS tier FROM ask JOIN n ON starts_with(lower(p_name), lower(q))) SELECT q, arg_min(p_partkey, (tier, p_partkey)) AS p_partkey, min(tier)::INT AS tier FROM c GROUP BY q")
 def name_resolve_tiers(spark: SparkSession, d: str) -> DataFrame:
+    """Names to nodes: exact, then without case, then by prefix; the first node of the best tier."""
     part = A.load(spark, d, "part").select("p_partkey", "p_name")
-    ask = part.select(F.upper("p_name").alias("q")).union(part.select("p_name")).distinct()
-    keys = part.groupBy("p_name").agg(F.min("p_partkey").alias("p_partkey"))  # one candidate a name: no fan-out
-    c = ask.join(keys, F.lower("q") == F.lower("p_name")).withColumn("tier", F.when(F.col("q") == F.col("p_name"), 0).otherwise(1))
-    return c.groupBy("q").agg(F.min_by("p_partkey", F.struct("tier", "p_partkey")).alias("p_partkey"), F.min("tier").alias("tier"))
+    n = part.groupBy("p_name").agg(F.min("p_partkey").alias("p_partkey"))
+    ask = n.select(F.upper("p_name").alias("q")).union(n.select("p_name")).union(n.select(F.substring("p_name", 1, 3))).union(spark.createDataFrame([("nowhere",)], "q string")).distinct()
+    return R.by_name(ask, n.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))).select("q", F.col("id").alias("p_partkey"), "tier")
 
 
 @query("WITH s AS (SELECT s_name AS name, 's' || s_suppkey AS id, s_nationkey AS f FROM supplier), c AS (SELECT c_custkey, c_nationkey, 'Supplier#' || lpad((c_custkey % 150)::VARCHAR, 9, '0') AS target FROM customer), l AS (SELECT f, name, max(id) AS id FROM s GROUP BY ALL), u AS (SELECT name, min(id) AS id FROM s GROUP BY name HAVING count(*) = 1) SELECT c_custkey, coalesce(l.id, u.id) AS target, CASE WHEN l.id IS NOT NULL THEN 0.8 ELSE 0.65 END::DOUBLE AS confidence FROM c LEFT JOIN l ON l.name = target AND l.f = c_nationkey LEFT JOIN u ON u.name = target WHERE l.id IS NOT NULL OR u.id IS NOT NULL")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import lines as T2
 from ..functions import text as T
 from ..functions import vocabulary as V
 from ..operators import graph as G
@@ -137,9 +138,10 @@ def classify_doc_type(spark: SparkSession, d: str) -> DataFrame:
     return _named(spark, d).select("page_id", T.doc_type(F.col("path")).alias("kind"))
 
 
-@query("SELECT page_id, CASE WHEN NOT starts_with(url, 'https://') THEN 'scheme' WHEN contains(host, '@') THEN 'credentials' WHEN regexp_extract(host, '([^.]+\\.[^.]+)$', 1) NOT IN ('example.com', 'example.net', 'example.org') THEN 'host' WHEN contains(url, '..') THEN 'traversal' END AS error FROM (SELECT *, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host FROM pages)")
+@query("SELECT page_id, CASE WHEN NOT starts_with(url, 'https://') THEN 'scheme' WHEN contains(host, '@') THEN 'credentials' WHEN regexp_extract(host, '([^.]+\\.[^.]+)$', 1) NOT IN ('example.com', 'example.net', 'example.org') THEN 'host' WHEN contains(path, '..') THEN 'traversal' WHEN path IN ('', '/') THEN 'path' END AS error FROM (SELECT *, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path FROM (SELECT page_id, CASE page_id % 9 WHEN 0 THEN 'https://a@example.com/x' WHEN 1 THEN 'https://evil.test/x' WHEN 2 THEN 'https://example.org/' WHEN 3 THEN 'https://example.org/a/../b' ELSE url END AS url FROM pages))")
 def url_validate(spark: SparkSession, d: str) -> DataFrame:
-    return A.load(spark, d, "pages").select("page_id", T.url_error(F.col("url")).alias("error"))
+    bad = F.get(F.array(*map(F.lit, ("https://a@example.com/x", "https://evil.test/x", "https://example.org/", "https://example.org/a/../b"))), (F.col("page_id") % 9).cast("int"))
+    return A.load(spark, d, "pages").select("page_id", T.url_error(F.coalesce(bad, F.col("url"))).alias("error"))
 
 
 def _cases(column: str, rules, default: str) -> str:
@@ -185,11 +187,41 @@ def doc_links(spark: SparkSession, d: str) -> DataFrame:
     return first.select("page_id", "pos", "href", kind.alias("kind"))
 
 
-@query(with_("links") + " SELECT page_id, pos, CASE WHEN contains(href, '://') THEN 'link' WHEN starts_with(href, '/') THEN 'path' ELSE 'regex' END AS source, CASE WHEN contains(href, '://') THEN 0.95 WHEN starts_with(href, '/') THEN 0.9 ELSE 0.7 END::DOUBLE AS confidence FROM links")
+_ADAPTERS = (*V.PROVENANCE, "other")
+_SOURCE = "CASE adapter " + " ".join(f"WHEN '{k}' THEN '{v[0]}'" for k, v in V.PROVENANCE.items()) + " ELSE 'regex' END"
+_LEVEL = "CASE adapter " + " ".join(f"WHEN '{k}' THEN {v[1]}" for k, v in V.PROVENANCE.items()) + " ELSE 0.7 END"
+
+
+@query("WITH a AS (SELECT event_id, CASE event_id % 8 " + " ".join(f"WHEN {k} THEN '{x}'" for k, x in enumerate(_ADAPTERS)) + f" END AS adapter, CASE WHEN event_id % 5 = 0 THEN 0.55 END AS resolved, event_id % 3 = 0 AS call FROM events) SELECT event_id, {_SOURCE} AS source, coalesce(resolved, CASE WHEN adapter = 'python_ast' AND call THEN 0.9 ELSE {_LEVEL} END)::DOUBLE AS confidence FROM a")
 def provenance_case(spark: SparkSession, d: str) -> DataFrame:
-    h = F.col("href")
-    pick = lambda a, b, c: F.when(h.contains("://"), a).when(h.startswith("/"), b).otherwise(c)
-    return A.page_links(spark, d).select("page_id", "pos", pick("link", "path", "regex").alias("source"), pick(0.95, 0.9, 0.7).alias("confidence"))
+    """Source and confidence of edges by adapter, unless their resolution has its own."""
+    adapter = F.get(F.array(*map(F.lit, _ADAPTERS)), (F.col("event_id") % 8).cast("int"))
+    source, confidence = T.provenance(adapter, F.when(F.col("event_id") % 5 == 0, 0.55), F.when(F.col("event_id") % 3 == 0, "f"))
+    return A.load(spark, d, "events").select("event_id", source.alias("source"), confidence.alias("confidence"))
+
+
+@query("SELECT event_id, CASE WHEN user_id % 3 = 0 THEN 'llm' WHEN user_id % 3 = 1 THEN 'heuristic' ELSE 'ast' END AS source FROM events")
+def semantic_provenance(spark: SparkSession, d: str) -> DataFrame:
+    by = F.get(F.array(F.lit("bob"), F.lit("heuristic"), F.lit("x")), (F.col("user_id") % 3).cast("int"))
+    return A.load(spark, d, "events").select("event_id", T.semantic_provenance(by).alias("source"))
+
+
+_DOMAIN = "greatest(" + ", ".join("({" + "'n': " + " + ".join(f"contains(w, '{k}')::INT" for k in keys.split()) + f", 'i': {-i}, 'd': '{name}'" + "})" for i, (name, keys) in enumerate(V.DOMAINS)) + ")"
+
+
+@query(f"SELECT page_id, CASE WHEN b.n > 0 THEN b.d ELSE 'general' END AS domain FROM (SELECT page_id, {_DOMAIN} AS b FROM (SELECT page_id, lower(url) AS w FROM pages))")
+def domain_of_words(spark: SparkSession, d: str) -> DataFrame:
+    """The domain whose keywords occur most."""
+    return A.load(spark, d, "pages").select("page_id", T.domain(F.lower("url")).alias("domain"))
+
+
+@query("SELECT source, count(*) AS n, CASE WHEN (SELECT count(*) FROM documents) > 0 THEN printf('%.0f%%', 100.0 * count(*) / (SELECT count(*) FROM documents)) ELSE '0%' END AS share, count(*) || CASE count(*) WHEN 1 THEN ' document' ELSE ' documents' END AS label FROM documents GROUP BY source")
+def shares(spark: SparkSession, d: str) -> DataFrame:
+    """Percentages and plurals of a report."""
+    docs = A.load(spark, d, "documents")
+    total = docs.count()
+    each = docs.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    return each.select("source", "n", T.percent(F.col("n"), F.lit(total)).alias("share"), T.plural(F.col("n"), "document").alias("label"))
 
 
 @query(f"WITH {_DOCTOK}, names AS (SELECT lower(source) AS name, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents) SELECT i.item_id, n.doc_id FROM (SELECT item_id, unnest(list_distinct({_TOK.format('text')})) AS t FROM benchmark) i JOIN (SELECT t, doc_id FROM (SELECT t, doc_id, row_number() OVER (PARTITION BY t ORDER BY doc_id) AS r FROM tok WHERE length(t) >= 4) WHERE r <= 3) n ON n.t = i.t GROUP BY ALL")
@@ -245,19 +277,26 @@ def one_liner(spark: SparkSession, d: str) -> DataFrame:
     return _code(spark, d).select("doc_id", T.one_liner(F.col("name"), F.lit("function")).alias("line"))
 
 
-_SRC = "(VALUES ('a', 'int f(int x) {' || chr(10) || '  if (x) { g(x); }' || chr(10) || '}' || chr(10) || 'void h() { f(1); }'), ('b', 'class A {' || chr(10) || ' run() { return this.go(); }' || chr(10) || '}')) s(path, code)"
-SOURCES = [("a", "int f(int x) {\n  if (x) { g(x); }\n}\nvoid h() { f(1); }"), ("b", "class A {\n run() { return this.go(); }\n}")]
+#: A function in a brace language made of each part.
+_BRACES = "(SELECT p_partkey, replace(p_name, ' ', '_') AS name, 'int ' || replace(p_name, ' ', '_') || '(int x) { // }' || chr(10) || '  if (x) { ' || split_part(p_name, ' ', 2) || '(x); }' || chr(10) || CASE WHEN p_partkey % 3 = 0 THEN '  while (x) { other.run(x);' || chr(10) || '  }' || chr(10) ELSE '' END || '  return ' || replace(p_name, ' ', '_') || '(sizeof(x));' || chr(10) || CASE WHEN p_partkey % 7 = 0 THEN '' ELSE '}' || chr(10) || 'int after;' END AS code FROM part)"
+
+
+def _braces(spark: SparkSession, d: str) -> DataFrame:
+    name, noun = F.replace("p_name", F.lit(" "), F.lit("_")), F.split("p_name", " ")[1]
+    code = F.concat(
+        F.lit("int "), name, F.lit("(int x) { // }\n  if (x) { "), noun, F.lit("(x); }\n"), F.when(F.col("p_partkey") % 3 == 0, "  while (x) { other.run(x);\n  }\n").otherwise(""),
+        F.lit("  return "), name, F.lit("(sizeof(x));\n"), F.when(F.col("p_partkey") % 7 == 0, "").otherwise("}\nint after;"),
+    )
+    return A.load(spark, d, "part").select("p_partkey", name.alias("name"), code.alias("code"))
 
 
-@query(f"SELECT path, line, sum(d) OVER (PARTITION BY path ORDER BY line)::BIGINT AS depth FROM (SELECT path, line, length(text) - length(replace(text, '{{', '')) - length(text) + length(replace(text, '}}', '')) AS d FROM (SELECT path, unnest(range(len(p)))::INT AS line, unnest(p) AS text FROM (SELECT path, string_split(code, chr(10)) AS p FROM {_SRC})))")
+@query(f"WITH l AS (SELECT p_partkey, unnest(range(1, len(p) + 1)) AS line, split_part(unnest(p), '//', 1) AS text FROM (SELECT p_partkey, string_split(code, chr(10)) AS p FROM {_BRACES})), r AS (SELECT p_partkey, line, sum(length(text) - length(replace(text, '{{', '')) - length(text) + length(replace(text, '}}', ''))) OVER w AS depth, sum(contains(text, '{{')::INT) OVER w AS opened FROM l WINDOW w AS (PARTITION BY p_partkey ORDER BY line)) SELECT p_partkey, coalesce(min(line) FILTER (opened > 0 AND depth <= 0), 1)::INT AS end_line FROM r GROUP BY p_partkey")
 def brace_matcher(spark: SparkSession, d: str) -> DataFrame:
-    lines = spark.createDataFrame(SOURCES, "path string, code string").select("path", F.posexplode(F.split("code", "\n")).alias("line", "text"))
-    step = F.regexp_count("text", F.lit(r"\{")) - F.regexp_count("text", F.lit(r"\}"))
-    return lines.select("path", "line", F.sum(step).over(W.partitionBy("path").orderBy("line")).alias("depth"))
+    """The line on which a function's braces close, comments left out; its first line where they don't."""
+    return T2.brace_ends(_braces(spark, d), "p_partkey", "code")
 
 
-@query(f"SELECT path, unnest(list_distinct([x FOR x IN regexp_extract_all(code, '([A-Za-z_][A-Za-z0-9_]*)\\s*\\(', 1) IF x NOT IN ('if', 'for', 'while', 'switch', 'return')])) AS callee FROM {_SRC}")
+@query(f"SELECT p_partkey, unnest(list_distinct([x FOR x IN regexp_extract_all(code, '([A-Za-z_][$A-Za-z0-9_]*)\\s*\\(', 1) IF x NOT IN ({', '.join(repr(k) for k in sorted(V.KEYWORDS))}) AND x <> name])) AS callee FROM {_BRACES}")
 def call_names(spark: SparkSession, d: str) -> DataFrame:
-    found = F.regexp_extract_all("code", F.lit(r"([A-Za-z_][A-Za-z0-9_]*)\s*\("), F.lit(1))
-    found = F.array_except(F.array_distinct(found), F.array(*map(F.lit, ("if", "for", "while", "switch", "return"))))
-    return spark.createDataFrame(SOURCES, "path string, code string").select("path", F.explode(found).alias("callee"))
+    """Names called in a function, without keywords and its own."""
+    return _braces(spark, d).select("p_partkey", F.explode(T2.call_names(F.col("code"), F.col("name"))).alias("callee"))

@@ -6,10 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+from ..functions import vocabulary as V
 from ..operators import graph as G
+from ..operators import learning as L
+from ..operators import retrieval as R
 from . import adapters as A
 from .adapters import with_
-from .graph_queries import _CDEG, _ENDS, CO, EV, _cdeg, _ends
+from .graph_queries import _CDEG, _ENDS, ASKED, CO, _bfs_sql, _cdeg, _ends
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -62,32 +66,32 @@ def label_disambiguate(spark: SparkSession, d: str) -> DataFrame:
     return base.withColumn("r", r).select("p_partkey", F.when(F.col("r") > 1, F.concat(F.col("base"), F.lit(" #"), F.col("r"))).otherwise(F.col("base")).alias("label"))
 
 
-@query(CO + _CDEG + " SELECT id, CASE WHEN fan_out > 10 THEN 'thick' WHEN fan_out > 3 THEN 'medium' ELSE 'thin' END AS border, round(sqrt(fan_in + fan_out) * 34, 3) AS size, CASE WHEN fan_in = 0 THEN 'entry' WHEN fan_out = 0 THEN 'leaf' ELSE 'inner' END AS role FROM cd")
-def visual_encodings(spark: SparkSession, d: str) -> DataFrame:
-    out, into = F.col("fan_out"), F.col("fan_in")
-    border = F.when(out > 10, "thick").when(out > 3, "medium").otherwise("thin")
-    role = F.when(into == 0, "entry").when(out == 0, "leaf").otherwise("inner")
-    return _cdeg(spark, d).select("id", border.alias("border"), F.round(F.sqrt(into + out) * 34, 3).alias("size"), role.alias("role"))
-
-
-_TOP = ", o AS (SELECT src AS id, count(*) AS n FROM eedges GROUP BY src), t AS (SELECT id, row_number() OVER (ORDER BY n DESC, id) AS pos FROM (FROM o ORDER BY n DESC, id LIMIT 5))"
+_WIDTH = "CASE complexity " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in V.BORDERS.items()) + " ELSE 1 END"
 
 
-def _top(spark: SparkSession, d: str, k: int) -> DataFrame:
-    o = A.event_edges(spark, d).groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "id").limit(k)
-    return o.select("id", F.row_number().over(W.orderBy(F.desc("n"), "id")).alias("pos"))  # k rows
+@query(CO + _CDEG + f", r AS (SELECT *, (fan_in + fan_out) / max(fan_in + fan_out) OVER () AS fan, greatest(bal, 0) / max(bal) OVER () AS pr FROM cd) SELECT id, {_WIDTH}::DOUBLE AS border, round(sqrt(fan) * 34, 0)::DOUBLE AS size, CASE WHEN pr >= 0.18 THEN round(5 + pr * 16, 0) END::DOUBLE AS blur, CASE WHEN pr >= 0.18 THEN round(0.2 + pr * 0.4, 2) END::DOUBLE AS opacity FROM r")
+def visual_encodings(spark: SparkSession, d: str) -> DataFrame:
+    """Border by complexity, size by degree and glow by centrality (here the balance), against the whole graph's largest."""
+    c = _cdeg(spark, d)
+    top = c.agg(F.max(F.col("fan_in") + F.col("fan_out")).alias("f"), F.max("bal").alias("b"))
+    c = c.join(F.broadcast(top))  # one row
+    blur, opacity = T.glow(F.greatest(F.col("bal"), F.lit(0.0)) / F.col("b"))
+    size = F.round(F.sqrt((F.col("fan_in") + F.col("fan_out")) / F.col("f")) * 34, 0)
+    return c.select("id", T.border(F.col("complexity")).alias("border"), size.alias("size"), blur.alias("blur"), opacity.alias("opacity"))
 
 
-@query(EV + _TOP + " SELECT 'The flow passes ' || string_agg(id, ' → ' ORDER BY pos) AS explanation FROM t")
+@query(_bfs_sql(2) + f" SELECT '(stub) According to the graph, the execution path for ''{ASKED}'' is: ' || string_agg(id, ' → ' ORDER BY hop, id) AS explanation FROM (SELECT * FROM s2 ORDER BY hop, id LIMIT 5)")
 def explanation_text(spark: SparkSession, d: str) -> DataFrame:
-    """The fallback explanation: the first five names in order."""
-    names = _top(spark, d, 5).agg(F.array_sort(F.collect_list(F.struct("pos", "id"))).alias("s"))
-    return names.select(F.concat(F.lit("The flow passes "), F.array_join("s.id", " → ")).alias("explanation"))
+    """The explanation without a model: the first five nodes of a question's subgraph."""
+    found = R.retrieve(A.event_symbols(spark, d), A.event_edges(spark, d), ASKED, 2)
+    return R.explanation(found, ASKED)
 
 
-@query(EV + _TOP + " SELECT pos, 'What depends on ' || id || '?' AS question FROM t WHERE pos <= 3")
-def suggested_questions(spark: SparkSession, d: str) -> DataFrame:
-    return _top(spark, d, 3).select(F.col("pos").cast("long").alias("pos"), F.concat(F.lit("What depends on "), "id", F.lit("?")).alias("question"))
+@query(_bfs_sql(2) + ", f AS (SELECT *, row_number() OVER (ORDER BY hop, id) AS pos FROM (SELECT * FROM s2 ORDER BY hop, id LIMIT 15)) SELECT pos::INT AS pos, f.id || CASE WHEN parent IS NULL THEN ' is an entry' ELSE ' is called by ' || parent END || ': ' || summary AS line FROM f JOIN esym ON esym.id = f.id")
+def explanation_lines(spark: SparkSession, d: str) -> DataFrame:
+    """What a model would be told of a subgraph: its first fifteen nodes and the edge to each."""
+    nodes = A.event_symbols(spark, d)
+    return R.evidence(R.retrieve(nodes, A.event_edges(spark, d), ASKED, 2), nodes)
 
 
 @query(with_("ev") + ", l AS (SELECT node, user_id, max(ts) AS t FROM ev GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY t DESC, user_id) AS r FROM l), c AS (SELECT node, string_agg(user_id::VARCHAR, ',' ORDER BY r) AS contexts FROM r WHERE r <= 10 GROUP BY node), u AS (SELECT node, count(*) AS n, min(ts) AS first_access, max(ts) AS last_access FROM ev GROUP BY node) SELECT u.*, contexts FROM u JOIN c ON c.node = u.node")
@@ -119,3 +123,32 @@ def pattern_groups(spark: SparkSession, d: str) -> DataFrame:
     """Control-flow pattern groups of two or more members."""
     each = A.events(spark, d).groupBy("event_type", "node").agg(F.count(F.lit(1)).alias("c"))
     return each.groupBy(F.col("event_type").alias("pattern")).agg(F.count(F.lit(1)).alias("n_members"), F.sum("c").alias("n_calls")).where("n_members >= 2")
+
+
+@query(CO + " SELECT id, left(name, 60) AS name, file, left(repeat(summary || ' ', 20), 160) AS summary FROM cnodes")
+def node_briefs(spark: SparkSession, d: str) -> DataFrame:
+    """Nodes as lists show them, with 160 characters of their summary."""
+    long = F.repeat(F.concat("summary", F.lit(" ")), 20)
+    return A.commerce_nodes(spark, d).select("id", "name", "file", F.substring(long, 1, 160).alias("summary"))
+
+
+@query(CO + " SELECT 'node' AS part, id AS a, complexity AS b FROM cnodes WHERE kind = 'function' UNION ALL SELECT 'edge', src, dst FROM cedges WHERE src IN (SELECT id FROM cnodes WHERE semantic_kind = 'EXPOSES_API')")
+def semantic_listing(spark: SparkSession, d: str) -> DataFrame:
+    """Nodes that have semantics, and all semantic edges."""
+    n = A.commerce_nodes(spark, d)
+    semantic = A.commerce_edges(spark, d).join(n.where("semantic_kind = 'EXPOSES_API'").select(F.col("id").alias("src")), "src", "left_semi")
+    return n.where("kind = 'function' and complexity is not null").select(F.lit("node").alias("part"), F.col("id").alias("a"), F.col("complexity").alias("b")).union(semantic.select(F.lit("edge"), "src", "dst"))
+
+
+@query(with_("ev") + ", r AS (SELECT user_id, ts::DATE AS day, node, row_number() OVER (PARTITION BY user_id, ts::DATE ORDER BY ts, event_id) AS k FROM ev), s AS (SELECT string_agg(node, '>' ORDER BY k) AS path FROM r WHERE k <= 2 GROUP BY user_id, day HAVING count(*) >= 2), c AS (SELECT path, count(*) AS n FROM s GROUP BY path) SELECT path, n, split_part(path, ':', 1) || '>' || split_part(split_part(path, '>', 2), ':', 1) AS names FROM c")
+def common_paths_named(spark: SparkSession, d: str) -> DataFrame:
+    """Paths with their nodes' names; nodes that are gone drop out."""
+    paths = L.common_paths(L.first_nodes(A.events(spark, d), ["user_id", F.to_date("ts").alias("day")], "node", ["ts", "event_id"], 2), 1)
+    each = paths.select("path", "n", F.posexplode(F.split("path", ">")).alias("k", "id")).join(A.event_nodes(spark, d).select("id", F.col("kind").alias("name")), "id")
+    return each.groupBy("path", "n").agg(F.array_sort(F.collect_list(F.struct("k", "name"))).alias("s")).select("path", "n", F.array_join(F.transform("s", lambda x: x["name"]), ">").alias("names"))
+
+
+@query(CO + _CDEG + " SELECT id, CASE WHEN fan_out > 30 OR criticality = 'critical' OR semantic_kind IN ('EXPOSES_API', 'USES_DB') THEN 'critical' WHEN fan_out > 10 OR criticality = 'high' THEN 'high' WHEN fan_out > 3 OR criticality = 'medium' THEN 'medium' ELSE 'low' END AS risk FROM cd")
+def risk_levels(spark: SparkSession, d: str) -> DataFrame:
+    """Risk of every node by what is downstream, how critical it is, and its kind."""
+    return _cdeg(spark, d).select("id", T.risk(F.col("fan_out"), F.col("criticality"), F.col("semantic_kind")).alias("risk"))

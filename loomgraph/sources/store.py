@@ -152,6 +152,14 @@ class Store:
         row = self.metadata(graph_id).where(F.col("key") == key).first()
         return row and row["value"]
 
+    def cached(self, graph_id: str, key: str, build, force: bool = False) -> str:
+        """A graph's metadata value, built and kept where it is absent or ``force``; ``build()`` gives JSON."""
+        value = None if force else self.load_meta(graph_id, key)
+        if value is None:
+            value = build()
+            self.store_meta(graph_id, self.spark.createDataFrame([(key, value)], "key string, value string"))
+        return value
+
 
 def upgraded(df: DataFrame, table: str) -> DataFrame:
     """Older rows as today's: absent columns are null, ``kind`` and ``relationship`` follow from ``type``."""

@@ -185,8 +185,8 @@ def test_extract_and_resolve(spark, tmp_path):
     nodes = rows.where("row = 'node'").select("id", "name", "kind", "path")
     ids = {r["id"] for r in nodes.collect()}
     assert {"pkg/m.py::A", "pkg/m.py::A.f", "pkg/m.py::top", "w.cpp::Widget", "w.cpp::Widget.draw", "w.cpp::compute"} <= ids and not any("hidden" in i for i in ids)
-    calls = R.resolve_calls(rows.where("row = 'edge' and relation = 'INVOKES'").select("id", "target", "receiver", "line"), nodes)
-    assert {(r["id"], r["target_id"], r["confidence"]) for r in calls.collect()} == {("pkg/m.py::A.f", "pkg/m.py::A.g", 0.95), ("pkg/m.py::A.g", "pkg/m.py::top", 0.80), ("w.cpp::Widget.draw", "w.cpp::compute", 0.80)}
+    calls = R.resolve_calls(rows.where("row = 'edge' and relation = 'INVOKES'").select("id", "target", "receiver", "line", "adapter"), nodes)
+    assert {(r["id"], r["target_id"], r["confidence"]) for r in calls.collect()} == {("pkg/m.py::A.f", "pkg/m.py::A.g", 0.95), ("pkg/m.py::A.g", "pkg/m.py::top", 0.80), ("w.cpp::Widget.draw", "w.cpp::compute", 0.65)}
 
 
 def test_entry_imports():
