@@ -74,7 +74,8 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 def licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, n_words, base places and labels, all labels, score (best cover, 0 without a span).
 
-    Null and empty texts have no words; repeated rows repeat; other columns are ignored.
+    Null and empty texts have no words; repeated rows repeat; an empty table gives no rows; texts of any length are read whole;
+    other columns are ignored.
     """
     k1, k2 = row_key(docs, id_col, text_col)
     found = spans(docs, id_col, text_col).groupBy("k1", "k2").agg(

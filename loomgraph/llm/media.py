@@ -4,7 +4,7 @@ The writer puts a payload into the ancillary bytes of silent Layer III frames
 (MPEG-2, 16 kHz, mono, 144 kbit/s: 648 bytes a frame, 576 of them payload, each
 header and side information under a checksum) after an ID3v2 tag and a seek
 table frame.  The parser reads any MPEG-1/2/2.5 Layer I-III stream: tags, Xing,
-Info and VBRI tables, resynchronisation after damage, checksums, the exact
+Info and VBRI tables, resynchronisation after damage, checksums of all three layers, the exact
 duration as samples over sample rate, and the byte offset of every frame.
 """
 
@@ -49,6 +49,15 @@ def crc16(data: bytes) -> int:
     return crc
 
 
+def crc16_bits(data: bytes, n: int) -> int:
+    """The same checksum of the first ``n`` bits."""
+    crc = crc16(data[: n // 8])
+    for k in range(n - n % 8, n):
+        bit = data[k // 8] >> (7 - k % 8) & 1
+        crc = (crc << 1 ^ 0x8005 if crc >> 15 ^ bit else crc << 1) & 0xFFFF
+    return crc
+
+
 @dataclass(frozen=True)
 class Header:
     version: int  # 3: MPEG-1, 2: MPEG-2, 0: MPEG-2.5
@@ -60,6 +69,7 @@ class Header:
     samples: int
     length: int
     side: int
+    bound: int  # the first subband whose allocation both channels share
 
     def like(self, other: Header) -> bool:
         return (self.version, self.layer, self.hertz) == (other.version, other.layer, other.hertz)
@@ -78,7 +88,39 @@ def header(four: bytes) -> Header | None:
     samples = 384 if layer == 1 else 1152 if layer == 2 or first else 576
     length = (12 * kbps * 1000 // hertz + pad) * 4 if layer == 1 else samples // 8 * kbps * 1000 // hertz + pad
     side = 0 if layer < 3 else (17 if mono else 32) if first else (9 if mono else 17)
-    return Header(version, layer, not four[1] & 1, kbps, hertz, mono, samples, length, side)
+    bound = 4 * ((four[3] >> 4 & 3) + 1) if four[3] >> 6 == 1 else 32
+    return Header(version, layer, not four[1] & 1, kbps, hertz, mono, samples, length, side, bound)
+
+
+def allocation(h: Header) -> list[int]:
+    """Bits of each subband's allocation (Layer I: 4 in all 32; Layer II by the standard's tables)."""
+    if h.layer == 1:
+        return [4] * 32
+    if h.version != 3:
+        return [4] * 4 + [3] * 7 + [2] * 19
+    rate = h.kbps if h.mono else h.kbps // 2
+    if rate < 56:
+        return [4] * 2 + [3] * (10 if h.hertz == 32000 else 6)
+    return [4] * 11 + [3] * 12 + [2] * (7 if rate >= 96 and h.hertz != 48000 else 4)
+
+
+def checksum(raw: bytes, at: int, h: Header) -> int:
+    """The checksum of a protected frame: over the last header bytes and side information, or allocation and selection.
+
+    In Layer II two selection bits follow for each channel of a subband that has an allocation.
+    """
+    if h.layer == 3:
+        return crc16(raw[at + 2 : at + 4] + raw[at + 6 : at + 6 + h.side])
+    body, bit, selected = raw[at + 6 : at + h.length], 0, 0
+    number = int.from_bytes(body[:64].ljust(64, b"\0"), "big")
+    for band, width in enumerate(allocation(h)):
+        own = 1 if h.mono or band >= h.bound else 2
+        for _ in range(own):
+            value = number >> (512 - bit - width) & ((1 << width) - 1)
+            bit += width
+            selected += (value > 0) * (1 if own == 2 or h.mono else 2)
+    bits = 16 + bit + (2 * selected if h.layer == 2 else 0)
+    return crc16_bits(raw[at + 2 : at + 4] + body, min(bits, 16 + 8 * len(body)))
 
 
 @dataclass
@@ -95,6 +137,10 @@ class Media:
     bad_checks: int = 0
     resyncs: int = 0
 
+    def table_agrees(self) -> bool:
+        """Whether a table, if there is one, names as many frames as were found."""
+        return self.table.get("frames", len(self.offsets)) == len(self.offsets)
+
     def seek(self, sample: int) -> int:
         """Byte offset of the frame that holds a sample."""
         each = self.samples // len(self.offsets)
@@ -114,15 +160,26 @@ def _tags(raw: bytes, out: Media, last: bool) -> tuple[int, int]:
     """Read ID3v2 at the start and, if ``last``, ID3v1 at the end; returns where audio begins and ends."""
     begin, end = 0, len(raw)
     if raw[:3] == b"ID3" and len(raw) >= 10:
-        begin = min(end, 10 + _syncsafe(raw[6:10]))
-        at, short = 10, raw[3] == 2
-        while at + (6 if short else 10) <= begin and raw[at] != 0:
-            name = raw[at : at + (3 if short else 4)].decode("latin-1")
-            size = int.from_bytes(raw[at + 3 : at + 6], "big") if short else _syncsafe(raw[at + 4 : at + 8]) if raw[3] == 4 else int.from_bytes(raw[at + 4 : at + 8], "big")
+        version, flags, size = raw[3], raw[5], _syncsafe(raw[6:10])
+        begin = min(end, 10 + size + (10 if version == 4 and flags & 0x10 else 0))  # a footer repeats the header
+        body, at, short = raw[10 : 10 + size], 0, version == 2
+        if flags & 0x80 and version < 4:  # unsynchronised as a whole: a zero was put after each byte 255
+            body = body.replace(b"\xff\x00", b"\xff")
+        if flags & 0x40 and not short:  # an extended header comes first
+            at = _syncsafe(body[:4]) if version == 4 else 4 + int.from_bytes(body[:4], "big")
+        while at + (6 if short else 10) <= len(body) and body[at] != 0:
+            name = body[at : at + (3 if short else 4)].decode("latin-1")
+            size = int.from_bytes(body[at + 3 : at + 6], "big") if short else _syncsafe(body[at + 4 : at + 8]) if version == 4 else int.from_bytes(body[at + 4 : at + 8], "big")
+            own = 0 if short else body[at + 9]
             at += 6 if short else 10
+            value = body[at : at + size]
+            if version == 4 and own & 1:  # a length before the data
+                value = value[4:]
+            if version == 4 and (own & 2 or flags & 0x80):
+                value = value.replace(b"\xff\x00", b"\xff")
             if name[:1] == "T":
-                key, _, value = _text(raw[at : at + size]).partition("\0") if name in ("TXXX", "TXX") else (name, "", _text(raw[at : at + size]))
-                out.tags[key] = value
+                key, _, text = _text(value).partition("\0") if name in ("TXXX", "TXX") else (name, "", _text(value))
+                out.tags[key] = text
             at += size
     if last and end - begin >= 128 and raw[-128:-125] == b"TAG":
         end -= 128
@@ -169,10 +226,7 @@ def _parse(raw: bytes, last: bool) -> Media:
         h = header(raw[p : p + 4])
         if h is None or p + h.length > end or kind is not None and not h.like(kind):
             return None
-        if not h.protected or h.layer < 3:
-            return h, True
-        good = crc16(raw[p + 2 : p + 4] + raw[p + 6 : p + 6 + h.side]) == int.from_bytes(raw[p + 4 : p + 6], "big")
-        return h, good
+        return h, not h.protected or checksum(raw, p, h) == int.from_bytes(raw[p + 4 : p + 6], "big")
 
     lost = False
     while at < end:
@@ -196,7 +250,7 @@ def _parse(raw: bytes, last: bool) -> Media:
                 out.table = table
                 at += h.length
                 continue
-        if h.protected and h.layer == 3:
+        if h.protected:
             out.checked += 1
             out.bad_checks += not good
         out.offsets.append(at)
@@ -240,10 +294,16 @@ def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k in range(0, batch.num_rows, 256):
             part = batch.slice(k, 256)
             media = [encode((t or "").encode()) for t in part.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(media, pa.binary())], names=["doc_id", "media"])
+            n = [int.from_bytes(m[10 + _syncsafe(m[6:10]) + 4 + _SIDE + 8 :][:4], "big") for m in media]
+            first = [10 + _syncsafe(m[6:10]) + _FRAME for m in media]
+            offsets = [[a + _FRAME * i for i in range(c)] for a, c in zip(first, n)]
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), pa.array(media, pa.binary()), pa.array([c * 576 * 1_000_000_000 // 16000 for c in n], pa.int64()), pa.array(offsets, pa.list_(pa.int64()))],
+                names=["doc_id", "media", "duration_ns", "seek_offsets"],
+            )
 
 
-_FIELDS = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, n_frames long, samples long, hertz int, duration_ns long, crc_checked long, crc_bad long, resyncs long, seek_offsets array<long>, tags map<string,string>, feature string"
+_FIELDS = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, n_frames long, samples long, hertz int, duration_ns long, crc_checked long, crc_bad long, resyncs long, seek_offsets array<long>, stored_agrees boolean, tags map<string,string>, feature string"
 
 
 def _load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,25 +311,32 @@ def _load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k in range(0, batch.num_rows, 256):
             part = batch.slice(k, 256)
             rows: list[tuple] = []
-            for raw in part.column(1).to_pylist():
+            for raw, told_ns, told in zip(*(part.column(c).to_pylist() for c in (1, 2, 3))):
                 m = parse(raw)
                 data = payload(raw, m)
                 ns = m.samples * 1_000_000_000 // m.hertz if m.hertz else 0
-                feature = f"{m.table.get('kind', '-')}:{m.table.get('frames', 0)};frames={len(m.offsets)};samples={m.samples}/{m.hertz};kbps={'+'.join(map(str, sorted(m.kbps)))};crc={m.checked - m.bad_checks}/{m.checked};resyncs={m.resyncs};seek={zlib.crc32(np.array(m.offsets, '<i8').tobytes())}"
-                rows.append((len(data.rstrip(b"\xff")), len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-32:]), len(raw), hashlib.sha256(raw).hexdigest(), len(m.offsets), m.samples, m.hertz, ns, m.checked, m.bad_checks, m.resyncs, m.offsets, list(m.tags.items()), feature))
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int32(), *[pa.int64()] * 4, pa.list_(pa.int64()), pa.map_(pa.string(), pa.string()), pa.string()]
+                feature = f"{m.table.get('kind', '-')}:{m.table.get('frames', 0)}{'' if m.table_agrees() else '!'};frames={len(m.offsets)};samples={m.samples}/{m.hertz};kbps={'+'.join(map(str, sorted(m.kbps)))};crc={m.checked - m.bad_checks}/{m.checked};resyncs={m.resyncs};seek={zlib.crc32(np.array(m.offsets, '<i8').tobytes())}"
+                rows.append((len(data.rstrip(b"\xff")), len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-32:]), len(raw), hashlib.sha256(raw).hexdigest(), len(m.offsets), m.samples, m.hertz, ns, m.checked, m.bad_checks, m.resyncs, m.offsets, told_ns == ns and told == m.offsets, list(m.tags.items()), feature))
+            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int32(), *[pa.int64()] * 4, pa.list_(pa.int64()), pa.bool_(), pa.map_(pa.string(), pa.string()), pa.string()]
             names = [f.split()[0] for f in _FIELDS.replace("map<string,string>", "map").split(", ")]
             yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(c, t) for c, t in zip(zip(*rows), kinds)]], names=names)
 
 
 def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Write (doc_id, media) for every row to the shared folder; a null text is an empty payload; equal texts, equal bytes."""
+    """Write (doc_id, media, duration_ns, seek_offsets) for every row to the shared folder; equal texts, equal bytes.
+
+    A null text is an empty payload, repeated rows repeat, an empty table stores no rows, a text of any length is one
+    stream (a row at a time is held), and other columns are ignored.
+    """
     ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return written(rows.mapInArrow(_store, "doc_id long, media binary"))
+    return written(rows.mapInArrow(_store, "doc_id long, media binary, duration_ns long, seek_offsets array<long>"))
 
 
 def features(media: DataFrame) -> DataFrame:
-    """Parse each stored stream: sizes, digests, exact duration, checks, seek offsets, tags and a feature line."""
+    """Parse each stored stream: sizes, digests, exact duration, checks, seek offsets, tags and a feature line.
+
+    ``stored_agrees`` tells whether the stored duration and offsets are those found. An empty table gives no rows.
+    """
     ship(media.sparkSession)
-    return media.select("doc_id", "media").mapInArrow(_load, _FIELDS)
+    return media.select("doc_id", "media", "duration_ns", "seek_offsets").mapInArrow(_load, _FIELDS)

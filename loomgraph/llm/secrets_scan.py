@@ -98,7 +98,11 @@ def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: counts of each kind, digest of base spans, and all spans; null texts have none."""
+    """One row per row of ``docs``: counts of each kind, digest of base spans, and all spans.
+
+    Null and empty texts have none, repeated rows repeat, an empty table gives no rows, a text of any length is scanned
+    whole, and other columns are ignored.
+    """
     ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(_run, "doc_id long, n_assign long, n_access long, n_hex long, n_entropy long, base_sha256 string, spans string")

@@ -116,6 +116,7 @@ def test_media_round_trip(spark, odd, none, docs):
             assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(data), len(full), hashlib.sha256(full).hexdigest(), zlib.crc32(full[-32:]))
             raw = media.encode(data)
             assert (r["media_bytes"], r["media_sha256"]) == (len(raw), hashlib.sha256(raw).hexdigest())
+            assert r["stored_agrees"] and len(r["seek_offsets"]) == r["n_frames"]
             assert r["tags"]["n_bytes"] == str(len(data)) and r["crc_bad"] == r["resyncs"] == 0 and r["samples"] == r["n_frames"] * 576
     assert media.features(media.store(none)).count() == 0
 
@@ -138,6 +139,55 @@ def test_media_damage():
     assert v.table == {"kind": "VBRI", "frames": 2, "bytes": 1000, "steps": [417]} and v.kbps == {128, 160} and v.samples == 2304 and v.hertz == 44100 and v.tags == {"title": "name"}
 
 
+def slow_crc(bits):
+    crc = 0xFFFF
+    for b in bits:
+        top = crc >> 15 ^ b
+        crc = crc << 1 & 0xFFFF
+        crc ^= 0x8005 if top else 0
+    return crc
+
+
+def to_bits(data):
+    return [x >> (7 - k) & 1 for x in data for k in range(8)]
+
+
+@pytest.mark.parametrize("four, bits", [
+    (b"\xff\xfe\x10\xc0", 128), (b"\xff\xfe\x10\x00", 256), (b"\xff\xfe\x10\x50", 4 * (2 * 8 + 24)),  # Layer I: mono, stereo, joint from band 8
+    (b"\xff\xfc\x10\xc0", 2 * 4 + 6 * 3), (b"\xff\xfc\xa0\xc0", 11 * 4 + 12 * 3 + 7 * 2), (b"\xff\xf4\x80\xc0", 4 * 4 + 7 * 3 + 19 * 2),  # Layer II: low rate, high rate, MPEG-2
+])
+def test_media_checksums_of_layers_1_and_2(four, bits):
+    rng = random.Random(4)
+    h = media.header(four)
+    frames = []
+    for _ in range(3):
+        body = bytes(rng.randrange(256) for _ in range(h.length - 6))
+        n = bits
+        if h.layer == 2:  # two bits for each subband with an allocation, all mono here
+            at = 0
+            for width in media.allocation(h):
+                n += 2 * any(to_bits(body)[at : at + width])
+                at += width
+        frames.append(four + slow_crc(to_bits(four[2:] + body)[: 16 + n]).to_bytes(2, "big") + body)
+    good = media.parse(b"".join(frames))
+    assert good.checked == 3 and good.bad_checks == 0 and len(good.offsets) == 3
+    broken = bytearray(b"".join(frames))
+    broken[h.length + 7] ^= 0x10
+    assert media.parse(bytes(broken)).bad_checks == 1
+
+
+def test_media_tag_flags():
+    frames = media.encode(b"a" * 600)
+    audio = frames[10 + media._syncsafe(frames[6:10]) :]
+    note = b"TIT2" + (4).to_bytes(4, "big") + b"\0\0" + b"\0a\xffb"
+    plain = b"ID3\x03\0\xc0" + bytes([0, 0, 0, 10 + len(note) + 1]) + (6).to_bytes(4, "big") + bytes(6) + note.replace(b"\xff", b"\xff\0")
+    footer = b"ID3\x04\0\x10" + bytes([0, 0, 0, len(note)]) + note + b"3DI\x04\0\x10" + bytes([0, 0, 0, len(note)])
+    for tag in (plain, footer):
+        got = media.parse(tag + audio)
+        assert got.tags["TIT2"] == "aÿb" and len(got.offsets) == 2 and got.resyncs == 0 and got.table_agrees()
+    assert not media.parse(frames[:-648]).table_agrees()
+
+
 def test_media_payload_like_a_tag():
     data = b"a" * 505 + b"TAG" + b"b" * 60
     raw = media.encode(data)
@@ -283,6 +333,47 @@ def test_language_id(spark, odd, none):
     assert {r["lang_pred"] for r in rows(langid.identify(odd, empty))} == {"und"}
 
 
+def test_language_family_then_pair():
+    """Prediction from the weights alone: the family with most duels won, then among its languages only."""
+    rng = np.random.default_rng(2)
+    texts = ["".join(rng.choice(list("abcdef éñß"), 60)) for _ in range(40)]
+    names = {"germanic": ["de", "en"], "romance": ["es", "fr", "it"], "xx": ["xx"]}
+    pairs = {}
+    for kind, groups in (("family", [sorted(names)]), ("lang", names.values())):
+        for group in groups:
+            for a, b in itertools.combinations(group, 2):
+                pairs[(kind, a), (kind, b)] = rng.normal(size=langid.FEATURES).astype(np.float32), float(rng.normal() / 50)
+    model = langid.Model(sorted(names), names, pairs, np.ones(langid.FEATURES, np.float32), (np.zeros(langid.FEATURES + 1, np.float32), 0.0, 1.0))
+    x = langid.vectors(texts)
+
+    def best(kind, group, v):
+        won = {g: [0, 0.0] for g in group}
+        for a, b in itertools.combinations(group, 2):
+            w, bias = pairs[(kind, a), (kind, b)]
+            m = float(w @ v) + bias
+            won[a if m >= 0 else b][0] += 1
+            won[a if m >= 0 else b][1] += abs(m)
+        return max(won, key=lambda g: (won[g], g))
+
+    want = [best("lang", names[best("family", sorted(names), v)], v) for v in x]
+    assert model.predict(texts)[0] == want and len(set(want)) > 2
+
+
+def test_linear_svm_is_a_maximum_margin():
+    """No other weights have a smaller regularised hinge loss."""
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(1, 1, (30, 5)), rng.normal(-1, 1, (30, 5))]).astype(np.float32)
+    y = np.repeat([1, -1], 30)
+    w, b = langid.linear_svm(x, y, c=1.0, epochs=400)
+
+    def loss(w, b):
+        return (w @ w + b * b) / 2 + np.maximum(0, 1 - y * (x @ w + b)).sum()
+
+    least = loss(w.astype(float), b)
+    for _ in range(300):
+        assert loss(w + rng.normal(0, 0.05, 5), b + rng.normal(0, 0.05)) >= least - 1e-3
+
+
 # --- 7: licenses
 
 
@@ -325,7 +416,7 @@ def test_license_diagonals_merge(spark):
 
 def test_mixing(odd, none, docs):
     got = rows(mixing.mix(odd))
-    assert all(c in got[0] for c in SCHEMA.replace(",", "").split()[::2]) if got else True
+    assert got and all(c in got[0] for c in SCHEMA.replace(",", "").split()[::2])
     again = rows(mixing.mix(odd.repartition(7)))
     assert sorted(map(str, got)) == sorted(map(str, again))
     assert mixing.mix(none).count() == 0
@@ -407,6 +498,7 @@ def test_jaccard(spark, odd, none, docs, monkeypatch, tile):
         assert got == brute_components(given)
     assert ngram_join.jaccard_components(none).count() == 0
     kept = ngram_join.one_of_each(odd)
+    assert ngram_join.one_of_each(none).count() == 0
     assert kept.columns == odd.columns and sorted(r["doc_id"] for r in rows(kept)) == [1, 2, 3, 4, 7, 8, 10, 11, 12, 13]
 
 
@@ -417,3 +509,32 @@ def test_jaccard_chain(spark):
     given = list(enumerate(texts))
     got = sorted((tuple(r.values()) for r in rows(ngram_join.jaccard_components(spark.createDataFrame(given, "doc_id long, text string")))), key=str)
     assert got == brute_components(given)
+
+
+def test_jaccard_wide_groups(spark, monkeypatch):
+    """Groups of many tiles: near copies that all link with the smallest, and texts of one common passage that don't."""
+    monkeypatch.setattr(ngram_join, "TILE", 4)
+    monkeypatch.setattr(ngram_join, "FEW", 1)
+    monkeypatch.setattr(ngram_join, "TASK_BYTES", 2000)
+    monkeypatch.setattr(ngram_join, "TASK_SHINGLES", 500)
+    rng = random.Random(8)
+    base, common = [f"b{i}" for i in range(60)], " ".join(f"c{i}" for i in range(12))
+    given = []
+    for k in range(60):
+        words = list(base)
+        if k:
+            words[rng.randrange(60)] = f"n{k}"
+        given.append((k, " ".join(words)))
+    for k in range(60, 110):
+        given.append((k, common + " " + " ".join(f"x{k // 2}{i}" for i in range(rng.choice((4, 5, 30))))))
+    given += [(200 + k, f"{common} last {k % 3}") for k in range(30)]
+    got = sorted((tuple(r.values()) for r in rows(ngram_join.jaccard_components(spark.createDataFrame(given, "doc_id long, text string")))), key=str)
+    assert got == brute_components(given)
+
+
+def test_one_of_each_shuffled(odd, docs, monkeypatch):
+    for df in (odd, docs):
+        want = sorted(map(str, rows(ngram_join.one_of_each(df))))
+        monkeypatch.setattr(ngram_join, "small", lambda df: None)
+        assert sorted(map(str, rows(ngram_join.one_of_each(df)))) == want
+        monkeypatch.undo()

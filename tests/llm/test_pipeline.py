@@ -1,9 +1,16 @@
 import base64
+import hashlib
+import math
+import os
 import random
+import sys
+from collections import Counter, defaultdict
 
 import corpus_pipeline
 from loomgraph.llm import common, decontaminate, langid, ngram_join, token_codes
 
+sys.path.insert(0, os.path.dirname(__file__))
+
 
 def test_stages(spark, sf):
     docs = common.table(spark, sf, "documents")
@@ -28,6 +35,52 @@ def test_stages(spark, sf):
     assert len(last) == docs.count()
 
 
+def test_stages_against_brute_force(spark, sf):
+    """Near duplicates, decontamination and mixing recomputed row by row in Python from the documents themselves."""
+    from test_operators import brute_components, brute_contamination
+
+    docs = common.table(spark, sf, "documents")
+    bench = common.table(spark, sf, "benchmark")
+    given = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    first = {c for _, n, c in brute_components(given) if n} | {i for i, n, _ in brute_components(given) if not n}
+    kept = common.written(corpus_pipeline.near_duplicates(spark, docs, sf))
+    assert {r["doc_id"] for r in kept.collect()} == first
+    hit = {i for i, *_, bad in brute_contamination([g for g in given if g[0] in first], [tuple(r) for r in bench.select("item_id", "text").collect()]) if bad}
+    clean = common.written(corpus_pipeline.remove_benchmark(spark, kept, sf))
+    assert {r["doc_id"] for r in clean.collect()} == first - hit and hit
+    rows = clean.collect()
+    size = defaultdict(int)
+    for r in rows:
+        size[r["source"]] += max(len(r["text"] or ""), 1)
+    want = Counter()
+    for r in rows:
+        rate = sum(size.values()) / len(size) / size[r["source"]]
+        u = int(hashlib.md5(f"mix-1:{r['doc_id']}".encode()).hexdigest()[:13], 16) / 2**52
+        k, p = 0, math.exp(-rate)
+        total = p
+        while total <= u:
+            k += 1
+            p *= rate / k
+            total += p
+        if k:
+            want[r["doc_id"]] = k
+    got = Counter(r["doc_id"] for r in corpus_pipeline.mix_sources(spark, clean, sf).collect())
+    assert got == want and max(want.values()) > 1
+
+
+def test_odd_table_through_all_stages(spark, sf):
+    """Nulls in every column, empty and very long texts, repeated rows and clashing names."""
+    from test_operators import SCHEMA, odd_rows
+
+    docs = spark.createDataFrame(odd_rows(), SCHEMA).repartition(3)
+    names = docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = common.written(stage(spark, docs, sf))
+        assert docs.columns == names, name
+    last = corpus_pipeline.STAGES[-1][1](spark, docs, sf).collect()
+    assert len(last) == docs.count()
+
+
 def test_language_rejects_lettered_text(spark):
     docs = common.table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text", "lang")
     model = langid.fit(docs)
