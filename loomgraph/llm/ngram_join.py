@@ -8,7 +8,8 @@
    and pairs below the size-derived bound on them are discarded.  In a column of many items, the smallest stands for
    all whose sizes are within the bound: they go to its group, so no pair is lost and no column becomes its square.
 4. Groups are multiplied in tiles of bounded size: overlaps of whole rows are accumulated over shared columns, pairs
-   with 100*overlap < 75*union are discarded, and the rest are links.
+   with 100*overlap < 75*union are discarded, and the rest are links.  A group of more than one tile is first compared
+   with its smallest item alone; only what doesn't link with that one is compared with the whole group.
 5. Links connect items; a document's component is the smallest id among its items' documents.
 """
 
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ..operators.components import components
 from ..session import ship
-from .common import fresh, tasks, written
+from .common import fresh, row_key, small, tasks, written
 
 WORDS, PERCENT = 5, 75
 #: At most so many frequent shingles are broadcast for the order (about 2 MB); any choice gives the same result.
@@ -37,7 +38,10 @@ FEW = 3
 TILE = 1024
 #: Bits of the filter that keeps texts outside all groups from being shuffled (4 MB, whatever the input).
 FILTER_BITS = 1 << 25
-_FLUSH = 3_000_000
+_FLUSH = 2_000_000
+#: Bytes of text whose shingles one task counts, shingles whose columns one task multiplies, blocks of hashes a task (several,
+#: so that tasks are even), and tasks over which a large component is spread.
+TASK_BYTES, TASK_SHINGLES, EACH, SALTS = 64 << 20, 4_000_000, 8, 32
 
 _P = 0x9E3779B97F4A7C15
 _PINV = pow(_P, -1, 1 << 64)
@@ -91,11 +95,11 @@ def _texts(batches: Iterator[pa.RecordBatch], names: tuple[str, ...], step: int
             yield list(zip(*(part.column(n).to_pylist() for n in names)))
 
 
-_SETS = pa.schema([("rk", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("item", pa.binary()), ("block", pa.int32()), ("counts", pa.binary())])
+_SETS = pa.schema([("rk", pa.int64()), ("rk2", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("item", pa.binary()), ("block", pa.int32()), ("counts", pa.binary())])
 
 
 def _sets(blocks: int):
-    """Rows of documents (rk, doc_id, n, item) and rows of counts (block, hashes of 32 bits, a document each)."""
+    """Rows of documents (rk, rk2, doc_id, n, item) and rows of counts (block, hashes of 32 bits, a document each)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -107,13 +111,13 @@ def _sets(blocks: int):
             cuts = np.searchsorted(all32, np.arange(blocks + 1, dtype=np.uint64) * (1 << 32) // blocks)
             out = [(b, all32[cuts[b] : cuts[b + 1]].tobytes()) for b in range(blocks) if cuts[b + 1] > cuts[b]]
             none = [None] * len(out)
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip([none, none, none, none, [b for b, _ in out], [x for _, x in out]], _SETS)], schema=_SETS)
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip([none, none, none, none, none, [b for b, _ in out], [x for _, x in out]], _SETS)], schema=_SETS)
 
-        for rows in _texts(batches, ("rk", "doc_id", "text")):
-            sets = [shingles(t) for _, _, t in rows]
+        for rows in _texts(batches, ("rk", "rk2", "doc_id", "text")):
+            sets = [shingles(r[3]) for r in rows]
             items = [item_of(s) for s in sets]
             none = [None] * len(rows)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip([[r[0] for r in rows], [r[1] for r in rows], [len(s) for s in sets], items, none, none], _SETS)], schema=_SETS)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip([[r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows], [len(s) for s in sets], items, none, none], _SETS)], schema=_SETS)
             for s, item in zip(sets, items):
                 if item not in seen:
                     seen.add(item)
@@ -138,9 +142,9 @@ def _frequent(table: pa.Table) -> pa.Table:
     return pa.table({"h": h[often].astype(np.int64), "c": c[often].astype(np.int64)})
 
 
-def frequent_order(counts: DataFrame, most: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
+def frequent_order(counts: DataFrame, parts: int, most: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
     """Sorted 32-bit hashes of frequent shingles and their binary logarithm of frequency, ``most`` of them at most."""
-    found = written(counts.groupBy("block").applyInArrow(_frequent, "h long, c long"))
+    found = written(counts.repartition(parts, "block").groupBy("block").applyInArrow(_frequent, "h long, c long"))
     level = F.floor(F.log2("c")).cast("int")
     left, least = most, 64
     for lev, n in sorted(((r[0], r[1]) for r in found.groupBy(level.alias("l")).count().collect()), reverse=True):  # 64 rows at most
@@ -167,7 +171,7 @@ def prefix(hashes: np.ndarray, order: tuple[np.ndarray, np.ndarray], percent: in
 
 
 def _columns(order, blocks: int):
-    """A row for each block and flush: items, sizes, columns an item, and the columns' hashes (5 bytes)."""
+    """A row for each block and flush: items, sizes, columns an item, and the columns' hashes."""
     schema = pa.schema([("block", pa.int32()), ("cells", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,8 +192,7 @@ def _columns(order, blocks: int):
             for b in np.flatnonzero(np.diff(cuts)):
                 part = slice(cuts[b], cuts[b + 1])
                 own, n = np.unique(owner[part], return_counts=True)
-                tail = h[part].view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
-                out.append((int(b), len(own).to_bytes(4, "little") + ids[own].tobytes() + many[own].tobytes() + n.astype(np.uint32).tobytes() + tail))
+                out.append((int(b), len(own).to_bytes(4, "little") + ids[own].tobytes() + many[own].tobytes() + n.astype(np.uint32).tobytes() + h[part].tobytes()))
             return pa.RecordBatch.from_arrays([pa.array([b for b, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())], schema=schema)
 
         size = 0
@@ -224,12 +227,9 @@ def _product(table: pa.Table) -> pa.Table:
         raw = x.as_py()
         n = int.from_bytes(raw[:4], "little")
         item, size, cols = np.frombuffer(raw, np.int64, n, 4), np.frombuffer(raw, np.uint32, n, 4 + 8 * n), np.frombuffer(raw, np.uint32, n, 4 + 12 * n)
-        tail = np.frombuffer(raw, np.uint8, offset=4 + 16 * n).reshape(-1, 5)
-        h = np.zeros((len(tail), 8), np.uint8)
-        h[:, :5] = tail
         ids.append(np.repeat(item, cols))
         sizes.append(np.repeat(size, cols))
-        hashes.append(h.view(np.uint64).ravel())
+        hashes.append(np.frombuffer(raw, np.uint64, offset=4 + 16 * n))
     item, size, h = np.concatenate(ids), np.concatenate(sizes).astype(np.int64), np.concatenate(hashes)
     by = np.argsort(h, kind="stable")
     item, size, h = item[by], size[by], h[by]
@@ -318,14 +318,17 @@ def links_within(sets: list[np.ndarray], left: int | None = None, percent: int =
 
 
 def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links (u, v: items) of tiles that arrive sorted by (root, i, j, side)."""
+    """Links (root, u, v: items) of tiles that arrive sorted by (root, i, j, side).
+
+    A tile of i = j is compared within itself, another by pairs of side 0 and side 1.
+    """
     key, items, sets, left = None, [], [], 0
     unpack = zstandard.ZstdDecompressor().decompress
 
     def close() -> pa.RecordBatch | None:
         pairs = links_within(sets, None if key[1] == key[2] else left) if len(sets) > 1 and (key[1] == key[2] or 0 < left < len(sets)) else []
         if pairs:
-            return pa.RecordBatch.from_arrays([pa.array([items[a] for a, _ in pairs], pa.binary()), pa.array([items[b] for _, b in pairs], pa.binary())], names=["u", "v"])
+            return pa.RecordBatch.from_arrays([pa.array([key[0]] * len(pairs), pa.int64()), pa.array([items[a] for a, _ in pairs], pa.binary()), pa.array([items[b] for _, b in pairs], pa.binary())], names=["root", "u", "v"])
         return None
 
     for rows in _texts(batches, ("root", "i", "j", "side", "item", "text"), 64):
@@ -333,9 +336,10 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if key != (root, i, j):
                 if key is not None and (out := close()) is not None:
                     yield out
-                key, items, sets, left = (root, i, j), [], [], 0
+                key, items, sets, left, last = (root, i, j), [], [], 0, None
             s = shingle_bytes(unpack(text))
-            if item_of(s) == item and (not items or items[-1] != item):
+            if item_of(s) == item and last != (side, item):
+                last = side, item
                 items.append(item)
                 sets.append(s)
                 left += side == 0
@@ -344,41 +348,70 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    i, t = docs[id_col].cast("long"), docs[text_col]
-    return docs.select(F.xxhash64(i, t, i.isNull()).alias("rk"), i.alias("doc_id"), t.alias("text"))
+    base = docs.select(docs[id_col].cast("long").alias("i"), docs[text_col].alias("t"))
+    rk, rk2 = row_key(base, "i", "t")
+    return base.select(rk.alias("rk"), rk2.alias("rk2"), F.col("i").alias("doc_id"), F.col("t").alias("text"))
+
+
+def _linked(tiles: DataFrame, blocks: int) -> DataFrame:
+    """Links of tiles (root, i, j, side, item, text), written."""
+    tiles = tiles.repartition(blocks, "root", "i", "j").sortWithinPartitions("root", "i", "j", "side", "item")
+    return written(tiles.mapInArrow(_tiles, "root long, u binary, v binary"))
+
+
+def group_links(members: DataFrame, texts: DataFrame, blocks: int) -> DataFrame:
+    """Links (u, v) that connect all items that link within a group; ``members``: item, rk, short, root, t (tiles)."""
+    one, zero = F.lit(1), F.lit(0)
+    fit = members.where("t = 1").join(texts, "rk").select("root", zero.alias("i"), zero.alias("j"), zero.alias("side"), "item", "text")
+    links = _linked(fit, blocks).select("u", "v")
+    if members.where("t > 1").isEmpty():
+        return links
+    wide = written(members.where("t > 1").join(texts, "rk").withColumn("k", F.pmod(F.xxhash64("item"), F.col("t")).cast("int")).select("root", "t", "k", (F.col("short") == F.col("root")).alias("lead"), "item", "text"))
+    # the smallest item with each tile
+    lead = wide.where("lead").select("root", F.explode(F.sequence(zero, F.col("t") - 1)).alias("i"), F.lit(-1).alias("j"), zero.alias("side"), "item", "text")
+    first = _linked(lead.union(wide.where("not lead").select("root", "k", F.lit(-1), one, "item", "text")), blocks)
+    rest = wide.where("not lead").join(first.select("root", F.col("v").alias("item")), ["root", "item"], "left_anti")
+    parts = rest.groupBy("root").agg(F.ceil(F.count(one) / TILE).cast("int").alias("p"))
+    # what is left with the whole group
+    rest = rest.join(parts, "root").select("root", F.pmod(F.xxhash64("item", one), F.col("p")).cast("int").alias("i"), F.explode(F.sequence(zero, F.col("t") - 1)).alias("j"), zero.alias("side"), "item", "text")
+    every = wide.join(parts, "root").select("root", F.explode(F.sequence(zero, F.col("p") - 1)).alias("i"), F.col("k").alias("j"), one.alias("side"), "item", "text")
+    again = _linked(rest.union(every).withColumn("j", -2 - F.col("j")), blocks)
+    return links.union(first.select("u", "v")).union(again.select("u", "v"))
 
 
 def _solve(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """(rk, doc_id, n, item) of every row, and (item, component_id, keep) of every item; keep is the row that stays."""
+    """(rk, rk2, doc_id, n, item) of every row, and (item, component_id, keep) of every item; keep is the row that stays."""
     spark = docs.sparkSession
     ship(spark)
     rows = _rows(docs, id_col, text_col)
-    blocks = tasks(spark)
-    table = written(rows.mapInArrow(_sets(blocks), "rk long, doc_id long, n long, item binary, block int, counts binary"))
-    own = table.where("block is null").select("rk", "doc_id", "n", "item")
-    order = frequent_order(table.where("block is not null").select("block", "counts"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    counted = max(1, size // TASK_BYTES)  # the number of blocks grows with the text, so no block does
+    table = written(rows.mapInArrow(_sets(EACH * counted), "rk long, rk2 int, doc_id long, n long, item binary, block int, counts binary"))
+    own = table.where("block is null").select("rk", "rk2", "doc_id", "n", "item")
+    order = frequent_order(table.where("block is not null").select("block", "counts"), counted)
     total = own.agg(F.sum("n")).first()[0] or 0
-    wide = max(blocks, total // 8_000_000)
+    blocks = max(1, total // TASK_SHINGLES)
     sent = spark.sparkContext.broadcast(order)
-    cells = rows.select("text").mapInArrow(_columns(sent, wide), "block int, cells binary")
-    pairs = candidates(written(cells.groupBy("block").applyInArrow(_product, _EDGES)))
+    cells = rows.select("text").mapInArrow(_columns(sent, EACH * blocks), "block int, cells binary")
+    pairs = candidates(written(cells.repartition(blocks, "block").groupBy("block").applyInArrow(_product, _EDGES)))
     group = pairs.union(pairs.select("u", F.col("u").alias("v"))).distinct()
     sizes = group.groupBy("u").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("t"))
     group = group.join(sizes, "u").select(F.col("v").alias("short"), F.col("u").alias("root"), "t")
     # an item's first 8 bytes name it in groups; where two items share them, both are in the group and are compared
-    items = own.where("n > 0").groupBy("item").agg(F.min("doc_id").alias("low"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rk")).alias("first"))
+    items = own.where("n > 0").groupBy("item").agg(F.min("doc_id").alias("low"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rk", "rk2")).alias("first"))
     named = items.select("item", "first.rk").mapInArrow(_short_names, "item binary, rk long, short long")
-    members = written(named.join(group, "short").select("item", "rk", "root", "t"))
+    members = written(named.join(group, "short").select("item", "rk", "short", "root", "t"))
     texts = rows.select("rk", "text").mapInArrow(_members_only(spark.sparkContext.broadcast(member_filter(members))), "rk long, text binary")
-    tiles = members.join(texts, "rk").withColumn("k", F.pmod(F.xxhash64("item"), F.col("t")).cast("int"))
-    tiles = tiles.select("root", "item", "text", "k", F.explode(F.sequence(F.lit(0), F.col("t") - 1)).alias("other"))
-    tiles = tiles.select("root", F.least("k", "other").alias("i"), F.greatest("k", "other").alias("j"), (F.col("k") > F.col("other")).cast("int").alias("side"), "item", "text")
-    tiles = tiles.repartition(blocks, "root", "i", "j").sortWithinPartitions("root", "i", "j", "side", "item")
-    links = written(tiles.mapInArrow(_tiles, "u binary, v binary"))
-    joined = components(links)
-    found = items.join(joined.withColumnRenamed("u", "item"), "item", "left").select("item", "first", "low", F.coalesce("root", "item").alias("root"))
-    least = found.groupBy("root").agg(F.min("first").alias("keep"), F.min("low").alias("component_id"))
-    return own, found.join(least, "root").select("item", "component_id", F.col("keep.rk").alias("keep"))
+    joined = components(group_links(members, texts, max(blocks, tasks(spark))))
+    # only linked items take part, and a large component is spread over salts
+    salt = F.pmod(F.xxhash64("item"), F.lit(SALTS)).cast("int").alias("salt")
+    linked = joined.select(F.col("u").alias("item"), "root").union(joined.select("root", "root").distinct())
+    linked = written(items.join(linked, "item").select("item", "root", "first", "low", salt))
+    least = linked.groupBy("root", "salt").agg(F.min("first").alias("first"), F.min("low").alias("low")).groupBy("root").agg(F.min("first").alias("keep"), F.min("low").alias("component_id"))
+    least = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    best = linked.select("item", "root", "salt").join(least, ["root", "salt"]).select("item", "component_id", "keep")
+    found = items.join(best, "item", "left").select("item", F.when(F.col("keep").isNull(), F.col("low")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("keep", "first").alias("keep"))
+    return own, written(found)  # a join on a very frequent item is then split by its own side's rows
 
 
 def member_filter(members: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
@@ -423,13 +456,20 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each component, the one of smallest id; rows without words all stay. Same columns."""
+    """``docs`` with one row of each component, the one of smallest id; rows without words all stay. Same columns.
+
+    Of several rows of that id and text, the one whose columns as JSON come first stays. An empty table stays empty.
+    """
     own, found = _solve(docs, id_col, text_col)
-    stay = found.select(F.col("keep").alias("rk")).distinct()
-    (name,) = fresh(docs, "rk")
+    a, b = fresh(docs, "rk", "rk2")
+    each = own.where("n > 0").groupBy("rk", "rk2").agg(F.count(F.lit(1)).alias("c"))
+    stays = found.select("keep.rk", "keep.rk2", F.lit(True).alias("again")).distinct()
+    mark = each.join(stays, ["rk", "rk2"], "left").where("again is null or c > 1")  # by rows, so a frequent text is no hot key
+    mark = written(mark.select(F.col("rk").alias(a), F.col("rk2").alias(b), F.coalesce("again", F.lit(False)).alias("again")))
     i, t = docs[id_col].cast("long"), docs[text_col]
-    keyed = docs.select("*", F.xxhash64(i, t, i.isNull()).alias(name))
-    empty = own.where("n = 0").select("rk").distinct()
-    kept = keyed.join(stay.withColumnRenamed("rk", name), name, "left_semi").dropDuplicates([name])
-    bare = keyed.join(empty.withColumnRenamed("rk", name), name, "left_semi")
-    return kept.union(bare).select(*docs.columns)
+    keyed = docs.select("*", F.xxhash64(i, t, t.isNull()).alias(a), F.hash(F.lit(7), i, t).alias(b))
+    left, again = mark.select(a, b), mark.where("again").select(a, b)
+    once = keyed.join(small(left) or left, [a, b], "left_anti").select(*docs.columns)
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    repeated = keyed.join(small(again) or again, [a, b], "left_semi").groupBy(a, b).agg(F.min_by(whole, F.to_json(whole)).alias("row")).select("row.*")
+    return once.union(repeated)
