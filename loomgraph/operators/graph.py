@@ -26,20 +26,29 @@ def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("id").join(count, "id", "left").na.fill(0, ["in_degree", "out_degree"])
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 10, damping: float = 0.85) -> DataFrame:
-    """(id, rank) after ``rounds`` rounds from the uniform start; dangling mass is spread evenly."""
+#: Node tables of at most so many counted rows are broadcast in PageRank's rounds.
+BROADCAST_ROWS = 200_000
+
+
+def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 10, damping: float = 0.85, every: int = 2) -> DataFrame:
+    """(id, rank) after ``rounds`` rounds from the uniform start; dangling mass is spread evenly.
+
+    A round moves ranks along the edges in one shuffle; the ranks themselves are broadcast while their counted rows are
+    within the bound, and are shuffled beyond it. Every ``every`` rounds the ranks are written.
+    """
     n = nodes.count()
     if not n:
         return nodes.select("id", F.lit(0.0).alias("rank"))
+    near = F.broadcast if n <= BROADCAST_ROWS else lambda df: df
     out = edges.groupBy("src").agg(F.count(F.lit(1)).alias("out"))
-    links = written(edges.join(out, "src").select("src", "dst", "out"))
-    rank = nodes.select("id").join(out.withColumnRenamed("src", "id"), "id", "left").select("id", F.col("out").isNull().alias("dangling"), F.lit(1.0 / n).alias("rank"))
+    links = written(edges.join(near(out), "src").select("src", "dst", "out"))
+    rank = written(nodes.select("id").join(near(out.withColumnRenamed("src", "id")), "id", "left").select("id", F.col("out").isNull().alias("dangling"), F.lit(1.0 / n).alias("rank")))
     for k in range(rounds):
-        moved = links.join(rank, F.col("src") == F.col("id")).groupBy("dst").agg(F.sum(F.col("rank") / F.col("out")).alias("got"))
+        moved = links.join(near(rank.select("id", "rank")), F.col("src") == F.col("id")).groupBy("dst").agg(F.sum(F.col("rank") / F.col("out")).alias("got"))
         lost = rank.agg(F.coalesce(F.sum(F.when(F.col("dangling"), F.col("rank"))), F.lit(0.0)).alias("lost"))
-        rank = rank.join(moved, F.col("id") == F.col("dst"), "left").crossJoin(F.broadcast(lost))  # one row
+        rank = rank.join(near(moved), F.col("id") == F.col("dst"), "left").crossJoin(F.broadcast(lost))  # one row
         rank = rank.select("id", "dangling", ((1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / n)).alias("rank"))
-        if k % 4 == 3:
+        if k % every == every - 1:
             rank = written(rank)
     return rank.select("id", "rank")
 

@@ -111,13 +111,21 @@ def heat_ratios(spark: SparkSession, d: str) -> DataFrame:
     return found.select("id", F.round("rank_ratio", 6).alias("rank_ratio"), F.round("fan_ratio", 6).alias("fan_ratio"))
 
 
-_CUT = ", und AS MATERIALIZED (SELECT DISTINCT src AS a, dst AS b FROM (SELECT src, dst FROM eedges UNION ALL SELECT dst, src FROM eedges)), rc(v, id) AS (SELECT a, min(b) FROM und GROUP BY a UNION SELECT v, b FROM rc JOIN und ON a = id WHERE b <> v), cut AS (SELECT DISTINCT a AS id FROM und WHERE NOT EXISTS (FROM rc WHERE v = a AND rc.id = b))"
+_CUT = ", und AS MATERIALIZED (SELECT DISTINCT src AS a, dst AS b FROM (SELECT src, dst FROM tree UNION ALL SELECT dst, src FROM tree)), rc(v, id) AS (SELECT a, min(b) FROM und GROUP BY a UNION SELECT v, b FROM rc JOIN und ON a = id WHERE b <> v), cut AS (SELECT DISTINCT a AS id FROM und WHERE NOT EXISTS (FROM rc WHERE v = a AND rc.id = b))"
+_TREE = "WITH RECURSIVE tree AS (SELECT 'region ' || n_regionkey AS src, 'nation ' || n_nationkey AS dst FROM nation UNION SELECT 'nation ' || s_nationkey, 'supplier ' || s_suppkey FROM supplier)"
 
 
-@query(with_("ev", "enodes", "eedges", recursive=True) + _CUT + ", dg AS (SELECT id, (SELECT count(*) FROM eedges WHERE src = id OR dst = id) AS degree FROM cut) SELECT id, degree FROM dg ORDER BY degree DESC, id LIMIT 15")
+def _tree(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """What contains what: regions, nations and suppliers."""
+    e = A.load(spark, d, "nation").select(F.concat(F.lit("region "), "n_regionkey").alias("src"), F.concat(F.lit("nation "), "n_nationkey").alias("dst"))
+    e = written(e.union(A.load(spark, d, "supplier").select(F.concat(F.lit("nation "), "s_nationkey"), F.concat(F.lit("supplier "), "s_suppkey"))))
+    return e.select(F.col("src").alias("id")).union(e.select("dst")).distinct(), e
+
+
+@query(_TREE + _CUT + ", dg AS (SELECT id, (SELECT count(*) FROM tree WHERE src = id OR dst = id) AS degree FROM cut) SELECT id, degree FROM dg ORDER BY degree DESC, id LIMIT 15")
 def articulation_points(spark: SparkSession, d: str) -> DataFrame:
     """The fifteen nodes of highest degree whose loss splits the graph."""
-    return N.bridges(A.event_nodes(spark, d), written(A.event_edges(spark, d)))
+    return N.bridges(*_tree(spark, d))
 
 
 @query()
@@ -285,10 +293,15 @@ def module_flow_edges(spark: SparkSession, d: str) -> DataFrame:
     return _ends(spark, d).where("sm <> tm").groupBy(F.col("sm").alias("src"), F.col("tm").alias("dst")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(CO + " SELECT a.file AS src, b.file AS dst, count(*) AS n, min(src || '>' || dst) AS example" + _ENDS + " WHERE a.file <> b.file GROUP BY a.file, b.file HAVING count(*) <= 2 ORDER BY n, 1, 2 LIMIT 15")
+_FOLDERS = ", fo AS (SELECT id, file || '/' || CASE WHEN kind = 'type' THEN id ELSE summary END AS dir FROM cnodes)"
+
+
+@query(CO + _FOLDERS + " SELECT a.dir AS src, b.dir AS dst, count(*) AS n, min(src || '>' || dst) AS example FROM cedges JOIN fo a ON a.id = src JOIN fo b ON b.id = dst WHERE a.dir <> b.dir GROUP BY a.dir, b.dir HAVING count(*) <= 2 ORDER BY n, 1, 2 LIMIT 15")
 def cross_dir_coupling(spark: SparkSession, d: str) -> DataFrame:
-    pairs = _ends(spark, d).where("sf <> tf").groupBy("sf", "tf").agg(F.count(F.lit(1)).alias("n"), F.min(F.concat_ws(">", "src", "dst")).alias("example"))
-    return pairs.where("n <= 2").orderBy("n", "sf", "tf").limit(15).select(F.col("sf").alias("src"), F.col("tf").alias("dst"), "n", "example")
+    """Folder pairs (a nation's segment, a vendor) joined by at most two calls, fewest first."""
+    at = A.commerce_nodes(spark, d).select("id", F.concat_ws("/", "file", F.when(F.col("kind") == "type", F.col("id")).otherwise(F.col("summary"))).alias("dir"))
+    ends = A.commerce_edges(spark, d).join(at.toDF("src", "sd"), "src").join(at.toDF("dst", "td"), "dst")
+    return N.couplings(ends).select(F.col("sd").alias("src"), F.col("td").alias("dst"), "n", "example")
 
 
 _IMPORTS = ", imports AS (SELECT DISTINCT a.file AS sf, b.file AS tf FROM (SELECT DISTINCT 'c' || o_custkey AS src, 's' || l_suppkey AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderpriority = '1-URGENT') JOIN cnodes a ON a.id = src JOIN cnodes b ON b.id = dst WHERE a.file <> b.file)"
@@ -409,7 +422,7 @@ def _question_sql() -> str:
 def _report_parts(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     nodes, edges = A.event_nodes(spark, d), written(A.event_edges(spark, d))
     metrics = written(N.node_metrics(nodes.withColumnRenamed("kind", "file"), edges, G.pagerank(nodes, edges), G.betweenness(nodes, edges)))
-    return {"god_nodes": N.god_nodes(metrics), "cycles": G.cycles(edges, enough=25).orderBy("length", "path").limit(25), "bridges": N.bridges(nodes, edges)}
+    return {"god_nodes": N.god_nodes(metrics), "cycles": G.cycles(edges, enough=25).orderBy("length", "path").limit(25), "bridges": articulation_points(spark, d)}
 
 
 @query(_question_sql())

@@ -12,7 +12,7 @@ SF = "/root/testdata/sf0.001"
 def spark():
     from loomgraph.session import local_session
 
-    return local_session(4, 4, **{"spark.driver.memory": "4g"})
+    return local_session(8, 4, **{"spark.driver.memory": "4g"})
 
 
 @pytest.fixture(scope="session")
