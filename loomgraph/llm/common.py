@@ -52,9 +52,14 @@ def row_key(df: DataFrame, id_col: str, text_col: str) -> list[Column]:
     return [F.xxhash64(*pair, df[text_col].isNull()), F.hash(F.lit(7), *pair)]
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame | None:
-    """A broadcast hint for ``df`` if its counted rows are within the bound, else None."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else None
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, weight: Column | None = None) -> DataFrame | None:
+    """A broadcast hint for ``df`` if its counted rows are within the bound, else None.
+
+    Where rows hold arrays, ``weight`` is how many rows each counts as.
+    """
+    if weight is None:
+        return F.broadcast(df) if df.limit(rows + 1).count() <= rows else None
+    return F.broadcast(df) if (df.agg(F.sum(weight)).first()[0] or 0) <= rows else None
 
 
 def tasks(spark: SparkSession) -> int:

@@ -65,7 +65,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, target: float
     copy, n, key, src, cdf, salt = fresh(docs, "copy", "n_copies", "mix_key", "mix_source", "mix_table", "mix_salt")
     table = rates(docs, weights, target, source_col, text_col)
     table = table.select(F.col("mix_source").alias(src), F.col("mix_table").alias(cdf))
-    side, left, on = small(table), docs, docs[source_col].eqNullSafe(F.col(src))
+    side, left, on = small(table, weight=F.size(cdf)), docs, docs[source_col].eqNullSafe(F.col(src))
     if side is None:  # many sources: a shuffled join whose hot sources are spread over salts
         left = docs.withColumn(salt, F.pmod(F.xxhash64(F.col(id_col)), F.lit(SALTS)).cast("int"))
         side = table.withColumn("_" + salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))

@@ -1,7 +1,7 @@
 """URL filters: host-suffix / path-prefix expressions, matched by short hash prefix, confirmed by full digest.
 
 Every rule is one expression host + path.  A URL expands into its host suffixes
-times its path prefixes of the lengths that rules have; both sides are joined on
+of as many labels as rules have times its path prefixes of the lengths that rules have; both sides are joined on
 the first 32 bits of SHA-256 and the whole digest then decides.  The longest
 rule wins; on equal length, block.
 """
@@ -31,10 +31,11 @@ def split_url(url: Column) -> tuple[Column, Column]:
     return ascii_lower(host), path
 
 
-def _suffixes(host: Column) -> Column:
-    """The host and what follows each of its dots."""
+def _suffixes(host: Column, sizes: list[int]) -> Column:
+    """The host's last labels, as many as rules have: of a host of many labels no more than that."""
     labels = F.split(host, r"\.", -1)
-    return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    fits = F.filter(F.array(*[F.lit(n) for n in sizes or [1]]), lambda n: n <= F.size(labels))
+    return F.transform(fits, lambda n: F.array_join(F.slice(labels, F.size(labels) - n + 1, n), "."))
 
 
 def judge(pages: DataFrame, rules: DataFrame, default: str = DEFAULT, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
@@ -43,13 +44,14 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = DEFAULT, id_col: st
     Null urls have empty host and path and get the default verdict unless a rule has an empty host; repeated rows each
     get a row; rules with a null part are ignored; other columns don't matter.
     """
-    rules = rules.dropna().select("verdict", F.concat("host", "path").alias("rule"), F.length("path").alias("plen")).distinct()
+    rules = rules.dropna().select("verdict", F.concat("host", "path").alias("rule"), F.length("path").alias("plen"), F.size(F.split("host", r"\.", -1)).alias("labels")).distinct()
     lengths = [r[0] for r in rules.select("plen").distinct().collect()]  # bounded by the longest rule
+    sizes = [r[0] for r in rules.select("labels").distinct().collect()]  # and by the rule of most labels
     host, path = split_url(pages[url_col])
     k1, k2 = row_key(pages, id_col, url_col)
     base = pages.select(pages[id_col], host.alias("host"), path.alias("path"), k1.alias("k1"), k2.alias("k2"))
     fits = F.filter(F.array(*[F.lit(x) for x in lengths] or [F.lit(0)]), lambda x: x <= F.length("path"))
-    cells = base.select("k1", "k2", "path", F.explode(_suffixes(F.col("host"))).alias("suffix"), fits.alias("fits"))
+    cells = base.select("k1", "k2", "path", F.explode(_suffixes(F.col("host"), sizes)).alias("suffix"), fits.alias("fits"))
     cells = cells.select("k1", "k2", "suffix", F.explode("fits").alias("plen"), "path")
     cells = cells.select("k1", "k2", F.sha2(F.concat("suffix", F.substring("path", F.lit(1), F.col("plen"))), 256).alias("digest")).withColumn("short", F.substring("digest", 1, 8))
     listed = rules.select("verdict", "rule", F.sha2("rule", 256).alias("r_digest")).withColumn("r_short", F.substring("r_digest", 1, 8))

@@ -430,7 +430,7 @@ def test_mixing(odd, none, docs):
 
 def test_mixing_many_sources(docs, monkeypatch):
     whole = sorted((r["doc_id"], r["copy"]) for r in rows(mixing.mix(docs)))
-    monkeypatch.setattr(mixing, "small", lambda df: None)
+    monkeypatch.setattr(mixing, "small", lambda df, **_: None)
     assert whole == sorted((r["doc_id"], r["copy"]) for r in rows(mixing.mix(docs)))
 
 
@@ -438,7 +438,7 @@ def test_mixing_many_sources(docs, monkeypatch):
 
 
 def test_urls(spark, monkeypatch):
-    urls = ["https://A.example.NET/en/1?x", "http://net", "net/x", None, "", "x://b.net/?q", "http://example.com/de/", "http://notexample.com/de/a", "ftp://q.org/fr/#z", "http://m.example.net/fr/", "http://example.net/en", "a://b://net/"]
+    urls = ["https://A.example.NET/en/1?x", "http://net", "net/x", None, "", "x://b.net/?q", "http://example.com/de/", "http://notexample.com/de/a", "ftp://q.org/fr/#z", "http://m.example.net/fr/", "http://example.net/en", "a://b://net/", "http://" + "x." * 2000 + "net/"]
     pages = spark.createDataFrame([(i, u, "k") for i, u in enumerate(urls)] + [(None, urls[0], "k")], "page_id long, url string, rule string")
     rules = urlfilter.rule_table(spark, urlfilter.RULES)
 
