@@ -98,12 +98,24 @@ def shortest_path(edges: DataFrame, source: str, target: str) -> DataFrame:
     return frontier.limit(0).select(F.lit(0).alias("hops"), "path")
 
 
+def _on_cycles(links: DataFrame, rounds: int = 8) -> DataFrame:
+    """Edges without those that begin where nothing ends or end where nothing begins, again and again: none is on a cycle."""
+    links, n = written(links), -1
+    for _ in range(rounds):
+        now = links.count()
+        if now == n:
+            break
+        n = now
+        links = written(links.join(links.select(F.col("dst").alias("src")), "src", "left_semi").join(links.select(F.col("src").alias("dst")), "dst", "left_semi").select("src", "dst"))
+    return links
+
+
 def cycles(edges: DataFrame, longest: int = 8, enough: int | None = None) -> DataFrame:
     """(length, path) of simple directed cycles up to ``longest``; each starts at its smallest node, so appears once.
 
     With ``enough``, no length is begun once that many shorter cycles are found, so the first ``enough`` by length are whole.
     """
-    links = written(edges.select("src", "dst").distinct())
+    links = _on_cycles(edges.select("src", "dst").where("src <> dst").distinct())
     path = links.where("src < dst").select(F.col("src").alias("first"), F.col("dst").alias("last"), F.array("src", "dst").alias("nodes"))
     found, n = None, 0
     for length in range(2, longest + 1):
@@ -166,13 +178,6 @@ def betweenness(nodes: DataFrame, edges: DataFrame, most_sources: int = 800, sam
     return nodes.select("id").join(parts, "id", "left").select("id", F.coalesce(F.col("b") * norm, F.lit(0.0)).alias("betweenness"))
 
 
-def _by_component(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Undirected edges with their component, written."""
-    part = connected(nodes, edges)
-    both = edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).where("a <> b").distinct()
-    return written(both.join(part, F.col("a") == F.col("id")).select("component", "a", "b"))
-
-
 def _cut_nodes(pdf: pd.DataFrame) -> pd.DataFrame:
     near = defaultdict(list)
     for a, b in sorted(zip(pdf["a"], pdf["b"])):
@@ -207,10 +212,83 @@ def _cut_nodes(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"id": pd.Series(sorted(cut), dtype=object)})
 
 
-def articulation_points(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id) whose removal splits its component: depth-first search, a component at a time."""
+def _levels(pairs: DataFrame, roots: DataFrame) -> tuple[DataFrame, int]:
+    """(id, parent, level) of breadth-first trees from ``roots`` (id) over pairs in both directions, and the deepest level."""
+    seen = frontier = written(roots.select("id", F.lit(None).cast("string").alias("parent"), F.lit(0).alias("level")))
+    level = 0
+    while True:
+        step = pairs.join(frontier.select(F.col("id").alias("a")), "a").groupBy(F.col("b").alias("id")).agg(F.min("a").alias("parent"))
+        frontier = written(step.join(seen.select("id"), "id", "left_anti").select("id", "parent", F.lit(level + 1).alias("level")))
+        if frontier.isEmpty():
+            return written(seen), level
+        seen, level = seen.union(frontier), level + 1
+
+
+def _upwards(tree: DataFrame, deepest: int, values: DataFrame, fold: dict[str, object]) -> DataFrame:
+    """(id, *values) with each node's values folded with those of all below it, a level at a time from the deepest."""
+    names = list(fold)
+    rows = tree.join(values, "id")
+    done = None
+    below = None
+    for level in range(deepest, -1, -1):
+        here = rows.where(F.col("level") == level).select("id", "parent", *names)
+        if below is not None:
+            up = below.where("parent is not null").select(F.col("parent").alias("id"), *names)
+            both = here.select("id", *names).union(up).groupBy("id").agg(*[f(c).alias(c) for c, f in fold.items()])
+            here = here.select("id", "parent").join(both, "id")
+        below = written(here.select("id", "parent", *names))
+        done = below if done is None else done.union(below)
+    return done.select("id", *names)
+
+
+def _cut_wide(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """(id) of cut nodes by blocks of tree edges (Tarjan and Vishkin, 1985), for components of any size.
+
+    Over a breadth-first tree: preorder numbers from subtree sizes, the least and greatest number that a subtree reaches by
+    other edges, and components of the tree edges that lie on a common cycle. A node with edges of two blocks is a cut
+    node. Rounds grow with the tree's depth; no component meets in one task.
+    """
+    both = written(pairs.select("a", "b").union(pairs.select("b", "a")).distinct())
+    tree, deepest = _levels(both, roots)
+    size = written(_upwards(tree, deepest, tree.select("id", F.lit(1).cast("long").alias("size")), {"size": F.sum}))
+    before = F.coalesce(F.sum("size").over(W.partitionBy("parent").orderBy("id").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    step = written(tree.join(size, "id").withColumn("step", F.when(F.col("parent").isNull(), F.lit(0)).otherwise(1 + before)))
+    at = pre = written(step.where("level = 0").select("id", "step", F.col("step").alias("pre")))
+    for level in range(1, deepest + 1):
+        here = step.where(F.col("level") == level).select("id", "parent", "step").join(at.select(F.col("id").alias("parent"), "pre"), "parent")
+        at = written(here.select("id", "step", (F.col("pre") + F.col("step")).alias("pre")))
+        pre = pre.union(at)
+    num = written(tree.join(size, "id").join(pre.select("id", "pre"), "id"))
+    of = num.select("id", "parent", "pre")
+    ends = both.join(of.toDF("a", "pa", "na"), "a").join(of.toDF("b", "pb", "nb"), "b")
+    other = written(ends.where("not (pa <=> b) and not (pb <=> a)").select("a", "b", "nb"))
+    own = num.select("id", "pre").join(other.groupBy(F.col("a").alias("id")).agg(F.min("nb").alias("lo"), F.max("nb").alias("hi")), "id", "left")
+    own = own.select("id", F.least("pre", "lo").alias("lo"), F.greatest("pre", "hi").alias("hi"))
+    reach = _upwards(tree, deepest, own, {"lo": F.min, "hi": F.max})
+    up = num.select(F.col("id").alias("parent"), F.col("parent").alias("above"), F.col("pre").alias("p"), F.col("size").alias("s"))
+    child = num.where("parent is not null").select("id", "parent").join(reach, "id").join(up, "parent")
+    on_cycle = child.where("above is not null and (lo < p or hi >= p + s)").select(F.col("id").alias("u"), F.col("parent").alias("v"))
+    blocks = components(other.select(F.col("a").alias("u"), F.col("b").alias("v")).union(on_cycle))
+    block = written(num.where("parent is not null").select("id", "parent").join(blocks.withColumnRenamed("u", "id"), "id", "left").select("id", "parent", F.coalesce("root", "id").alias("block")))
+    touch = block.select("id", "block").union(block.select(F.col("parent").alias("id"), "block"))
+    return touch.groupBy("id").agg(F.countDistinct("block").alias("n")).where("n > 1").select("id")
+
+
+def articulation_points(nodes: DataFrame, edges: DataFrame, most: int = 200_000) -> DataFrame:
+    """(id) whose removal splits its component.
+
+    Components of at most ``most`` edges are searched depth first, one in a task; larger ones by ``_cut_wide``. Both are exact.
+    """
     ship(nodes.sparkSession)
-    return _by_component(nodes, edges).groupBy("component").applyInPandas(_cut_nodes, "id string")
+    part = written(connected(nodes, edges))
+    both = edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).where("a <> b").distinct()
+    pairs = written(both.join(part, F.col("a") == F.col("id")).select("component", "a", "b"))
+    sizes = pairs.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+    wide = written(sizes.where(F.col("n") > most).select("component"))
+    found = pairs.join(wide, "component", "left_anti").groupBy("component").applyInPandas(_cut_nodes, "id string")
+    if wide.isEmpty():
+        return found
+    return found.union(_cut_wide(pairs.join(wide, "component", "left_semi"), wide.select(F.col("component").alias("id"))))
 
 
 def _greedy(most: int):

@@ -3,6 +3,7 @@
 import itertools
 import math
 import os
+import random
 from collections import defaultdict, deque
 from concurrent.futures import ThreadPoolExecutor
 
@@ -138,11 +139,24 @@ def reach(starts, edges, banned=None):
 def test_articulation_and_components(small):
     nodes, edges, names = small
     want = {n for n in names if len({frozenset(reach([m], EDGES, n)) for m in reach([n], EDGES) - {n}}) > 1}
-    assert {r[0] for r in G.articulation_points(nodes, edges).collect()} == want
+    for most in (200_000, 0):  # depth first in a task, and by blocks of tree edges
+        assert {r[0] for r in G.articulation_points(nodes, edges, most).collect()} == want
     got = dict(G.connected(nodes, edges).collect())
     assert got == {n: min(reach([n], EDGES)) for n in names}
 
 
+def test_cut_nodes_of_random_graphs(spark):
+    rng = random.Random(7)
+    for n, m in ((14, 15), (12, 12)):
+        pairs = {tuple(sorted(rng.sample(range(n), 2))) for _ in range(m)}
+        links = [(f"v{a:02}", f"v{b:02}") for a, b in pairs]
+        names = [f"v{k:02}" for k in range(n)]
+        want = {v for v in names if len({frozenset(reach([w], links, v)) for w in reach([v], links) - {v}}) > 1}
+        nodes = spark.createDataFrame([(v,) for v in names], "id string")
+        got = G.articulation_points(nodes, spark.createDataFrame(links, "src string, dst string"), 0)
+        assert {r[0] for r in got.collect()} == want and want
+
+
 def test_betweenness(small):
     nodes, edges, names = small
     def paths(s, t):  # noqa: E306
