@@ -133,22 +133,51 @@ def cycles(edges: DataFrame, longest: int = 8, enough: int | None = None) -> Dat
     return found
 
 
+def _dependencies(edges: DataFrame, sources: DataFrame) -> DataFrame:
+    """(id, b): the sum of all sources' dependencies on each node, by levels of all searches at once.
+
+    Forward, rows (s, v) carry the number of shortest paths; backward, each level takes its share of the next. A level is a
+    shuffle of its rows and is written, so no node's edges and no search meet in one task.
+    """
+    edges = written(edges.select("src", "dst").where("src <> dst").distinct())
+    front = seen = written(sources.select(F.col("id").alias("s"), F.col("id").alias("v"), F.lit(1.0).alias("c")))
+    levels = [front]
+    while True:
+        step = edges.join(front, F.col("src") == F.col("v")).groupBy("s", F.col("dst").alias("v")).agg(F.sum("c").alias("c"))
+        front = written(step.join(seen.select("s", "v"), ["s", "v"], "left_anti"))
+        if front.isEmpty():
+            break
+        levels.append(front)
+        seen = seen.union(front)
+    after, total = levels[-1].withColumn("x", F.lit(0.0)), None
+    for level in levels[-2:0:-1]:
+        near = edges.join(after.select("s", F.col("v").alias("dst"), F.col("c").alias("d"), "x"), "dst").select("s", F.col("src").alias("v"), "d", "x")
+        share = near.join(level, ["s", "v"]).groupBy("s", "v").agg(F.sum(F.col("c") / F.col("d") * (1 + F.col("x"))).alias("x"))
+        after = written(level.join(share, ["s", "v"], "left").select("s", "v", "c", F.coalesce("x", F.lit(0.0)).alias("x")))
+        total = after if total is None else total.union(after)
+    total = levels[0].limit(0).withColumn("x", F.lit(0.0)) if total is None else total
+    return total.groupBy(F.col("v").alias("id")).agg(F.sum("x").alias("b"))
+
+
 def betweenness(nodes: DataFrame, edges: DataFrame, most_sources: int = 800, sampled: int = 200, most_edges: int = 2_000_000) -> DataFrame:
     """(id, betweenness) after Brandes, directed, normalised; exact up to ``most_sources`` nodes, else from sources of smallest hash.
 
-    Each source is one independent task over a broadcast adjacency, whose size is checked.
+    Up to ``most_edges`` edges each source is one independent search over a broadcast adjacency; beyond them all sources
+    advance together in joins.
     """
     ship(nodes.sparkSession)
     n = nodes.count()
+    sources, scale = nodes.select("id"), 1.0
+    if n > most_sources:
+        sources, scale = sources.orderBy(F.xxhash64("id")).limit(sampled), n / sampled
+    norm = scale / max(1, (n - 1) * (n - 2))
+    ranked = lambda parts: nodes.select("id").join(parts, "id", "left").select("id", F.coalesce(F.col("b") * norm, F.lit(0.0)).alias("betweenness"))
     if edges.limit(most_edges + 1).count() > most_edges:
-        raise ValueError(f"betweenness broadcasts the edges; more than {most_edges} are not supported")
+        return ranked(_dependencies(edges, sources))
     adjacency: dict[str, list[str]] = defaultdict(list)
     for s, t in edges.select("src", "dst").distinct().orderBy("src", "dst").collect():
         adjacency[s].append(t)
     sent = nodes.sparkSession.sparkContext.broadcast(dict(adjacency))
-    sources, scale = nodes.select("id"), 1.0
-    if n > most_sources:
-        sources, scale = sources.orderBy(F.xxhash64("id")).limit(sampled), n / sampled
 
     def run(batches):
         total: dict[str, float] = defaultdict(float)
@@ -173,9 +202,7 @@ def betweenness(nodes: DataFrame, edges: DataFrame, most_sources: int = 800, sam
                         total[w] += share[w]
         yield pd.DataFrame({"id": pd.Series(list(total), dtype=object), "b": pd.Series(list(total.values()), dtype=float)})
 
-    parts = sources.repartition(16).mapInPandas(run, "id string, b double").groupBy("id").agg(F.sum("b").alias("b"))
-    norm = scale / max(1, (n - 1) * (n - 2))
-    return nodes.select("id").join(parts, "id", "left").select("id", F.coalesce(F.col("b") * norm, F.lit(0.0)).alias("betweenness"))
+    return ranked(sources.repartition(16).mapInPandas(run, "id string, b double").groupBy("id").agg(F.sum("b").alias("b")))
 
 
 def _cut_nodes(pdf: pd.DataFrame) -> pd.DataFrame:
