@@ -8,26 +8,33 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_ROOTS: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, removed when the driver ends.
+    """A new folder under spark.checkpoint.dir, in this application's own, which goes when the driver ends.
 
     Where that is unset, a local session gets a temporary folder (tests); on a cluster it is an error, since executors
     would write to folders of their own.
     """
     sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = sc._jsc.sc().getCheckpointDir()
-        base = base.get() if base.isDefined() else None
-    if not base:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="loomgraph-")
-        sc.setCheckpointDir(base)
-    path = f"{base.rstrip('/')}/loom-{uuid.uuid4().hex}"
-    hadoop = sc._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return path
+    if sc.applicationId not in _ROOTS:
+        base = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+        if not base:
+            base = sc._jsc.sc().getCheckpointDir()
+            base = base.get() if base.isDefined() else None
+        if not base:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+            base = "file://" + tempfile.mkdtemp(prefix="loomgraph-")
+            sc.setCheckpointDir(base)
+        root = f"{base.rstrip('/')}/loom-{uuid.uuid4().hex}"
+        path = sc._jvm.org.apache.hadoop.fs.Path(root)
+        fs = path.getFileSystem(sc._jsc.hadoopConfiguration())
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+        _ROOTS[sc.applicationId] = root
+    return f"{_ROOTS[sc.applicationId]}/{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, codec: str = "zstd") -> DataFrame:
