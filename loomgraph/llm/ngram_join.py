@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.components import components
@@ -39,9 +39,9 @@ TILE = 1024
 #: Bits of the filter that keeps texts outside all groups from being shuffled (4 MB, whatever the input).
 FILTER_BITS = 1 << 25
 _FLUSH = 2_000_000
-#: Bytes of text whose shingles one task counts, shingles whose columns one task multiplies, blocks of hashes a task (several,
-#: so that tasks are even), and tasks over which a large component is spread.
-TASK_BYTES, TASK_SHINGLES, EACH, SALTS = 64 << 20, 4_000_000, 8, 32
+#: Bytes of text whose shingles one task counts, shingles whose columns one task multiplies, and tasks over which a large
+#: component is spread.
+TASK_BYTES, TASK_SHINGLES, SALTS = 64 << 20, 4_000_000, 32
 
 _P = 0x9E3779B97F4A7C15
 _PINV = pow(_P, -1, 1 << 64)
@@ -98,9 +98,21 @@ def _texts(batches: Iterator[pa.RecordBatch], names: tuple[str, ...], step: int
 _SETS = pa.schema([("rk", pa.int64()), ("rk2", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("item", pa.binary()), ("block", pa.int32()), ("counts", pa.binary())])
 
 
-def _sets(blocks: int):
+def names(spark: SparkSession, n: int) -> np.ndarray:
+    """A name of each of ``n`` blocks that a repartition into ``n`` deals to a task of its own (but for a few, if any)."""
+    dealt = spark.range(24 * n).select(F.col("id").cast("int").alias("i")).select("i", F.pmod(F.hash("i"), F.lit(n)).alias("p")).groupBy("p").agg(F.min("i").alias("i")).collect()  # n rows
+    out = np.full(n, -1, np.int64)
+    out[[r["p"] for r in dealt]] = [r["i"] for r in dealt]
+    lost = np.flatnonzero(out < 0)
+    out[lost] = 24 * n + lost
+    return out
+
+
+def _sets(named: np.ndarray):
     """Rows of documents (rk, rk2, doc_id, n, item) and rows of counts (block, hashes of 32 bits, a document each)."""
 
+    blocks = len(named)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         size = 0
@@ -109,7 +121,7 @@ def _sets(blocks: int):
         def flush() -> pa.RecordBatch:
             all32 = np.sort(np.concatenate(held))
             cuts = np.searchsorted(all32, np.arange(blocks + 1, dtype=np.uint64) * (1 << 32) // blocks)
-            out = [(b, all32[cuts[b] : cuts[b + 1]].tobytes()) for b in range(blocks) if cuts[b + 1] > cuts[b]]
+            out = [(int(named[b]), all32[cuts[b] : cuts[b + 1]].tobytes()) for b in range(blocks) if cuts[b + 1] > cuts[b]]
             none = [None] * len(out)
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip([none, none, none, none, none, [b for b, _ in out], [x for _, x in out]], _SETS)], schema=_SETS)
 
@@ -170,9 +182,9 @@ def prefix(hashes: np.ndarray, order: tuple[np.ndarray, np.ndarray], percent: in
     return hashes[:keep]
 
 
-def _columns(order, blocks: int):
+def _columns(order, named: np.ndarray):
     """A row for each block and flush: items, sizes, columns an item, and the columns' hashes."""
-    schema = pa.schema([("block", pa.int32()), ("cells", pa.binary())])
+    schema, blocks = pa.schema([("block", pa.int32()), ("cells", pa.binary())]), len(named)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = order.value
@@ -192,7 +204,7 @@ def _columns(order, blocks: int):
             for b in np.flatnonzero(np.diff(cuts)):
                 part = slice(cuts[b], cuts[b + 1])
                 own, n = np.unique(owner[part], return_counts=True)
-                out.append((int(b), len(own).to_bytes(4, "little") + ids[own].tobytes() + many[own].tobytes() + n.astype(np.uint32).tobytes() + h[part].tobytes()))
+                out.append((int(named[b]), len(own).to_bytes(4, "little") + ids[own].tobytes() + many[own].tobytes() + n.astype(np.uint32).tobytes() + h[part].tobytes()))
             return pa.RecordBatch.from_arrays([pa.array([b for b, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())], schema=schema)
 
         size = 0
@@ -386,13 +398,13 @@ def _solve(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Data
     rows = _rows(docs, id_col, text_col)
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     counted = max(1, size // TASK_BYTES)  # the number of blocks grows with the text, so no block does
-    table = written(rows.mapInArrow(_sets(EACH * counted), "rk long, rk2 int, doc_id long, n long, item binary, block int, counts binary"))
+    table = written(rows.mapInArrow(_sets(names(spark, counted)), "rk long, rk2 int, doc_id long, n long, item binary, block int, counts binary"))
     own = table.where("block is null").select("rk", "rk2", "doc_id", "n", "item")
     order = frequent_order(table.where("block is not null").select("block", "counts"), counted)
     total = own.agg(F.sum("n")).first()[0] or 0
     blocks = max(1, total // TASK_SHINGLES)
     sent = spark.sparkContext.broadcast(order)
-    cells = rows.select("text").mapInArrow(_columns(sent, EACH * blocks), "block int, cells binary")
+    cells = rows.select("text").mapInArrow(_columns(sent, names(spark, blocks)), "block int, cells binary")
     pairs = candidates(written(cells.repartition(blocks, "block").groupBy("block").applyInArrow(_product, _EDGES)))
     group = pairs.union(pairs.select("u", F.col("u").alias("v"))).distinct()
     sizes = group.groupBy("u").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("t"))
