@@ -79,7 +79,7 @@ _CTE = (
     "CASE WHEN s.s_suppkey % 3 = 0 THEN '# Supplier ' ELSE '## Supplier ' END || s.s_suppkey || chr(10) || chr(10) || 'Uses `' || a.snake || '()` and `' || a.f || '` daily.' || chr(10) || 'See [next](' || CASE s.s_suppkey % 4 WHEN 0 THEN 'docs/guide_' || (s.s_suppkey + 1) || '.md' WHEN 1 THEN './guide_' || (s.s_suppkey + 4) || '.md#top' WHEN 2 THEN '../guide_' || (s.s_suppkey - 1) || '.md' ELSE '../README_' || (s.s_suppkey + 1) || '.md' END "
     "|| ') and [code](' || CASE s.s_suppkey % 4 WHEN 0 THEN '' WHEN 2 THEN '../../' ELSE '../' END || b.f || '#top) or [web](https://example.org/x).' || chr(10) || '## Details ##' || chr(10) || '```' || chr(10) || b.snake || ' in a fence' || chr(10) || '```' || chr(10) || 'Prose names ' || b.snake || ' and ' || c.camel || ' plus ' || c.f || ' here.' AS text "
     "FROM supplier s JOIN pt a ON a.k = s.s_suppkey JOIN pt b ON b.k = s.s_suppkey + 1 JOIN pt c ON c.k = s.s_suppkey + 2), "
-    "ln AS (SELECT path, unnest(range(1, len(p) + 1)) AS line, unnest(p) AS text FROM (SELECT path, string_split(text, chr(10)) AS p FROM md)), "
+    "ln AS (SELECT path, unnest(range(1, len(p) + 1))::INT AS line, unnest(p) AS text FROM (SELECT path, string_split(text, chr(10)) AS p FROM md)), "
     "lf AS (SELECT *, starts_with(ltrim(text), '```') AS fence, sum(starts_with(ltrim(text), '```')::INT) OVER (PARTITION BY path ORDER BY line) % 2 = 1 AS open FROM ln), tx AS (SELECT path, line, text FROM lf WHERE NOT fence AND NOT open), "
     r"sec AS (SELECT path, line, length(regexp_extract(text, '^(#{1,6})\s', 1)) AS level, trim(regexp_extract(text, '^#{1,6}\s+(.+?)\s*#*\s*$', 1)) AS heading FROM tx WHERE regexp_matches(text, '^#{1,6}\s+.+'))"
 )
