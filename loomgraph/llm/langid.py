@@ -24,6 +24,8 @@ from ..session import ship
 
 #: Expected documents a language in the training sample; with more than LANGUAGES languages each gets fewer, at least one.
 PER_LANGUAGE, LANGUAGES = 300, 64
+#: Languages of fewer rows are trained on all of them.
+FEWEST = 40
 FEATURES = 1 << 13
 UNKNOWN = "und"
 #: Frequency of an n-gram that the sample lacks; characters beyond which a longer text isn't held to a closer likeness.
@@ -191,12 +193,13 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
     Each language's rows are sampled by a hash of id and text at the rate that gives ``per_language`` of them, so at most
     about LANGUAGES * per_language vectors of FEATURES floats reach the driver, whatever the table's size; every language is
-    learned, and with more than LANGUAGES of them the rows of each are fewer.
+    learned, and with more than LANGUAGES of them the rows of each are fewer. A quarter of the sample, chosen by another hash
+    from languages of at least FEWEST rows, isn't trained on but sets the cuts. Held-out rows are never read.
     """
     ship(docs.sparkSession)
     rows = docs.select(docs[id_col].alias("i"), docs[lang_col].cast("string").alias("lang"), docs[text_col].alias("text"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    held, rows = rows.where(held_out(F.col("i"))), rows.where(~held_out(F.col("i")))
+    rows = rows.where(~held_out(F.col("i")))
     counts = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
     if not counts:
         return Model([], {}, {}, np.ones(FEATURES, np.float32))
@@ -204,7 +207,10 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     rates = F.create_map(*[F.lit(v) for lang, n in counts.items() for v in (lang, min(1.0, each / n))])
     chance = F.coalesce(rates[F.col("lang")], F.lit(0.0))
     u = F.pmod(F.xxhash64("i", F.length("text"), F.lit("langid")), F.lit(1 << 30)) / float(1 << 30)
-    got = rows.where((u < chance) & F.col("text").rlike(r"\p{L}")).select("lang", "text").mapInArrow(_sampled, "lang string, v binary").toArrow()
+    rows = rows.where((u < chance) & F.col("text").rlike(r"\p{L}"))
+    many = [lang for lang, n in counts.items() if n >= FEWEST]
+    spare = F.col("lang").isin(many) & (F.pmod(F.xxhash64("i", F.length("text"), F.lit("cuts")), F.lit(4)) == 0)
+    got = rows.where(~spare).select("lang", "text").mapInArrow(_sampled, "lang string, v binary").toArrow()
     if not got.num_rows:
         return Model([], {}, {}, np.ones(FEATURES, np.float32))
     langs, x = got.column("lang").to_pylist(), np.empty((got.num_rows, FEATURES), np.float32)
@@ -214,16 +220,16 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     order = sorted(range(len(langs)), key=lambda k: (langs[k], zlib.crc32(x[k])))  # the same model from any order of rows
     model = train(x[order], [langs[k] for k in order])
     del x
-    calibrate(model, held.where((u < chance) & F.col("text").rlike(r"\p{L}")).select("lang", "text"))
+    calibrate(model, rows.where(spare).select("lang", "text"))
     return model
 
 
-def calibrate(model: Model, held: DataFrame) -> None:
-    """Set the cuts from held-out (lang, text): twice as far from the median as the lowest of those named rightly.
+def calibrate(model: Model, spare: DataFrame) -> None:
+    """Set the cuts from (lang, text) that the model wasn't trained on: twice as far from the median as the lowest named rightly.
 
-    So the documents like them stay, odd ones included; where no held-out row is named rightly, nothing is rejected.
+    So the documents like them stay, odd ones included; where none is named rightly, nothing is rejected.
     """
-    sent = held.sparkSession.sparkContext.broadcast(model)
+    sent = spare.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -233,7 +239,7 @@ def calibrate(model: Model, held: DataFrame) -> None:
                 right = pa.array([a == b for a, b in zip(langs, part.column(0).to_pylist())], pa.bool_())
                 yield pa.RecordBatch.from_arrays([pa.array(margins, pa.float64()), pa.array(likes, pa.float64())], names=["m", "x"]).filter(right)
 
-    got = held.mapInArrow(run, "m double, x double").toArrow()
+    got = spare.mapInArrow(run, "m double, x double").toArrow()
     if got.num_rows:
         m, x = (got.column(c).to_numpy() for c in ("m", "x"))
         m, x = (float(2 * v.min() - np.median(v)) for v in (m, x))
