@@ -97,7 +97,7 @@ term AS (SELECT source, k, exp(-r + k * ln(r) - lgamma(k + 1)) AS p FROM (SELECT
 cdf AS (SELECT source, k, sum(p) OVER (PARTITION BY source ORDER BY k) AS c FROM term),
 u AS (SELECT *, ('0x' || substr(md5('mix-1:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u FROM documents),
 n AS (SELECT doc_id, count(*) AS n FROM u JOIN cdf ON u.source IS NOT DISTINCT FROM cdf.source AND c <= u GROUP BY doc_id)
-SELECT d.doc_id, text, lang, source, n_chars, n::INT AS n_copies, copy::INT AS copy, md5('mix-1:' || d.doc_id || ':' || copy) AS mix_key
+SELECT d.doc_id, text, lang, source, n_chars, n AS n_copies, copy::BIGINT AS copy, md5('mix-1:' || d.doc_id || ':' || copy) AS mix_key
 FROM documents d JOIN (SELECT doc_id, n, unnest(range(1, n + 1)) AS copy FROM n) c ON c.doc_id = d.doc_id""",
     "op9_url_filter": """
 WITH p AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,

@@ -2,14 +2,18 @@
 
 import hashlib
 import itertools
+import math
 import random
 import re
 import zlib
 from collections import defaultdict
+from decimal import Decimal, getcontext
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from loomgraph.llm import common, decontaminate, langid, licenses, media, mixing, ngram_join, queries, secrets_scan, token_codes, urlfilter
 
@@ -333,6 +337,17 @@ def test_language_id(spark, odd, none):
     assert {r["lang_pred"] for r in rows(langid.identify(odd, empty))} == {"und"}
 
 
+def test_held_out_labels_change_nothing(spark):
+    """Predictions, scores and what the pipeline keeps are the same when all held-out rows have another language."""
+    docs = common.table(spark, "/root/testdata/sf0.01", "documents")
+    other = docs.withColumn("lang", F.when(langid.held_out(docs["doc_id"]), F.lit("en")).otherwise(docs["lang"]))
+    a, b = (langid.fit(x) for x in (docs, other))
+    key = lambda r: r["doc_id"]
+    assert sorted(rows(langid.identify(docs, a)), key=key) == sorted(rows(langid.identify(docs, b)), key=key)
+    kept = [{r["doc_id"] for r in rows(langid.keep_identified(docs, m))} for m in (a, b)]
+    assert kept[0] == kept[1] and len(kept[0]) > 950
+
+
 def test_language_family_then_pair():
     """Prediction from the weights alone: the family with most duels won, then among its languages only."""
     rng = np.random.default_rng(2)
@@ -420,6 +435,7 @@ def test_mixing(odd, none, docs):
     again = rows(mixing.mix(odd.repartition(7)))
     assert sorted(map(str, got)) == sorted(map(str, again))
     assert mixing.mix(none).count() == 0
+    assert {tuple(r[c] for c in ("text", "lang", "k1", "n_copies")) for r in got} <= {tuple(r[c] for c in ("text", "lang", "k1", "n_copies")) for r in rows(odd)}
     only = rows(mixing.mix(docs, {"src1": 1.0}, target=None))
     assert {r["source"] for r in only} == {"src1"}
     n = docs.count()
@@ -538,3 +554,54 @@ def test_one_of_each_shuffled(odd, docs, monkeypatch):
         monkeypatch.setattr(ngram_join, "small", lambda df: None)
         assert sorted(map(str, rows(ngram_join.one_of_each(df)))) == want
         monkeypatch.undo()
+
+
+def poisson_by_decimals(u, rate):
+    """The same quantile in sixty digits: weights from the mode outwards, as parts of their sum."""
+    getcontext().prec, lam, mode = 60, Decimal(rate), int(rate)
+    reach = int(14 * math.sqrt(rate)) + 60
+    up, w = [], Decimal(1)
+    for k in range(mode + 1, mode + reach):
+        w = w * lam / k
+        up.append(w)
+    down, w = [], Decimal(1)
+    for k in range(mode, max(0, mode - reach), -1):
+        w = w * k / lam
+        down.append(w)
+    weights, first = [*reversed(down), Decimal(1), *up], mode - len(down)
+    total, c = sum(weights), Decimal(0)
+    for k, w in enumerate(weights):
+        c += w / total
+        if c > Decimal(u):
+            return first + k
+    return first + len(weights)
+
+
+@pytest.mark.parametrize("rate", [1e-9, 0.003, 0.7, 1.0, 5.5, 37.25, 141.0, 999.5, 1e4, 123456.7])
+def test_poisson_counts(spark, rate):
+    us = [2**-52, 1e-12, 0.001, 0.1, 0.25, 0.5, 0.61803, 0.75, 0.9, 0.999, 1 - 2**-40]
+    df = spark.createDataFrame([(u,) for u in us], "u double").select("u", mixing.poisson_blocks(F.lit(rate)).alias("t"))
+    got = {r[0]: r[1] for r in df.select("u", mixing.poisson(F.col("u"), F.col("t"))).collect()}
+    want = {u: poisson_by_decimals(u, rate) for u in us}
+    assert got == want
+
+
+def test_poisson_counts_of_ten_billion(spark):
+    rate, us = 1e10, [0.001, 0.16, 0.5, 0.84, 0.999]
+    df = spark.createDataFrame([(u,) for u in us], "u double").select("u", mixing.poisson_blocks(F.lit(rate)).alias("t"))
+    got = {r[0]: r[1] for r in df.select("u", mixing.poisson(F.col("u"), F.col("t"))).collect()}
+    for u, n in got.items():  # Cornish and Fisher's expansion is within a thousandth of a count here
+        z = NormalDist().inv_cdf(u)
+        assert abs(n + 0.5 - (rate + math.sqrt(rate) * z + (z * z - 1) / 6 + (z - z**3) / (72 * math.sqrt(rate)) + 0.5)) <= 1.01
+    assert df.select(F.size(F.col("t")["blocks"])).first()[0] < 2000
+
+
+def test_copies_in_spans(spark, monkeypatch):
+    """Counts above the span are exploded in levels; every copy comes once."""
+    monkeypatch.setattr(mixing, "SPAN", 16)
+    docs = spark.createDataFrame([(1, "a" * 3, "small"), (2, "b" * 20_000, "large"), (3, None, None)], "doc_id long, text string, source string")
+    got = mixing.mix(docs, target=30_000.0).collect()
+    count = {r["doc_id"]: r["n_copies"] for r in got}
+    assert count[1] > 16 * 16 and count[3] > 16 * 16
+    for i, n in count.items():
+        assert sorted(r["copy"] for r in got if r["doc_id"] == i) == list(range(1, n + 1))
