@@ -20,7 +20,7 @@ def first_match(s: Column, rules, default: str | None) -> Column:
     """The label of the first (label, words) rule of which ``s`` holds a word."""
     out = F.lit(default)
     for label, words in reversed(rules):
-        out = F.when(has_any(s, words.split() if isinstance(words, str) else words), F.lit(label)).otherwise(out)
+        out = F.when(has_any(s, words), F.lit(label)).otherwise(out)
     return out
 
 
@@ -232,7 +232,7 @@ def role(path: Column) -> Column:
 
 def domain(words: Column) -> Column:
     """The domain of which most keywords are in a text, the first of equals; ``general`` without any."""
-    scored = [F.struct(sum((F.when(words.contains(k), 1).otherwise(0) for k in keys.split()), F.lit(0)).alias("n"), F.lit(-i).alias("i"), F.lit(name).alias("d")) for i, (name, keys) in enumerate(V.DOMAINS)]
+    scored = [F.struct(sum((F.when(words.contains(k), 1).otherwise(0) for k in keys), F.lit(0)).alias("n"), F.lit(-i).alias("i"), F.lit(name).alias("d")) for i, (name, keys) in enumerate(V.DOMAINS)]
     best = F.greatest(*scored)
     return F.when(best["n"] > 0, best["d"]).otherwise("general")
 

@@ -31,7 +31,7 @@ def dead_code(nodes: DataFrame, edges: DataFrame, most: int = 50) -> DataFrame:
     """Functions that nothing calls and nothing else explains: entries, tests, APIs, consumers and decorated ones stay."""
     name, path = F.lower("name"), F.lower("file")
     unused = (F.col("kind") != "type") & (F.col("type") != "class") & (F.col("fan_in") == 0)
-    known = name.isin(V.ENTRY_NAMES) | F.col("name").startswith("test") | path.contains("test")
+    known = name.isin(*V.ENTRY_NAMES) | F.col("name").startswith("test") | path.contains("test")
     used = F.col("semantic_kind").isin("EXPOSES_API", "CONSUMES_EVENT") | (F.coalesce("decorators", F.lit("")) != "")
     return with_degrees(nodes, edges).where(unused & ~known & ~F.coalesce(used, F.lit(False))).orderBy("id").limit(most).select("id", "name", "file")
 

@@ -28,7 +28,12 @@ from ..sources.repo import salvage_json
 BATCH, STUB = 10, "(stub)"
 ERRORS = ("[llm error:", "[ollama error:", "[bob error:", "[openai error:", "[claude error:", "[llm unavailable")
 # Calls that say nothing about what a function does.
-COMMON_CALLS = frozenset("print len str int float bool list dict set isinstance hasattr getattr setattr range enumerate zip map filter sorted reversed super type append extend update get items values keys lower upper strip split join format encode decode open close read write logger log".split())
+COMMON_CALLS = (
+    "print", "len", "str", "int", "float", "bool", "list", "dict", "set", "isinstance", "hasattr", "getattr", "setattr",
+    "range", "enumerate", "zip", "map", "filter", "sorted", "reversed", "super", "type", "append", "extend", "update",
+    "get", "items", "values", "keys", "lower", "upper", "strip", "split", "join", "format", "encode", "decode", "open",
+    "close", "read", "write", "logger", "log",
+)
 
 
 def one_liner(name: str, kind: str = "function") -> str:

@@ -117,8 +117,8 @@ def entry_points(files: DataFrame, most: int = 10) -> DataFrame:
 
 def domain(words: str) -> str:
     """The domain of which most keywords occur; the first of equals, ``general`` without any."""
-    best = max(V.DOMAINS, key=lambda d: sum(k in words for k in d[1].split()))
-    return best[0] if any(k in words for k in best[1].split()) else "general"
+    best = max(V.DOMAINS, key=lambda d: sum(k in words for k in d[1]))
+    return best[0] if any(k in words for k in best[1]) else "general"
 
 
 def profile(files: DataFrame) -> dict:
