@@ -1,11 +1,11 @@
-"""Graph operators over edge tables (src, dst): degrees, PageRank, traversal, paths, cycles, and per-component algorithms.
+"""Graph operators over edge tables (src, dst): degrees, betweenness, cut nodes, communities, impact, views.
 
-Loops write each round to the shared folder, so plans stay short and a lost executor costs one round.
+Loops write each round to the shared folder, so plans stay short and a lost executor costs one round. Traversal, paths and
+PageRank are in ``traverse``, cycles in ``strong``, communities of large components in ``louvain``.
 """
 
 from __future__ import annotations
 
-import itertools
 from collections import defaultdict, deque
 
 import pandas as pd
@@ -17,6 +17,9 @@ from ..functions import text as T
 from ..session import ship
 from ..storage import written
 from .components import components
+from .louvain import louvain
+from .strong import cycles, strong_components  # noqa: F401
+from .traverse import bfs, closure, pagerank, shortest_path  # noqa: F401
 
 
 def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -26,113 +29,12 @@ def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("id").join(count, "id", "left").na.fill(0, ["in_degree", "out_degree"])
 
 
-#: Node tables of at most so many counted rows are broadcast in PageRank's rounds.
-BROADCAST_ROWS = 200_000
-
-
-def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 10, damping: float = 0.85, every: int = 2) -> DataFrame:
-    """(id, rank) after ``rounds`` rounds from the uniform start; dangling mass is spread evenly.
-
-    A round moves ranks along the edges in one shuffle; the ranks themselves are broadcast while their counted rows are
-    within the bound, and are shuffled beyond it. Every ``every`` rounds the ranks are written.
-    """
-    n = nodes.count()
-    if not n:
-        return nodes.select("id", F.lit(0.0).alias("rank"))
-    near = F.broadcast if n <= BROADCAST_ROWS else lambda df: df
-    out = edges.groupBy("src").agg(F.count(F.lit(1)).alias("out"))
-    links = written(edges.join(near(out), "src").select("src", "dst", "out"))
-    rank = written(nodes.select("id").join(near(out.withColumnRenamed("src", "id")), "id", "left").select("id", F.col("out").isNull().alias("dangling"), F.lit(1.0 / n).alias("rank")))
-    for k in range(rounds):
-        moved = links.join(near(rank.select("id", "rank")), F.col("src") == F.col("id")).groupBy("dst").agg(F.sum(F.col("rank") / F.col("out")).alias("got"))
-        lost = rank.agg(F.coalesce(F.sum(F.when(F.col("dangling"), F.col("rank"))), F.lit(0.0)).alias("lost"))
-        rank = rank.join(near(moved), F.col("id") == F.col("dst"), "left").crossJoin(F.broadcast(lost))  # one row
-        rank = rank.select("id", "dangling", ((1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / n)).alias("rank"))
-        if k % every == every - 1:
-            rank = written(rank)
-    return rank.select("id", "rank")
-
-
-def bfs(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
-    """(id, hop, parent) of nodes within ``hops`` of ``seeds`` (id); the smallest parent of the previous hop discovers."""
-    edges = written(edges.select("src", "dst"))  # each hop would derive them anew
-    seen = frontier = written(seeds.select("id", F.lit(0).alias("hop"), F.lit(None).cast("string").alias("parent")).distinct())
-    for hop in range(1, hops + 1):
-        step = edges.join(frontier.select(F.col("id").alias("src")), "src").groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("parent"))
-        frontier = written(step.join(seen.select("id"), "id", "left_anti").select("id", F.lit(hop).alias("hop"), "parent"))
-        seen = seen.unionByName(frontier)
-    return seen
-
-
-def closure(edges: DataFrame, seeds: DataFrame) -> DataFrame:
-    """(id) of all that ``seeds`` reach, themselves included; a semi-naive loop."""
-    edges = written(edges.select("src", "dst"))
-    seen = frontier = written(seeds.select("id").distinct())
-    while True:
-        step = edges.join(frontier.withColumnRenamed("id", "src"), "src").select(F.col("dst").alias("id")).distinct()
-        frontier = written(step.join(seen, "id", "left_anti"))
-        if frontier.isEmpty():
-            return seen
-        seen = seen.union(frontier)
-
-
 def connected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, component): the smallest id of each undirected component."""
     found = components(edges.select(F.col("src").alias("u"), F.col("dst").alias("v")))
     return nodes.select("id").join(found.withColumnRenamed("u", "id"), "id", "left").select("id", F.coalesce("root", "id").alias("component"))
 
 
-def shortest_path(edges: DataFrame, source: str, target: str) -> DataFrame:
-    """(hops, path) of the shortest directed path, the smallest of equals; empty where there is none."""
-    spark, edges = edges.sparkSession, written(edges.select("src", "dst"))
-    frontier = seen = spark.createDataFrame([(source, source)], "id string, path string")
-    for hop in itertools.count():
-        hit = frontier.where(F.col("id") == target)
-        if not hit.isEmpty():
-            return hit.select(F.lit(hop).alias("hops"), "path")
-        step = edges.join(frontier.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.min(F.concat_ws(">", "path", "dst")).alias("path"))
-        frontier = written(step.join(seen.select("id"), "id", "left_anti"))
-        if frontier.isEmpty():
-            break
-        seen = seen.union(frontier)
-    return frontier.limit(0).select(F.lit(0).alias("hops"), "path")
-
-
-def _on_cycles(links: DataFrame, rounds: int = 8) -> DataFrame:
-    """Edges without those that begin where nothing ends or end where nothing begins, again and again: none is on a cycle."""
-    links, n = written(links), -1
-    for _ in range(rounds):
-        now = links.count()
-        if now == n:
-            break
-        n = now
-        links = written(links.join(links.select(F.col("dst").alias("src")), "src", "left_semi").join(links.select(F.col("src").alias("dst")), "dst", "left_semi").select("src", "dst"))
-    return links
-
-
-def cycles(edges: DataFrame, longest: int = 8, enough: int | None = None) -> DataFrame:
-    """(length, path) of simple directed cycles up to ``longest``; each starts at its smallest node, so appears once.
-
-    With ``enough``, no length is begun once that many shorter cycles are found, so the first ``enough`` by length are whole.
-    """
-    links = _on_cycles(edges.select("src", "dst").where("src <> dst").distinct())
-    path = links.where("src < dst").select(F.col("src").alias("first"), F.col("dst").alias("last"), F.array("src", "dst").alias("nodes"))
-    found, n = None, 0
-    for length in range(2, longest + 1):
-        step = path.join(links, path["last"] == links["src"])
-        closed = step.where(F.col("dst") == F.col("first")).select(F.lit(length).alias("length"), F.concat_ws(">", "nodes").alias("path"))
-        if enough is not None:
-            closed = written(closed)
-            n += closed.count()
-        found = closed if found is None else found.union(closed)
-        if enough is not None and n >= enough:
-            break
-        if length < longest:
-            more = step.where((F.col("dst") > F.col("first")) & ~F.array_contains("nodes", F.col("dst")))
-            path = written(more.select("first", F.col("dst").alias("last"), F.concat("nodes", F.array("dst")).alias("nodes")))
-    return found
-
-
 def _dependencies(edges: DataFrame, sources: DataFrame) -> DataFrame:
     """(id, b): the sum of all sources' dependencies on each node, by levels of all searches at once.
 
@@ -348,22 +250,27 @@ def _greedy(most: int):
     return run
 
 
-def communities(nodes: DataFrame, edges: DataFrame, most: int = 800) -> DataFrame:
-    """(id, community) by greedy modularity in each component of 5 to ``most`` nodes; up to four nodes are one community.
+def communities(nodes: DataFrame, edges: DataFrame, most: int = 800, wide: str = "modularity") -> DataFrame:
+    """(id, community) by modularity in each component of five nodes or more; up to four nodes are one community.
 
-    In a larger component the nodes of one folder (of ``file``, if there is such a column) are one; a component's smallest
-    id, or folder, names a community. No group handed to Python has more than ``most`` nodes.
+    Components of at most ``most`` nodes are merged greedily, one in a task; larger ones by ``louvain``, in joins. With
+    ``wide="folders"`` the nodes of one folder (of ``file``, if there is such a column) of a larger component are one
+    community instead. A community's smallest id, or component and folder, names it.
     """
     ship(nodes.sparkSession)
     part = written(connected(nodes, edges))
     size = part.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
-    sized = part.join(size, "component")
+    sized = written(part.join(size, "component"))
     fit = sized.where(F.col("n") <= most).select("id", "component")
     both = edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).where("a <> b").distinct()
     found = both.join(fit, F.col("a") == F.col("id")).select("component", "a", "b").groupBy("component").applyInPandas(_greedy(most), "id string, community string")
-    folder = T.directory(F.col("file")) if "file" in nodes.columns else F.lit("")
-    wide = sized.where(F.col("n") > most).join(nodes.select("id", folder.alias("f")), "id").select("id", F.concat_ws("|", "component", "f").alias("community"))
-    return nodes.select("id").join(found.union(wide), "id", "left").select("id", F.coalesce("community", "id").alias("community"))
+    large = sized.where(F.col("n") > most)
+    if wide == "folders":
+        folder = T.directory(F.col("file")) if "file" in nodes.columns else F.lit("")
+        found = found.union(large.join(nodes.select("id", folder.alias("f")), "id").select("id", F.concat_ws("|", "component", "f").alias("community")))
+    elif not large.isEmpty():
+        found = found.union(louvain(both.select(F.col("a").alias("src"), F.col("b").alias("dst")).join(large.select(F.col("id").alias("src")), "src", "left_semi")))
+    return nodes.select("id").join(found, "id", "left").select("id", F.coalesce("community", "id").alias("community"))
 
 
 def impact(nodes: DataFrame, edges: DataFrame, seed: str, most: int = 30, most_modules: int = 10) -> DataFrame:
@@ -430,10 +337,10 @@ def remove_subtree(nodes: DataFrame, edges: DataFrame, node: str, keep: bool = F
 
 
 def deep_expand(edges: DataFrame, node: str, hops: int = 3, most: int = 60) -> DataFrame:
-    """(id, hop, parent): up to ``most`` new nodes within ``hops`` of a node, nearest first, then by parent and id."""
+    """(id, hop, parent): up to ``most`` new nodes within ``hops`` of a node, the first visited."""
     start = edges.sparkSession.createDataFrame([(node,)], "id string")
     found = bfs(edges, start, hops).where("hop > 0")
-    return found.orderBy("hop", "parent", "id").limit(most)
+    return found.orderBy("visit").limit(most).select("id", "hop", "parent")
 
 
 def hover(edges: DataFrame, node: str) -> DataFrame:

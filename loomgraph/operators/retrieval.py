@@ -83,8 +83,15 @@ def seeds(nodes: DataFrame, question: str, learned: list[str] | tuple[str, ...]
 
 
 def retrieve(nodes: DataFrame, edges: DataFrame, question: str, hops: int = 2, learned: tuple[str, ...] = ()) -> DataFrame:
-    """(id, hop, parent): nodes within ``hops`` calls of the question's seeds, with the node that found each."""
-    return G.bfs(edges, seeds(nodes, question, learned).select("id"), hops)
+    """(id, hop, parent, visit): nodes within ``hops`` calls of the question's seeds, the node that found each, and the order."""
+    return G.bfs(edges, seeds(nodes, question, learned), hops)
+
+
+def steps(found: DataFrame, nodes: DataFrame, k: int = 20) -> DataFrame:
+    """(step, id, hop, parent, edge, kind): the first ``k`` visited nodes of a subgraph, the edge to each, and its kind."""
+    first = found.orderBy("visit").limit(k).join(nodes.select("id", "intent"), "id")
+    edge = F.when(F.col("parent").isNull(), "ENTRY").otherwise("CALLS")
+    return first.select(F.row_number().over(W.orderBy("visit")).cast("long").alias("step"), "id", "hop", "parent", edge.alias("edge"), T.step_kind(F.col("intent"), F.lit("CALLS")).alias("kind"))  # k rows
 
 
 def suggestions(query_terms: DataFrame, learned: DataFrame, k: int = 10) -> DataFrame:
@@ -98,16 +105,20 @@ def suggestions(query_terms: DataFrame, learned: DataFrame, k: int = 10) -> Data
 
 
 def explanation(found: DataFrame, question: str, k: int = 5) -> DataFrame:
-    """(explanation): the first ``k`` nodes of a subgraph (id, hop) as one line; a fixed text where there are none."""
-    first = found.orderBy("hop", "id").limit(k).agg(F.array_sort(F.collect_list(F.struct("hop", "id"))).alias("s"))
+    """(explanation): the first ``k`` nodes of a subgraph (id, hop, visit) as one line; a fixed text where there are none.
+
+    Without ``visit`` they come by hop and id.
+    """
+    order = ["visit"] if "visit" in found.columns else ["hop"]
+    first = found.orderBy(*order, "id").limit(k).agg(F.array_sort(F.collect_list(F.struct(*order, "id"))).alias("s"))
     path = F.array_join(F.transform("s", lambda x: x["id"]), " → ")
     none = F.lit("(stub) No relevant functions found in the graph.")
     return first.select(F.when(F.size("s") == 0, none).otherwise(F.concat(F.lit(f"(stub) According to the graph, the execution path for '{question}' is: "), path)).alias("explanation"))
 
 
 def evidence(found: DataFrame, nodes: DataFrame, k: int = 15) -> DataFrame:
-    """(pos, line): the first ``k`` nodes of a subgraph (id, hop, parent), how each was reached, and its summary."""
-    first = found.orderBy("hop", "id").limit(k)
-    first = first.withColumn("pos", F.row_number().over(W.orderBy("hop", "id"))).join(nodes.select("id", "summary"), "id")  # k rows
+    """(pos, line): the first ``k`` visited nodes of a subgraph (id, parent, visit), how each was reached, and its summary."""
+    first = found.orderBy("visit").limit(k)
+    first = first.withColumn("pos", F.row_number().over(W.orderBy("visit"))).join(nodes.select("id", "summary"), "id")  # k rows
     how = F.when(F.col("parent").isNull(), " is an entry").otherwise(F.concat(F.lit(" is called by "), "parent"))
     return first.select("pos", F.concat("id", how, F.lit(": "), "summary").alias("line"))

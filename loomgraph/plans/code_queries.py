@@ -15,21 +15,11 @@ from ..sources import store as S
 from ..storage import shared_dir
 from . import adapters as A
 from .adapters import with_
-from .graph_queries import CO, EV, _bfs_sql
+from .graph_queries import CO, EV, _bfs_sql, queue_sql
 from .graph_queries import _seeds as _event_seeds
+from .registry import registry
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
+QUERIES, SQL, query = registry(__name__)
 
 
 #: A code base in five languages.
@@ -260,10 +250,7 @@ def subtree_removed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _deep_sql() -> str:
-    out = EV + ", s0 AS (SELECT min(id) AS id, 0 AS hop, NULL::VARCHAR AS parent FROM enodes)"
-    for k in range(1, 4):
-        out += f", s{k} AS MATERIALIZED (SELECT * FROM s{k - 1} UNION ALL SELECT dst, {k}, min(src) FROM eedges JOIN s{k - 1} ON src = id WHERE hop = {k - 1} AND dst NOT IN (SELECT id FROM s{k - 1}) GROUP BY dst)"
-    return out + " SELECT id, hop, parent FROM s3 WHERE hop > 0 ORDER BY hop, parent, id LIMIT 60"
+    return EV + ", seed AS (SELECT min(id) AS id, 1 AS pos FROM enodes)" + queue_sql(3) + " SELECT id, hop, parent FROM s3 WHERE hop > 0 ORDER BY visit LIMIT 60"
 
 
 @query(_deep_sql())

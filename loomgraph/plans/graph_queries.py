@@ -15,19 +15,9 @@ from ..operators import retrieval as R
 from ..storage import written
 from . import adapters as A
 from .adapters import with_
+from .registry import registry
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
+QUERIES, SQL, query = registry(__name__)
 
 
 EV = with_("ev", "enodes", "eedges")
@@ -59,8 +49,24 @@ def _rank_sql(rounds: int) -> str:
     return out
 
 
+#: Rounds in the SQL of the converged PageRank; it takes the first that changes ranks by less than a millionth a node.
+ROUNDS = 30
+
+
+def _settled_sql(rounds: int = ROUNDS) -> str:
+    change = " UNION ALL ".join(f"SELECT {k} AS k, sum(abs(b.rank - a.rank)) AS change FROM r{k - 1} a JOIN r{k} b USING (id)" for k in range(1, rounds + 1))
+    every = " UNION ALL ".join(f"SELECT {k} AS k, id, rank FROM r{k}" for k in range(1, rounds + 1))
+    return _rank_sql(rounds) + f", enough AS (SELECT min(k) AS k FROM ({change}), n WHERE change < n * 1e-6), ranks AS MATERIALIZED (SELECT id, rank FROM ({every}) SEMI JOIN enough USING (k))"
+
+
 @query(_rank_sql(10) + " SELECT id, round(rank, 6) AS rank FROM r10")
 def pagerank_fixed_iter(spark: SparkSession, d: str) -> DataFrame:
+    return G.pagerank(A.event_nodes(spark, d), A.event_edges(spark, d), rounds=10).select("id", F.round("rank", 6).alias("rank"))
+
+
+@query(_settled_sql() + " SELECT id, round(rank, 6) AS rank FROM ranks")
+def pagerank(spark: SparkSession, d: str) -> DataFrame:
+    """PageRank until a round changes the ranks by less than a millionth a node."""
     return G.pagerank(A.event_nodes(spark, d), A.event_edges(spark, d)).select("id", F.round("rank", 6).alias("rank"))
 
 
@@ -89,7 +95,7 @@ def _metrics(spark: SparkSession, d: str) -> DataFrame:
     return N.node_metrics(nodes.withColumnRenamed("kind", "file"), edges, G.pagerank(nodes, edges), G.betweenness(nodes, edges))
 
 
-_METRICS = _rank_sql(10) + _DEG + _between_sql() + ", m AS (SELECT id, kind AS file, name, rank, in_degree, out_degree, betweenness FROM r10 JOIN deg USING (id) JOIN between USING (id) JOIN enodes USING (id))"
+_METRICS = _settled_sql() + _DEG + _between_sql() + ", m AS (SELECT id, kind AS file, name, rank, in_degree, out_degree, betweenness FROM ranks JOIN deg USING (id) JOIN between USING (id) JOIN enodes USING (id))"
 
 
 @query(_METRICS + ", g AS (SELECT *, round(100 * rank + 0.5 * in_degree + 0.25 * out_degree + 50 * betweenness, 9) AS s FROM m) SELECT id, round(s, 3) AS score, round(rank, 5) AS pagerank, in_degree, out_degree, round(betweenness, 5) AS betweenness FROM g ORDER BY s DESC, id LIMIT 20")
@@ -103,7 +109,7 @@ def node_metrics(spark: SparkSession, d: str) -> DataFrame:
     return _metrics(spark, d).select("id", "name", "file", F.round("rank", 5).alias("rank"), "in_degree", "out_degree", F.round("betweenness", 5).alias("betweenness"))
 
 
-@query(_rank_sql(10) + _DEG + " SELECT id, round(rank / max(rank) OVER (), 6) AS rank_ratio, round((in_degree + out_degree) / max(in_degree + out_degree) OVER (), 6) AS fan_ratio FROM r10 JOIN deg USING (id)")
+@query(_settled_sql() + _DEG + " SELECT id, round(rank / max(rank) OVER (), 6) AS rank_ratio, round((in_degree + out_degree) / max(in_degree + out_degree) OVER (), 6) AS fan_ratio FROM ranks JOIN deg USING (id)")
 def heat_ratios(spark: SparkSession, d: str) -> DataFrame:
     """Values against the whole graph's largest."""
     nodes, edges = A.event_nodes(spark, d), written(A.event_edges(spark, d))
@@ -138,10 +144,10 @@ TOP = with_("ev", "enodes", "eedges", recursive=True)
 
 
 def _cycles_sql(longest: int = 8, enough: int = 25) -> str:
-    """Cycles by length; a length is begun only while fewer than ``enough`` shorter ones are found."""
+    """Cycles of more than one event type, by length; a length is begun only while fewer than ``enough`` shorter ones are found."""
     out, found = EV + ", p2 AS MATERIALIZED (SELECT src AS first, dst AS last, [src, dst] AS nodes FROM eedges WHERE src < dst)", []
     for k in range(2, longest + 1):
-        out += f", c{k} AS MATERIALIZED (SELECT {k} AS length, array_to_string(nodes, '>') AS path FROM p{k} JOIN eedges ON src = last AND dst = first)"
+        out += f", c{k} AS MATERIALIZED (SELECT {k} AS length, array_to_string(nodes, '>') AS path FROM p{k} JOIN eedges ON src = last AND dst = first WHERE len(list_distinct([split_part(x, ':', 1) FOR x IN nodes])) > 1)"
         found.append(f"SELECT * FROM c{k}")
         if k < longest:
             few = f"(SELECT count(*) FROM ({' UNION ALL '.join(found)})) < {enough}"
@@ -151,7 +157,20 @@ def _cycles_sql(longest: int = 8, enough: int = 25) -> str:
 
 @query(_cycles_sql())
 def simple_cycles_bounded(spark: SparkSession, d: str) -> DataFrame:
-    return G.cycles(A.event_edges(spark, d), enough=25).orderBy("length", "path").limit(25)
+    """The first 25 cycles that don't stay in one event type (their nodes' name here)."""
+    return _cycles(spark, d, A.event_edges(spark, d))
+
+
+def _cycles(spark: SparkSession, d: str, edges: DataFrame) -> DataFrame:
+    names = A.event_nodes(spark, d).select("id", F.col("kind").alias("name"))
+    return G.cycles(edges, names, enough=25).orderBy("length", "path").limit(25)
+
+
+@query(TOP + ", few AS (SELECT src, dst FROM eedges WHERE (split_part(src, ':', 2)::INT + split_part(dst, ':', 2)::INT) % 4 = 0), reach(id, r) AS (SELECT src, dst FROM few UNION SELECT reach.id, few.dst FROM reach JOIN few ON src = r) SELECT a.id, min(a.r) AS component FROM reach a JOIN reach b ON b.id = a.r AND b.r = a.id GROUP BY a.id HAVING count(DISTINCT a.r) > 1")
+def strong_components(spark: SparkSession, d: str) -> DataFrame:
+    """Nodes on cycles of the steps whose two numbers add up to a multiple of four, with their strong component."""
+    number = lambda c: F.split(c, ":")[1].cast("int")
+    return G.strong_components(A.event_edges(spark, d).where((number("src") + number("dst")) % 4 == 0))
 
 
 @query(TOP + ", c(id, r) AS (SELECT id, id FROM enodes UNION SELECT t.dst, c.r FROM c JOIN (SELECT src, dst FROM eedges UNION SELECT dst, src FROM eedges) t ON t.src = c.id) SELECT id, min(r) AS component FROM c GROUP BY id")
@@ -221,15 +240,21 @@ def _seed_sql(question: str = ASKED) -> str:
     )
 
 
-def _bfs_sql(hops: int) -> str:
-    out = _seed_sql() + ", s0 AS (SELECT id, 0 AS hop, NULL::VARCHAR AS parent FROM seed)"
+def queue_sql(hops: int) -> str:
+    """s0 to s<hops> (id, hop, parent, visit) from seed (id, pos): visit order and first discoverers as a queue has them."""
+    out = ", s0 AS MATERIALIZED (SELECT id, 0 AS hop, (SELECT arg_min(b.id, b.pos) FROM seed b JOIN eedges ON src = b.id AND dst = a.id WHERE b.pos < a.pos) AS parent, row_number() OVER (ORDER BY pos) - 1 AS visit FROM seed a)"
     for k in range(1, hops + 1):
-        out += f", s{k} AS MATERIALIZED (SELECT * FROM s{k - 1} UNION ALL SELECT dst, {k}, min(src) FROM eedges JOIN s{k - 1} ON src = id WHERE hop = {k - 1} AND dst NOT IN (SELECT id FROM s{k - 1}) GROUP BY dst)"
+        found = f"SELECT dst AS id, arg_min(src, visit) AS parent, min(visit) AS pv FROM eedges JOIN s{k - 1} ON src = id WHERE hop = {k - 1} AND dst NOT IN (SELECT id FROM s{k - 1}) GROUP BY dst"
+        out += f", s{k} AS MATERIALIZED (SELECT * FROM s{k - 1} UNION ALL SELECT id, {k}, parent, (SELECT count(*) FROM s{k - 1}) + row_number() OVER (ORDER BY pv, id) - 1 FROM ({found}))"
     return out
 
 
+def _bfs_sql(hops: int) -> str:
+    return _seed_sql() + queue_sql(hops)
+
+
 def _seeds(spark: SparkSession, d: str) -> DataFrame:
-    return R.seeds(A.event_symbols(spark, d), ASKED).select("id")
+    return R.seeds(A.event_symbols(spark, d), ASKED)
 
 
 @query(_seed_sql() + " SELECT id, pos FROM seed")
@@ -243,7 +268,7 @@ def question_shortlist(spark: SparkSession, d: str) -> DataFrame:
     return R.shortlist(A.event_symbols(spark, d), ASKED).select("id", F.col("pos").cast("long").alias("pos"), F.round("score", 6).alias("score"))
 
 
-@query(_bfs_sql(3) + " SELECT id, hop, parent FROM s3")
+@query(_bfs_sql(3) + " SELECT id, hop, parent, visit FROM s3")
 def seeds_and_bfs_subgraph(spark: SparkSession, d: str) -> DataFrame:
     """A question to a subgraph: its seeds, and what they reach within three hops with the node that found it."""
     return R.retrieve(A.event_symbols(spark, d), A.event_edges(spark, d), ASKED, 3)
@@ -255,18 +280,16 @@ def induced_subgraph(spark: SparkSession, d: str) -> DataFrame:
     return G.induced(edges, G.bfs(edges, _seeds(spark, d), 2)).select("src", "dst", "w")
 
 
-@query(_bfs_sql(2) + " SELECT row_number() OVER (ORDER BY hop, s2.id) AS step, s2.id, hop, parent, CASE WHEN parent IS NULL THEN 'ENTRY' ELSE 'CALLS' END AS edge, CASE WHEN intent IN ('persistence', 'retrieval') THEN 'USES_DB' ELSE 'CALLS' END AS kind FROM s2 JOIN esym ON esym.id = s2.id ORDER BY hop, s2.id LIMIT 20")
+@query(_bfs_sql(2) + " SELECT row_number() OVER (ORDER BY visit) AS step, s2.id, hop, parent, CASE WHEN parent IS NULL THEN 'ENTRY' ELSE 'CALLS' END AS edge, CASE WHEN intent IN ('persistence', 'retrieval') THEN 'USES_DB' ELSE 'CALLS' END AS kind FROM s2 JOIN esym ON esym.id = s2.id ORDER BY visit LIMIT 20")
 def execution_steps(spark: SparkSession, d: str) -> DataFrame:
-    """The first twenty nodes of a question's subgraph, with the edge from their discoverer and their kind."""
+    """The first twenty visited nodes of a question's subgraph, with the edge from their discoverer and their kind."""
     nodes = A.event_symbols(spark, d)
-    found = R.retrieve(nodes, A.event_edges(spark, d), ASKED, 2).orderBy("hop", "id").limit(20).join(nodes.select("id", "intent"), "id")
-    edge = F.when(F.col("parent").isNull(), "ENTRY").otherwise("CALLS")
-    return found.select(F.row_number().over(W.orderBy("hop", "id")).cast("long").alias("step"), "id", "hop", "parent", edge.alias("edge"), T.step_kind(F.col("intent"), F.lit("CALLS")).alias("kind"))
+    return R.steps(R.retrieve(nodes, A.event_edges(spark, d), ASKED, 2), nodes)
 
 
-@query(_bfs_sql(3) + ", r AS (SELECT a.id, coalesce(d.id, c.id, b.id, a.id) AS root, a.hop AS depth FROM s3 a LEFT JOIN s3 b ON a.parent = b.id LEFT JOIN s3 c ON b.parent = c.id LEFT JOIN s3 d ON c.parent = d.id) SELECT id, root, depth FROM r")
+@query("WITH RECURSIVE" + _bfs_sql(3).removeprefix("WITH") + ", up(id, root, depth) AS (SELECT id, id, 0 FROM s3 WHERE parent IS NULL UNION ALL SELECT s3.id, root, depth + 1 FROM up JOIN s3 ON parent = up.id) SELECT id, root, depth FROM up")
 def branch_roots(spark: SparkSession, d: str) -> DataFrame:
-    return G.roots(G.bfs(A.event_edges(spark, d), _seeds(spark, d), 3))
+    return G.roots(G.bfs(A.event_edges(spark, d), _seeds(spark, d), 3).select("id", "parent"))
 
 
 @query(EV + " SELECT dst AS id, 'callee' AS side FROM eedges WHERE src = (SELECT min(id) FROM enodes) UNION ALL SELECT src, 'caller' FROM eedges WHERE dst = (SELECT min(id) FROM enodes)")
@@ -339,7 +362,7 @@ def file_rollup_worst_of(spark: SparkSession, d: str) -> DataFrame:
     return N.file_rollup(metrics).drop("pagerank")
 
 
-@query(_rank_sql(10) + ", e AS (SELECT kind AS file, sum(rank) AS r FROM r10 JOIN enodes USING (id) GROUP BY kind) SELECT file, round(r, 5) AS pagerank FROM e")
+@query(_settled_sql() + ", e AS (SELECT kind AS file, sum(rank) AS r FROM ranks JOIN enodes USING (id) GROUP BY kind) SELECT file, round(r, 5) AS pagerank FROM e")
 def file_pagerank(spark: SparkSession, d: str) -> DataFrame:
     nodes, edges = A.event_nodes(spark, d), written(A.event_edges(spark, d))
     full = N.node_metrics(nodes.withColumnRenamed("kind", "file").withColumn("complexity", F.lit("low")).withColumn("criticality", F.lit("low")), edges, G.pagerank(nodes, edges), nodes.select("id", F.lit(0.0).alias("betweenness")))
@@ -422,7 +445,7 @@ def _question_sql() -> str:
 def _report_parts(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     nodes, edges = A.event_nodes(spark, d), written(A.event_edges(spark, d))
     metrics = written(N.node_metrics(nodes.withColumnRenamed("kind", "file"), edges, G.pagerank(nodes, edges), G.betweenness(nodes, edges)))
-    return {"god_nodes": N.god_nodes(metrics), "cycles": G.cycles(edges, enough=25).orderBy("length", "path").limit(25), "bridges": articulation_points(spark, d)}
+    return {"god_nodes": N.god_nodes(metrics), "cycles": _cycles(spark, d, edges), "bridges": articulation_points(spark, d)}
 
 
 @query(_question_sql())

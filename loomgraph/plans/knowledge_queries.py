@@ -9,19 +9,9 @@ from ..functions import vocabulary as V
 from ..operators import knowledge as K
 from ..storage import written
 from . import adapters as A
+from .registry import registry
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
+QUERIES, SQL, query = registry(__name__)
 
 
 def _snake(c: str) -> Column:

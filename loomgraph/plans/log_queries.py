@@ -15,19 +15,9 @@ from ..operators import retrieval as R2
 from ..operators import stateful as S
 from . import adapters as A
 from .adapters import with_
+from .registry import registry
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
+QUERIES, SQL, query = registry(__name__)
 
 
 EV = with_("ev")
@@ -48,7 +38,8 @@ def common_paths(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("WITH s AS (SELECT event_type AS a, lead(event_type) OVER w AS b, lead(event_type, 2) OVER w AS c FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) SELECT a || '>' || b || '>' || c AS path, count(*) AS n FROM s WHERE c IS NOT NULL GROUP BY 1 HAVING count(*) >= 3")
-def common_paths(spark: SparkSession, d: str) -> DataFrame:
+def event_triples(spark: SparkSession, d: str) -> DataFrame:
+    """Three consecutive event types of a user that occur three times or more."""
     w = W.partitionBy("user_id").orderBy("ts", "event_id")
     s = A.load(spark, d, "events").select(F.col("event_type").alias("a"), F.lead("event_type").over(w).alias("b"), F.lead("event_type", 2).over(w).alias("c")).where("c is not null")
     return s.groupBy(F.concat_ws(">", "a", "b", "c").alias("path")).agg(F.count(F.lit(1)).alias("n")).where("n >= 3")

@@ -10,19 +10,9 @@ from ..operators import modules as M
 from ..storage import written
 from . import adapters as A
 from .adapters import with_
+from .registry import registry
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
+QUERIES, SQL, query = registry(__name__)
 
 
 _FOLDERS = (("automobile account", "/main.py"), ("building account", "/tests/test_b.py"), ("furniture account", "/utils.py"), ("household account", "/training/run.py"), ("machinery account", "/app.py"))

@@ -13,19 +13,9 @@ from ..operators import graph as G
 from ..operators import retrieval as R
 from . import adapters as A
 from .adapters import with_
+from .registry import registry
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
+QUERIES, SQL, query = registry(__name__)
 
 
 _TOK = "[lower(x) FOR x IN regexp_extract_all(coalesce({0}, ''), '[A-Za-z][a-z0-9]*|[0-9]+') IF length(x) > 1]"
@@ -206,7 +196,7 @@ def semantic_provenance(spark: SparkSession, d: str) -> DataFrame:
     return A.load(spark, d, "events").select("event_id", T.semantic_provenance(by).alias("source"))
 
 
-_DOMAIN = "greatest(" + ", ".join("({" + "'n': " + " + ".join(f"contains(w, '{k}')::INT" for k in keys.split()) + f", 'i': {-i}, 'd': '{name}'" + "})" for i, (name, keys) in enumerate(V.DOMAINS)) + ")"
+_DOMAIN = "greatest(" + ", ".join("({" + "'n': " + " + ".join(f"contains(w, '{k}')::INT" for k in keys) + f", 'i': {-i}, 'd': '{name}'" + "})" for i, (name, keys) in enumerate(V.DOMAINS)) + ")"
 
 
 @query(f"SELECT page_id, CASE WHEN b.n > 0 THEN b.d ELSE 'general' END AS domain FROM (SELECT page_id, {_DOMAIN} AS b FROM (SELECT page_id, lower(url) AS w FROM pages))")
@@ -232,7 +222,7 @@ def token_symbol_links(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _any(column: str, words) -> str:
-    return "(" + " OR ".join("contains({}, '{}')".format(column, w.replace("'", "''")) for w in (words.split() if isinstance(words, str) else words)) + ")"
+    return "(" + " OR ".join("contains({}, '{}')".format(column, w.replace("'", "''")) for w in (words)) + ")"
 
 
 _INTENT = "CASE " + " ".join(f"WHEN {_any('n', words)} THEN '{label}'" for label, words in V.INTENTS) + " ELSE 'unknown' END"

@@ -14,19 +14,9 @@ from ..operators import retrieval as R
 from . import adapters as A
 from .adapters import with_
 from .graph_queries import _CDEG, _ENDS, ASKED, CO, _bfs_sql, _cdeg, _ends
+from .registry import registry
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
+QUERIES, SQL, query = registry(__name__)
 
 
 @query(CO + ", e AS (SELECT a.module AS s, b.module AS t" + _ENDS + "), n AS (SELECT module, count(*) AS n_nodes, count(DISTINCT file) AS n_files, count(*) FILTER (kind = 'function') AS n_functions FROM cnodes GROUP BY module) SELECT n.*, (SELECT count(*) FROM e WHERE s = module AND t = module) AS n_inside, (SELECT count(*) FROM e WHERE s = module AND t <> module) AS n_out, (SELECT count(*) FROM e WHERE t = module AND s <> module) AS n_in FROM n")
@@ -80,14 +70,14 @@ def visual_encodings(spark: SparkSession, d: str) -> DataFrame:
     return c.select("id", T.border(F.col("complexity")).alias("border"), size.alias("size"), blur.alias("blur"), opacity.alias("opacity"))
 
 
-@query(_bfs_sql(2) + f" SELECT '(stub) According to the graph, the execution path for ''{ASKED}'' is: ' || string_agg(id, ' → ' ORDER BY hop, id) AS explanation FROM (SELECT * FROM s2 ORDER BY hop, id LIMIT 5)")
+@query(_bfs_sql(2) + f" SELECT '(stub) According to the graph, the execution path for ''{ASKED}'' is: ' || string_agg(id, ' → ' ORDER BY visit) AS explanation FROM (SELECT * FROM s2 ORDER BY visit LIMIT 5)")
 def explanation_text(spark: SparkSession, d: str) -> DataFrame:
     """The explanation without a model: the first five nodes of a question's subgraph."""
     found = R.retrieve(A.event_symbols(spark, d), A.event_edges(spark, d), ASKED, 2)
     return R.explanation(found, ASKED)
 
 
-@query(_bfs_sql(2) + ", f AS (SELECT *, row_number() OVER (ORDER BY hop, id) AS pos FROM (SELECT * FROM s2 ORDER BY hop, id LIMIT 15)) SELECT pos::INT AS pos, f.id || CASE WHEN parent IS NULL THEN ' is an entry' ELSE ' is called by ' || parent END || ': ' || summary AS line FROM f JOIN esym ON esym.id = f.id")
+@query(_bfs_sql(2) + ", f AS (SELECT *, row_number() OVER (ORDER BY visit) AS pos FROM (SELECT * FROM s2 ORDER BY visit LIMIT 15)) SELECT pos::INT AS pos, f.id || CASE WHEN parent IS NULL THEN ' is an entry' ELSE ' is called by ' || parent END || ': ' || summary AS line FROM f JOIN esym ON esym.id = f.id")
 def explanation_lines(spark: SparkSession, d: str) -> DataFrame:
     """What a model would be told of a subgraph: its first fifteen nodes and the edge to each."""
     nodes = A.event_symbols(spark, d)

@@ -120,7 +120,7 @@ def test_neighbours_and_flows(spark):
 def test_communities_of_a_large_component_follow_folders(spark):
     nodes = spark.createDataFrame([(f"n{k:02}", f"{'abc'[k % 3]}/f{k}.py") for k in range(30)] + [("alone", "z/q.py")], "id string, file string")
     edges = spark.createDataFrame([(f"n{k:02}", f"n{k + 1:02}") for k in range(29)], "src string, dst string")
-    got = dict(G.communities(nodes, edges, most=10).collect())
+    got = dict(G.communities(nodes, edges, most=10, wide="folders").collect())
     assert {got[f"n{k:02}"] for k in range(0, 30, 3)} == {"n00|a"} and got["n01"] == "n00|b" and got["alone"] == "alone"
     assert len(set(dict(G.communities(nodes, edges).collect()).values())) > 3  # modularity below the bound
 
