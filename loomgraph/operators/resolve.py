@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .search import NameIndex
+
 
 def _unique(rows: DataFrame, *keys: str, alias: str) -> DataFrame:
     """Keys that exactly one id has, with it: a join on them cannot multiply rows."""
@@ -73,8 +75,8 @@ def resolve_bases(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 def by_name(asked: DataFrame, nodes: DataFrame) -> DataFrame:
     """(q, id, tier) of asked names (q): 0 exact, 1 without case, 2 as a prefix; the first node of the best tier.
 
-    Nodes (id, name) are reduced to one a name first. Each tier asks only for what the one before left, and prefixes are
-    joined by their own length, so no names are paired without a key.
+    Nodes (id, name) are reduced to one a name first. Each tier asks only for what the one before left; prefixes are looked
+    up in a trigram index of the names, by their rarest trigram.
     """
     one = nodes.groupBy("name").agg(F.min("id").alias("id"))
     exact = asked.join(one.withColumnRenamed("name", "q"), "q").select("q", "id", F.lit(0).alias("tier"))
@@ -82,9 +84,7 @@ def by_name(asked: DataFrame, nodes: DataFrame) -> DataFrame:
     low = one.groupBy(F.lower("name").alias("k")).agg(F.min("id").alias("id"))
     loose = rest.withColumn("k", F.lower("q")).join(low, "k").select("q", "id", F.lit(1).alias("tier"))
     rest = rest.join(loose.select("q"), "q", "left_anti").where("q <> ''")
-    sizes = rest.select(F.length("q").alias("n")).distinct()
-    heads = low.join(F.broadcast(sizes), F.length("k") >= F.col("n")).select(F.expr("substring(k, 1, n)").alias("k"), "id").groupBy("k").agg(F.min("id").alias("id"))  # a few lengths
-    head = rest.withColumn("k", F.lower("q")).join(heads, "k").select("q", "id", F.lit(2).alias("tier"))
+    head = NameIndex.build(low.withColumnRenamed("k", "name")).by_prefix(rest).select("q", "id", F.lit(2).alias("tier"))
     return exact.union(loose).union(head)
 
 

@@ -12,6 +12,7 @@ from ..operators import analytics as N
 from ..operators import export as X
 from ..operators import graph as G
 from ..operators import retrieval as R
+from ..operators.search import NameIndex, WordIndex
 from ..storage import written
 from . import adapters as A
 from .adapters import with_
@@ -265,7 +266,8 @@ def question_seeds(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_seed_sql() + " SELECT id, pos, round(score, 6) AS score FROM top")
 def question_shortlist(spark: SparkSession, d: str) -> DataFrame:
-    return R.shortlist(A.event_symbols(spark, d), ASKED).select("id", F.col("pos").cast("long").alias("pos"), F.round("score", 6).alias("score"))
+    """The thirty best nodes of a question, from an index that skips blocks which can't reach them."""
+    return WordIndex.build(A.event_symbols(spark, d)).shortlist(ASKED).select("id", F.col("pos").cast("long").alias("pos"), F.round("score", 6).alias("score"))
 
 
 @query(_bfs_sql(3) + " SELECT id, hop, parent, visit FROM s3")
@@ -493,7 +495,5 @@ QUERIES["architecture_report"] = architecture_report
 
 @query(CO + ", t AS (SELECT name, row_number() OVER (ORDER BY CASE WHEN lower(name) = 'customer#000000001' THEN 0 WHEN lower(name) LIKE 'customer#000000001%' THEN 1 ELSE 2 END, id) AS pos FROM cnodes WHERE lower(name) LIKE '%customer#00000000%') SELECT name, pos FROM t WHERE pos <= 10")
 def find_node_ranked(spark: SparkSession, d: str) -> DataFrame:
-    key, low = "customer#000000001", F.lower("name")
-    tier = F.when(low == key, 0).when(low.startswith(key), 1).otherwise(2)
-    hit = A.commerce_nodes(spark, d).where(low.contains("customer#00000000")).select("name", "id", tier.alias("t")).orderBy("t", "id").limit(10)
-    return hit.select("name", F.row_number().over(W.orderBy("t", "id")).cast("long").alias("pos"))
+    """Names that hold a text, from a trigram index: the key itself, then as a prefix, then the rest."""
+    return NameIndex.build(A.commerce_nodes(spark, d)).find("customer#000000001", "customer#00000000").select("name", "pos")

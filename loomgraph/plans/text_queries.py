@@ -11,6 +11,7 @@ from ..functions import text as T
 from ..functions import vocabulary as V
 from ..operators import graph as G
 from ..operators import retrieval as R
+from ..operators.search import WordIndex
 from . import adapters as A
 from .adapters import with_
 from .registry import registry
@@ -76,6 +77,13 @@ def relevance_topk(spark: SparkSession, d: str) -> DataFrame:
     return R.shortlist(_documents(spark, d), QUESTION).select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
+@query("WITH " + _field_sql("documents", {"source": 3.0, "text": 1.5, "lang": 0.5}, "doc_id") + " SELECT doc_id, round(s, 6) AS score FROM (SELECT doc_id, round(coalesce(score, 0), 9) AS s FROM documents LEFT JOIN sc ON id = doc_id) ORDER BY s DESC, doc_id DESC LIMIT 30")
+def indexed_topk(spark: SparkSession, d: str) -> DataFrame:
+    """As relevance_topk, from a written index of all documents' words in blocks with their largest impact."""
+    index = WordIndex.build(_documents(spark, d))
+    return index.shortlist(QUESTION).select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
 _AGAIN = " + ".join(f"1.5 * contains(lower(source), '{w}')::INT + contains(lower(left(text, 80)), '{w}')::INT" for w in R.rerank_words(QUESTION))
 
 
