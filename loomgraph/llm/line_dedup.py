@@ -8,25 +8,18 @@ within them, all with the same buckets: anti-joins shuffle only the batch, and a
 
 from __future__ import annotations
 
-import struct
-from collections.abc import Iterator
 from functools import reduce
 
-import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship
 from ..storage import bucketed, shared_dir, written
-from .common import fresh, row_key, small, tasks
+from .common import ascii_lower, fresh, row_key, small, tasks
 
 #: Stripped from both ends of a line.
 BLANK = " \t\n\x0b\x0c\r"
 LEAST_CHARS, LEAST_DOCS = 20, 3
 BATCHES, FANOUT = 4, 2
-#: Lines that a task hands on at a time, those of a text together.
-HANDED_ON = 20_000
 
 
 class Runs:
@@ -71,44 +64,24 @@ class Runs:
         return self._merged(self.runs()).where(F.col("n") >= self.least_docs).select("h1", "h2", "last")
 
 
-def _keys(least_chars: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            names = [n for n in batch.schema.names if n != "text"]
-            rows, h1, h2, places = [], [], [], []  # of lines not yet handed on
-
-            def out(names=names, batch=batch, rows=rows, h1=h1, h2=h2, places=places):
-                same = batch.select(names).take(pa.array(rows, pa.int32())).columns
-                return pa.RecordBatch.from_arrays([*same, pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(places, pa.list_(pa.int32()))], names=[*names, "h1", "h2", "at"])
-
-            for row in range(batch.num_rows):
-                at: dict[bytes, list[int]] = {}
-                for k, line in enumerate((batch.column("text")[row].as_py() or "").split("\n")):
-                    key = line.strip(BLANK)
-                    if len(key) >= least_chars:
-                        at.setdefault(xxhash.xxh3_128_digest(key.encode().lower()), []).append(k)  # bytes: A-Z only
-                for digest, where in at.items():
-                    a, b = struct.unpack("<qq", digest)
-                    rows.append(row)
-                    h1.append(a)
-                    h2.append(b)
-                    places.append(where)
-                if len(rows) >= HANDED_ON:
-                    yield out()
-                    for x in (rows, h1, h2, places):
-                        x.clear()
-            if rows:
-                yield out()
-
-    return run
+def _hashed(text: Column, least_chars: int) -> Column:
+    """An array of (h1, h2, at, first) of a text's long lines: two hashes of the key, its place, and whether it is the key's first."""
+    keys = F.transform(F.split(ascii_lower(text), "\n"), lambda x: F.btrim(x, F.lit(BLANK)))
+    each = F.transform(keys, lambda x, k: F.struct(F.length(x).alias("n"), F.xxhash64(x).alias("h1"), F.xxhash64(F.lit("line"), x).alias("h2"), k.alias("at")))
+    long = F.transform(F.filter(each, lambda x: x["n"] >= least_chars), lambda x: F.struct(x["h1"].alias("h1"), x["h2"].alias("h2"), x["at"].alias("at")))
+
+    def mark(rows: Column) -> Column:
+        again = lambda x, k: F.get(rows, k - 1)["h1"].eqNullSafe(x["h1"]) & F.get(rows, k - 1)["h2"].eqNullSafe(x["h2"])
+        return F.transform(rows, lambda x, k: F.struct(x["h1"].alias("h1"), x["h2"].alias("h2"), x["at"].alias("at"), (~again(x, k)).alias("first")))
+
+    return F.transform(F.array(F.array_sort(long)), mark)[0]
 
 
 def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_chars: int = LEAST_CHARS, batches: int = BATCHES) -> DataFrame:
-    """(batch, k1, k2, id, h1, h2, at) of each row's different long lines and their places, written by batch.
+    """(batch, k1, k2, id, h1, h2, at, first) of each row's long lines, written by batch; ``first`` marks one of a row's equal ones.
 
     Batches are ranges of numeric ids, the largest first, so that what is settled stays so; other ids are dealt by hash.
     """
-    ship(docs.sparkSession)
     key = docs[id_col]
     if dict(docs.dtypes)[id_col] in ("tinyint", "smallint", "int", "bigint", "float", "double"):
         ends = docs.agg(F.min(key).cast("double"), F.max(key).cast("double")).first()
@@ -117,8 +90,9 @@ def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
     else:
         batch = F.pmod(F.xxhash64(key), F.lit(batches))
     k1, k2 = row_key(docs, id_col, text_col)
-    rows = docs.select(F.coalesce(batch, F.lit(batches - 1)).cast("int").alias("batch"), k1.alias("k1"), k2.alias("k2"), key.alias("id"), docs[text_col].cast("string").alias("text"))
-    found = rows.mapInArrow(_keys(least_chars), f"batch int, k1 long, k2 int, id {dict(docs.dtypes)[id_col]}, h1 long, h2 long, at array<int>")
+    text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
+    rows = docs.select(F.coalesce(batch, F.lit(batches - 1)).cast("int").alias("batch"), k1.alias("k1"), k2.alias("k2"), key.alias("id"), F.explode(_hashed(text, least_chars)).alias("x"))
+    found = rows.select("batch", "k1", "k2", "id", "x.*")
     path = shared_dir(docs.sparkSession)
     found.write.partitionBy("batch").option("compression", "zstd").parquet(path)
     return docs.sparkSession.read.schema(found.schema).parquet(path)
@@ -137,17 +111,16 @@ def deduplicate(
     found = lines(docs, id_col, text_col, least_chars, batches)
     runs = Runs(docs.sparkSession, fanout, least_docs)
     for k in range(batches):
-        runs.add(found.where(F.col("batch") == k))
+        runs.add(found.where((F.col("batch") == k) & F.col("first")))
     gone = runs.repeated()
     gone = small(gone) or gone  # else a sort-merge join, whose hot lines are split as skewed
     hits = found.join(gone, ["h1", "h2"]).where(~F.col("id").eqNullSafe(F.col("last")))
-    # equal rows have equal lists, so that a row's set is as long as its text has lines
-    hits = written(hits.groupBy("k1", "k2").agg(F.flatten(F.collect_set("at")).alias("at")))
+    # equal rows have equal places, so that a set is no longer than its text has lines
+    hits = written(hits.groupBy("k1", "k2").agg(F.collect_set("at").alias("at")))
     k1, k2, at, parts, n_lines, n_dropped = fresh(docs, "k1", "k2", "at", "parts", "n_lines", "n_dropped")
     hits = hits.toDF(k1, k2, at)
-    side = small(hits, weight=F.size(at) + 2)
     key = row_key(docs, id_col, text_col)
-    out = docs.withColumns({k1: key[0], k2: key[1]}).join(hits if side is None else side, [k1, k2], "left")
+    out = docs.withColumns({k1: key[0], k2: key[1]}).join(hits.hint("merge"), [k1, k2], "left")  # a row for most documents
     out = out.withColumn(parts, F.split(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "\n"))
     stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), at)
     text = F.when(F.col(at).isNull(), F.coalesce(F.col(text_col).cast("string"), F.lit(""))).otherwise(F.array_join(F.transform(stay, lambda k: F.col(parts)[k]), "\n"))

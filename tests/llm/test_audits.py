@@ -75,7 +75,6 @@ def test_lines(odd, batches, fanout):
 
 def test_lines_without_broadcast(odd, monkeypatch):
     monkeypatch.setattr(line_dedup, "small", lambda *a, **k: None)
-    monkeypatch.setattr(line_dedup, "HANDED_ON", 3)
     assert deduped(odd) == brute_lines([r[:2] for r in odd_rows()])
 
 
