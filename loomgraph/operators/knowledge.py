@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vocabulary as V
+from .intervals import innermost
 
 HEADING = r"^(#{1,6})\s+(.+?)\s*#*\s*$"
 LINK = r"\[[^\]]+\]\(([^)\s]+)\)"
@@ -132,9 +133,8 @@ def rationale(sources: DataFrame, nodes: DataFrame, most: int = 500) -> DataFram
     notes = rows.select("path", (F.col("line") + 1).alias("line"), F.upper(F.regexp_extract("text", pattern, 1)).alias("marker"), body.alias("text")).where(F.length("text") >= 8)
     notes = notes.orderBy("path", "line").limit(most)
     spans = nodes.where("kind not in ('external', 'file')").select("file", "start", "end", F.col("id").alias("node"))
-    inside = notes.join(spans, (F.col("path") == F.col("file")) & F.col("line").between(F.col("start"), F.col("end")), "left")
-    best = inside.groupBy("path", "line", "marker", "text").agg(F.min(F.struct((F.col("end") - F.col("start")).alias("w"), "node")).alias("b"))
-    return best.select(F.concat_ws("::", F.lit("rationale"), "path", "line").alias("id"), "marker", F.substring("text", 1, 300).alias("text"), F.col("path").alias("file"), "line", F.col("b.node").alias("node"))
+    best = innermost(notes, spans.withColumnRenamed("file", "path"), "path", "line", "start", "end", "node")
+    return best.select(F.concat_ws("::", F.lit("rationale"), "path", "line").alias("id"), "marker", F.substring("text", 1, 300).alias("text"), F.col("path").alias("file"), "line", "node")
 
 
 def search_rationale(notes: DataFrame, query: str = "", marker: str = "", most: int = 20) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..storage import bucketed, written
 from .search import NameIndex
 
 
@@ -147,6 +148,36 @@ def merge_graph(nodes: DataFrame, edges: DataFrame, new_nodes: DataFrame, new_ed
     return kept.unionByName(new_nodes), old.select(*edges.columns).unionByName(new_edges).distinct()
 
 
+def name_index(calls: DataFrame) -> DataFrame:
+    """Symbolic calls laid out by the name they ask for: who asked for a name is read from its bucket."""
+    return bucketed(calls, "target")
+
+
+def update_calls(
+    asked: DataFrame, edges: DataFrame, nodes: DataFrame, new_asked: DataFrame, new_nodes: DataFrame, changed: DataFrame, attrs: DataFrame | None = None, imports: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(asked, edges, nodes) after files (path) changed, as if all files were resolved anew.
+
+    ``asked`` are all symbolic calls (``name_index``), ``edges`` what they resolved to (id, target_id, confidence, line);
+    ``new_asked`` and ``new_nodes`` come from the changed files alone, ``attrs`` and ``imports`` are those of all files now. A
+    call's candidates have the name it asks for. So only calls of changed files, and calls anywhere of a name that nodes of
+    changed files lost or gained, are resolved again; all other edges stay.
+    """
+    gone = changed.select("path").distinct()
+    what = [c for c in ("id", "name", "kind", "type", "path") if c in nodes.columns]
+    before, after = nodes.join(gone, "path", "left_semi").select(*what), new_nodes.select(*what)
+    touched = written(before.exceptAll(after).union(after.exceptAll(before)).select(F.col("name").alias("target")).distinct())
+    kept = nodes.join(gone, "path", "left_anti")
+    now = kept.unionByName(new_nodes, allowMissingColumns=True)
+    others = asked.join(gone, "path", "left_anti")
+    again = others.join(touched, "target", "left_semi").unionByName(new_asked, allowMissingColumns=True)
+    redone = resolve_calls(again, now, attrs, imports)
+    name = nodes.select(F.col("id").alias("target_id"), F.col("name").alias("target")).distinct()
+    source = nodes.select("id", "path").distinct()
+    stay = edges.join(name, "target_id").join(touched, "target", "left_anti").join(source, "id").join(gone, "path", "left_anti").select(*redone.columns)
+    return others.unionByName(new_asked, allowMissingColumns=True), stay.union(redone), now
+
+
 def semantic_edges(found: DataFrame, nodes: DataFrame) -> DataFrame:
     """(src, dst, type, confidence, inferred_by) of edges inferred to names; of equal names the last node counts, never itself.
 

@@ -1,42 +1,50 @@
-"""Order-dependent folds over keyed logs: clamped scores, greedy limits, breaker states, request reuse.
+"""Order-dependent folds over keyed logs: clamped scores, request reuse, greedy limits, breaker states.
 
-Rows are dealt by key, sorted within partitions and folded as they stream by, so a task holds one key's state and never
-its rows. A key's own rows are a sequence by their meaning: one task folds them, in memory that doesn't grow with them.
+Clamped scores and reuse are folds of functions that compose, so a key's rows are folded by many tasks. Greedy limits and
+breakers are dealt by key, sorted within partitions and folded as they stream by: a task holds one key's state and never its
+rows. ``streaming.keyed`` has the same two over a stream.
 """
 
 from __future__ import annotations
 
 from collections import deque
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import ship
+from ..storage import written
 
 
-def clamped_fold(df: DataFrame, key: str, order: list[str], delta: Column) -> DataFrame:
-    """(key, score): deltas added in order, clamped to [0, 1] after each."""
-    def start():
-        score = 0.0
+#: Rows of a key that one piece of a fold takes, as a power of two.
+PIECE = 12
 
-        def step(d: float) -> float:
-            nonlocal score
-            score = max(0.0, min(1.0, score + d))
-            return score
 
-        return step
+def clamped_fold(df: DataFrame, key: str, order: list[str], delta: Column, lo: float = 0.0, hi: float = 1.0) -> DataFrame:
+    """(key, score): deltas added in order from 0, clamped to [lo, hi] after each; rows without a delta don't count.
 
-    rows = df.select(key, *order, delta.alias("_d")).where("_d is not null")
-    seen = _fold(rows.withColumn("_time", F.col(order[0]).cast("timestamp")), [key], "_time", order[-1], "score", "double", lambda: _last(start()), [F.col("_d")])
-    n = F.struct(*[F.col(c) for c in order])
-    return rows.select(key, *order).join(seen, [key, order[-1]]).groupBy(key).agg(F.max_by("score", n).alias("score"))
+    A step is x -> min(h, max(l, x + d)), and so is one step after another: pieces of a key's sorted rows are folded to such a
+    triple, then the triples, then their triples. Rows are sorted by ranges of key and order, so that a hot key's rows are
+    many tasks', and no group has more than 2**PIECE rows until the few of a key's last fold.
+    """
+    rows = written(df.select(key, *order, delta.cast("double").alias("d")).where("d is not null"))
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    at = rows.repartitionByRange(tasks, key, *order).sortWithinPartitions(key, *order).select(key, F.lit(lo).alias("l"), F.lit(hi).alias("h"), "d", F.monotonically_increasing_id().alias("at"))
+    at = written(at)
+    none = F.struct(F.lit(float("-inf")).alias("l"), F.lit(float("inf")).alias("h"), F.lit(0.0).alias("d"))
 
+    def after(f: Column, g: Column) -> Column:
+        clamp = lambda x: F.least(g["h"], F.greatest(g["l"], x + g["d"]))
+        return F.struct(clamp(f["l"]).alias("l"), clamp(f["h"]).alias("h"), (f["d"] + g["d"]).alias("d"))
 
-def _last(step: Callable) -> Callable:
-    """A step that leaves the time out."""
-    return lambda _t, d: step(d)
+    for piece in ([F.shiftright("at", PIECE)], [F.shiftright("at", PIECE)], []):
+        at = at.groupBy(key, *[p.alias("at") for p in piece]).agg(F.sort_array(F.collect_list(F.struct("at", "l", "h", "d"))).alias("x"))
+        at = at.withColumn("f", F.aggregate("x", none, after)).select(key, *(["at"] if piece else []), "f.*")
+    return at.select(key, F.least("h", F.greatest("l", "d")).alias("score"))
 
 
 def _fold(df: DataFrame, key: list[str], time: str, tie: str, out: str, kind: str, start: Callable, extra: list[Column] | None = None) -> DataFrame:
@@ -103,17 +111,37 @@ def breaker(df: DataFrame, key: str, time: str, tie: str, failed: Column, failur
 
 
 def reuse(df: DataFrame, key: list[str], time: str, tie: str, seconds: float = 300.0) -> DataFrame:
-    """(*key, tie, reused): a row within ``seconds`` of the last executed one of its key reuses its result."""
-    def start():
-        last: float | None = None
-
-        def step(t: float) -> bool:
-            nonlocal last
-            if last is not None and t - last <= seconds:
-                return True
-            last = t
-            return False
-
-        return step
-
-    return _fold(df, key, time, tie, "reused", "boolean", start)
+    """(*key, tie, reused): a row within ``seconds`` of the last executed one of its key reuses its result.
+
+    The next execution after a row, if it were executed, is the first row more than ``seconds`` later: found among the rows of
+    the next stretch of so many seconds, else the first of the next stretch that has rows. So a key's rows form a forest,
+    and what is executed is the path from its first row, found by doubling the pointers: rounds grow with the logarithm of
+    the executions, and a key's rows are many tasks'.
+    """
+    step = int(seconds * 1_000_000)
+    rows = df.select(*key, F.col(tie).alias("tie"), F.unix_micros(F.col(time).cast("timestamp")).alias("t"))
+    rows = written(rows.withColumn("part", F.floor(F.col("t") / F.lit(step))))
+    place = F.struct("t", "tie")
+    stretch = rows.groupBy(*key, "part").agg(F.min(place).alias("first"))
+    stretch = written(stretch.withColumn("later", F.lead("first").over(W.partitionBy(*key).orderBy("part"))))
+    asked = rows.select(*key, (F.col("part") + 1).alias("part"), (F.col("t") + step).alias("t"), F.lit(0).alias("own"), F.col("tie").alias("who"), place.alias("me"))
+    there = rows.select(*key, "part", "t", F.lit(1).alias("own"), F.lit(None).cast(dict(rows.dtypes)["tie"]).alias("who"), place.alias("me"))
+    # downwards, a question comes before the rows of its own time: only later ones are behind it
+    down = W.partitionBy(*key, "part").orderBy(F.desc("t"), "own").rowsBetween(W.unboundedPreceding, W.currentRow)
+    found = asked.union(there).withColumn("near", F.min(F.when(F.col("own") == 1, F.col("me"))).over(down)).where("own = 0")
+    ahead = stretch.select(*key, F.col("part").alias("p"), F.col("first").alias("f"))
+    last = stretch.select(*key, (F.col("part") + 1).alias("part"), "later").join(ahead.withColumnsRenamed({"p": "part", "f": "same"}), [*key, "part"], "left")
+    after = stretch.select(*key, "part", F.col("later").alias("beyond"))
+    found = found.join(last, [*key, "part"]).join(after, [*key, "part"], "left")
+    # without rows in the next stretch the row's own stretch knows the next one that has some
+    next_ = F.coalesce("near", F.when(F.col("same").isNull(), F.col("later")).otherwise(F.col("beyond")))
+    jumps = [written(found.select(*key, F.col("me").alias("a"), next_.alias("b")).where("b is not null"))]
+    while not jumps[-1].isEmpty():
+        one = jumps[-1]
+        jumps.append(written(one.join(one.select(*key, F.col("a").alias("b"), F.col("b").alias("c")), [*key, "b"]).select(*key, "a", F.col("c").alias("b"))))
+    run = rows.groupBy(*key).agg(F.min(place).alias("a"))
+    for jump in reversed(jumps[:-1]):
+        run = written(run.union(run.join(jump, [*key, "a"]).select(*key, F.col("b").alias("a"))).distinct())
+    done = run.select(*key, F.col("a.tie").alias("tie"), F.lit(True).alias("ran"))
+    no_null = reduce(Column.__and__, [F.col(c).isNotNull() for c in key])
+    return rows.join(done, [*key, "tie"], "left").select(*key, F.col("tie").alias(tie), (F.col("ran").isNull() & no_null).alias("reused"))

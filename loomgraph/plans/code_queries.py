@@ -1,8 +1,10 @@
-"""Extraction, resolution, enrichment and the store, on a small code base and on the commerce graph, with their SQL."""
+"""Extraction, resolution, enrichment and the store, on source files of the parts and on the commerce graph, with their SQL."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import string
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import enrich as E
@@ -12,7 +14,7 @@ from ..operators import resolve as R
 from ..sources import extract as X
 from ..sources import repo as P
 from ..sources import store as S
-from ..storage import shared_dir
+from ..storage import shared_dir, written
 from . import adapters as A
 from .adapters import with_
 from .graph_queries import CO, EV, _bfs_sql, queue_sql
@@ -22,124 +24,243 @@ from .registry import registry
 QUERIES, SQL, query = registry(__name__)
 
 
-#: A code base in five languages.
-FILES = {
-    "README.md": "# Shop\n\nCounts baskets through an api server.\nRun `python -m shop.basket` or python3 -m shop.missing.\n",
-    "requirements.txt": "fastapi\npydantic\n",
-    "shop/basket.py": (
-        "import shop.prices as tariff\nfrom shop import ledger\n\n\nclass Store:\n    pass\n\n\n@registered\nclass Basket(Store):\n    def __init__(self, owner: str):\n        self.till = Till()\n        self.owner = owner\n\n"
-        "    def total(self) -> int:\n        self.check()\n        if self.owner:\n            self.till.ring(1)\n        for item in self.lines():\n            tariff.price(item)\n        return Till.close(self.till)\n\n"
-        "    def check(self):\n        try:\n            audit()\n        except ValueError:\n            ledger.note('bad')\n\n    async def lines(self):\n        return []\n\n\n"
-        "class Till:\n    def ring(self, amount):\n        return amount\n\n    def close(self):\n        return round_up(2)\n\n\n@app.route('/audit')\ndef audit():\n    plugin = __import__('csv')\n    return plugin\n"
-    ),
-    "shop/prices.py": "def price(item):\n    \"\"\"Price of one item in cents. More text.\"\"\"\n    return round_up(item)\n\n\ndef round_up(x):\n    return x\n",
-    "shop/ledger.py": "def note(text):\n    db.execute(text)\n    raise ValueError(text)\n",
-    "shop/broken.py": "def (",
-    "web/cart.ts": "import { sum } from './sum'\nexport class Cart extends Panel {\n  add(x) {\n    return helper(x)\n  }\n}\nexport const helper = (x: number): number => {\n  if (x) { return sum(x) } // }\n  return 0\n}\n",
-    "src/Cart.java": "import shop.Prices;\npublic class Cart extends Panel {\n  public int size() {\n    return count(1);\n  }\n}\n",
-    "lib/tax.c": "#include \"rate.h\"\nint rate(int x) {\n  return x;\n}\nint main(void) {\n  return rate(1);\n}\n",
-    "lib/shape.cpp": "class Shape {\n};\ndouble Shape::area(int x) {\n  return measure(x);\n}\ndouble measure(int x) {\n  return x;\n}\n",
-}
-
-
-def files(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(FILES.items()), "path string, text string")
-
-
-def _values(rows: list[tuple], names: str) -> str:
-    text = lambda v: "NULL" if v is None else "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v)
-    return "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(text, r)) + ")" for r in rows) + f") v({names})"
-
-
-#: What stands in those files: id, kind, type, first and last line, type system, semantic kind.
-SYMBOLS = [
-    ("lib/shape.cpp::<file>", "file", "file", 1, None, None, None), ("lib/shape.cpp::Shape", "type", "class", 1, 2, None, None), ("lib/shape.cpp::Shape::area", "function", "method", 3, 5, "explicit", None), ("lib/shape.cpp::measure", "function", "function", 6, 8, "explicit", None),
-    ("lib/tax.c::<file>", "file", "file", 1, None, None, None), ("lib/tax.c::main", "function", "function", 5, 7, "explicit", None), ("lib/tax.c::rate", "function", "function", 2, 4, "explicit", None),
-    ("shop/basket.py::<file>", "file", "file", 1, None, None, None), ("shop/basket.py::Basket", "type", "class", 10, 30, None, None), ("shop/basket.py::Basket.__init__", "function", "method", 11, 13, "explicit", "CALLS"), ("shop/basket.py::Basket.check", "function", "method", 23, 27, "dynamic", "CALLS"),
-    ("shop/basket.py::Basket.lines", "function", "method", 29, 30, "dynamic", "CALLS"), ("shop/basket.py::Basket.total", "function", "method", 15, 21, "explicit", "CALLS"), ("shop/basket.py::Store", "type", "class", 5, 6, None, None), ("shop/basket.py::Till", "type", "class", 33, 38, None, None),
-    ("shop/basket.py::Till.close", "function", "method", 37, 38, "dynamic", "CALLS"), ("shop/basket.py::Till.ring", "function", "method", 34, 35, "dynamic", "CALLS"), ("shop/basket.py::audit", "function", "function", 42, 44, "dynamic", "EXPOSES_API"),
-    ("shop/ledger.py::<file>", "file", "file", 1, None, None, None), ("shop/ledger.py::note", "function", "function", 1, 3, "dynamic", "USES_DB"), ("shop/prices.py::<file>", "file", "file", 1, None, None, None), ("shop/prices.py::price", "function", "function", 1, 3, "dynamic", "CALLS"),
-    ("shop/prices.py::round_up", "function", "function", 6, 7, "dynamic", "CALLS"), ("src/Cart.java::<file>", "file", "file", 1, None, None, None), ("src/Cart.java::Cart", "type", "class", 2, 6, None, None), ("src/Cart.java::Cart.size", "function", "method", 3, 5, "explicit", "CALLS"),
-    ("web/cart.ts::<file>", "file", "file", 1, None, None, None), ("web/cart.ts::Cart", "type", "class", 2, 6, None, None), ("web/cart.ts::Cart.add", "function", "method", 3, 5, "explicit", "CALLS"), ("web/cart.ts::helper", "function", "function", 7, 10, "explicit", "CALLS"),
-]
-CALLS = [
-    ("lib/shape.cpp::Shape::area", "lib/shape.cpp::measure", 0.65), ("lib/tax.c::main", "lib/tax.c::rate", 0.65), ("shop/basket.py::Basket.check", "shop/basket.py::audit", 0.80), ("shop/basket.py::Basket.check", "shop/ledger.py::note", 0.90),
-    ("shop/basket.py::Basket.total", "shop/basket.py::Basket.check", 0.95), ("shop/basket.py::Basket.total", "shop/basket.py::Basket.lines", 0.95), ("shop/basket.py::Basket.total", "shop/basket.py::Till.close", 0.85), ("shop/basket.py::Basket.total", "shop/basket.py::Till.ring", 0.90),
-    ("shop/basket.py::Basket.total", "shop/prices.py::price", 0.90), ("shop/basket.py::Till.close", "shop/prices.py::round_up", 0.65), ("shop/prices.py::price", "shop/prices.py::round_up", 0.80), ("web/cart.ts::Cart.add", "web/cart.ts::helper", 0.65),
-]
-IMPORTS = [
-    ("lib/tax.c::<file>", "rate.h", "rate.h", "include"), ("shop/basket.py::<file>", "ledger", "shop.ledger", "static_import"), ("shop/basket.py::<file>", "tariff", "shop.prices", "static_import"), ("shop/basket.py::audit", "csv", "csv", "dynamic_import"),
-    ("src/Cart.java::<file>", "shop.Prices", "shop.Prices", "static_import"), ("web/cart.ts::<file>", "./sum", "./sum", "static_import"),
-]
-FLOW = [
-    ("shop/basket.py::Basket.check", "try_block", "audit"), ("shop/basket.py::Basket.check", "error_handling", "note"), ("shop/basket.py::Basket.total", "conditional_branch", "ring"), ("shop/basket.py::Basket.total", "loop", "price"),
-]
-
-
-@query(_values(SYMBOLS, "id, kind, type, line, end_line, type_system, semantic_kind"))
+#: A source file for each part, in the language that its key's remainder by ten stands for: path and text, of the part's key,
+#: the key five on (the next file of the language) and their folders.
+PYTHON = """import pkg{nd}.m{n} as tool
+from shop import ledger
+
+
+class Store{k}(Store{n}):
+    def __init__(self, owner: str):
+        self.till = Till{n}()
+        self.owner = owner
+
+    def total_{k}(self):
+        if self.owner:
+            self.check_{k}()
+        for x in self.lines:
+            tool.load_{n}(x)
+        return self.till.ring_{n}()
+
+    def check_{k}(self):
+        try:
+            audit_{k}()
+        except ValueError:
+            ledger.note_{k}()
+
+
+class Till{k}:
+    def ring_{k}(self) -> int:
+        return load_{n}(1)
+
+
+@app.route('/{k}')
+def audit_{k}(x):
+    \"\"\"Audits {name}. And more.\"\"\"
+    plugin = __import__('csv')
+    return load_{k}(x)
+
+
+def load_{k}(x):
+    return db.execute(x)
+"""
+SCRIPT = """import {{ sum }} from './c{n}'
+export class Cart{k} extends Cart{n} {{
+  add_{k}(x) {{
+    return help_{k}(x)
+  }}
+}}
+export const help_{k} = (x: number): number => {{
+  if (x) {{ return sum(x) }} // }}
+  return 0
+}}
+"""
+JAVA = """import shop.P{k};
+public class Basket{k} extends Basket{n} {{
+  public int size_{k}() {{
+    return count_{k}(1);
+  }}
+}}
+"""
+PLAIN_C = """#include "r{k}.h"
+int rate_{k}(int x) {{
+  return x;
+}}
+int main_{k}(void) {{
+  return rate_{k}(1);
+}}
+"""
+CPP = """class Shape{k} {{
+}};
+double Shape{k}::area_{k}(int x) {{
+  return measure_{k}(x);
+}}
+double measure_{k}(int x) {{
+  return x;
+}}
+"""
+#: Remainders by ten, path and text.
+TEMPLATES = (((0, 1, 5, 6), "pkg{d}/m{k}.py", PYTHON), ((2, 7), "web/c{k}.ts", SCRIPT), ((3, 8), "src/B{k}.java", JAVA), ((4,), "lib/t{k}.c", PLAIN_C), ((9,), "lib/s{k}.cpp", CPP))
+
+
+def _part(template: str, like: dict[str, Column]) -> Column:
+    """A template's text with Columns in its places."""
+    parts = []
+    for text, field, _, _ in string.Formatter().parse(template):
+        parts += [F.lit(text)] if text else []
+        parts += [like[field]] if field else []
+    return F.concat(*parts)
+
+
+def files(spark: SparkSession, d: str) -> DataFrame:
+    """(k, path, text) of a source file for each part."""
+    k, n = F.col("p_partkey"), F.col("p_partkey") + 5
+    like = {"k": k.cast("string"), "n": n.cast("string"), "d": (k % 20).cast("string"), "nd": (n % 20).cast("string"), "name": F.col("p_name")}
+    path = text = None
+    for rest, where, body in TEMPLATES:
+        mine = (k % 10).isin(*rest)
+        path = F.when(mine, _part(where, like)) if path is None else path.when(mine, _part(where, like))
+        text = F.when(mine, _part(body, like)) if text is None else text.when(mine, _part(body, like))
+    return A.load(spark, d, "part").select(k.alias("k"), path.alias("path"), text.alias("text"))
+
+
+def changed_files(spark: SparkSession, d: str) -> DataFrame:
+    """The files of keys divisible by ten after an edit: ``load`` has another name, and a function that another file asks for is new."""
+    old, new = F.concat(F.lit("def load_"), "k", F.lit("(")), F.concat(F.lit("def fetch_"), "k", F.lit("("))
+    more = F.concat(F.lit("\n\ndef note_"), F.col("k") + 5, F.lit("():\n    return 1\n"))
+    return files(spark, d).where("k % 10 = 0").select("k", "path", F.concat(F.replace("text", old, new), more).alias("text"))
+
+
+#: The same in SQL: py, ts, java, c and cpp with k, path, the next key n and its path where there is such a part.
+_CODE = "WITH " + ", ".join(
+    f"{lang} AS (SELECT p_partkey AS k, p_partkey + 5 AS n, p_name AS name, {path.format(k='p_partkey', d='p_partkey % 20')} AS path, {path.format(k='(p_partkey + 5)', d='(p_partkey + 5) % 20')} AS npath, p_partkey + 5 IN (SELECT p_partkey FROM part) AS has FROM part WHERE p_partkey % 10 IN ({rest}))"
+    for lang, rest, path in (("py", "0, 1, 5, 6", "'pkg' || {d} || '/m' || {k} || '.py'"), ("ts", "2, 7", "'web/c' || {k} || '.ts'"), ("java", "3, 8", "'src/B' || {k} || '.java'"), ("c", "4", "'lib/t' || {k} || '.c'"), ("cpp", "9", "'lib/s' || {k} || '.cpp'"))
+)
+
+
+def _rows_sql(table: str, rows: list[tuple], names: str) -> str:
+    """Rows made of each row of a table by SQL expressions."""
+    return " UNION ALL ".join(f"SELECT {', '.join(f'{x} AS {n}' for x, n in zip(r, names.split(', ')))} FROM {table}" for r in rows)
+
+
+def _symbols_sql() -> str:
+    text = lambda v: "NULL::VARCHAR" if v is None else f"'{v}'"
+    plan = {
+        "py": [("Store' || k || '", "type", "class", 5, 21, None, None), ("Store' || k || '.__init__", "function", "method", 6, 8, "explicit", "CALLS"), ("Store' || k || '.total_' || k || '", "function", "method", 10, 15, "dynamic", "CALLS"), ("Store' || k || '.check_' || k || '", "function", "method", 17, 21, "dynamic", "CALLS"),
+               ("Till' || k || '", "type", "class", 24, 26, None, None), ("Till' || k || '.ring_' || k || '", "function", "method", 25, 26, "explicit", "CALLS"), ("audit_' || k || '", "function", "function", 30, 33, "dynamic", "EXPOSES_API"), ("load_' || k || '", "function", "function", 36, 37, "dynamic", "USES_DB")],
+        "ts": [("Cart' || k || '", "type", "class", 2, 6, None, None), ("Cart' || k || '.add_' || k || '", "function", "method", 3, 5, "explicit", "CALLS"), ("help_' || k || '", "function", "function", 7, 10, "explicit", "CALLS")],
+        "java": [("Basket' || k || '", "type", "class", 2, 6, None, None), ("Basket' || k || '.size_' || k || '", "function", "method", 3, 5, "explicit", "CALLS")],
+        "c": [("rate_' || k || '", "function", "function", 2, 4, "explicit", None), ("main_' || k || '", "function", "function", 5, 7, "explicit", None)],
+        "cpp": [("Shape' || k || '", "type", "class", 1, 2, None, None), ("Shape' || k || '::area_' || k || '", "function", "method", 3, 5, "explicit", None), ("measure_' || k || '", "function", "function", 6, 8, "explicit", None)],
+    }
+    out = []
+    for table, rows in plan.items():
+        made = [(f"path || '::{i}'", text(kind), text(type_), f"{a}::INT", f"{b}::INT", text(system), text(means)) for i, kind, type_, a, b, system, means in rows]
+        made.append(("path || '::<file>'", "'file'", "'file'", "1::INT", "NULL::INT", "NULL::VARCHAR", "NULL::VARCHAR"))
+        out.append(_rows_sql(table, made, "id, kind, type, line, end_line, type_system, semantic_kind"))
+    return _CODE + " " + " UNION ALL ".join(out)
+
+
+@query(_symbols_sql())
 def code_symbols(spark: SparkSession, d: str) -> DataFrame:
-    """Symbols of files in five languages; a file that doesn't parse has none."""
-    return X.extract(files(spark)).where("row = 'node'").select("id", "kind", "type", "line", "end_line", "type_system", "semantic_kind")
+    """Symbols of a file for each part, in five languages."""
+    return X.extract(files(spark, d)).where("row = 'node'").select("id", "kind", "type", "line", "end_line", "type_system", "semantic_kind")
+
 
+_S, _T = "path || '::Store' || k || '.", "path || '::Till' || k || '."
+_CALLS = _CODE + ", calls(src, dst, confidence) AS (" + " UNION ALL ".join([
+    _rows_sql("py", [(f"{_S}total_' || k", f"{_S}check_' || k", "0.95"), (f"{_S}check_' || k", "path || '::audit_' || k", "0.80"), ("path || '::audit_' || k", "path || '::load_' || k", "0.80")], "src, dst, confidence"),
+    _rows_sql("(FROM py WHERE has)", [(f"{_S}total_' || k", "npath || '::load_' || n", "0.90"), (f"{_S}total_' || k", "npath || '::Till' || n || '.ring_' || n", "0.90"), (f"{_T}ring_' || k", "npath || '::load_' || n", "0.65")], "src, dst, confidence"),
+    _rows_sql("ts", [("path || '::Cart' || k || '.add_' || k", "path || '::help_' || k", "0.65")], "src, dst, confidence"), _rows_sql("c", [("path || '::main_' || k", "path || '::rate_' || k", "0.65")], "src, dst, confidence"),
+    _rows_sql("cpp", [("path || '::Shape' || k || '::area_' || k", "path || '::measure_' || k", "0.65")], "src, dst, confidence"),
+]) + ")"
 
-@query(_values(CALLS, "src, dst, confidence").replace("SELECT *", "SELECT src, dst, confidence::DOUBLE AS confidence"))
+
+@query(_CALLS + " SELECT src, dst, confidence::DOUBLE AS confidence FROM calls")
 def code_calls_resolved(spark: SparkSession, d: str) -> DataFrame:
-    """Calls by the six tiers, at most one target each."""
-    return R.graph_of(X.extract(files(spark)))[1].where("relationship = 'INVOKES'").select("src", "dst", "confidence")
+    """Calls by the tiers, at most one target each."""
+    return R.graph_of(X.extract(files(spark, d)))[1].where("relationship = 'INVOKES'").select("src", "dst", "confidence")
+
 
+def _asked(rows: DataFrame) -> DataFrame:
+    return rows.where("row = 'edge' and relation = 'INVOKES'").select("id", "target", "receiver", "owner", "path", "adapter", "line")
 
-@query(_values(IMPORTS, "id, name, target, kind"))
+
+@query(_CALLS + ", gone AS (SELECT path || '::load_' || k AS id FROM py WHERE k % 10 = 0), found AS (SELECT npath || '::Store' || n || '.check_' || n AS src, path || '::note_' || n AS dst, 0.55 AS confidence FROM py WHERE has AND k % 10 = 0) SELECT src, dst, confidence::DOUBLE AS confidence FROM (SELECT * FROM calls WHERE dst NOT IN (FROM gone) UNION ALL FROM found)")
+def code_calls_after_update(spark: SparkSession, d: str) -> DataFrame:
+    """Calls after a tenth of the files changed: lost and gained candidates are seen by callers in files that didn't change."""
+    rows, new = written(X.extract(files(spark, d))), written(X.extract(changed_files(spark, d)))
+    parts = lambda r: (_asked(r), r.where("row = 'node'"), r.where("row = 'attr'"), r.where("row = 'import'"))
+    asked, nodes, attrs, imports = parts(rows)
+    fresh, more, new_attrs, new_imports = parts(new)
+    changed = changed_files(spark, d).select("path")
+    now = lambda old, got: old.join(changed, "path", "left_anti").unionByName(got)
+    edges = written(R.resolve_calls(asked, nodes, attrs, imports))
+    _, edges, _ = R.update_calls(R.name_index(asked), edges, nodes, fresh, more, changed, now(attrs, new_attrs), now(imports, new_imports))
+    return edges.select(F.col("id").alias("src"), F.col("target_id").alias("dst"), "confidence").distinct()
+
+
+@query(_CODE + " " + " UNION ALL ".join([
+    _rows_sql("py", [("path || '::<file>'", "'tool'", "'pkg' || n % 20 || '.m' || n", "'static_import'"), ("path || '::<file>'", "'ledger'", "'shop.ledger'", "'static_import'"), ("path || '::audit_' || k", "'csv'", "'csv'", "'dynamic_import'")], "id, name, target, kind"),
+    _rows_sql("ts", [("path || '::<file>'", "'./c' || n", "'./c' || n", "'static_import'")], "id, name, target, kind"), _rows_sql("java", [("path || '::<file>'", "'shop.P' || k", "'shop.P' || k", "'static_import'")], "id, name, target, kind"),
+    _rows_sql("c", [("path || '::<file>'", "'r' || k || '.h'", "'r' || k || '.h'", "'include'")], "id, name, target, kind"),
+]))
 def code_imports(spark: SparkSession, d: str) -> DataFrame:
     """Local names of imports, dynamic ones included."""
-    return X.extract(files(spark)).where("row = 'import'").select("id", "name", "target", F.col("receiver").alias("kind"))
+    return X.extract(files(spark, d)).where("row = 'import'").select("id", "name", "target", F.col("receiver").alias("kind"))
 
 
-@query("SELECT 'shop/basket.py' AS path, 'Basket' AS owner, 'till' AS name, 'Till' AS type")
+@query(_CODE + " SELECT path, 'Store' || k AS owner, 'till' AS name, 'Till' || n AS type FROM py")
 def code_attribute_types(spark: SparkSession, d: str) -> DataFrame:
     """Types of attributes that constructors assign."""
-    return X.extract(files(spark)).where("row = 'attr'").select("path", "owner", "name", F.col("target").alias("type"))
+    return X.extract(files(spark, d)).where("row = 'attr'").select("path", "owner", "name", F.col("target").alias("type"))
 
 
-@query(_values(FLOW, "id, pattern, name"))
+@query(_CODE + " " + _rows_sql("py", [(f"{_S}total_' || k", "'conditional_branch'", "'check_' || k"), (f"{_S}total_' || k", "'loop'", "'load_' || n"), (f"{_S}check_' || k", "'try_block'", "'audit_' || k"), (f"{_S}check_' || k", "'error_handling'", "'note_' || k")], "id, pattern, name"))
 def code_control_flow(spark: SparkSession, d: str) -> DataFrame:
     """Functions called in branches, loops, try blocks and handlers."""
-    return X.extract(files(spark)).where("row = 'pattern'").select("id", F.col("target").alias("pattern"), "name")
+    return X.extract(files(spark, d)).where("row = 'pattern'").select("id", F.col("target").alias("pattern"), "name")
 
 
-@query("SELECT 'shop/basket.py::Basket' AS id, 'shop/basket.py::Store' AS target_id")
+@query(_CODE + " " + " UNION ALL ".join(f"SELECT path || '::{name}' || k AS id, npath || '::{name}' || n AS target_id FROM {lang} WHERE has" for lang, name in (("py", "Store"), ("ts", "Cart"), ("java", "Basket"))))
 def code_inheritance(spark: SparkSession, d: str) -> DataFrame:
     """Base classes by the one class of their name."""
-    rows = X.extract(files(spark))
+    rows = X.extract(files(spark, d))
     return R.resolve_bases(rows.where("row = 'edge'"), rows.where("row = 'node'"))
 
 
-@query("SELECT * FROM (VALUES ('shop/basket.py', 'shop/ledger.py'), ('shop/basket.py', 'shop/prices.py')) v(sf, tf)")
+@query(_CODE + " SELECT path AS sf, npath AS tf FROM py WHERE has")
 def code_file_imports(spark: SparkSession, d: str) -> DataFrame:
     """Files of the repository that import another."""
-    return R.file_imports(X.extract(files(spark)))
+    return R.file_imports(X.extract(files(spark, d)))
 
 
-@query("SELECT * FROM (VALUES ('shop/basket.py::Basket.check', 'Checks function (using audit, note).'), ('shop/ledger.py::note', 'Notes function (using execute, ValueError; raises on invalid input).'), ('shop/prices.py::price', 'Price of one item in cents.'), ('shop/prices.py::round_up', 'Rounds up.'), ('shop/basket.py::Basket.total', 'Totals function (returns int; using check, lines, ring).')) v(id, summary)")
+@query(_CODE + " SELECT path || '::audit_' || k AS id, 'Audits ' || name || '.' AS summary FROM py UNION ALL SELECT path || '::load_' || k, 'Loads ' || k || ' (using execute).' FROM py")
 def code_descriptions(spark: SparkSession, d: str) -> DataFrame:
     """One line of each function from its docstring, else from its code."""
-    nodes = X.extract(files(spark)).where("row = 'node'").withColumns({"summary": F.lit(None).cast("string"), "summary_source": F.lit(None).cast("string")})
-    some = ("shop/basket.py::Basket.check", "shop/basket.py::Basket.total", "shop/ledger.py::note", "shop/prices.py::price", "shop/prices.py::round_up")
-    return E.enrich(nodes).where(F.col("id").isin(*some)).select("id", "summary")
+    nodes = X.extract(files(spark, d)).where("row = 'node'").withColumns({"summary": F.lit(None).cast("string"), "summary_source": F.lit(None).cast("string")})
+    return E.enrich(nodes).where(F.col("name").rlike("^(audit|load)_")).select("id", "summary")
 
 
-@query("SELECT 'web_api' AS project_type, 'web_development' AS domain, 'modular_pipeline' AS architecture, 'Python,FastAPI,Pydantic' AS tech_stack, 'Counts baskets through an api server.' AS purpose, 'shop.basket' AS entries")
+@query(_CODE + ", x AS (SELECT min(k) AS k FROM py) SELECT 'web_api' AS project_type, 'web_development' AS domain, 'modular_pipeline' AS architecture, 'Python,FastAPI,Pydantic' AS tech_stack, 'Counts ' || (SELECT count(*) FROM part) || ' parts through an api server.' AS purpose, 'pkg' || k % 20 || '.m' || k AS entries FROM x")
 def repository_profile(spark: SparkSession, d: str) -> DataFrame:
     """Profile of the code base by its file names, manifests and README."""
-    p = P.profile(files(spark))
+    code = files(spark, d)
+    first = F.min(F.when(F.col("path").endswith(".py"), F.col("k")))
+    readme = F.concat(F.lit("# Shop\n\nCounts "), F.count(F.lit(1)), F.lit(" parts through an api server.\nRun `python -m pkg"), first % 20, F.lit(".m"), first, F.lit("` or python3 -m shop.missing.\n"))
+    about = code.agg(readme.alias("text")).select(F.lit("README.md").alias("path"), "text")
+    needs = code.agg(F.lit("fastapi\npydantic\n").alias("text")).select(F.lit("requirements.txt").alias("path"), "text")
+    p = P.profile(code.select("path", "text").union(about).union(needs))
     return spark.createDataFrame([(p["project_type"], p["domain"], p["architecture"], ",".join(p["tech_stack"]), p["purpose"], ",".join(p["key_entry_points"]))], "project_type string, domain string, architecture string, tech_stack string, purpose string, entries string")
 
 
-@query("SELECT * FROM (VALUES ('lib/tax.c', 'changed'), ('shop/prices.py', 'removed'), ('shop/new.py', 'added')) v(path, change)")
+@query(_CODE + " SELECT path, 'changed' AS change FROM py WHERE k % 10 = 0 UNION ALL SELECT path, 'removed' FROM c UNION ALL SELECT 'new/' || path, 'added' FROM ts WHERE k % 10 = 7")
 def changed_source_files(spark: SparkSession, d: str) -> DataFrame:
-    """Supported files that differ between two snapshots; README changes too, but isn't one."""
-    now = FILES | {"lib/tax.c": "int x;", "shop/new.py": "x = 1\n", "README.md": "new"}
-    del now["shop/prices.py"]
-    return P.changed_files(P.manifest(files(spark)), P.manifest(spark.createDataFrame(list(now.items()), "path string, text string")))
+    """Supported files that differ between two snapshots of the code base."""
+    old, new = files(spark, d).select("path", "text"), changed_files(spark, d).select("path", "text")
+    now = old.join(new, "path", "left_anti").where("path not like '%.c'").union(new)
+    now = now.union(files(spark, d).where("k % 10 = 7").select(F.concat(F.lit("new/"), "path"), "text")).union(spark.createDataFrame([("README.md", "new")], "path string, text string"))
+    return P.changed_files(P.manifest(old), P.manifest(now))
 
 
 # --- the store, on the commerce graph
@@ -168,33 +289,46 @@ def store_old_edges(spark: SparkSession, d: str) -> DataFrame:
     return store.load("g1").tables["edges"].select("src", "dst", "type", "relationship")
 
 
-@query("SELECT * FROM (VALUES ('g1', '/moved', 'ann'), ('g2', '/two', 'bob')) v(graph_id, repo_path, owner)")
+@query("SELECT r_name AS graph_id, CASE r_regionkey WHEN 1 THEN '/moved' ELSE '/' || r_name END AS repo_path, CASE r_regionkey % 2 WHEN 0 THEN 'ann' ELSE 'bob' END AS owner FROM region WHERE r_regionkey <> 3")
 def store_headers(spark: SparkSession, d: str) -> DataFrame:
-    """Headers after saves, a change of path and owner, and a deletion; an owner stays when a graph is saved again."""
+    """Headers of a graph for each region after saves, a change of path and owners, and a deletion; an owner stays when saved again."""
     store, nodes = _stored(spark, d)
-    few = {"nodes": nodes.limit(2)}
-    for gid, path, owner in (("g1", "/one", "ann"), ("g2", "/two", None), ("g3", "/three", "cid"), ("g1", "/one", None)):
-        store.save(S.Graph(gid, path, few), owner)
-    store.set_repo_path("g1", "/moved")
-    store.set_owner("g2", "bob")
-    store.delete("g3")
+    regions = A.load(spark, d, "region").select("r_regionkey", "r_name").orderBy("r_regionkey").collect()  # five rows
+    for k, name in regions:
+        store.save(S.Graph(name, f"/{name}", {"nodes": nodes.where(F.col("module") == name)}), "ann" if k % 2 == 0 else None)
+    store.save(S.Graph(regions[0][1], f"/{regions[0][1]}", {"nodes": nodes.where(F.col("module") == regions[0][1])}))
+    for k, name in regions:
+        if k % 2:
+            store.set_owner(name, "bob")
+        if k == 1:
+            store.set_repo_path(name, "/moved")
+        if k == 3:
+            store.delete(name)
     store.vacuum()
     return store.list().select("graph_id", "repo_path", "owner")
 
 
-@query("SELECT * FROM (VALUES ('a', '3'), ('b', '2')) v(key, value)")
+@query("SELECT n_name AS key, CASE WHEN n_regionkey = 1 THEN 'second ' ELSE 'first ' END || n_nationkey AS value FROM nation")
 def store_metadata(spark: SparkSession, d: str) -> DataFrame:
+    """A value for each nation, replaced for one region's."""
     store, _ = _stored(spark, d)
-    for rows in ([("a", "1"), ("b", "2")], [("a", "3")]):
-        store.store_meta("g1", spark.createDataFrame(rows, "key string, value string"))
+    nations = A.load(spark, d, "nation")
+    for word, rows in (("first ", nations), ("second ", nations.where("n_regionkey = 1"))):
+        store.store_meta("g1", rows.select(F.col("n_name").alias("key"), F.concat(F.lit(word), "n_nationkey").alias("value")))
     return store.metadata("g1")
 
 
-@query("SELECT event_type || ':' || k AS prompt, '(stub) ' || event_type || ':' || k AS answer, 0 AS n_cached FROM (SELECT DISTINCT event_type, json_extract_string(props, '$.k') AS k FROM events)")
+@query("SELECT prompt, CASE WHEN starts_with(prompt, 'error') THEN 'kept ' ELSE '(stub) ' END || prompt AS answer, 0 AS n_cached FROM (SELECT DISTINCT event_type || ':' || json_extract_string(props, '$.k') AS prompt FROM events)")
 def answer_cache(spark: SparkSession, d: str) -> DataFrame:
-    """Answers of the deterministic provider, which are stubs and so never cached."""
+    """Answers from a cache that has those of errors, and a stub for each purchase; the rest come from the deterministic provider.
+
+    Its answers are stubs, which are never cached and never taken from a cache.
+    """
     prompts = A.event_nodes(spark, d).select(F.col("name").alias("prompt"))
-    got, new = E.answered(prompts, spark.createDataFrame([(E.cache_key("heuristic:", "click:1"), "(stub) old")], "key string, answer string"), E.Provider())
+    own = E.Provider()
+    key = F.substring(F.sha2(F.concat(F.lit(own.namespace + "\n"), "prompt"), 256), 1, 32)
+    cache = prompts.where("prompt like 'error%' or prompt like 'purchase%'").select(key.alias("key"), F.concat(F.when(F.col("prompt").startswith("error"), "kept ").otherwise("(stub) old "), "prompt").alias("answer"))
+    got, new = E.answered(prompts, cache, own)
     return got.withColumn("n_cached", F.lit(new.count()))
 
 

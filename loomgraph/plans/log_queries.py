@@ -87,12 +87,12 @@ def term_map(spark: SparkSession, d: str) -> DataFrame:
     return _learned(spark, d)[1].withColumn("names", F.array_join("names", "|"))
 
 
-@query(f"WITH {_MAP}, u AS (SELECT conv_id, term, min(turn * 100000 + pos) AS pos FROM (SELECT conv_id, turn, unnest(ts) AS term, unnest(range(len(ts))) AS pos FROM (SELECT conv_id, turn, list(term) AS ts FROM terms GROUP BY ALL)) GROUP BY ALL), x AS (SELECT conv_id, pos, n, i FROM (SELECT conv_id, pos, unnest(names) AS n, unnest(range(len(names))) AS i FROM u JOIN tm USING (term) WHERE confidence > 0.1)), y AS (SELECT conv_id, n, min(pos * 100 + i) AS p FROM x GROUP BY ALL) SELECT conv_id, array_to_string(list_slice(list(n ORDER BY p), 1, 10), '|') AS names FROM y GROUP BY conv_id")
+@query(f"WITH {_MAP}, u AS (SELECT conv_id, term, min((turn, pos)) AS pos FROM (SELECT conv_id, turn, unnest(ts) AS term, unnest(range(len(ts))) AS pos FROM (SELECT conv_id, turn, list(term) AS ts FROM terms GROUP BY ALL)) GROUP BY ALL), x AS (SELECT conv_id, pos, n, i FROM (SELECT conv_id, pos, unnest(names) AS n, unnest(range(len(names))) AS i FROM u JOIN tm USING (term) WHERE confidence > 0.1)), y AS (SELECT conv_id, n, min((pos, i)) AS p FROM x GROUP BY ALL) SELECT conv_id, array_to_string(list_slice(list(n ORDER BY p), 1, 10), '|') AS names FROM y GROUP BY conv_id")
 def term_suggest(spark: SparkSession, d: str) -> DataFrame:
     """Ten names for each conversation's queries, from the terms whose confidence is over 0.1, in the terms' order."""
     _, learned = _learned(spark, d)
     asked = A.load(spark, d, "conversations").where("role = 'user'").select(F.col("conv_id").alias("query"), "turn", F.posexplode(T.terms(F.col("text"))).alias("k", "term"))
-    first = asked.groupBy("query", "term").agg(F.min(F.col("turn") * 100000 + F.col("k")).alias("pos"))
+    first = asked.groupBy("query", "term").agg(F.min(F.struct("turn", "k")).alias("pos"))
     return R2.suggestions(first, learned).select(F.col("query").alias("conv_id"), F.array_join("names", "|").alias("names"))
 
 
@@ -156,10 +156,18 @@ def rate_limit_greedy(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(_greedy_sql("event_type", 300, 86400))
-def daily_budget_greedy(spark: SparkSession, d: str) -> DataFrame:
+def daily_budget_by_type(spark: SparkSession, d: str) -> DataFrame:
+    """At most 300 events of a type in any 24 hours."""
     return S.greedy_limit(A.load(spark, d, "events"), "event_type", "ts", "event_id", 300, 86400.0)
 
 
+@query(_greedy_sql("event_type", 300, 86400).replace("SELECT event_type, event_id, epoch_us", "SELECT 'all' AS event_type, event_id, epoch_us").replace("PARTITION BY event_type ORDER", "ORDER").replace("SELECT event_type, event_id, allowed FROM f", "SELECT event_id, allowed FROM f"))
+def daily_budget_greedy(spark: SparkSession, d: str) -> DataFrame:
+    """One budget of all events: at most 300 in any 24 hours."""
+    events = A.load(spark, d, "events").withColumn("budget", F.lit("all"))
+    return S.greedy_limit(events, "budget", "ts", "event_id", 300, 86400.0).select("event_id", "allowed")
+
+
 _BREAK = """WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) / 1000000.0::DOUBLE AS t, event_type = 'error' AS fail, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
 f AS (SELECT user_id, event_id, 1::BIGINT AS k, 'closed' AS state, fail::INT AS bad, 0 AS good, 0.0::DOUBLE AS since FROM e WHERE k = 1 UNION ALL
 SELECT user_id, event_id, k, CASE WHEN now = 'open' THEN 'open' WHEN fail AND (now = 'half_open' OR bad + 1 >= 5) THEN 'open' WHEN NOT fail AND now = 'half_open' AND good + 1 >= 3 THEN 'closed' ELSE now END,

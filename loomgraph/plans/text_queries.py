@@ -11,6 +11,7 @@ from ..functions import text as T
 from ..functions import vocabulary as V
 from ..operators import graph as G
 from ..operators import retrieval as R
+from ..operators.intervals import innermost
 from ..operators.search import WordIndex
 from . import adapters as A
 from .adapters import with_
@@ -168,13 +169,14 @@ def rationale_notes(spark: SparkSession, d: str) -> DataFrame:
     return hit.select("doc_id", "line", F.when(F.contains("text", F.lit("token")), "SECRET").otherwise("LICENSE").alias("marker"), F.substring("text", 1, 300).alias("body"))
 
 
-@query(_LINES + ", spans AS (SELECT doc_id, line AS a, coalesce(lead(line) OVER (PARTITION BY doc_id ORDER BY line) - 1, 999999) AS b FROM lines WHERE length(text) > 60), notes AS (SELECT doc_id, line FROM lines WHERE regexp_matches(text, 'License|Copyright|token')) SELECT n.doc_id, n.line, arg_min(a, b - a) AS span FROM notes n LEFT JOIN spans s ON s.doc_id = n.doc_id AND n.line BETWEEN a AND b GROUP BY n.doc_id, n.line")
+@query(_LINES + ", spans AS (SELECT doc_id, line AS a, coalesce(lead(line) OVER (PARTITION BY doc_id ORDER BY line) - 1, 2147483647) AS b FROM lines WHERE length(text) > 60), notes AS (SELECT doc_id, line FROM lines WHERE regexp_matches(text, 'License|Copyright|token')) SELECT n.doc_id, n.line, arg_min(a, b - a) AS span FROM notes n LEFT JOIN spans s ON s.doc_id = n.doc_id AND n.line BETWEEN a AND b GROUP BY n.doc_id, n.line")
 def span_containment(spark: SparkSession, d: str) -> DataFrame:
+    """Lines that speak of licenses or tokens, with the long line that begins the stretch around each."""
     lines = A.doc_lines(spark, d)
-    spans = lines.where(F.length("text") > 60).select("doc_id", F.col("line").alias("a"), F.coalesce(F.lead("line").over(W.partitionBy("doc_id").orderBy("line")) - 1, F.lit(999999)).alias("b"))
-    notes = lines.where(F.col("text").rlike("License|Copyright|token")).select(F.col("doc_id").alias("id"), "line")
-    inside = notes.join(spans, (F.col("id") == F.col("doc_id")) & F.col("line").between(F.col("a"), F.col("b")), "left")
-    return inside.groupBy("id", "line").agg(F.min_by("a", F.col("b") - F.col("a")).alias("span")).select(F.col("id").alias("doc_id"), "line", "span")
+    by = W.partitionBy("doc_id").orderBy("line")
+    spans = lines.where(F.length("text") > 60).select("doc_id", F.col("line").alias("a"), (F.lead("line").over(by) - 1).alias("b"), F.col("line").alias("span"))  # the last is open
+    notes = lines.where(F.col("text").rlike("License|Copyright|token")).select("doc_id", "line")
+    return innermost(notes, spans, "doc_id", "line", "a", "b", "span")
 
 
 @query(with_("links") + ", k AS (SELECT *, CASE WHEN starts_with(href, '#') THEN 'anchor' WHEN contains(href, '://') THEN 'external' WHEN starts_with(href, '/') THEN 'site' ELSE 'relative' END AS kind, row_number() OVER (PARTITION BY page_id, href ORDER BY pos) AS r FROM links) SELECT page_id, pos, href, kind FROM k WHERE r = 1")
