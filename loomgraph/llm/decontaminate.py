@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from .common import fresh, row_key, small, words
 
 WINDOW = 10
+#: Leading word pairs of windows are broadcast up to so many, a number each (32 MB).
+LEADS = 1 << 21
 #: Common windows of a long benchmark are spread over so many tasks.
 SALTS = 16
 
@@ -41,7 +43,7 @@ def _candidates(scan: DataFrame, bench: DataFrame, keep: tuple[str, ...]) -> Dat
     """
     sizes = sorted(r[0] for r in bench.select("b_len").distinct().collect())  # at most n values
     first, second = F.get("b_words", F.lit(0)), F.get("b_words", F.lit(1))
-    side = small(bench.select(F.when(F.col("b_len") > 1, F.xxhash64(first, second)).otherwise(F.xxhash64(first)).alias("p")).distinct())
+    side = small(bench.select(F.when(F.col("b_len") > 1, F.xxhash64(first, second)).otherwise(F.xxhash64(first)).alias("p")).distinct(), LEADS)
     out = scan.select("k1", "k2", "w", F.posexplode("w").alias("at", "x"))
     if side is not None:
         lead = F.xxhash64("x", F.get("w", F.col("at") + 1))
@@ -62,7 +64,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, id_col: str = "
     scan = docs.select(k1.alias("k1"), k2.alias("k2"), words(docs[text_col]).alias("w"))
     same = (F.col("h") == F.col("b_hash")) & (F.col("len") == F.col("b_len"))
     verified = F.slice(F.col("w"), F.col("at") + 1, F.col("len")) == F.col("b_words")
-    side = small(bench)
+    side = small(bench, weight=F.size("b_items"))  # a window that many items share counts as many rows
     if side is not None:
         found = _candidates(scan, bench, ("k1", "k2", "w")).join(side, same & verified)
     else:  # no text goes through the exchange of windows: hashes decide first, then texts that have one are joined back

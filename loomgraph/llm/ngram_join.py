@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.components import components
@@ -34,8 +34,8 @@ FREQUENT = 1 << 18
 LEAST_FREQUENCY = 8
 #: Columns of at most so many items are multiplied pair by pair, others by their smallest item.
 FEW = 3
-#: Items in a tile of a group.
-TILE = 1024
+#: Items in a tile of a group, and shingles in it, about: a tile of long texts has fewer items.
+TILE, TILE_SHINGLES = 1024, 4_000_000
 #: Bits of the filter that keeps texts outside all groups from being shuffled (4 MB, whatever the input).
 FILTER_BITS = 1 << 25
 _FLUSH = 2_000_000
@@ -271,14 +271,19 @@ def _product(table: pa.Table) -> pa.Table:
 
 
 def candidates(products: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(u, v) of pairs that may link: those of wide columns, and those whose overlap within the prefixes is large enough.
+    """(u, v, nu, nv) of pairs that may link: those of wide columns, and those whose overlap within the prefixes is large enough.
 
     Of a linked pair's overlap o >= t/(1+t) * (nu + nv), the first o - ceil(t * max) + 1 columns lie in both prefixes.
     """
     pairs = products.groupBy("u", "v", "nu", "nv").agg(F.sum(F.when(~F.col("many"), F.col("c")).otherwise(0)).alias("c"), F.max("many").alias("many"))
     overlap = F.ceil(F.lit(percent) * (F.col("nu") + F.col("nv")) / (100 + percent))
     least = overlap - F.ceil(F.lit(percent) * F.greatest("nu", "nv") / 100) + 1
-    return pairs.where(F.col("many") | (F.col("c") >= least)).select("u", "v")
+    return pairs.where(F.col("many") | (F.col("c") >= least)).select("u", "v", "nu", "nv")
+
+
+def tiles() -> Column:
+    """The tiles of a group of items with ``n`` shingles each, by items and by shingles."""
+    return F.greatest(F.ceil(F.count(F.lit(1)) / TILE), F.ceil(F.sum("n") / TILE_SHINGLES)).cast("int")
 
 
 def links_within(sets: list[np.ndarray], left: int | None = None, percent: int = PERCENT) -> list[tuple[int, int]]:
@@ -372,18 +377,18 @@ def _linked(tiles: DataFrame, blocks: int) -> DataFrame:
 
 
 def group_links(members: DataFrame, texts: DataFrame, blocks: int) -> DataFrame:
-    """Links (u, v) that connect all items that link within a group; ``members``: item, rk, short, root, t (tiles)."""
+    """Links (u, v) that connect all items that link within a group; ``members``: item, rk, short, root, t (tiles), n (shingles)."""
     one, zero = F.lit(1), F.lit(0)
     fit = members.where("t = 1").join(texts, "rk").select("root", zero.alias("i"), zero.alias("j"), zero.alias("side"), "item", "text")
     links = _linked(fit, blocks).select("u", "v")
     if members.where("t > 1").isEmpty():
         return links
-    wide = written(members.where("t > 1").join(texts, "rk").withColumn("k", F.pmod(F.xxhash64("item"), F.col("t")).cast("int")).select("root", "t", "k", (F.col("short") == F.col("root")).alias("lead"), "item", "text"))
+    wide = written(members.where("t > 1").join(texts, "rk").withColumn("k", F.pmod(F.xxhash64("item"), F.col("t")).cast("int")).select("root", "t", "k", (F.col("short") == F.col("root")).alias("lead"), "item", "n", "text"))
     # the smallest item with each tile
     lead = wide.where("lead").select("root", F.explode(F.sequence(zero, F.col("t") - 1)).alias("i"), F.lit(-1).alias("j"), zero.alias("side"), "item", "text")
     first = _linked(lead.union(wide.where("not lead").select("root", "k", F.lit(-1), one, "item", "text")), blocks)
     rest = wide.where("not lead").join(first.select("root", F.col("v").alias("item")), ["root", "item"], "left_anti")
-    parts = rest.groupBy("root").agg(F.ceil(F.count(one) / TILE).cast("int").alias("p"))
+    parts = rest.groupBy("root").agg(tiles().alias("p"))
     # what is left with the whole group
     rest = rest.join(parts, "root").select("root", F.pmod(F.xxhash64("item", one), F.col("p")).cast("int").alias("i"), F.explode(F.sequence(zero, F.col("t") - 1)).alias("j"), zero.alias("side"), "item", "text")
     every = wide.join(parts, "root").select("root", F.explode(F.sequence(zero, F.col("p") - 1)).alias("i"), F.col("k").alias("j"), one.alias("side"), "item", "text")
@@ -406,13 +411,12 @@ def _solve(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Data
     sent = spark.sparkContext.broadcast(order)
     cells = rows.select("text").mapInArrow(_columns(sent, names(spark, blocks)), "block int, cells binary")
     pairs = candidates(written(cells.repartition(blocks, "block").groupBy("block").applyInArrow(_product, _EDGES)))
-    group = pairs.union(pairs.select("u", F.col("u").alias("v"))).distinct()
-    sizes = group.groupBy("u").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("t"))
-    group = group.join(sizes, "u").select(F.col("v").alias("short"), F.col("u").alias("root"), "t")
+    group = pairs.select("u", "v", F.col("nv").alias("n")).union(pairs.select("u", F.col("u").alias("v"), "nu")).distinct()
+    group = group.join(group.groupBy("u").agg(tiles().alias("t")), "u").select(F.col("v").alias("short"), F.col("u").alias("root"), "t", "n")
     # an item's first 8 bytes name it in groups; where two items share them, both are in the group and are compared
     items = own.where("n > 0").groupBy("item").agg(F.min("doc_id").alias("low"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rk", "rk2")).alias("first"))
     named = items.select("item", "first.rk").mapInArrow(_short_names, "item binary, rk long, short long")
-    members = written(named.join(group, "short").select("item", "rk", "short", "root", "t"))
+    members = written(named.join(group, "short").select("item", "rk", "short", "root", "t", "n"))
     texts = rows.select("rk", "text").mapInArrow(_members_only(spark.sparkContext.broadcast(member_filter(members))), "rk long, text binary")
     joined = components(group_links(members, texts, max(blocks, tasks(spark))))
     # only linked items take part, and a large component is spread over salts

@@ -99,13 +99,22 @@ def test_contamination_beyond_the_broadcast(spark, odd, docs, sf, monkeypatch):
     bench = spark.createDataFrame([(1, " ".join(f"W{i}," for i in range(5, 30))), (2, "the MIT license"), (None, "one two"), (5, "tail")], "item_id long, text string")
     for df, b in ((odd, bench), (docs, common.table(spark, sf, "benchmark"))):
         want = sorted(map(str, rows(decontaminate.contamination(df, b))))
-        monkeypatch.setattr(decontaminate, "small", lambda df: None)
+        monkeypatch.setattr(decontaminate, "small", lambda *_, **__: None)
         assert sorted(map(str, rows(decontaminate.contamination(df, b)))) == want
         plan = decontaminate.hits(df, b)._jdf.queryExecution().optimizedPlan().toString()
         assert "LeftSemi" in plan and "array" not in [t for _, t in decontaminate._candidates(df.selectExpr("1L k1", "1 k2", "split(text, ' ') w"), decontaminate.benchmark_windows(b), ("k1", "k2")).dtypes]
         monkeypatch.undo()
 
 
+def test_windows_of_many_items_are_not_broadcast(spark, monkeypatch):
+    """A window counts in the broadcast as often as it has items, not as one row."""
+    seen = []
+    monkeypatch.setattr(decontaminate, "small", lambda df, *a, weight=None, **k: seen.append(weight is not None and df.agg(F.sum(weight)).first()[0]) or common.small(df, *a, **k))
+    bench = spark.createDataFrame([(i, "one and the same passage of ten words in all items") for i in range(40)], "item_id long, text string")
+    got = decontaminate.contamination(spark.createDataFrame([(1, "So: one and the same passage of ten words in all items!")], "doc_id long, text string"), bench).first()
+    assert (got["n_items"], got["n_hit"]) == (40, 11) and 80 in seen
+
+
 # --- 3: media
 
 
@@ -504,9 +513,10 @@ def brute_components(given):
     return sorted(((i, len(s), least.get(find(k))) for k, ((i, _), s) in enumerate(zip(given, sets))), key=str)
 
 
-@pytest.mark.parametrize("tile", [1024, 2])
-def test_jaccard(spark, odd, none, docs, monkeypatch, tile):
+@pytest.mark.parametrize("tile,shingles", [(1024, 4_000_000), (2, 4_000_000), (1024, 300)])
+def test_jaccard(spark, odd, none, docs, monkeypatch, tile, shingles):
     monkeypatch.setattr(ngram_join, "TILE", tile)
+    monkeypatch.setattr(ngram_join, "TILE_SHINGLES", shingles)
     monkeypatch.setattr(ngram_join, "LEAST_FREQUENCY", 3)
     for df in (odd, docs):
         given = [(r["doc_id"], r["text"]) for r in rows(df.select("doc_id", "text"))]
