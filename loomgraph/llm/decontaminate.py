@@ -88,7 +88,8 @@ def _covered(spans: Column) -> Column:
 def contamination(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, n_words, n_hit, n_items, items_sha256, contaminated.
 
-    Null and empty texts have no words; an empty benchmark or table gives no hits; other columns are ignored.
+    Null and empty texts have no words, texts of any length are read whole, equal rows share one result each, a null id
+    stays null; an empty benchmark gives no hits, an empty table no rows; other columns are ignored.
     """
     found = hits(docs, benchmark, n, id_col, text_col)
     k1, k2 = row_key(docs, id_col, text_col)

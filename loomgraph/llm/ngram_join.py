@@ -464,7 +464,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """One row per row of ``docs``: doc_id, n_shingles, component_id (smallest id reachable by links, its own included).
 
     Null and wordless texts have no shingles and are linked with nothing; a null id never is a component's smallest
-    unless all are null; repeated rows stay repeated; other columns are ignored.
+    unless all are null; repeated rows stay repeated; texts of any length are read whole; an empty table gives no rows;
+    other columns are ignored.
     """
     own, found = _solve(docs, id_col, text_col)
     out = own.join(found, "item", "left")

@@ -33,7 +33,11 @@ def _lengths(path: str):
 
 
 def histogram(docs: DataFrame, tokenizer: str, text_col: str = "text") -> DataFrame:
-    """(n_tokens, n_docs) of all rows; a null text has length 0, repeated rows count each, an empty table gives no rows."""
+    """(n_tokens, n_docs) of all rows.
+
+    A null or empty text has length 0, texts of any length are encoded whole, repeated rows count each, an empty table gives
+    no rows, and other columns, of any name, are ignored.
+    """
     ship(docs.sparkSession)
     found = docs.select(F.col(text_col)).mapInArrow(_lengths(tokenizer), "n_tokens long")
     return written(found.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n_docs")))

@@ -42,7 +42,8 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = DEFAULT, id_col: st
     """One row per page: id, host, path, rule (host + path, or null), verdict.
 
     Null urls have empty host and path and get the default verdict unless a rule has an empty host; repeated rows each
-    get a row; rules with a null part are ignored; other columns don't matter.
+    get a row; a url of any length is read whole, only as many of its labels and characters as a rule has are expanded; an
+    empty table gives no rows, an empty rule table the default; rules with a null part are ignored; other columns don't matter.
     """
     rules = rules.dropna().select("verdict", F.concat("host", "path").alias("rule"), F.length("path").alias("plen"), F.size(F.split("host", r"\.", -1)).alias("labels")).distinct()
     lengths = [r[0] for r in rules.select("plen").distinct().collect()]  # bounded by the longest rule

@@ -21,3 +21,13 @@ def test_suffix_sums(spark, sf, monkeypatch):
     assert token_counts.truncated(sums, 100) == sum(min(x, 100) for x in lengths)
     none = token_counts.suffix_sums(token_counts.histogram(docs.limit(0), path))
     assert none.count() == 0 and token_counts.quantile(none, 0.5) is None and token_counts.truncated(none, 5) == 0
+
+
+def test_odd_texts_and_names(spark):
+    """Null, empty, repeated and very long texts, with other columns named as the operator's own."""
+    path = queries.tokenizer_path()
+    tok = Tokenizer.from_file(path)
+    texts = [None, "", "a b", "a b", "word " * 200_000, "x" * 100_000, "😀 é\u2028 <|endoftext|>"]
+    docs = spark.createDataFrame([(t, 5, "z", 1, 2) for t in texts], "text string, n_tokens int, n_docs string, b0 int, d int")
+    want = Counter(len(tok.encode(t or "", add_special_tokens=False).ids) for t in texts)
+    assert {r["n_tokens"]: r["n_docs"] for r in token_counts.histogram(docs, path).collect()} == dict(want)
