@@ -7,6 +7,10 @@
 5. token_codes: writes all token ids as directly addressable codes and reports them from the files.
 
 SQL can't express stages 1, 2 and 5; tests compare them with brute-force versions.
+
+Null, empty and wordless texts go in stage 1, which finds no letter in them; a null language or source is a value like others,
+a null id counts as "" where it is hashed and is never a component's smallest. Equal rows share their fate in stages 1 and 3;
+stage 2 keeps one of them. Texts of any length are read whole. An empty table stays empty through all stages.
 """
 
 from __future__ import annotations
