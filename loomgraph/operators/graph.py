@@ -6,8 +6,10 @@ PageRank are in ``traverse``, cycles in ``strong``, communities of large compone
 
 from __future__ import annotations
 
-from collections import defaultdict, deque
+from collections import defaultdict
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -64,8 +66,8 @@ def _dependencies(edges: DataFrame, sources: DataFrame) -> DataFrame:
 def betweenness(nodes: DataFrame, edges: DataFrame, most_sources: int = 800, sampled: int = 200, most_edges: int = 2_000_000) -> DataFrame:
     """(id, betweenness) after Brandes, directed, normalised; exact up to ``most_sources`` nodes, else from sources of smallest hash.
 
-    Up to ``most_edges`` edges each source is one independent search over a broadcast adjacency; beyond them all sources
-    advance together in joins.
+    Up to ``most_edges`` edges each source is one independent search over two broadcast arrays, as many at a time as the
+    session has shuffle partitions; beyond them all sources advance together in joins.
     """
     ship(nodes.sparkSession)
     n = nodes.count()
@@ -76,35 +78,50 @@ def betweenness(nodes: DataFrame, edges: DataFrame, most_sources: int = 800, sam
     ranked = lambda parts: nodes.select("id").join(parts, "id", "left").select("id", F.coalesce(F.col("b") * norm, F.lit(0.0)).alias("betweenness"))
     if edges.limit(most_edges + 1).count() > most_edges:
         return ranked(_dependencies(edges, sources))
-    adjacency: dict[str, list[str]] = defaultdict(list)
-    for s, t in edges.select("src", "dst").distinct().orderBy("src", "dst").collect():
-        adjacency[s].append(t)
-    sent = nodes.sparkSession.sparkContext.broadcast(dict(adjacency))
-
-    def run(batches):
-        total: dict[str, float] = defaultdict(float)
+    pairs = edges.select("src", "dst").where("src <> dst").distinct().toArrow()
+    names, ends = np.unique(np.concatenate([pairs.column(c).to_numpy(zero_copy_only=False).astype(object) for c in ("src", "dst")] or [[]]), return_inverse=True)
+    begin, end = np.split(ends, 2)
+    by = np.lexsort((end, begin))
+    spark = nodes.sparkSession
+    sent = spark.sparkContext.broadcast((names, np.searchsorted(begin[by], np.arange(len(names) + 1)), end[by].astype(np.int32)))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names, first, to = sent.value
+        total = np.zeros(len(names))
         for batch in batches:
-            for s in batch["id"]:
-                order, before, paths, dist, queue = [], defaultdict(list), defaultdict(float, {s: 1.0}), {s: 0}, deque([s])
-                while queue:
-                    v = queue.popleft()
-                    order.append(v)
-                    for w in sent.value.get(v, ()):
-                        if w not in dist:
-                            dist[w] = dist[v] + 1
-                            queue.append(w)
-                        if dist[w] == dist[v] + 1:
-                            paths[w] += paths[v]
-                            before[w].append(v)
-                share: dict[str, float] = defaultdict(float)
-                for w in reversed(order):
-                    for v in before[w]:
-                        share[v] += paths[v] / paths[w] * (1 + share[w])
-                    if w != s:
-                        total[w] += share[w]
-        yield pd.DataFrame({"id": pd.Series(list(total), dtype=object), "b": pd.Series(list(total.values()), dtype=float)})
-
-    return ranked(sources.repartition(16).mapInPandas(run, "id string, b double").groupBy("id").agg(F.sum("b").alias("b")))
+            at = np.searchsorted(names, batch["id"].to_numpy(dtype=object))
+            for s, name in zip(at, batch["id"]):
+                if s < len(names) and names[s] == name:  # else it has no edges
+                    total += _shares(first, to, s)
+        some = np.flatnonzero(total)
+        yield pd.DataFrame({"id": pd.Series(names[some], dtype=object), "b": total[some]})
+
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return ranked(sources.repartition(tasks).mapInPandas(run, "id string, b double").groupBy("id").agg(F.sum("b").alias("b")))
+
+
+def _shares(first: np.ndarray, to: np.ndarray, source: int) -> np.ndarray:
+    """Each node's dependency of one source: shortest paths counted a level at a time, then shared out backwards."""
+    n = len(first) - 1
+    dist, paths = np.full(n, -1, np.int32), np.zeros(n)
+    dist[source], paths[source] = 0, 1.0
+    level, steps = np.array([source]), []
+    while len(level):
+        many = first[level + 1] - first[level]
+        a = np.repeat(level, many)
+        b = to[np.repeat(first[level] - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())]
+        new = np.unique(b[dist[b] < 0])
+        dist[new] = len(steps) + 1
+        on = dist[b] == len(steps) + 1
+        a, b = a[on], b[on]
+        paths += np.bincount(b, paths[a], minlength=n)
+        steps.append((a, b))
+        level = new
+    share = np.zeros(n)
+    for a, b in reversed(steps):
+        share += np.bincount(a, paths[a] / paths[b] * (1 + share[b]), minlength=n)
+    share[source] = 0.0
+    return share
 
 
 def _cut_nodes(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import hashlib
+import time
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..storage import written
 from . import graph as G
 
 
@@ -57,3 +61,45 @@ def seed_terms(names: DataFrame, id_col: str, name: Column, share: float = 0.2)
     n = names.agg(F.count(F.lit(1)).alias("n"))
     kept = df.join(F.broadcast(n)).where(F.col("df") <= F.greatest(F.lit(1), F.floor(F.col("n") * share)))  # one row
     return kept.select("term", "df", F.lit(4).alias("frequency"), F.lit(0.4).alias("confidence"))
+
+
+class QueryLog:
+    """Asked questions and the names found for them, appended to a folder that later sessions read on.
+
+    A batch's names are written before its queries, and names count only beside a query, so a batch that was cut off is as if
+    it had never begun. ``batch`` is the time of the append.
+    """
+
+    QUERIES, NAMES = "query string, text string, batch double", "query string, pos int, name string, batch double"
+
+    def __init__(self, spark: SparkSession, root: str) -> None:
+        self.spark, self.root = spark, root.rstrip("/")
+        for part, schema in (("queries", self.QUERIES), ("names", self.NAMES)):
+            spark.createDataFrame([], schema).write.mode("append").parquet(f"{self.root}/{part}")
+
+    def record(self, queries: DataFrame, names: DataFrame) -> None:
+        """Append queries (query, text) and the names found (query, pos, name)."""
+        now = F.lit(time.time())
+        names.select(F.col("query").cast("string"), F.col("pos").cast("int"), "name", now.alias("batch")).write.mode("append").parquet(f"{self.root}/names")
+        queries.select(F.col("query").cast("string"), "text", now.alias("batch")).write.mode("append").parquet(f"{self.root}/queries")
+
+    def ask(self, nodes: DataFrame, edges: DataFrame, question: str, hops: int = 2, learned: tuple[str, ...] = ()) -> tuple[str, DataFrame]:
+        """The subgraph of a question (``retrieval.retrieve``) and the id under which it was logged with its first five names."""
+        from . import retrieval
+
+        found = written(retrieval.retrieve(nodes, edges, question, hops, learned))
+        query = hashlib.sha256(f"{time.time_ns()}\n{question}".encode()).hexdigest()[:16]
+        names = found.where("visit < 5").join(nodes.select("id", "name"), "id").select(F.lit(query).alias("query"), (F.col("visit") + 1).alias("pos"), "name")
+        self.record(self.spark.createDataFrame([(query, question)], "query string, text string"), names)
+        return query, found
+
+    def queries(self) -> DataFrame:
+        return self.spark.read.schema(self.QUERIES).parquet(f"{self.root}/queries")
+
+    def names(self) -> DataFrame:
+        names = self.spark.read.schema(self.NAMES).parquet(f"{self.root}/names")
+        return names.join(self.queries().select("query").distinct(), "query", "left_semi")
+
+    def terms(self, most: int = 20) -> DataFrame:
+        """``term_map`` of all that was logged."""
+        return term_map(self.queries(), self.names(), most)

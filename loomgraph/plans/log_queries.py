@@ -13,6 +13,7 @@ from ..operators import learning as L
 from ..operators import resolve as R
 from ..operators import retrieval as R2
 from ..operators import stateful as S
+from ..storage import shared_dir
 from . import adapters as A
 from .adapters import with_
 from .registry import registry
@@ -87,6 +88,18 @@ def term_map(spark: SparkSession, d: str) -> DataFrame:
     return _learned(spark, d)[1].withColumn("names", F.array_join("names", "|"))
 
 
+@query(f"WITH {_MAP} SELECT term, frequency, confidence, coalesce(array_to_string(names, '|'), '') AS names FROM tm")
+def logged_terms(spark: SparkSession, d: str) -> DataFrame:
+    """The same from a log that two sessions appended to, half of the conversations each."""
+    c, root = A.load(spark, d, "conversations"), shared_dir(spark)
+    for k in range(2):
+        part = c.where(F.pmod(F.xxhash64("conv_id"), F.lit(2)) == k)
+        asked = part.where("role = 'user'").select(F.col("conv_id").alias("query"), "text")
+        found = part.where("role = 'assistant' and turn <= 5").select(F.col("conv_id").alias("query"), F.lit(1).alias("pos"), F.lower(F.split("text", " ")[0]).alias("name"))
+        L.QueryLog(spark, root).record(asked, found)
+    return L.QueryLog(spark, root).terms().withColumn("names", F.array_join("names", "|"))
+
+
 @query(f"WITH {_MAP}, u AS (SELECT conv_id, term, min((turn, pos)) AS pos FROM (SELECT conv_id, turn, unnest(ts) AS term, unnest(range(len(ts))) AS pos FROM (SELECT conv_id, turn, list(term) AS ts FROM terms GROUP BY ALL)) GROUP BY ALL), x AS (SELECT conv_id, pos, n, i FROM (SELECT conv_id, pos, unnest(names) AS n, unnest(range(len(names))) AS i FROM u JOIN tm USING (term) WHERE confidence > 0.1)), y AS (SELECT conv_id, n, min((pos, i)) AS p FROM x GROUP BY ALL) SELECT conv_id, array_to_string(list_slice(list(n ORDER BY p), 1, 10), '|') AS names FROM y GROUP BY conv_id")
 def term_suggest(spark: SparkSession, d: str) -> DataFrame:
     """Ten names for each conversation's queries, from the terms whose confidence is over 0.1, in the terms' order."""

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomgraph.operators import intervals
+from loomgraph.operators import learning as L
 from loomgraph.operators import resolve as R
 from loomgraph.operators import stateful as S
 from loomgraph.sources import braces
@@ -165,3 +166,16 @@ def test_stream_with_a_stop_equals_batch(spark, sf, tmp_path, stateful_store, wh
         assert query.exception() is None
     got = spark.read.parquet(str(tmp_path / "out"))
     assert {r["tie"]: r[got.columns[2]] for r in got.collect()} == want and got.count() == len(want) and len(set(want.values())) > 1
+
+
+def test_query_log(spark, tmp_path):
+    """Questions asked in two sessions: later terms see both, and a batch without its queries doesn't count."""
+    nodes = spark.createDataFrame([("a", "load_cart", "reads a cart", "cart.py", "retrieval"), ("b", "save_cart", "writes it", "cart.py", "persistence")], "id string, name string, summary string, file string, intent string")
+    edges = spark.createDataFrame([("a", "b")], "src string, dst string")
+    log = L.QueryLog(spark, str(tmp_path))
+    query, found = log.ask(nodes, edges, "Where is the cart loaded?")
+    assert {r["id"] for r in found.collect()} == {"a", "b"} and len(query) == 16
+    assert log.ask(nodes, edges, "cart writes")[0] != query
+    spark.createDataFrame([("cut off", 1, "zzz", 0.0)], L.QueryLog.NAMES).write.mode("append").parquet(f"{tmp_path}/names")
+    terms = {r["term"]: r for r in L.QueryLog(spark, str(tmp_path)).terms().collect()}
+    assert terms["cart"]["frequency"] == 2 and set(terms["cart"]["names"]) == {"load_cart", "save_cart"} and "zzz" not in str(terms)
