@@ -329,6 +329,15 @@ def cross_dir_coupling(spark: SparkSession, d: str) -> DataFrame:
     return N.couplings(ends).select(F.col("sd").alias("src"), F.col("td").alias("dst"), "n", "example")
 
 
+@query(CO + " SELECT src, dst FROM cedges WHERE dst NOT IN (SELECT 's' || s_suppkey FROM supplier WHERE s_acctbal < 0)")
+def call_graph(spark: SparkSession, d: str) -> DataFrame:
+    """Calls among code symbols: suppliers in debt count as external modules, and dependencies of files are no calls."""
+    n, calls = A.commerce_nodes(spark, d), A.commerce_edges(spark, d).withColumns({"relationship": F.lit("INVOKES"), "type": F.lit("CALLS")})
+    nodes = n.select("id", F.when((F.col("kind") == "type") & (F.col("bal") < 0), "external").otherwise(F.col("kind")).alias("kind"), F.when((F.col("kind") == "type") & (F.col("bal") < 0), "external").otherwise(F.col("type")).alias("type"))
+    imports = A.commerce_imports(spark, d).select("sf", "tf", F.lit("DEPENDS_ON"), F.lit("IMPORTS"))
+    return N.call_graph(nodes, calls.union(imports))[1]
+
+
 _IMPORTS = ", imports AS (SELECT DISTINCT a.file AS sf, b.file AS tf FROM (SELECT DISTINCT 'c' || o_custkey AS src, 's' || l_suppkey AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderpriority = '1-URGENT') JOIN cnodes a ON a.id = src JOIN cnodes b ON b.id = dst WHERE a.file <> b.file)"
 
 
