@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import string
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,5 +64,17 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS, weight: Column | None = Non
     return F.broadcast(df) if (df.agg(F.sum(weight)).first()[0] or 0) <= rows else None
 
 
+@contextmanager
+def few_at_a_time(spark: SparkSession, rows: int = 1024) -> Iterator[None]:
+    """Jobs that run meanwhile hand texts to Python in batches of at most ``rows``, which bounds what a task buffers."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, old)
+
+
 def tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

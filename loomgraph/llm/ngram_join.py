@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ..operators.components import components
 from ..session import ship
-from .common import fresh, row_key, small, tasks, written
+from .common import few_at_a_time, fresh, row_key, small, tasks, written
 
 WORDS, PERCENT = 5, 75
 #: At most so many frequent shingles are broadcast for the order (about 2 MB); any choice gives the same result.
@@ -467,7 +467,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     unless all are null; repeated rows stay repeated; texts of any length are read whole; an empty table gives no rows;
     other columns are ignored.
     """
-    own, found = _solve(docs, id_col, text_col)
+    with few_at_a_time(docs.sparkSession):
+        own, found = _solve(docs, id_col, text_col)
     out = own.join(found, "item", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("component_id", "doc_id")).alias("component_id"))
 
@@ -477,7 +478,8 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Of several rows of that id and text, the one whose columns as JSON come first stays. An empty table stays empty.
     """
-    own, found = _solve(docs, id_col, text_col)
+    with few_at_a_time(docs.sparkSession):
+        own, found = _solve(docs, id_col, text_col)
     a, b = fresh(docs, "rk", "rk2")
     each = own.where("n > 0").groupBy("rk", "rk2").agg(F.count(F.lit(1)).alias("c"))
     stays = found.select("keep.rk", "keep.rk2", F.lit(True).alias("again")).distinct()
