@@ -14,7 +14,7 @@ from ..operators import resolve as R
 from ..sources import extract as X
 from ..sources import repo as P
 from ..sources import store as S
-from ..storage import shared_dir, written
+from ..storage import dealt, shared_dir, written
 from . import adapters as A
 from .adapters import with_
 from .graph_queries import CO, EV, _bfs_sql, queue_sql
@@ -113,7 +113,7 @@ def _part(template: str, like: dict[str, Column]) -> Column:
 
 
 def files(spark: SparkSession, d: str) -> DataFrame:
-    """(k, path, text) of a source file for each part."""
+    """(k, path, text) of a source file for each part, made in all tasks: a part is a few bytes, its file takes a millisecond to parse."""
     k, n = F.col("p_partkey"), F.col("p_partkey") + 5
     like = {"k": k.cast("string"), "n": n.cast("string"), "d": (k % 20).cast("string"), "nd": (n % 20).cast("string"), "name": F.col("p_name")}
     path = text = None
@@ -121,7 +121,7 @@ def files(spark: SparkSession, d: str) -> DataFrame:
         mine = (k % 10).isin(*rest)
         path = F.when(mine, _part(where, like)) if path is None else path.when(mine, _part(where, like))
         text = F.when(mine, _part(body, like)) if text is None else text.when(mine, _part(body, like))
-    return A.load(spark, d, "part").select(k.alias("k"), path.alias("path"), text.alias("text"))
+    return dealt(A.load(spark, d, "part").select("p_partkey", "p_name"), "p_partkey").select(k.alias("k"), path.alias("path"), text.alias("text"))
 
 
 def changed_files(spark: SparkSession, d: str) -> DataFrame:
@@ -164,7 +164,7 @@ def _symbols_sql() -> str:
 @query(_symbols_sql())
 def code_symbols(spark: SparkSession, d: str) -> DataFrame:
     """Symbols of a file for each part, in five languages."""
-    return X.extract(files(spark, d)).where("row = 'node'").select("id", "kind", "type", "line", "end_line", "type_system", "semantic_kind")
+    return X.extract(files(spark, d), "node").select("id", "kind", "type", "line", "end_line", "type_system", "semantic_kind")
 
 
 _S, _T = "path || '::Store' || k || '.", "path || '::Till' || k || '."
