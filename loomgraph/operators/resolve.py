@@ -102,9 +102,12 @@ def extra_edges(edges: DataFrame, found: DataFrame, nodes: DataFrame) -> DataFra
 
 
 def graph_of(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Nodes and resolved edges (src, dst, relationship, confidence) of extracted rows: ids made unique, first edge of each kind."""
-    files = rows.where("row = 'node'")
-    nodes = disambiguate(files, "id", "line")
+    """Nodes and resolved edges (src, dst, relationship, confidence) of extracted rows: ids made unique, first edge of each kind.
+
+    Rows and nodes are written once: every tier asks for them, and a plan would parse all files for each.
+    """
+    rows = written(rows)
+    nodes = written(disambiguate(rows.where("row = 'node'"), "id", "line"))
     symbolic = rows.where("row = 'edge' and relation = 'INVOKES'").select("id", "target", "receiver", "owner", "path", "adapter", "line")
     attrs, imports = rows.where("row = 'attr'"), rows.where("row = 'import'")
     calls = resolve_calls(symbolic, nodes, attrs.select("path", "owner", "name", "target", "line"), imports.select("path", "name", "target", "line"))

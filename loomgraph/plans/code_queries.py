@@ -176,10 +176,15 @@ _CALLS = _CODE + ", calls(src, dst, confidence) AS (" + " UNION ALL ".join([
 ]) + ")"
 
 
+#: Columns of extracted rows that resolution doesn't read; the texts of functions are most of the bytes.
+_UNASKED = ("code", "signature", "returns", "decorators", "bases", "semantic_kind", "type_system", "is_async", "end_line", "language")
+
+
 @query(_CALLS + " SELECT src, dst, confidence::DOUBLE AS confidence FROM calls")
 def code_calls_resolved(spark: SparkSession, d: str) -> DataFrame:
     """Calls by the tiers, at most one target each."""
-    return R.graph_of(X.extract(files(spark, d)))[1].where("relationship = 'INVOKES'").select("src", "dst", "confidence")
+    rows = X.extract(files(spark, d), "node", "edge", "attr", "import")
+    return R.graph_of(rows.drop(*_UNASKED))[1].where("relationship = 'INVOKES'").select("src", "dst", "confidence")
 
 
 def _asked(rows: DataFrame) -> DataFrame:
