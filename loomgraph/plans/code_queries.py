@@ -194,7 +194,8 @@ def _asked(rows: DataFrame) -> DataFrame:
 @query(_CALLS + ", gone AS (SELECT path || '::load_' || k AS id FROM py WHERE k % 10 = 0), found AS (SELECT npath || '::Store' || n || '.check_' || n AS src, path || '::note_' || n AS dst, 0.55 AS confidence FROM py WHERE has AND k % 10 = 0) SELECT src, dst, confidence::DOUBLE AS confidence FROM (SELECT * FROM calls WHERE dst NOT IN (FROM gone) UNION ALL FROM found)")
 def code_calls_after_update(spark: SparkSession, d: str) -> DataFrame:
     """Calls after a tenth of the files changed: lost and gained candidates are seen by callers in files that didn't change."""
-    rows, new = written(X.extract(files(spark, d))), written(X.extract(changed_files(spark, d)))
+    read = lambda f: written(X.extract(f(spark, d), "node", "edge", "attr", "import").drop(*_UNASKED))
+    rows, new = read(files), read(changed_files)
     parts = lambda r: (_asked(r), r.where("row = 'node'"), r.where("row = 'attr'"), r.where("row = 'import'"))
     asked, nodes, attrs, imports = parts(rows)
     fresh, more, new_attrs, new_imports = parts(new)
