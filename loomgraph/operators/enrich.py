@@ -17,8 +17,10 @@ from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions import text as T
 from ..functions import vocabulary as V
@@ -216,24 +218,29 @@ def enrich(nodes: DataFrame, provider: Provider | None = None) -> DataFrame:
     provider = provider or Provider()
     ship(nodes.sparkSession)
     rows = nodes.where(T.is_callable(F.col("kind"), F.col("type")) & (F.coalesce("code", F.lit("")) != ""))
-    rows = rows.withColumn("_ask", F.lit(provider.real) & ~T.is_trivial(F.col("name"), F.col("code")))
+    rows = rows.withColumns({"_kind": F.coalesce("kind", "type", F.lit("function")), "_ask": F.lit(provider.real) & ~T.is_trivial(F.col("name"), F.col("code"))})
     rules = Provider()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for ask, who in ((True, provider), (False, rules)):
-                items = batch[batch["_ask"] == ask][["id", "name", "code", "kind"]].to_dict("records")
-                for k in range(0, len(items), BATCH):
-                    out += who.analyze_batch(items[k : k + BATCH])
-            yield pd.DataFrame(out, columns=["id", "summary", "source"])
-
-    asked = rows.select("id", "name", "code", F.coalesce("kind", "type", F.lit("function")).alias("kind"), "_ask")
-    said = asked.mapInPandas(run, "id string, summary string, source string").toDF("id", "_said", "_by")
+            ask = batch["_ask"].to_pylist()
+            items = [dict(zip(("id", "name", "code", "kind"), x)) for x in zip(*[batch[c].to_pylist() for c in ("id", "name", "code", "_kind")])]
+            said: list[dict] = [{}] * len(items)
+            for who, mine in ((provider, [k for k, a in enumerate(ask) if a]), (rules, [k for k, a in enumerate(ask) if not a])):
+                for k in range(0, len(mine), BATCH):
+                    part = mine[k : k + BATCH]
+                    for at, answer in zip(part, who.analyze_batch([items[i] for i in part])):
+                        said[at] = answer
+            for name, key in (("_said", "summary"), ("_by", "source")):
+                batch = batch.append_column(name, pa.array([a[key] for a in said], pa.string()))
+            yield batch
+
+    out = semantics(rows)
+    told = StructType([*out.schema.fields, StructField("_said", StringType()), StructField("_by", StringType())])  # answers stay in their rows: no join by id
+    out = out.mapInArrow(run, told)
     stub = T.is_stub(F.col("summary"), F.col("summary_source"))
-    out = semantics(rows.drop("_ask")).join(said, "id")
     out = out.withColumn("summary_source", F.when(stub, F.col("_by")).otherwise(F.col("summary_source"))).withColumn("summary", F.when(stub, F.col("_said")).otherwise(F.col("summary")))
-    return out.drop("_said", "_by")
+    return out.drop("_said", "_by", "_ask", "_kind")
 
 
 def valid_semantics(rows: DataFrame) -> DataFrame:

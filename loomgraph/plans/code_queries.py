@@ -244,8 +244,8 @@ def code_file_imports(spark: SparkSession, d: str) -> DataFrame:
 @query(_CODE + " SELECT path || '::audit_' || k AS id, 'Audits ' || name || '.' AS summary FROM py UNION ALL SELECT path || '::load_' || k, 'Loads ' || k || ' (using execute).' FROM py")
 def code_descriptions(spark: SparkSession, d: str) -> DataFrame:
     """One line of each function from its docstring, else from its code."""
-    nodes = X.extract(files(spark, d)).where("row = 'node'").withColumns({"summary": F.lit(None).cast("string"), "summary_source": F.lit(None).cast("string")})
-    return E.enrich(nodes).where(F.col("name").rlike("^(audit|load)_")).select("id", "summary")
+    nodes = X.extract(files(spark, d), "node").drop("semantic_kind").where(F.col("name").rlike("^(audit|load)_")).withColumns({"summary": F.lit(None).cast("string"), "summary_source": F.lit(None).cast("string")})
+    return E.enrich(nodes).select("id", "summary")
 
 
 @query(_CODE + ", x AS (SELECT min(k) AS k FROM py) SELECT 'web_api' AS project_type, 'web_development' AS domain, 'modular_pipeline' AS architecture, 'Python,FastAPI,Pydantic' AS tech_stack, 'Counts ' || (SELECT count(*) FROM part) || ' parts through an api server.' AS purpose, 'pkg' || k % 20 || '.m' || k AS entries FROM x")
