@@ -231,7 +231,7 @@ def code_control_flow(spark: SparkSession, d: str) -> DataFrame:
 @query(_CODE + " " + " UNION ALL ".join(f"SELECT path || '::{name}' || k AS id, npath || '::{name}' || n AS target_id FROM {lang} WHERE has" for lang, name in (("py", "Store"), ("ts", "Cart"), ("java", "Basket"))))
 def code_inheritance(spark: SparkSession, d: str) -> DataFrame:
     """Base classes by the one class of their name."""
-    rows = X.extract(files(spark, d))
+    rows = written(X.extract(files(spark, d), "node", "edge").where("kind = 'type' or relation = 'EXTENDS'").drop(*_UNASKED))
     return R.resolve_bases(rows.where("row = 'edge'"), rows.where("row = 'node'"))
 
 
