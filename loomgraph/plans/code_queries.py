@@ -238,7 +238,8 @@ def code_inheritance(spark: SparkSession, d: str) -> DataFrame:
 @query(_CODE + " SELECT path AS sf, npath AS tf FROM py WHERE has")
 def code_file_imports(spark: SparkSession, d: str) -> DataFrame:
     """Files of the repository that import another."""
-    return R.file_imports(X.extract(files(spark, d)))
+    rows = X.extract(files(spark, d), "node", "import").where("row = 'import' or kind = 'file'")
+    return R.file_imports(written(rows.select("row", "kind", "path", "target")))
 
 
 @query(_CODE + " SELECT path || '::audit_' || k AS id, 'Audits ' || name || '.' AS summary FROM py UNION ALL SELECT path || '::load_' || k, 'Loads ' || k || ' (using execute).' FROM py")
