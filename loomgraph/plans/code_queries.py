@@ -219,7 +219,7 @@ def code_imports(spark: SparkSession, d: str) -> DataFrame:
 @query(_CODE + " SELECT path, 'Store' || k AS owner, 'till' AS name, 'Till' || n AS type FROM py")
 def code_attribute_types(spark: SparkSession, d: str) -> DataFrame:
     """Types of attributes that constructors assign."""
-    return X.extract(files(spark, d)).where("row = 'attr'").select("path", "owner", "name", F.col("target").alias("type"))
+    return X.extract(files(spark, d), "attr").select("path", "owner", "name", F.col("target").alias("type"))
 
 
 @query(_CODE + " " + _rows_sql("py", [(f"{_S}total_' || k", "'conditional_branch'", "'check_' || k"), (f"{_S}total_' || k", "'loop'", "'load_' || n"), (f"{_S}check_' || k", "'try_block'", "'audit_' || k"), (f"{_S}check_' || k", "'error_handling'", "'note_' || k")], "id, pattern, name"))
