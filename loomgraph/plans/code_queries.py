@@ -213,7 +213,7 @@ def code_calls_after_update(spark: SparkSession, d: str) -> DataFrame:
 ]))
 def code_imports(spark: SparkSession, d: str) -> DataFrame:
     """Local names of imports, dynamic ones included."""
-    return X.extract(files(spark, d)).where("row = 'import'").select("id", "name", "target", F.col("receiver").alias("kind"))
+    return X.extract(files(spark, d), "import").select("id", "name", "target", F.col("receiver").alias("kind"))
 
 
 @query(_CODE + " SELECT path, 'Store' || k AS owner, 'till' AS name, 'Till' || n AS type FROM py")
