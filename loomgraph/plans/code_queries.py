@@ -225,7 +225,7 @@ def code_attribute_types(spark: SparkSession, d: str) -> DataFrame:
 @query(_CODE + " " + _rows_sql("py", [(f"{_S}total_' || k", "'conditional_branch'", "'check_' || k"), (f"{_S}total_' || k", "'loop'", "'load_' || n"), (f"{_S}check_' || k", "'try_block'", "'audit_' || k"), (f"{_S}check_' || k", "'error_handling'", "'note_' || k")], "id, pattern, name"))
 def code_control_flow(spark: SparkSession, d: str) -> DataFrame:
     """Functions called in branches, loops, try blocks and handlers."""
-    return X.extract(files(spark, d)).where("row = 'pattern'").select("id", F.col("target").alias("pattern"), "name")
+    return X.extract(files(spark, d), "pattern").select("id", F.col("target").alias("pattern"), "name")
 
 
 @query(_CODE + " " + " UNION ALL ".join(f"SELECT path || '::{name}' || k AS id, npath || '::{name}' || n AS target_id FROM {lang} WHERE has" for lang, name in (("py", "Store"), ("ts", "Cart"), ("java", "Basket"))))
