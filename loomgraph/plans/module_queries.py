@@ -30,11 +30,16 @@ def nodes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Nodes, calls and membership, written once."""
-    n = written(nodes(spark, d))
+    """Nodes, calls and membership, written once.
+
+    Nodes and members are hinted to be merged: their files compress to so few bytes that Spark would broadcast millions of
+    rows, and each of these sides goes through the driver.
+    """
+    plain = written(nodes(spark, d))
+    n = plain.hint("merge")
     at = n.select("key", "id")
     e = A.commerce_edges(spark, d).join(at.toDF("src", "s"), "src").join(at.toDF("dst", "t"), "dst").select(F.col("s").alias("src"), F.col("t").alias("dst"))
-    return n, written(e), written(M.membership(n, n.select("id", "community")))
+    return n, written(e), written(M.membership(n, plain.select("id", "community"))).hint("merge")
 
 
 def _first_main(n: DataFrame) -> list[str]:
