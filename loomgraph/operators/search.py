@@ -7,6 +7,7 @@ partitioned by a hash of the trigram or word, so that a lookup reads the folders
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -22,6 +23,8 @@ BUCKETS, BLOCK = 64, 1 << 11
 HEAD, TAIL = "\x02\x02", "\x03"
 #: Lists that a lookup intersects at most: the shortest ones.
 RAREST = 3
+#: More than the bits of all fields.
+MASK = 1 << len(R.FIELDS)
 
 
 def _bucket(c) -> Column:
@@ -29,9 +32,9 @@ def _bucket(c) -> Column:
 
 
 def _stored(df: DataFrame) -> DataFrame:
-    """``df`` written in a folder for each bucket."""
+    """``df``, dealt by bucket, written in a folder for each."""
     path = shared_dir(df.sparkSession)
-    df.repartition("bucket").write.partitionBy("bucket").option("compression", "zstd").parquet(path)
+    df.write.partitionBy("bucket").option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -70,7 +73,7 @@ class NameIndex:
         each = at.where("low is not null").select("num", F.explode(trigrams(F.concat(F.lit(HEAD), "low", F.lit(TAIL)))).alias("gram"))
         # differences begin anew in each block, so a list has no more than BLOCK numbers however common its trigram is
         each = each.groupBy("gram", F.call_function("div", F.col("num"), F.lit(BLOCK)).alias("block")).agg(F.sort_array(F.collect_list((F.col("num") % BLOCK).cast("int"))).alias("at"))
-        return cls(at, _stored(each.select("gram", "block", F.size("at").alias("n"), gaps(F.col("at")).alias("gaps"), _bucket("gram").alias("bucket"))))
+        return cls(at, _stored(each.select("gram", "block", F.size("at").alias("n"), gaps(F.col("at")).alias("gaps"), _bucket("gram").alias("bucket")).repartition("bucket")))
 
     def asked(self, grams: list[str]) -> DataFrame:
         """The postings of some trigrams; reads their buckets only."""
@@ -131,12 +134,19 @@ class WordIndex:
 
     @classmethod
     def build(cls, nodes: DataFrame, block: int = BLOCK) -> WordIndex:
-        at = written(numbered(nodes, "num", "id"))
-        words = lambda c, w: F.transform(F.array_distinct(T.tokens(F.col(c))), lambda t: F.struct(t.alias("t"), F.lit(w).alias("w"), F.lit(int(c != "intent")).alias("d")))
-        each = at.select("num", F.explode(F.concat(*[words(c, w) for c, w in R.FIELDS.items()])).alias("x")).groupBy("num", F.col("x.t").alias("word")).agg(F.sum("x.w").alias("w"), F.max("x.d").alias("d"))
+        at = numbered(nodes, "num", "id")
+        # a node's words with a bit for each field that has them, merged in its row; a list's numbers hold place and bits
+        entries = lambda c, k: F.map_from_entries(F.transform(F.array_distinct(T.tokens(F.col(c))), lambda t: F.struct(t, F.lit(1 << k))))
+        words = reduce(lambda a, b: F.map_zip_with(a, b, lambda _, x, y: F.coalesce(x, F.lit(0)).bitwiseOR(F.coalesce(y, F.lit(0)))), [entries(c, k) for k, c in enumerate(R.FIELDS)])
+        each = at.select("num", F.explode(words).alias("word", "bits"))
         part = F.call_function("div", F.col("num"), F.lit(block))
-        rows = each.groupBy("word", part.alias("block")).agg(F.sort_array(F.collect_list(F.struct((F.col("num") % block).cast("int").alias("at"), "w"))).alias("x"), F.sum("d").alias("documents"), F.max("w").alias("most"))
-        rows = rows.select("word", "block", F.size("x").alias("n"), "documents", "most", gaps(F.transform("x", lambda x: x["at"])).alias("gaps"), F.transform("x", lambda x: x["w"]).alias("impacts"), _bucket("word").alias("bucket"))
+        rows = each.groupBy("word", part.alias("block")).agg(F.sort_array(F.collect_list((F.col("num") % block).cast("int") * MASK + F.col("bits"))).alias("x"))
+        rows = rows.withColumn("bucket", _bucket("word")).repartition("bucket")
+        has = lambda x, k: F.shiftright(x, k) % 2
+        weight = lambda x: sum((has(x, k) * w for k, w in enumerate(R.FIELDS.values())), F.lit(0.0))
+        counted = sum(1 << k for k, c in enumerate(R.FIELDS) if c != "intent")
+        rows = rows.withColumns({"documents": F.size(F.filter("x", lambda x: x.bitwiseAND(counted) > 0)).cast("long"), "impacts": F.transform("x", weight)})
+        rows = rows.select("word", "block", F.size("x").alias("n"), "documents", F.array_max("impacts").alias("most"), gaps(F.transform("x", lambda x: F.floor(x / MASK).cast("int"))).alias("gaps"), "impacts", "bucket")
         return cls(at, _stored(rows), at.count(), block)
 
     def asked(self, words: list[str]) -> DataFrame:

@@ -31,13 +31,13 @@ def adjacency(edges: DataFrame, forward: bool = True) -> DataFrame:
 
 
 def numbered(df: DataFrame, name: str, *order) -> DataFrame:
-    """``df`` with a dense number from 0 as its column ``name``, in an order without ties.
+    """``df``, a scan or written, with a dense number from 0 as its column ``name``, in an order without ties.
 
     Ranges of the order are sorted in tasks of their own and written; rows are counted by range, the sums of the counts
     before each range go back as a small table, one row a task.
     """
     tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = written(df).repartitionByRange(tasks, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    placed = df.repartitionByRange(tasks, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
     placed = written(placed)  # its partition is in the upper bits, the place in it in the lower 33
     part, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
     sizes = sorted(tuple(r) for r in placed.groupBy(part).agg(F.count(F.lit(1))).collect())
