@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vocabulary as V
+from ..storage import dealt, written
 from .intervals import innermost
 
 HEADING = r"^(#{1,6})\s+(.+?)\s*#*\s*$"
@@ -25,8 +26,11 @@ IN_SPAN, IN_PROSE = 3, 2
 
 
 def lines(docs: DataFrame) -> DataFrame:
-    """(path, line, text, code) of every line, from 1; ``code`` for a fence and what is inside one."""
-    rows = docs.select("path", F.posexplode(F.split("text", r"\r?\n")).alias("line", "text")).withColumn("line", F.col("line") + 1)
+    """(path, line, text, code) of every line, from 1; ``code`` for a fence and what is inside one.
+
+    Documents are dealt by path to all tasks first: their shuffled bytes are few, and one task would get all lines of them.
+    """
+    rows = dealt(docs, "path").select("path", F.posexplode(F.split("text", r"\r?\n")).alias("line", "text")).withColumn("line", F.col("line") + 1)
     fence = F.ltrim("text").startswith("```").cast("int")
     upto = F.sum(fence).over(W.partitionBy("path").orderBy("line"))
     return rows.withColumn("n", upto).select("path", "line", "text", ((F.col("n") % 2 == 1) | (fence == 1)).alias("code"))
@@ -71,7 +75,8 @@ def normal_path(path: Column) -> Column:
 def name_index(nodes: DataFrame, most: int = IN_SPAN) -> DataFrame:
     """(name, id, r): at most ``most`` symbols of each name of four characters or more; files and externals aren't symbols."""
     rows = nodes.where("kind not in ('external', 'file')").where(F.length("name") >= 4).select("name", "id")
-    return rows.withColumn("r", F.row_number().over(W.partitionBy("name").orderBy("id"))).where(F.col("r") <= most)
+    # each task sorts what it has by name; dealt by id, it has a share of a common name and not a small file's all
+    return dealt(rows, "id").withColumn("r", F.row_number().over(W.partitionBy("name").orderBy("id"))).where(F.col("r") <= most)
 
 
 def _found(rows: DataFrame, pattern: str, rule: int, column: str = "text") -> DataFrame:
@@ -109,7 +114,7 @@ def doc_edges(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     edges = to_doc.union(to_file(rest, "link")).union(to_file(span, "path span"))
     edges = edges.union(to_name(span.join(files, "token", "left_anti"), "name span", IN_SPAN, short))
     edges = edges.union(to_name(_found(text, IDENTIFIER, 2), "name", IN_PROSE, F.col("token"))).union(to_file(_found(text, FILE, 3), "path"))
-    first = edges.groupBy("path", "type", "target").agg(F.min(F.struct("line", "rule", "pos", "confidence", F.substring(F.trim("text"), 1, 200).alias("evidence"))).alias("e"))
+    first = dealt(edges, "path").groupBy("path", "type", "target").agg(F.min(F.struct("line", "rule", "pos", "confidence", F.substring(F.trim("text"), 1, 200).alias("evidence"))).alias("e"))
     return section_of(first.select("path", "type", "target", "e.line", "e.confidence", "e.evidence"), sections(rows))
 
 
@@ -119,7 +124,7 @@ def section_of(rows: DataFrame, heads: DataFrame) -> DataFrame:
     both = rows.select("path", "line", F.lit(1).alias("_k"), F.struct(*rest).alias("_r"), F.lit(None).cast("string").alias("_h"))
     both = both.union(heads.select("path", "line", F.lit(0), F.lit(None).cast(dict(both.dtypes)["_r"]), "heading"))
     last = F.last("_h", True).over(W.partitionBy("path").orderBy("line", "_k").rowsBetween(W.unboundedPreceding, 0))
-    return both.withColumn("section", last).where("_k = 1").select("path", "line", "_r.*", "section")
+    return dealt(both, "path").withColumn("section", last).where("_k = 1").select("path", "line", "_r.*", "section")
 
 
 def rationale(sources: DataFrame, nodes: DataFrame, most: int = 500) -> DataFrame:
@@ -131,9 +136,10 @@ def rationale(sources: DataFrame, nodes: DataFrame, most: int = 500) -> DataFram
     rows = sources.select("path", F.posexplode(F.split("text", r"\r?\n")).alias("line", "text")).where(F.col("text").rlike(pattern))
     body = F.trim(F.regexp_replace(F.trim(F.regexp_extract("text", pattern, 2)), r"[*/\-> ]+$", ""))
     notes = rows.select("path", (F.col("line") + 1).alias("line"), F.upper(F.regexp_extract("text", pattern, 1)).alias("marker"), body.alias("text")).where(F.length("text") >= 8)
-    notes = notes.orderBy("path", "line").limit(most)
-    spans = nodes.where("kind not in ('external', 'file')").select("file", "start", "end", F.col("id").alias("node"))
-    best = innermost(notes, spans.withColumnRenamed("file", "path"), "path", "line", "start", "end", "node")
+    notes = written(notes.orderBy("path", "line").limit(most))
+    spans = nodes.where("kind not in ('external', 'file')").select(F.col("file").alias("path"), "start", "end", F.col("id").alias("node"))
+    spans = spans.join(F.broadcast(notes.select("path").distinct()), "path", "left_semi")  # the files of at most ``most`` notes
+    best = innermost(notes, spans, "path", "line", "start", "end", "node")
     return best.select(F.concat_ws("::", F.lit("rationale"), "path", "line").alias("id"), "marker", F.substring("text", 1, 300).alias("text"), F.col("path").alias("file"), "line", "node")
 
 
