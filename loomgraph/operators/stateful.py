@@ -2,7 +2,7 @@
 
 Clamped scores and reuse are folds of functions that compose, so a key's rows are folded by many tasks. Greedy limits and
 breakers are dealt by key, sorted within partitions and folded as they stream by: a task holds one key's state and never its
-rows. ``streaming.keyed`` has the same two over a stream.
+rows; the one budget of all rows is folded range by range. ``streaming.keyed`` has the same two over a stream.
 """
 
 from __future__ import annotations
@@ -17,11 +17,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import ship
-from ..storage import written
+from ..storage import shared_dir, written
 
 
 #: Rows of a key that one piece of a fold takes, as a power of two.
 PIECE = 12
+#: Rows of a single budget that a task sorts.
+RANGE = 1 << 20
 
 
 def clamped_fold(df: DataFrame, key: str, order: list[str], delta: Column, lo: float = 0.0, hi: float = 1.0) -> DataFrame:
@@ -67,22 +69,50 @@ def _fold(df: DataFrame, key: list[str], time: str, tie: str, out: str, kind: st
     return dealt.mapInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in [*key, tie]) + f", {out} {kind}")
 
 
+def _limit(limit: int, seconds: float, kept: deque[float]) -> Callable[[float], bool]:
+    def step(t: float) -> bool:
+        while kept and kept[0] <= t - seconds:
+            kept.popleft()
+        if len(kept) >= limit:
+            return False
+        kept.append(t)
+        return True
+
+    return step
+
+
 def greedy_limit(df: DataFrame, key: str, time: str, tie: str, limit: int, seconds: float) -> DataFrame:
     """(key, tie, allowed): at most ``limit`` allowed rows within any trailing window; rejected rows don't count."""
-    def start():
-        kept: deque[float] = deque()
+    return _fold(df, [key], time, tie, "allowed", "boolean", lambda: _limit(limit, seconds, deque()))
 
-        def step(t: float) -> bool:
-            while kept and kept[0] <= t - seconds:
-                kept.popleft()
-            if len(kept) >= limit:
-                return False
-            kept.append(t)
-            return True
 
-        return step
+def one_limit(df: DataFrame, time: str, tie: str, limit: int, seconds: float, most: int = RANGE) -> DataFrame:
+    """(tie, allowed): as ``greedy_limit`` with one key for all rows, which are sorted in ranges of about ``most`` rows.
 
-    return _fold(df, [key], time, tie, "allowed", "boolean", start)
+    Ranges are folded one after another, as the order demands; what passes from one to the next is the times of the last
+    ``limit`` allowed rows, so that no task sorts more than a range.
+    """
+    spark, at = df.sparkSession, F.col(time).cast("timestamp").cast("double").alias("_t")
+    rows = written(df.select(tie, at))
+    kind, n = dict(rows.dtypes)[tie], rows.count()
+    if not n:
+        return rows.select(tie, F.lit(False).alias("allowed"))
+    ranges, done = shared_dir(spark), shared_dir(spark)
+    ship(spark)
+    rows.repartitionByRange(max(1, -(-n // most)), "_t", tie).withColumn("_range", F.spark_partition_id()).write.partitionBy("_range").parquet(ranges)
+    placed = spark.read.schema(f"{tie} {kind}, _t double, _range int").parquet(ranges)
+    kept: list[float] = []
+    for (k,) in sorted(placed.select("_range").distinct().collect()):
+        def run(batches: Iterator[pd.DataFrame], kept: list[float] = kept) -> Iterator[pd.DataFrame]:
+            step = _limit(limit, seconds, deque(kept))
+            for batch in batches:
+                yield batch.assign(allowed=[step(t) for t in batch["_t"]])
+
+        part = placed.where(F.col("_range") == k).select(tie, "_t").coalesce(1).sortWithinPartitions("_t", tie)
+        part.mapInPandas(run, f"{tie} {kind}, _t double, allowed boolean").write.parquet(f"{done}/_range={k}")
+        last = spark.read.schema(f"{tie} {kind}, _t double, allowed boolean").parquet(f"{done}/_range={k}").where("allowed").orderBy(F.desc("_t"), F.desc(tie)).limit(limit).collect()
+        kept = [*kept, *(float("nan") if r["_t"] is None else r["_t"] for r in reversed(last))][-limit:]
+    return spark.read.schema(f"{tie} {kind}, allowed boolean, _range int").parquet(done).select(tie, "allowed")
 
 
 def breaker(df: DataFrame, key: str, time: str, tie: str, failed: Column, failures: int = 5, rest: float = 60.0, successes: int = 3) -> DataFrame:

@@ -177,8 +177,7 @@ def daily_budget_by_type(spark: SparkSession, d: str) -> DataFrame:
 @query(_greedy_sql("event_type", 300, 86400).replace("SELECT event_type, event_id, epoch_us", "SELECT 'all' AS event_type, event_id, epoch_us").replace("PARTITION BY event_type ORDER", "ORDER").replace("SELECT event_type, event_id, allowed FROM f", "SELECT event_id, allowed FROM f"))
 def daily_budget_greedy(spark: SparkSession, d: str) -> DataFrame:
     """One budget of all events: at most 300 in any 24 hours."""
-    events = A.load(spark, d, "events").withColumn("budget", F.lit("all"))
-    return S.greedy_limit(events, "budget", "ts", "event_id", 300, 86400.0).select("event_id", "allowed")
+    return S.one_limit(A.load(spark, d, "events"), "ts", "event_id", 300, 86400.0)
 
 
 _BREAK = """WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) / 1000000.0::DOUBLE AS t, event_type = 'error' AS fail, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
