@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vocabulary as V
+from ..storage import dealt
 from . import graph as G
 
 LEVELS = {name: k for k, name in enumerate(V.COMPLEXITY)} | {name: k for k, name in enumerate(V.CRITICALITY)}
@@ -20,7 +21,7 @@ def call_graph(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame
     keep = nodes.where(T.is_code_symbol(F.col("kind"), F.col("type")))
     if {"relationship", "type"} <= set(edges.columns):
         edges = edges.where(T.is_invocation(F.col("relationship"), F.col("type")))
-    return keep, G.induced(edges, keep).select("src", "dst").distinct()
+    return keep, G.induced(dealt(edges.select("src", "dst"), "src").distinct(), keep).select("src", "dst")  # distinct while a task has a fixed share of them
 
 
 def with_degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
