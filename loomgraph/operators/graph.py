@@ -6,7 +6,8 @@ PageRank are in ``traverse``, cycles in ``strong``, communities of large compone
 
 from __future__ import annotations
 
-from collections import defaultdict
+from bisect import insort
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -312,16 +313,40 @@ def impact(nodes: DataFrame, edges: DataFrame, seed: str, most: int = 30, most_m
     return out.select(F.lit(seed).alias("id"), "reach", "callers", "callees", "caller_count", "modules")
 
 
-def verified_flows(calls: DataFrame, imports: DataFrame | None = None, most: int = 10) -> DataFrame:
+def _flows(most: int):
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n, found, first = Counter(), set(), defaultdict(list)
+        for pdf in parts:
+            for key, p, imported in zip(zip(pdf["sf"], pdf["tf"]), pdf["p"], pdf["imported"]):
+                n[key] += 1
+                if imported:
+                    found.add(key)
+                best = first[key]
+                if len(best) < most or p < best[-1]:
+                    insort(best, p)
+                    del best[most:]
+        if n:
+            yield pd.DataFrame([(*key, c, key in found, first[key]) for key, c in n.items()], columns=["sf", "tf", "n", "imported", "pairs"])
+
+    return run
+
+
+def verified_flows(calls: DataFrame, imports: DataFrame | str | None = None, most: int = 10) -> DataFrame:
     """(src, dst, n, pairs, reason) of file pairs with direct calls and, with ``imports`` (sf, tf), an import.
 
-    ``calls``: src, dst, sf, tf. The first ``most`` calls of a pair, in order, are its ``pairs``; no list is longer.
+    ``calls``: src, dst, sf, tf; ``imports`` may name a column of theirs, true where a call shows an import. The first ``most``
+    calls of a pair, in order, are its ``pairs``; no list is longer. Each task counts its calls and keeps the first ones of
+    its pairs in one pass; only those are sorted and shuffled.
     """
-    n = calls.groupBy("sf", "tf").agg(F.count(F.lit(1)).alias("n"))
-    pair = calls.select("sf", "tf", F.concat_ws(">", "src", "dst").alias("p"))
+    ship(calls.sparkSession)
+    imported = F.col(imports) if isinstance(imports, str) else F.lit(True)
+    rows = calls.where("sf is not null and tf is not null").select("sf", "tf", F.concat_ws(">", "src", "dst").alias("p"), F.coalesce(imported, F.lit(False)).alias("imported"))
+    part = written(rows.mapInPandas(_flows(most), "sf string, tf string, n long, imported boolean, pairs array<string>"))
+    n = part.groupBy("sf", "tf").agg(F.sum("n").alias("n"), F.max("imported").alias("imported")).where("imported").drop("imported")
+    pair = part.select("sf", "tf", F.explode("pairs").alias("p"))
     first = top_per(pair, most, ["sf", "tf"], "p").groupBy("sf", "tf").agg(F.array_sort(F.collect_list("p")).alias("pairs"))
     out = n.join(first, ["sf", "tf"])
-    if imports is not None:
+    if isinstance(imports, DataFrame):
         out = out.join(imports.select("sf", "tf").distinct(), ["sf", "tf"], "left_semi")
     reason = F.concat(F.lit("Valid: "), F.col("n"), F.lit(" direct calls" + (" with import" if imports is not None else "")))
     return out.select(F.col("sf").alias("src"), F.col("tf").alias("dst"), "n", "pairs", reason.alias("reason"))

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..storage import dealt
+from .. import storage
+from ..storage import dealt, spread
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,21 +55,32 @@ def commerce_nodes(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def _pairs(orders: DataFrame, lines: DataFrame) -> DataFrame:
-    """Distinct customer -> supplier, dealt by customer: joins on it shuffle no pair again, and no task takes more as bytes compress."""
-    rows = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.concat(F.lit("c"), "o_custkey").alias("src"), F.concat(F.lit("s"), "l_suppkey").alias("dst"))
-    return dealt(rows, "src").distinct()
+def _pairs(orders: DataFrame, lines: DataFrame, **flags: str) -> DataFrame:
+    """Distinct customer -> supplier, dealt by customer: joins on it shuffle no pair again, and no task takes more as bytes compress.
+
+    ``flags`` are conditions on an order; a pair has one if any of its orders has. Tasks grow in number with the lines, not in
+    what each holds; a line's two keys are few bytes, so that a task takes four times as many of those.
+    """
+    n = lines.count()
+    orders = orders.select("o_orderkey", F.concat(F.lit("c"), "o_custkey").alias("src"), *[F.expr(x).alias(f) for f, x in flags.items()])
+    lines = spread(lines, n, "l_orderkey", share=4 * storage.SHARE).select("l_orderkey", F.concat(F.lit("s"), "l_suppkey").alias("dst"))
+    rows = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select("src", "dst", *flags)
+    rows = dealt(rows, "src", rows=n)
+    return rows.groupBy("src", "dst").agg(*[F.max(f).alias(f) for f in flags]) if flags else rows.distinct()
 
 
-def commerce_edges(spark: SparkSession, d: str) -> DataFrame:
+def commerce_edges(spark: SparkSession, d: str, **flags: str) -> DataFrame:
     """Distinct customer -> supplier over all orders and lines."""
-    return _pairs(load(spark, d, "orders"), load(spark, d, "lineitem"))
+    return _pairs(load(spark, d, "orders"), load(spark, d, "lineitem"), **flags)
+
+
+URGENT = "o_orderpriority = '1-URGENT'"
 
 
 def commerce_imports(spark: SparkSession, d: str) -> DataFrame:
     """Distinct file -> file dependencies: those of urgent orders' customers on their suppliers."""
     n = commerce_nodes(spark, d)
-    pairs = _pairs(load(spark, d, "orders").where("o_orderpriority = '1-URGENT'"), load(spark, d, "lineitem"))
+    pairs = _pairs(load(spark, d, "orders").where(URGENT), load(spark, d, "lineitem"))
     ends = pairs.join(n.select(F.col("id").alias("src"), F.col("file").alias("sf")), "src").join(n.select(F.col("id").alias("dst"), F.col("file").alias("tf")), "dst")
     return ends.where("sf <> tf").select("sf", "tf").distinct()
 
