@@ -242,10 +242,16 @@ def code_file_imports(spark: SparkSession, d: str) -> DataFrame:
     return R.file_imports(written(rows.select("row", "kind", "path", "target")))
 
 
-@query(_CODE + " SELECT path || '::audit_' || k AS id, 'Audits ' || name || '.' AS summary FROM py UNION ALL SELECT path || '::load_' || k, 'Loads ' || k || ' (using execute).' FROM py")
+@query(_CODE + " " + " UNION ALL ".join([
+    _rows_sql("py", [(f"{_S}__init__'", "'Initializes function (using Till' || n || ').'"), (f"{_S}total_' || k", "'Totals ' || k || ' (using ring_' || n || ', check_' || k || ', load_' || n || ').'"), (f"{_S}check_' || k", "'Checks ' || k || ' (using audit_' || k || ', note_' || k || ').'"),
+                     (f"{_T}ring_' || k", "'Rings ' || k || ' (returns int; using load_' || n || ').'"), ("path || '::audit_' || k", "'Audits ' || name || '.'"), ("path || '::load_' || k", "'Loads ' || k || ' (using execute).'")], "id, summary"),
+    _rows_sql("ts", [("path || '::Cart' || k || '.add_' || k", "'Adds ' || k || '.'"), ("path || '::help_' || k", "'Helps ' || k || '.'")], "id, summary"), _rows_sql("java", [("path || '::Basket' || k || '.size_' || k", "'Sizes ' || k || '.'")], "id, summary"),
+    _rows_sql("c", [("path || '::rate_' || k", "'Rates ' || k || '.'"), ("path || '::main_' || k", "'Mains ' || k || '.'")], "id, summary"),
+    _rows_sql("cpp", [("path || '::Shape' || k || '::area_' || k", "'Areas ' || k || '.'"), ("path || '::measure_' || k", "'Measures ' || k || '.'")], "id, summary"),
+]))
 def code_descriptions(spark: SparkSession, d: str) -> DataFrame:
-    """One line of each function from its docstring, else from its code."""
-    nodes = X.extract(files(spark, d), "node").drop("semantic_kind").where(F.col("name").rlike("^(audit|load)_")).withColumns({"summary": F.lit(None).cast("string"), "summary_source": F.lit(None).cast("string")})
+    """One line of each function, in all five languages: from its docstring, else from its name and what its code shows."""
+    nodes = X.extract(files(spark, d), "node").drop("semantic_kind").withColumns({"summary": F.lit(None).cast("string"), "summary_source": F.lit(None).cast("string")})
     return E.enrich(nodes).select("id", "summary")
 
 
