@@ -64,8 +64,8 @@ def _dependencies(edges: DataFrame, sources: DataFrame) -> DataFrame:
     return total.groupBy(F.col("v").alias("id")).agg(F.sum("x").alias("b"))
 
 
-def betweenness(nodes: DataFrame, edges: DataFrame, most_sources: int = 800, sampled: int = 200, most_edges: int = 2_000_000) -> DataFrame:
-    """(id, betweenness) after Brandes, directed, normalised; exact up to ``most_sources`` nodes, else from sources of smallest hash.
+def betweenness(nodes: DataFrame, edges: DataFrame, most_sources: int | None = None, sampled: int = 200, most_edges: int = 2_000_000) -> DataFrame:
+    """(id, betweenness) after Brandes, directed, normalised, from all sources; with ``most_sources`` and more nodes, from ``sampled`` of smallest hash.
 
     Up to ``most_edges`` edges each source is one independent search over two broadcast arrays, as many at a time as the
     session has shuffle partitions; beyond them all sources advance together in joins.
@@ -73,7 +73,7 @@ def betweenness(nodes: DataFrame, edges: DataFrame, most_sources: int = 800, sam
     ship(nodes.sparkSession)
     n = nodes.count()
     sources, scale = nodes.select("id"), 1.0
-    if n > most_sources:
+    if most_sources is not None and n > most_sources:
         sources, scale = sources.orderBy(F.xxhash64("id")).limit(sampled), n / sampled
     norm = scale / max(1, (n - 1) * (n - 2))
     ranked = lambda parts: nodes.select("id").join(parts, "id", "left").select("id", F.coalesce(F.col("b") * norm, F.lit(0.0)).alias("betweenness"))

@@ -66,13 +66,13 @@ def strong_components(edges: DataFrame) -> DataFrame:
     return found.join(many, "component", "left_semi").select("id", "component")
 
 
-def cycles(edges: DataFrame, names: DataFrame | None = None, longest: int = 8, enough: int | None = None, budget: int = 200_000) -> DataFrame:
+def cycles(edges: DataFrame, names: DataFrame | None = None, longest: int = 8, enough: int | None = None, budget: int | None = None) -> DataFrame:
     """(length, path) of simple directed cycles up to ``longest``; each starts at its smallest node, so appears once.
 
     With ``names`` (id, name) cycles whose nodes share one name don't count; a node without a row counts as unnamed. With
     ``enough``, no length is begun once that many shorter cycles are found, so the first ``enough`` by length are whole.
-    Paths grow only inside strong components. Of a component's open paths of a length, the ``budget`` smallest go on to the
-    next, which bounds what a dense component can cost (the feature's limit on candidates; below it all cycles are found).
+    Paths grow only inside strong components, and only in those where two nodes differ in name: no other has a cycle that
+    counts. All open paths go on to the next length; with ``budget`` only so many, the smallest, of each component.
     """
     part = written(strong_components(edges))
     links = edges.select("src", "dst").where("src <> dst").distinct()
@@ -83,6 +83,8 @@ def cycles(edges: DataFrame, names: DataFrame | None = None, longest: int = 8, e
     else:
         links = links.withColumn("same", F.lit(False))
     links = written(links)
+    if names is not None:  # a strong component of several names has an edge between two of them
+        links = written(links.join(links.where("not same").select("component").distinct(), "component", "left_semi").select(*links.columns))
     step_of = links.select("src", "dst", F.col("same").alias("alike"))
     path = links.where("src < dst").select("component", F.col("src").alias("first"), F.col("dst").alias("last"), F.array("src", "dst").alias("nodes"), "same")
     found, n = None, 0
@@ -97,7 +99,9 @@ def cycles(edges: DataFrame, names: DataFrame | None = None, longest: int = 8, e
             break
         more = step.where((F.col("dst") > F.col("first")) & ~F.array_contains("nodes", F.col("dst")))
         more = more.select("component", "first", F.col("dst").alias("last"), F.concat("nodes", F.array("dst")).alias("nodes"), (F.col("same") & F.col("alike")).alias("same"))
-        path = written(_within(written(more), budget))
+        path = written(more)
+        if budget is not None:
+            path = written(_within(path, budget))
     return found
 
 
