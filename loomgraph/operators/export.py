@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vocabulary as V
+from ..storage import written
 from . import graph as G
 
 NODES, EDGES = 80, 500
@@ -65,6 +66,8 @@ def questions(god_nodes: DataFrame, project_type: str, cycles: DataFrame | None
 def report(parts: dict[str, DataFrame], project_type: str) -> DataFrame:
     """(section, pos, line) of the report; each section is a top list of its table, so this stays small.
 
+    A section is written before the next begins: the driver holds the plan and the broadcasts of one at a time.
+
     Caps: 15 central nodes, 8 bridges, 10 risks, 10 cycles, 15 unused, 10 couplings, 15 documents, 12 notes, 8 questions.
     """
     tick = lambda c: F.concat(F.lit("`"), F.col(c), F.lit("`"))
@@ -87,7 +90,7 @@ def report(parts: dict[str, DataFrame], project_type: str) -> DataFrame:
             continue
         rows = parts[name].where(F.col("marker").isin(*V.SHOWN_MARKERS)) if name == "notes" else parts[name]
         top = rows.orderBy(*order).limit(most)
-        top = top.select(F.lit(title).alias("section"), F.row_number().over(W.orderBy(*order)).alias("pos"), line.alias("line"))
+        top = written(top.select(F.lit(title).alias("section"), F.row_number().over(W.orderBy(*order)).alias("pos"), line.alias("line")))
         out = top if out is None else out.union(top)
     asked = questions(parts["god_nodes"], project_type, parts.get("cycles"), parts.get("notes"))
     return out.union(asked.select(F.lit("Suggested Questions"), "pos", say("question")))
