@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vocabulary as V
 from ..operators import modules as M
-from ..storage import written
+from ..storage import spread, written
 from . import adapters as A
 from .adapters import with_
 from .registry import registry
@@ -29,17 +29,40 @@ def nodes(spark: SparkSession, d: str) -> DataFrame:
     return rows.select(F.concat("file", rest, F.lit("::"), name, F.lit("#"), "id").alias("id"), F.col("id").alias("key"), name.alias("name"), "kind", "type", F.concat("file", rest).alias("file"), "summary", "criticality", "intent", F.concat_ws("#", "nation", (n % 3).cast("string")).alias("community"))
 
 
-def graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Nodes, calls and membership, written once.
+def symbols(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes and membership, written once.
 
-    Nodes and members are hinted to be merged: their files compress to so few bytes that Spark would broadcast millions of
-    rows, and each of these sides goes through the driver.
+    Both are hinted to be merged: their files compress to so few bytes that Spark would broadcast millions of rows, and each
+    of these sides goes through the driver.
     """
     plain = written(nodes(spark, d))
     n = plain.hint("merge")
+    return n, written(M.membership(n, plain.select("id", "community"))).hint("merge")
+
+
+def graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes, calls and membership, written once."""
+    n, m = symbols(spark, d)
     at = n.select("key", "id")
     e = A.commerce_edges(spark, d).join(at.toDF("src", "s"), "src").join(at.toDF("dst", "t"), "dst").select(F.col("s").alias("src"), F.col("t").alias("dst"))
-    return n, written(e), written(M.membership(n, plain.select("id", "community"))).hint("merge")
+    return n, written(e), m
+
+
+def _ends(spark: SparkSession, d: str, n: DataFrame, m: DataFrame) -> DataFrame:
+    """(src, sm, pattern, dst, tm, name) of calls by their keys, a few bytes in place of ids: the modules of both ends, the
+    caller's pattern and the callee's name. Flow and patterns are made of it; ends are looked up once, and it is written once.
+    """
+    at = n.join(m.select("id", "module"), "id").select("key", "module", _pattern("id").alias("pattern"), "name")
+    at = written(at).hint("merge")
+    calls = A.commerce_edges(spark, d).join(at.select(F.col("key").alias("src"), F.col("module").alias("sm"), "pattern"), "src")
+    calls = spread(calls, A.load(spark, d, "lineitem").count(), "dst")
+    return written(calls.join(at.select(F.col("key").alias("dst"), F.col("module").alias("tm"), "name"), "dst").select("src", "sm", "pattern", "dst", "tm", "name"))
+
+
+def _modules(n: DataFrame, m: DataFrame, ends: DataFrame) -> DataFrame:
+    """Modules with entry tag, pattern count and kind."""
+    inside = ends.where("sm = tm").select(F.col("src").alias("id"), F.col("sm").alias("module"), F.col("dst").alias("callee"), "name").hint("merge")
+    return M.modules(n, m, M.entry_functions(n, _first_main(n)), M.resolved(ends.select(F.col("src").alias("id"), "pattern", "name"), inside))
 
 
 def _first_main(n: DataFrame) -> list[str]:
@@ -67,10 +90,14 @@ def module_membership(spark: SparkSession, d: str) -> DataFrame:
     return graph(spark, d)[2]
 
 
+def _pattern(c: str) -> Column:
+    """The pattern that a function's calls are in, by its id."""
+    return F.when(F.length(c) % 4 == 0, "conditional_branch").when(F.length(c) % 4 == 1, "error_handling").when(F.length(c) % 4 == 2, "try_block").otherwise("loop")
+
+
 def _groups(n: DataFrame, e: DataFrame, m: DataFrame) -> DataFrame:
     """Call names in the control flow of each function (a pattern by its id) resolved in its module."""
-    kind = F.when(F.length("src") % 4 == 0, "conditional_branch").when(F.length("src") % 4 == 1, "error_handling").when(F.length("src") % 4 == 2, "try_block").otherwise("loop")
-    patterns = e.join(n.select(F.col("id").alias("dst"), "name"), "dst").select(F.col("src").alias("id"), kind.alias("pattern"), "name")
+    patterns = e.join(n.select(F.col("id").alias("dst"), "name"), "dst").select(F.col("src").alias("id"), _pattern("src").alias("pattern"), "name")
     return M.pattern_groups(patterns, m, n, e)
 
 
@@ -93,8 +120,8 @@ def pattern_submodules(spark: SparkSession, d: str) -> DataFrame:
 @query(_SH + " SELECT * FROM mo")
 def module_table(spark: SparkSession, d: str) -> DataFrame:
     """Modules with entry tag, pattern count and kind."""
-    n, e, m = graph(spark, d)
-    return M.modules(n, m, M.entry_functions(n, _first_main(n)), _groups(n, e, m))
+    n, m = symbols(spark, d)
+    return _modules(n, m, _ends(spark, d, n, m))
 
 
 @query(_SH + " SELECT count(*) AS total_modules, count(*) FILTER (is_entry) AS entry_point_modules, count(*) FILTER (n_patterns > 0) AS modules_with_control_flow FROM mo")
@@ -211,9 +238,10 @@ lb AS (SELECT module, p.pos, CASE WHEN count(*) OVER (PARTITION BY mo.name) > 1
 
 
 def _flow(spark: SparkSession, d: str):
-    n, e, m = graph(spark, d)
-    mods = written(M.modules(n, m, M.entry_functions(n, _first_main(n)), _groups(n, e, m)))
-    flows = written(M.module_edges(m, e))
+    n, m = symbols(spark, d)
+    ends = _ends(spark, d, n, m)
+    mods = written(_modules(n, m, ends))
+    flows = written(M.module_flow(ends))
     keys = written(M.key_functions(n, m))
     return mods, flows, keys, M.labels(M.significant(mods, flows, n, m), mods, keys)
 
